@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
 
@@ -15,6 +16,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import knn
+
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +30,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import mixing
 
@@ -38,6 +51,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
-    from leafmill.llm import mixing
+    from leafmill.llm import embedding_dedup, knn, mixing
 
-    return {"op9_mixing": mixing.mix_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
