@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import durable
+
 #: Steps of the inverted distribution beyond its mean: 12 standard deviations and 24, so that
 #: what is left out has a probability far below the 2**-52 that a hashed number can resolve.
 TAIL = (12.0, 24.0)
+#: Sources up to which their rates are broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -78,11 +82,13 @@ def mix(
     is one) share their draw: both or neither have the same number of copies.
     An empty table gives an empty mixture.  Columns named copy_no or shuffle_key
     are replaced.  Rates go to the documents through a table of one row for each
-    source; Spark broadcasts it while it is small and else joins by shuffle,
-    where adaptive execution splits a hot source.
+    source; it is broadcast
+    up to ``BROADCAST_ROWS`` rows and else joined by shuffle, where adaptive execution splits a hot source.
     """
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    rate = rates(docs, weights, source, epochs)
+    rate = durable(rates(docs, weights, source, epochs), "rates")
+    if rate.count() <= BROADCAST_ROWS:
+        rate = F.broadcast(rate)
     joined = docs.select(*names).join(rate, F.col(source).eqNullSafe(F.col("_src")), "inner")
     copies = poisson_quantile(F.col("_rate"), uniform(seed, F.lit("copies"), F.col(key)))
     out = (
