@@ -175,6 +175,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     column already named ``ids`` is replaced.
     """
     kept = docs.drop(ids)
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
@@ -182,7 +183,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 found = [bpe.encode(x or "") for x in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*kept.columns, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*names, ids])
 
     return kept.mapInArrow(run, kept.withColumn(ids, F.lit(None).cast("array<int>")).schema)
 
@@ -190,12 +191,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``docs`` and ``text``, what the array ``ids`` decodes to; a null array counts as empty."""
     kept = docs.drop(text)
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.load(path)
         for b in batches:
             found = [bpe.decode(x or []) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*kept.columns, text])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*names, text])
 
     return kept.mapInArrow(run, kept.withColumn(text, F.lit(None).cast("string")).schema)
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import table
 
 
+def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import importance
+
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import urls
 
@@ -36,6 +42,16 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import toxicity
+    from leafmill.llm.common import crc_mod
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import mixing
 
