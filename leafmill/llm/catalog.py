@@ -52,6 +52,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import mixing
 
