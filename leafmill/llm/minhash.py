@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import durable
-from leafmill.llm.graph import components
+from leafmill.llm.graph import components, root_of, unite
 from leafmill.llm.textnp import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Bytes of text worked on at once.
 PART = 2 << 20
 #: First cell of ranks; the cells after it double.
 FIRST = 1 / 64
+#: Mean size of the blocks in which the members of a band are compared.
+BLOCK = 256
 U53 = 2.0**-53
 
 
@@ -111,6 +113,89 @@ def signatures(elements: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: i
     return out, some
 
 
+def is_link(x: bytes, xn: bytes, y: bytes, yn: bytes, threshold: float) -> bool:
+    """Whether two sets (of shingles, with counts or, if these are empty, ones) have the similarity."""
+    a, c = np.frombuffer(x, "u4"), np.frombuffer(y, "u4")
+    wa, wc = (np.frombuffer(w, "u4").astype("i8") if w else np.ones(len(z), "i8") for w, z in ((xn, a), (yn, c)))
+    both = np.concatenate([a, c])
+    order = np.argsort(both, kind="stable")
+    s, w = both[order], np.concatenate([wa, wc])[order]
+    hit = np.flatnonzero(s[1:] == s[:-1])
+    common = int(np.minimum(w[hit], w[hit + 1]).sum())
+    return common >= threshold * (int(wa.sum()) + int(wc.sum()) - common) - 1e-9
+
+
+class _Block:
+    """Members of a band: node, root, sig (n x k), and their sets."""
+
+    def __init__(self, column: pa.Array, k: int):
+        f = column.flatten()
+        self.node, self.root = f.field("node").to_numpy(), f.field("root").to_numpy()
+        self.sig = np.frombuffer(buffers(f.field("sig"))[0].tobytes(), "u4").reshape(-1, k)
+        self.sets, self.counts = f.field("set"), f.field("n")
+
+    def set_of(self, i: int) -> tuple[bytes, bytes]:
+        return self.sets[i].as_py(), self.counts[i].as_py()
+
+
+def _common(x: _Block, y: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of all intersections of two blocks' sets, and of the sets; products of 0-1 matrices over shared shingles."""
+    (a, ea), (c, ec) = buffers(x.sets), buffers(y.sets)
+    a, c, ea, ec = np.frombuffer(a.tobytes(), "u4"), np.frombuffer(c.tobytes(), "u4"), ea // 4, ec // 4
+    shared = np.intersect1d(a, c)
+    out = np.zeros((len(ea) - 1, len(ec) - 1), "f4")
+    ra, rc = np.repeat(np.arange(len(ea) - 1), np.diff(ea)), np.repeat(np.arange(len(ec) - 1), np.diff(ec))
+
+    def inside(v: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, v), max(0, len(shared) - 1))
+        hit = shared[at] == v if len(shared) else np.zeros(len(v), bool)
+        return at[hit], rows[hit]
+
+    (pa_, ra), (pc, rc) = inside(a, ra), inside(c, rc)
+    for low in range(0, len(shared), 8192):
+        m, n = np.zeros((len(ea) - 1, 8192), "f4"), np.zeros((len(ec) - 1, 8192), "f4")
+        s, t = (pa_ >= low) & (pa_ < low + 8192), (pc >= low) & (pc < low + 8192)
+        m[ra[s], pa_[s] - low] = 1
+        n[rc[t], pc[t] - low] = 1
+        out += m @ n.T
+    return out, np.diff(ea), np.diff(ec)
+
+
+def _trees(x: _Block, y: _Block, band: int, same: bool, rows: int, threshold: float, weighted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(node, node) of trees that span the links between two blocks, of pairs whose first shared band is ``band``."""
+    agree = np.zeros((len(x.node), len(y.node)), "i2")
+    before, here = np.zeros(agree.shape, bool), np.zeros(agree.shape, bool)
+    for c in range(x.sig.shape[1] // rows):
+        all_ = np.ones(agree.shape, bool)
+        for r in range(c * rows, c * rows + rows):
+            eq = x.sig[:, r][:, None] == y.sig[:, r][None, :]
+            agree += eq
+            all_ &= eq
+        if c < band:
+            before |= all_
+        elif c == band:
+            here = all_
+    some = here & ~before & (x.root[:, None] != y.root[None, :]) & (agree >= (threshold - 0.25) * x.sig.shape[1])
+    if same:
+        some &= np.arange(len(x.node))[:, None] < np.arange(len(y.node))[None, :]
+    i, j = np.nonzero(some)
+    if not len(i):
+        return
+    if weighted or len(i) <= 32:
+        link = np.array([is_link(*x.set_of(a), *y.set_of(c), threshold) for a, c in zip(i.tolist(), j.tolist(), strict=True)])
+    else:
+        common, n, m = _common(x, y)
+        both = common[i, j].astype("f8")
+        link = both >= threshold * (n[i] + m[j] - both) - 1e-9
+    i, j = i[link], j[link]
+    if not len(i):
+        return
+    names, at = np.unique(np.concatenate([x.node[i], y.node[j]]), return_inverse=True)
+    up = np.arange(len(names))
+    unite(up, at[: len(i)], at[len(i) :])
+    yield names, names[root_of(up)]
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -133,8 +218,9 @@ def near_duplicates(
 
     A pair at the threshold 0.8 shares none of 20 bands of 4 with probability
     0.00003.  No group is ever listed in pairs: the members of a band are checked
-    against its smallest member; then only members of different components of a
-    band are compared with each other, by signature first.
+    against its smallest member; then blocks of those outside a band's largest
+    component are compared with the blocks of the band, where signatures and
+    components leave anything to compare, in the first band that a pair shares.
     """
     k = bands * rows
     given = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("node", F.xxhash64("t"))
@@ -158,9 +244,9 @@ def near_duplicates(
 
     signed = given.select("id", "node", "t").mapInArrow(sign, f"id {id_kind}, node long, keys array<long>, sig binary")
     nodes = durable(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
-    member = nodes.select("node", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    banded = durable(member.join(shared, "key").select("key", "node", "pivot"), "bands")
+    member = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = durable(member.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    banded = durable(member.join(shared, "key").select("key", "band", "node", "pivot"), "bands")
     first = durable(banded.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
     wanted = banded.select("node").distinct()
 
@@ -186,14 +272,7 @@ def near_duplicates(
             keep = []
             for r in range(b.num_rows):
                 x, xn, y, yn = (b.column(c)[r].as_py() for c in ("x", "xn", "y", "yn"))
-                x, y = np.frombuffer(x, "u4"), np.frombuffer(y, "u4")
-                wx, wy = (np.frombuffer(w, "u4").astype("i8") if w else np.ones(len(z), "i8") for w, z in ((xn, x), (yn, y)))
-                both = np.concatenate([x, y])
-                order = np.argsort(both, kind="stable")
-                s, w = both[order], np.concatenate([wx, wy])[order]
-                hit = np.flatnonzero(s[1:] == s[:-1])
-                common = int(np.minimum(w[hit], w[hit + 1]).sum())
-                keep.append(common >= threshold * (int(wx.sum()) + int(wy.sum()) - common) - 1e-9)
+                keep.append(is_link(x, xn, y, yn, threshold))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], names=["u", "v"])
 
@@ -204,23 +283,33 @@ def near_duplicates(
 
     links = durable(check(first), "links")
     roots = components(links)
-    # Bands whose members are not yet in one component: what isn't in the band's largest is compared with the rest.
-    placed = banded.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # Bands whose members are not yet in one component: blocks of what isn't in the band's largest
+    # component are compared with all blocks of the band; a task returns spanning trees, not pairs.
+    placed = banded.select("key", "band", "node").join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     share = durable(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "shares")
-    main = share.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = durable(placed.join(main, "key").join(nodes.select("node", "sig"), "node").select("key", "node", "root", "main", "sig"), "open")
-    odd = open_.where("root != main").select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("sig").alias("su"))
-    rest = open_.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("sig").alias("sv"), (F.col("root") == F.col("main")).alias("big"))
-    crossed = odd.join(rest, "key").where("ru != rv AND (big OR u < v)").select("u", "v", "su", "sv")
+    top = F.max(F.struct("n", "root"))
+    main = durable(
+        share.groupBy("key").agg(top["root"].alias("main"), top["n"].alias("n_main"), (F.sum("n") - top["n"]).alias("n_odd")).where("n_odd > 0"), "open"
+    )
+    odd = F.col("root") != F.col("main")
+    salt = F.pmod(F.xxhash64(F.lit(9), "node"), F.ceil(F.when(odd, F.col("n_odd")).otherwise(F.col("n_main")) / F.lit(BLOCK)))
+    open_ = placed.join(main, "key").select("key", "band", "node", "root", odd.alias("odd"), salt.alias("block"))
+    full = open_.join(nodes.select("node", "sig"), "node").join(held, "node")
+    packed = durable(full.groupBy("key", "band", "odd", "block").agg(F.collect_list(F.struct("node", "root", "sig", "set", "n")).alias("x")), "blocks")
+    left = packed.where("odd").select("key", "band", F.col("block").alias("p"), F.col("x").alias("xs"))
+    right = packed.select("key", F.col("odd").alias("o"), F.col("block").alias("q"), F.col("x").alias("ys"))
+    met = left.join(right, "key").where("NOT o OR p <= q").select("band", (F.col("o") & (F.col("p") == F.col("q"))).alias("same"), "xs", "ys")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            su, sv = (np.frombuffer(buffers(b.column(c))[0].tobytes(), "u4").reshape(-1, k) for c in ("su", "sv"))
-            mask = pa.array((su == sv).mean(1) >= threshold - 0.25)
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], names=["u", "v"])
+            for r in range(b.num_rows):
+                one = b.slice(r, 1)
+                band, same = one.column("band")[0].as_py(), one.column("same")[0].as_py()
+                x, y = (_Block(one.column(c), k) for c in ("xs", "ys"))
+                for u, v in _trees(x, y, band, same, rows, threshold, weighted):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    more = crossed.mapInArrow(alike, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(first, ["u", "v"], "left_anti").join(first.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-    more = durable(check(durable(more, "pairs")), "links")
+    more = durable(met.mapInArrow(solve, "u long, v long"), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     classed = durable(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "classes")
