@@ -179,12 +179,15 @@ def spans(
 
     all_units = durable(given.where(F.octet_length("t") >= length).select("rid", "t").mapInArrow(deal, "k long, h long, rid long, s long, n int"), "units")
     shared = all_units.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low"), F.max("h").alias("high")).where("c > 1")
-    in_bucket = durable(all_units.join(shared.select("k", (F.col("low") != F.col("high")).alias("mixed")), "k"), "buckets")
+    # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
+    shared = durable(shared.select("k", (F.col("low") != F.col("high")).alias("mixed")), "shared")
+    in_bucket = durable(all_units.join(shared, "k"), "buckets")
     settled = in_bucket.where("NOT mixed").select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
     mixed = in_bucket.where("mixed").select("k", "h", "rid", "s", "n")
     copies = durable(mixed.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "s", "n")).alias("one")), "copies")
-    again = mixed.join(copies.where("c > 1").select("k", "h"), ["k", "h"]).select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
-    wide = copies.groupBy("k").agg(F.count(F.lit(1)).alias("units"))
+    more = durable(copies.where("c > 1").select("k", "h"), "again")
+    again = mixed.join(more, ["k", "h"]).select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
+    wide = durable(copies.groupBy("k").agg(F.count(F.lit(1)).alias("units")), "wide")
     todo = copies.join(wide, "k").select("one.rid", F.struct("k", "one.s", "one.n", (F.col("c") == 1).alias("open"), (F.col("units") > BUCKET).alias("hot")).alias("u"))
     # Collected lists are of one document each, at most as many as it has units.
     asked = durable(todo.groupBy("rid").agg(F.collect_list("u").alias("us")), "asked")
@@ -273,7 +276,7 @@ def spans(
     sorted_ = texts.mapInArrow(pieces, "k long, rid long, s long, n int, open boolean, x binary").repartition("k").sortWithinPartitions("k")
     edges = sorted_.mapInArrow(solve, "rid long, a long, b long")
     single = durable(texts.where(F.exists("us", lambda u: u["hot"])).mapInArrow(windows, "k long, w long, rid long, a long, open boolean"), "windows")
-    twice = single.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = durable(single.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "twice")
     hot = single.where("open").join(twice, ["k", "w"]).select("rid", "a", (F.col("a") + length).alias("b"))
     every = settled.unionByName(again).unionByName(edges).unionByName(hot)
     return given, every.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
