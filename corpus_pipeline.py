@@ -1,6 +1,66 @@
-STAGES = []
+"""A corpus pipeline of five operators, each over all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import bpe, minhash, mixing, repeats, toxicity
+from leafmill.llm.common import durable, table
+
+#: Score from which a document is rejected, similarity of near-duplicates, and bytes of a repeated passage
+#: (about 40 words, so that any passage of over 50 words holds one).
+TOXIC, SIMILAR, PASSAGE = 0.3, 0.8, 240
+
+#: SQL can express neither the classifier nor the classes; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, out="_toxic").where(F.col("_toxic") < TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id."""
+    return minhash.keep_one(docs, SIMILAR)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that start anywhere else too."""
+    out = repeats.remove(docs, PASSAGE)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in equal expected shares, in random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, text): ids of the whole text, and what they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text")
+    return bpe.decode(ids, path, text="text").select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again, over the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs, name)
+    return docs
