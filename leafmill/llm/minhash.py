@@ -196,7 +196,7 @@ def _trees(x: _Block, y: _Block, band: int, same: bool, rows: int, threshold: fl
     yield names, names[root_of(up)]
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame,
     threshold: float = 0.8,
     *,
@@ -206,8 +206,8 @@ def near_duplicates(
     bands: int = 20,
     rows: int = 4,
     weighted: bool = False,
-) -> DataFrame:
-    """(doc_id, class_id), one row for each row of ``docs``.
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t, node) and texts (node, id, class_id, best): ``best`` is the one text of a class that may stand for it.
 
     Classes are the connected components of links between texts whose Jaccard
     similarity on shingles of ``width`` words (A-Z lower-cased; a shorter text is
@@ -313,6 +313,24 @@ def near_duplicates(
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     classed = durable(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "classes")
-    least = classed.groupBy("root").agg(F.min("id").alias("class_id"))
-    told = classed.join(least, "root").select("node", "class_id")
-    return given.select("id", "node").join(told, "node").select(F.col("id").alias(key), "class_id")
+    # The smallest key names the class; the text that has it stands for the class (of several, that of the smallest hash).
+    least = durable(
+        classed.groupBy("root").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("best")), "least"
+    )
+    return given, durable(classed.join(least, "root").select("node", "id", "class_id", (F.col("node") == F.col("best")).alias("best")), "told")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, key: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, class_id), one row for each row of ``docs``; see ``classes``."""
+    given, told = classes(docs, threshold, key=key, **options)
+    return given.select("id", "node").join(told.select("node", "class_id"), "node").select(F.col("id").alias(key), "class_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: one that has the smallest key. All columns stay; see ``classes``."""
+    _, told = classes(docs, threshold, key=key, text=text, **options)
+    best = told.where("best").select(F.col("node").alias("_node"), F.col("id").alias("_least"))
+    names = docs.columns
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_node"), F.struct(*names).alias("_row"))
+    found = rows.join(best, "_node").where(F.col("_row")[key].eqNullSafe(F.col("_least")))
+    return found.groupBy("_node").agg(F.first("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in names])
