@@ -1,6 +1,445 @@
-def queries():
-    return {}
+"""Queries over the driver's tables, and their SQL where SQL can express them.
 
+Documents of one source stand for the pages of one document; turns of a
+conversation for pages; rows of a table for a sheet.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import text as T
+from leafmill.operators import chunking, confidence, layout, postprocess, rules, validation
+from leafmill.plans import builders
+from leafmill.sources import html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source as pages with a running head and foot."""
+    text = F.concat(F.lit("Report "), "source", F.lit("\n"), "text", F.lit("\nConfidential"))
+    return _t(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), text.alias("text"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+
+
+def _md(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown with headings, a link, an image, a table and a page mark."""
+    text = F.concat(
+        F.lit('# Title\n\n<a id="page-1"></a>\n\n[top](#page-1) ![fig](a.png)\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n### Deep\n\n'), "text", F.lit("\n\n[gone](#page-9)\n")
+    )
+    return _t(spark, d, "documents").select("doc_id", "lang", text.alias("text"))
+
+
+MD_SQL = """(SELECT doc_id, lang, '# Title\n\n<a id="page-1"></a>\n\n[top](#page-1) ![fig](a.png)\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n### Deep\n\n' || text || '\n\n[gone](#page-9)\n' AS text FROM documents)"""
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)```.*?```', '', 'g'), '\A---\n(?s:.*?)\n---', ''), '[#*|`\[\]()>_~]', ' ', 'g'), '<[^>]+>', '', 'g')"
+WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
+SYL = r"""CASE WHEN length({0}) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all({0}, '[aeiouy]+')) - (CASE WHEN suffix({0}, 'e') AND NOT suffix({0}, 'le') THEN 1 ELSE 0 END) - (CASE WHEN suffix({0}, 'ed') THEN 1 ELSE 0 END)) END"""
+BARE = r"""regexp_replace(lower(w), '^[.,;:!?"''()\-]+|[.,;:!?"''()\-]+$', '', 'g')"""
+COUNTS_SQL = rf"""
+SELECT doc_id, lang, len(regexp_extract_all(text, '(?m)^(#{{1,6}})\s+\S'))::INTEGER AS heading_count,
+  len(regexp_extract_all(text, '(?m)^\|[\s:]*-+[\s:]*\|'))::INTEGER AS table_count,
+  len(regexp_extract_all(text, '!\[([^\]]*)\]\(([^)]+)\)'))::INTEGER AS image_count,
+  len(regexp_extract_all(text, '(?i)<a\s+id="page-(\d+)"'))::INTEGER AS page_count,
+  (len(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+)\)')) - len(regexp_extract_all(text, '!\[([^\]]+)\]\(([^)]+)\)')))::INTEGER AS link_count,
+  len({WORDS.format(PLAIN.format("text"))})::INTEGER AS word_count
+FROM {{0}}"""
+GRADE_SQL = rf"""
+SELECT doc_id, lang, n AS n_words, s AS n_sentences, y AS n_syllables,
+  greatest(0.0, least(30.0, round(0.39 * (n::DOUBLE / s) + 11.8 * (y::DOUBLE / n) - 15.59, 1)))::DOUBLE AS grade
+FROM (SELECT doc_id, lang, greatest(len(ws), 1)::INTEGER AS n,
+    greatest(len(list_filter(regexp_split_to_array(p, '[.!?]+'), lambda s: trim(s, e' \n\t\r') <> '')), 1)::INTEGER AS s,
+    coalesce(list_sum(list_transform(list_transform(ws, lambda w: {BARE}), lambda v: {SYL.format("v")})), 0)::INTEGER AS y
+  FROM (SELECT doc_id, lang, p, {WORDS.format("regexp_replace(p, '[.!?]+', ' ', 'g')")} AS ws FROM (SELECT doc_id, lang, {PLAIN.format("text")} AS p FROM {{0}})))"""
+LABEL_SQL = "CASE WHEN {0} <= 5 THEN 'Very Easy (Grade 5)' WHEN {0} <= 8 THEN 'Easy (Grade ' || ceil({0})::INTEGER || ')' WHEN {0} <= 12 THEN 'Standard (Grade ' || ceil({0})::INTEGER || ')' WHEN {0} <= 16 THEN 'College Level' ELSE 'Graduate Level' END"
+
+
+@query(COUNTS_SQL.replace("{0}", MD_SQL))
+def doc_validation_counts(spark, d):
+    return validation.counts(_md(spark, d)).drop("text")
+
+
+@query(f"SELECT *, {LABEL_SQL.format('grade')} AS grade_label FROM ({GRADE_SQL.replace('{0}', 'documents')})")
+def doc_readability(spark, d):
+    return validation.grades(_t(spark, d, "documents").select("doc_id", "lang", "text")).drop("text")
+
+
+@query(
+    f"""SELECT lang, documents, heading_count, table_count, image_count, page_count, link_count, word_count, round(m, 1) AS avg_grade, {LABEL_SQL.format("m")} AS label FROM (
+  SELECT c.lang, count(*) AS documents, sum(heading_count)::BIGINT AS heading_count, sum(table_count)::BIGINT AS table_count, sum(image_count)::BIGINT AS image_count,
+    sum(page_count)::BIGINT AS page_count, sum(link_count)::BIGINT AS link_count, sum(word_count)::BIGINT AS word_count, coalesce(avg(CASE WHEN grade > 0 THEN grade END), 0) AS m
+  FROM ({COUNTS_SQL.replace("{0}", MD_SQL)}) c JOIN ({GRADE_SQL.replace("{0}", MD_SQL)}) g USING (doc_id) GROUP BY c.lang)"""
+)
+def doc_validation_by_lang(spark, d):
+    return validation.roll_up(validation.grades(validation.counts(_md(spark, d))), "lang")
+
+
+@query("SELECT doc_id, 10 AS pos, 'H1 jumps to H3 (skipped H2)' AS issue FROM documents")
+def heading_jumps(spark, d):
+    return validation.heading_jumps(_md(spark, d))
+
+
+@query("SELECT doc_id, 'gone' AS label, 'page-9' AS anchor FROM documents")
+def broken_links(spark, d):
+    return validation.broken_links(_md(spark, d))
+
+
+@query(r"SELECT conv_id AS doc_id, turn AS page_no FROM conversations WHERE length(regexp_replace(text, '\s', '', 'g')) >= 60")
+def blank_page_filter(spark, d):
+    return postprocess.drop_blank_pages(_turns(spark, d), 60).select("doc_id", "page_no")
+
+
+EDGES_SQL = r"""
+WITH l AS (SELECT source AS doc_id, doc_id AS page_no, list_filter(list_transform(regexp_split_to_array('Report ' || source || e'\n' || text || e'\nConfidential', '\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
+e AS (SELECT DISTINCT doc_id, page_no, unnest(list_concat(ls[1:3], ls[-3:])) AS norm FROM l),
+n AS (SELECT doc_id, count(*) AS pages FROM l GROUP BY doc_id)
+SELECT e.doc_id, norm, count(*) AS n FROM e JOIN n USING (doc_id) GROUP BY e.doc_id, norm, pages HAVING count(*) >= greatest(3, pages // 2)"""
+
+
+@query(EDGES_SQL)
+def header_footer_candidates(spark, d):
+    return postprocess.repeated_edges(_pages(spark, d))
+
+
+@query("SELECT source AS doc_id, doc_id AS page_no, md5(regexp_replace(text, '\\n$', '')) AS md5 FROM documents")
+def header_footer_removed(spark, d):
+    return postprocess.remove_repeated_edges(_pages(spark, d)).select("doc_id", "page_no", F.md5("text").alias("md5"))
+
+
+@query("SELECT doc_id, 1 AS page_no, md5(text) AS md5 FROM documents WHERE len(string_split(text, e'\\n')) >= 5")
+def line_numbers_stripped(spark, d):
+    lines = F.split("text", "\n", -1)
+    marked = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x)), "\n")
+    pages = _t(spark, d, "documents").where(F.size(lines) >= 5).select("doc_id", F.lit(1).alias("page_no"), marked.alias("text"))
+    return postprocess.strip_line_numbers(pages).select("doc_id", "page_no", F.md5("text").alias("md5"))
+
+
+@query(
+    r"""SELECT doc_id, (count(*) FILTER (code))::BIGINT AS code_lines, count(*) AS lines FROM (
+  SELECT doc_id, (s <> '' AND (regexp_matches(s, '(?m)(?:import\s+[\w.]+|from\s+[\w.]+\s+import|def\s+\w+\s*\(|class\s+\w+[\s:(]|function\s+\w+\s*\(|const\s+\w+\s*=|var\s+\w+\s*=|let\s+\w+\s*=|#include\s*[<"]|public\s+(?:static|class|void|int|String)|if\s*\(.+\)\s*\{|for\s*\(.+\)\s*\{|while\s*\(.+\)\s*\{|return\s+.+;|^\s*[{}];?\s*$)')
+    OR (length(s) > 5 AND length(regexp_replace(s, '[^{}();\[\]<>=!&|^~@#$]', '', 'g'))::DOUBLE / length(s) > 0.15))) AS code
+  FROM (SELECT doc_id, trim(unnest(string_split(text, e'\n'))) AS s FROM documents)) GROUP BY doc_id"""
+)
+def code_lines(spark, d):
+    lines = T.explode_lines(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"], newline_only=True)
+    return lines.groupBy("doc_id").agg(F.count_if(postprocess.is_code_line(F.col("line"))).alias("code_lines"), F.count(F.lit(1)).alias("lines"))
+
+
+@query()
+def code_blocks(spark, d):
+    text = F.concat("text", F.lit("\n\ndef f(x):\n    y = x + 1\n    return y;\n\nEnd."))
+    pages = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), text.alias("text"))
+    return postprocess.code_blocks(pages).select("doc_id", F.regexp_count("text", F.lit("(?m)^```")).alias("fences"), F.md5("text").alias("md5"))
+
+
+@query("SELECT doc_id, md5(text || e'\\n$$x = α + β$$\\nthe angle $θ$ is small') AS md5 FROM documents WHERE NOT contains(text, '=') AND NOT contains(text, '\\')  AND NOT contains(text, '+') AND NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(text, '*') AND NOT contains(text, '/') AND NOT contains(text, '-') AND NOT contains(text, '^')")
+def equations(spark, d):
+    docs = _t(spark, d, "documents").where(~F.col("text").rlike("[=\\\\+<>*/\\-^]"))
+    return docs.select("doc_id", F.md5(postprocess.equations(F.concat("text", F.lit("\nx = α + β\nthe angle θ is small")))).alias("md5"))
+
+
+@query("SELECT doc_id, md5(rtrim(text, e'\\n\\t ') || e' see note[^1] and note[^2].\\n\\n[^1]: First.\\n[^2]: Second.') AS md5 FROM documents WHERE NOT regexp_matches(text, '[12]')")
+def footnotes(spark, d):
+    text = F.concat(F.regexp_replace("text", "[\\n\\t ]+\\z", ""), F.lit(" see note1 and note2.\n\n## Notes\n1. First.\n2. Second.\n"))
+    return _t(spark, d, "documents").where(~F.col("text").rlike("[12]")).select("doc_id", F.md5(postprocess.footnotes(text)).alias("md5"))
+
+
+@query()
+def cleaned_pages(spark, d):
+    return postprocess.run_pipeline(_pages(spark, d)).select("doc_id", "page_no", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query(
+    r"""WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, list_filter(list_transform(string_split(text, e'\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations),
+n AS (SELECT doc_id, page_no, ls[-1] AS tail, lead(ls[1]) OVER (PARTITION BY doc_id ORDER BY page_no) AS head FROM p)
+SELECT * FROM n WHERE NOT regexp_matches(tail, '[.!?:]$|^(#|[-*+] |\d+[.)] )') AND regexp_matches(head, '^\p{Ll}')"""
+)
+def cross_page_merge_candidates(spark, d):
+    return postprocess.merge_candidates(_turns(spark, d))
+
+
+CHUNK_SQL = r"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+c AS (SELECT doc_id, unnest(CASE WHEN len(ws) <= 512 THEN [text] ELSE [array_to_string(ws[i+1:i+512], ' ') for i in range(0, len(ws), 462)] END) AS chunk,
+  unnest(CASE WHEN len(ws) <= 512 THEN [0] ELSE [i // 462 for i in range(0, len(ws), 462)] END) AS chunk_index FROM w WHERE len(ws) > 0)"""
+
+
+@query(
+    CHUNK_SQL
+    + "SELECT doc_id, chunk_index::INTEGER AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, 'doc' || doc_id || '_chunk_' || lpad(chunk_index::VARCHAR, 4, '0') AS id, md5(chunk) AS md5 FROM c"
+)
+def sidecar_chunks(spark, d):
+    parts = chunking.stride_chunks(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    out = chunking.numbered(parts, "doc_id", ["k"], F.concat(F.lit("doc"), "doc_id"))
+    return out.select("doc_id", "chunk_index", "total_chunks", "id", F.md5("chunk").alias("md5"))
+
+
+@query(CHUNK_SQL + r"SELECT lang, count(*) AS chunks, max(len(string_split(chunk, ' ')))::INTEGER AS longest FROM c JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_stats(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
+    parts = chunking.stride_chunks(docs, ["doc_id", "lang"])
+    return parts.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.size(F.split("chunk", " "))).alias("longest"))
+
+
+def _sections(spark, d):
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return _t(spark, d, "documents").select(
+        F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_no"), F.concat(F.lit("## Part "), "doc_id").alias("heading"), body.alias("body"), F.floor(F.col("doc_id") / 50).cast("int").alias("page_number")
+    )
+
+
+@query()
+def section_chunks(spark, d):
+    return chunking.section_chunks(_sections(spark, d)).select("doc_id", "sec_no", "k", F.size(F.split("chunk", "\\s+")).alias("n_words"), F.md5("chunk").alias("md5"))
+
+
+@query()
+def chunk_records(spark, d):
+    return builders.chunk_records(_sections(spark, d), F.col("doc_id"), F.concat("doc_id", F.lit(".pdf")))
+
+
+@query()
+def markdown_documents(spark, d):
+    return builders.markdown(_sections(spark, d))
+
+
+@query()
+def json_documents(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct()
+    return builders.json_documents(_sections(spark, d), docs.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source_file"), F.lit("spark").alias("engine")), "2026-01-01T00:00:00")
+
+
+@query()
+def html_documents(spark, d):
+    return builders.html_documents(_sections(spark, d), F.col("doc_id"))
+
+
+@query()
+def plaintext_documents(spark, d):
+    return builders.plain_text(_sections(spark, d))
+
+
+PROFILE = rules.Profile("clean", [rules.Rule("spaces", " {2,}", " "), rules.Rule("swap", r"\b(the) (\w+)", r"\2 \1"), rules.Rule("literal", "er.", "ER.", use_regex=False), rules.Rule("off", "a", "b", enabled=False), rules.Rule("bad", "(", "x")])
+
+
+@query(r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)', '\2 \1', 'g'), 'er.', 'ER.')) AS md5 FROM documents WHERE lang = 'en'")
+def rules_apply(spark, d):
+    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(PROFILE.apply(F.col("text"))).alias("md5"))
+
+
+@query(
+    r"""SELECT doc_id, len(regexp_extract_all(text, ' {2,}'))::INTEGER AS spaces, len(regexp_extract_all(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)'))::INTEGER AS swap FROM documents WHERE lang = 'en'"""
+)
+def rules_change_counts(spark, d):
+    a, b, *_ = PROFILE.counts(F.col("text"))
+    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", a.alias("spaces"), b.alias("swap"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::INTEGER AS hits FROM documents")
+def find_replace_count(spark, d):
+    return _t(spark, d, "documents").select("doc_id", rules.find_count(F.col("text"), "the").alias("hits"))
+
+
+@query()
+def html_markdown(spark, d):
+    return html.read_html(_t(spark, d, "pages")).select("page_id", "title", F.size("toc").alias("n_toc"), "n_tables", "n_images", "markdown")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+def html_titles(spark, d):
+    pages = _t(spark, d, "pages").where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&"))
+    return html.read_html(pages).select("page_id", "title")
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<script'))::INTEGER AS scripts, len(regexp_extract_all(html, '(?i)<nav'))::INTEGER AS navs,
+  len(regexp_extract_all(html, '(?i)<footer'))::INTEGER AS footers FROM pages"""
+)
+def html_stripped_tags(spark, d):
+    n = lambda t: F.regexp_count("html", F.lit(f"(?i)<{t}"))
+    return _t(spark, d, "pages").select("page_id", n("script").alias("scripts"), n("nav").alias("navs"), n("footer").alias("footers"))
+
+
+@query(r'''SELECT page_id, u AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS u FROM pages)''')
+def html_links(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+@query("SELECT n_nationkey, '| ' || concat_ws(' | ', n_nationkey, replace(n_name, '|', '\\|'), n_regionkey) || ' |' AS line FROM nation")
+def table_markdown(spark, d):
+    t = _t(spark, d, "nation")
+    return t.select("n_nationkey", builders.table_rows(t, ["n_nationkey", "n_name", "n_regionkey"]).alias("line"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r <= 10000")
+def table_row_cap(spark, d):
+    return builders.capped(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(
+    """SELECT c_mktsegment, blank, cells, CASE WHEN blank::DOUBLE / cells > 0.5 THEN 'Low' WHEN blank::DOUBLE / cells > 0.2 THEN 'Medium' ELSE 'High' END AS label FROM (
+  SELECT c_mktsegment, count(*) FILTER (c_acctbal < 0) AS blank, count(*) AS cells FROM customer GROUP BY c_mktsegment)"""
+)
+def table_blank_ratio(spark, d):
+    g = _t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count_if(F.col("c_acctbal") < 0).alias("blank"), F.count(F.lit(1)).alias("cells"))
+    return g.withColumn("label", confidence.blank_cell_label(F.col("blank"), F.col("cells")))
+
+
+@query("SELECT n_name, coalesce(c, 0) AS entities FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def layer_counts(spark, d):
+    counts = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("c"))
+    return _t(spark, d, "nation").join(counts, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", F.coalesce("c", F.lit(0)).alias("entities"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'High' ELSE 'Low' END AS a, CASE toxic WHEN 1 THEN 'Medium' ELSE 'N/A' END AS b FROM labels)
+SELECT doc_id, a AS text_extraction, b AS table_structure, CASE WHEN a = 'Low' THEN 'Low' WHEN b = 'Medium' THEN 'Medium' ELSE 'High' END AS overall FROM l"""
+)
+def confidence_overall(spark, d):
+    a, b = F.when(F.col("quality") == 1, "High").otherwise("Low"), F.when(F.col("toxic") == 1, "Medium").otherwise("N/A")
+    return _t(spark, d, "labels").select("doc_id", a.alias("text_extraction"), b.alias("table_structure")).withColumn("overall", confidence.worst(F.col("text_extraction"), F.col("table_structure")))
+
+
+@query(
+    """WITH l AS (SELECT lang, CASE quality WHEN 1 THEN 3 ELSE 1 END AS r FROM labels JOIN documents USING (doc_id))
+SELECT lang, CASE min(r) WHEN 1 THEN 'Low' ELSE 'High' END AS text_extraction FROM l GROUP BY lang"""
+)
+def confidence_rollup(spark, d):
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("label", F.when(F.col("quality") == 1, "High").otherwise("Low"))
+    return rows.groupBy("lang").agg(confidence.worst_of(F.col("label")).alias("text_extraction"))
+
+
+@query(
+    """SELECT event_type, m AS mean, CASE WHEN m >= 0.85 THEN 'High' WHEN m >= 0.65 THEN 'Medium' WHEN m > 0 THEN 'Low' ELSE 'Failed' END AS label FROM (
+  SELECT event_type, round(avg(least(1.0, greatest(0.0, value / 100))), 6) AS m FROM events GROUP BY event_type)"""
+)
+def ocr_label_bands(spark, d):
+    m = F.round(F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))), 6)
+    return _t(spark, d, "events").groupBy("event_type").agg(m.alias("mean")).withColumn("label", confidence.ocr_label(F.col("mean"), F.lit(True)))
+
+
+@query("SELECT title, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages) GROUP BY title")
+def toc_dedup(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+    return layout.first_of(rows, ["title"], [F.col("page_id")]).select("title", "page_id")
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents WHERE NOT regexp_matches(text, '[*_`|<>#!\\[\\]]')")
+def plaintext_strip_markdown(spark, d):
+    text = F.concat(F.lit("**"), F.lit("x"), F.lit("** "), "text")
+    rows = _t(spark, d, "documents").where(~F.col("text").rlike("[*_`|<>#!\\[\\]]"))
+    return rows.select("doc_id", F.md5(F.regexp_replace(T.strip_markdown(text), "^x ", "")).alias("md5"))
+
+
+@query(
+    r"""SELECT doc_id, count(*) FILTER (c = 'table') AS tables, count(*) FILTER (c = 'image') AS images, count(*) FILTER (c = 'text') AS texts FROM (
+  SELECT doc_id, CASE WHEN starts_with(s, '|') THEN 'table' WHEN starts_with(s, '![') THEN 'image' ELSE 'text' END AS c FROM (SELECT doc_id, trim(unnest(string_split(text, e'\n'))) AS s FROM documents)) GROUP BY doc_id"""
+)
+def heatmap_classes(spark, d):
+    lines = T.explode_lines(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"], newline_only=True).withColumn("s", F.trim("line"))
+    kind = F.when(F.startswith("s", F.lit("|")), "table").when(F.startswith("s", F.lit("![")), "image").otherwise("text")
+    return lines.groupBy("doc_id").agg(*[F.count_if(kind == k).alias(k + "s") for k in ("table", "image", "text")])
+
+
+@query(
+    r"""WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z'']{3,}')) AS w FROM benchmark))
+SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z'']{3,}'))) AS w FROM documents WHERE lang = 'en') WHERE w NOT IN (SELECT w FROM v) GROUP BY doc_id, w"""
+)
+def misspelled_words(spark, d):
+    found = lambda: F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z']{3,}"), F.lit(0)))
+    known = _t(spark, d, "benchmark").select(found().alias("w")).select(F.lower("w").alias("word")).distinct()
+    words = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", found().alias("w")).groupBy("doc_id", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return words.join(known, "word", "left_anti").select("doc_id", "word", "n")
+
+
+@query("SELECT conv_id AS doc_id, turn AS page_no, md5(text) AS md5 FROM conversations WHERE turn IN (0, 2)")
+def page_range(spark, d):
+    return _turns(spark, d).where(F.col("page_no").isin(0, 2)).select("doc_id", "page_no", F.md5("text").alias("md5"))
+
+
+@query(
+    """SELECT doc_id, sec_no, page_number FROM (SELECT source AS doc_id, doc_id AS sec_no, (doc_id // 50)::INTEGER AS page_number,
+  lag(doc_id // 50) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) WHERE p IS NULL OR p <> page_number"""
+)
+def page_anchors(spark, d):
+    s = _sections(spark, d).select("doc_id", "sec_no", "page_number")
+    return s.withColumn("new", builders._new_page()).where("new").drop("new")
+
+
+@query("SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'ok' ELSE 'skipped' END AS status, count(*) AS files FROM orders GROUP BY 1, 2")
+def status_rollup(spark, d):
+    s = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "ok").otherwise("skipped")
+    return _t(spark, d, "orders").groupBy("o_orderstatus", s.alias("status")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT doc_id, len(range(0, greatest(n_chars // 100, 1), 30))::BIGINT AS chunks FROM documents")
+def page_plan(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 100).cast("int").alias("pages"))
+    return chunking.page_plan(docs, "doc_id", "pages").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def _words(spark, d, shift: float) -> DataFrame:
+    """Words on pages from numbers of lineitem: boxes on a grid, moved by ``shift``."""
+    x, y = (F.col("l_partkey") % 20) * 30.0 + shift, F.col("l_linenumber") * 20.0 + shift
+    rows = _t(spark, d, "lineitem").where("l_orderkey % 20 = 0").dropDuplicates(["l_orderkey", "l_linenumber"])
+    return rows.select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("l_linenumber").cast("long").alias("word_id"), F.col("l_returnflag").alias("text"),
+        (F.col("l_discount") * (10 - shift)).alias("conf"), x.alias("l"), y.alias("t"), (x + 25).alias("r"), (y + 12).alias("b"),
+    )
+
+
+@query()
+def iou_merge(spark, d):
+    return layout.merge_words(_words(spark, d, 0.0), _words(spark, d, 2.0)).select("doc_id", "page_no", "word_id", "l", "conf")
+
+
+@query()
+def ocr_lines(spark, d):
+    return layout.line_confidence(layout.lines_of_words(_words(spark, d, 0.0)))
+
+
+@query()
+def block_columns(spark, d):
+    w = _words(spark, d, 0.0)
+    return layout.columns_of_blocks(w.select("doc_id", "page_no", F.col("word_id").alias("block_no"), F.col("l").alias("x0"), F.col("t").alias("y0"), F.col("r").alias("x1"), F.col("b").alias("y1"), "text"))
+
+
+@query("SELECT conv_id AS doc_id, avg(length(trim(text))) < 200 AS scanned FROM conversations WHERE turn <= 3 GROUP BY conv_id")
+def scanned_documents(spark, d):
+    return layout.scanned(_turns(spark, d), 200.0)
+
+
+@query(
+    r"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS md5 FROM documents"""
+)
+def html_escape(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.escape_html(F.col("text"))).alias("md5"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
