@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import tidy
+
 #: Pieces between which no merge happens (the published pattern of byte-level BPE).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept in a worker's memo before it starts anew; a bound on memory only.
@@ -76,7 +78,14 @@ class Bpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.pieces = regex.compile(PIECES)
-        self.memo: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
+        self.bound = MEMO
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.texts: dict[str, tuple[str, bytes]] = {}
+
+    def forget(self) -> None:
+        """Empty the memos, so that a worker that is kept for other work holds the tables alone."""
+        for memo in (self.memo, self.texts, self.pairs):
+            memo.clear()
 
     def _stable(self, token: int) -> bool:
         """Whether the token's own bytes encode to the token."""
@@ -109,7 +118,7 @@ class Bpe:
         """Ids of one piece, by the table of last tokens."""
         last: list[tuple[int, int]] = [(-1, 0)] * (len(piece) + 1)
         pairs = self.pairs
-        if len(pairs) > 4 * MEMO:
+        if len(pairs) > self.bound:
             pairs.clear()
         filled = 0
         for end, (token, size) in self.ends.iter(piece.decode("latin-1")):
@@ -132,28 +141,42 @@ class Bpe:
             out.append(token)
         return out[::-1]
 
-    def _piece(self, piece: str) -> tuple[str, bytes, tuple[int, ...]]:
-        if len(self.memo) >= MEMO:
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        if len(self.memo) >= self.bound:
             self.memo.clear()
+        ids = tuple(self.encode_piece(piece.encode("utf-8")))
+        if len(piece) <= 64:
+            self.memo[piece] = ids
+        return ids
+
+    def _text(self, piece: str) -> tuple[str, bytes]:
+        if len(self.texts) >= self.bound:
+            self.texts.clear()
         ids = self.encode_piece(piece.encode("utf-8"))
-        out = (",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]), tuple(ids))
+        out = (",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
         if len(piece) <= 64:
-            self.memo[piece] = out
+            self.texts[piece] = out
         return out
 
-    def _walk(self, text: str) -> Iterator[tuple[str, bytes, tuple[int, ...]]]:
-        memo, piece = self.memo, self._piece
-        for k, part in enumerate(self.split.split(text) if self.split and any(s in text for s in self.specials) else (text,)):
-            if k % 2:
-                i = self.specials[part]
-                yield str(i), self.bytes_of[i], (i,)
-            else:
-                for p in self.pieces.findall(part):
-                    yield memo.get(p) or piece(p)
+    def _parts(self, text: str) -> Iterator[tuple[int | None, str]]:
+        """(id of a special token, or None; its string, or a text between such)."""
+        if not any(s in text for s in self.specials):
+            yield None, text
+            return
+        for k, part in enumerate(self.split.split(text)):
+            yield (self.specials[part] if k % 2 else None), part
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of special tokens become their ids."""
-        return [i for _, _, ids in self._walk(text) for i in ids]
+        memo, piece = self.memo, self._piece
+        out: list[int] = []
+        for special, part in self._parts(text):
+            if special is not None:
+                out.append(special)
+                continue
+            for p in self.pieces.findall(part):
+                out += memo.get(p) or piece(p)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 are replaced."""
@@ -161,7 +184,13 @@ class Bpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of what they decode to."""
-        found = list(self._walk(text))
+        memo, piece = self.texts, self._text
+        found: list[tuple[str, bytes]] = []
+        for special, part in self._parts(text):
+            if special is not None:
+                found.append((str(special), self.bytes_of[special]))
+            else:
+                found += [memo.get(p) or piece(p) for p in self.pieces.findall(part)]
         joined = ",".join([x[0] for x in found])
         back = b"".join([x[1] for x in found]).decode("utf-8", "replace").encode("utf-8")
         return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
@@ -202,6 +231,30 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return kept.mapInArrow(run, kept.withColumn(text, F.lit(None).cast("string")).schema)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: all columns of ``docs``, ``ids`` and what these decode to, ``decoded``.
+
+    Tables and memos are the task's own, smaller than those of the other forms:
+    workers go on to other stages of a pipeline with little memory held.
+    """
+    kept = docs.drop(ids, decoded)
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(path)
+        bpe.bound = MEMO // 4
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                found = [bpe.encode(x or "") for x in part.column(text).to_pylist()]
+                back = pa.array([bpe.decode(x) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32())), back], names=[*names, ids, decoded])
+        bpe.forget()
+
+    none = F.lit(None)
+    return kept.mapInArrow(tidy(run), kept.withColumn(ids, none.cast("array<int>")).withColumn(decoded, none.cast("string")).schema)
+
+
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded in one pass.
 

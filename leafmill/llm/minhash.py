@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable
+from leafmill.llm.common import durable, tidy
 from leafmill.llm.graph import components, root_of, unite
 from leafmill.llm.textnp import buffers, mix, shingle_hashes, slices, word_hashes
 
 #: Bytes of text worked on at once.
-PART = 2 << 20
+PART = 1 << 20
 #: First cell of ranks; the cells after it double.
 FIRST = 1 / 64
 #: Mean size of the blocks in which the members of a band are compared.
@@ -242,7 +242,7 @@ def classes(
                     names=["id", "node", "keys", "sig"],
                 )
 
-    signed = given.select("id", "node", "t").mapInArrow(sign, f"id {id_kind}, node long, keys array<long>, sig binary")
+    signed = given.select("id", "node", "t").mapInArrow(tidy(sign), f"id {id_kind}, node long, keys array<long>, sig binary")
     nodes = durable(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
     member = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = durable(member.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
@@ -265,7 +265,7 @@ def classes(
                 )
 
     one_text = given.join(nodes.join(wanted, "node").select("node", F.col("id").alias("least")), "node").where(F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
-    held = durable(one_text.mapInArrow(sets, "node long, set binary, n binary").groupBy("node").agg(F.first("set").alias("set"), F.first("n").alias("n")), "sets")
+    held = durable(one_text.mapInArrow(tidy(sets), "node long, set binary, n binary").groupBy("node").agg(F.first("set").alias("set"), F.first("n").alias("n")), "sets")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +279,7 @@ def classes(
     def check(pairs: DataFrame) -> DataFrame:
         x = held.select(F.col("node").alias("u"), F.col("set").alias("x"), F.col("n").alias("xn"))
         y = held.select(F.col("node").alias("v"), F.col("set").alias("y"), F.col("n").alias("yn"))
-        return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "xn", "y", "yn").mapInArrow(similar, "u long, v long")
+        return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "xn", "y", "yn").mapInArrow(tidy(similar), "u long, v long")
 
     links = durable(check(first), "links")
     roots = components(links)
@@ -309,7 +309,7 @@ def classes(
                 for u, v in _trees(x, y, band, same, rows, threshold, weighted):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    more = durable(met.mapInArrow(solve, "u long, v long"), "links")
+    more = durable(met.mapInArrow(tidy(solve), "u long, v long"), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     classed = durable(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "classes")

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable, row_key
+from leafmill.llm.common import durable, row_key, tidy
 from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash
 
 #: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and distinct
 #: units up to which a bucket is sorted in one task; a larger one is split by whole windows.
-GRAM, PART, SHALLOW, BUCKET = 24, 4 << 20, 4, 256
+GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 256
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def spans(
                     [pa.array(k), pa.array(h), pa.array(rid[i:j][rows]), pa.array(s), pa.array(n.astype("i4"))], names=["k", "h", "rid", "s", "n"]
                 )
 
-    all_units = durable(given.where(F.octet_length("t") >= length).select("rid", "t").mapInArrow(deal, "k long, h long, rid long, s long, n int"), "units")
+    all_units = durable(given.where(F.octet_length("t") >= length).select("rid", "t").mapInArrow(tidy(deal), "k long, h long, rid long, s long, n int"), "units")
     shared = all_units.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low"), F.max("h").alias("high")).where("c > 1")
     # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
     shared = durable(shared.select("k", (F.col("low") != F.col("high")).alias("mixed")), "shared")
@@ -263,7 +263,7 @@ def spans(
         for b in batches:
             held.append(b)
             size += b.nbytes
-            if size > 2 * PART:
+            if size > 4 * PART:
                 t = pa.Table.from_batches(held)
                 k = t.column("k").to_numpy()
                 full = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
@@ -273,9 +273,9 @@ def spans(
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    sorted_ = texts.mapInArrow(pieces, "k long, rid long, s long, n int, open boolean, x binary").repartition("k").sortWithinPartitions("k")
-    edges = sorted_.mapInArrow(solve, "rid long, a long, b long")
-    single = durable(texts.where(F.exists("us", lambda u: u["hot"])).mapInArrow(windows, "k long, w long, rid long, a long, open boolean"), "windows")
+    sorted_ = texts.mapInArrow(tidy(pieces), "k long, rid long, s long, n int, open boolean, x binary").repartition("k").sortWithinPartitions("k")
+    edges = sorted_.mapInArrow(tidy(solve), "rid long, a long, b long")
+    single = durable(texts.where(F.exists("us", lambda u: u["hot"])).mapInArrow(tidy(windows), "k long, w long, rid long, a long, open boolean"), "windows")
     twice = durable(single.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "twice")
     hot = single.where("open").join(twice, ["k", "w"]).select("rid", "a", (F.col("a") + length).alias("b"))
     every = settled.unionByName(again).unionByName(edges).unionByName(hot)
@@ -329,7 +329,7 @@ def digests(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: st
     return (
         given.join(found, "rid", "left")
         .select("id", "t", "spans")
-        .mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        .mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         .withColumnRenamed("id", key)
     )
 
@@ -350,4 +350,4 @@ def remove(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str
             new = [None if was is None else kept.decode("utf-8", "ignore") for was, (_, _, kept) in zip(old.to_pylist(), _ranges(pa.RecordBatch.from_arrays([b.column("t"), b.column("spans")], names=["t", "spans"])), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else b.column(i) for i, c in enumerate(names)], names=names)
 
-    return inner.mapInArrow(run, docs.schema)
+    return inner.mapInArrow(tidy(run), docs.schema)
