@@ -43,8 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe.decode(ids, path, text="text").select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    out = bpe.round_trip(docs.select("doc_id", "source", "text"), path, decoded="decoded")
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
