@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     if delimiter is None:
         first = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 8192)").alias("c")).first()
         delimiter = sniff(bytes(first["c"]).decode("utf-8", "replace")) if first else ","
-    return spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, encoding=encoding, nullValue="\0", emptyValue="", multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, encoding=encoding, multiLine=True, escape='"').na.fill("")
 
 
 def sidecar_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
