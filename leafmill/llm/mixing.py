@@ -39,9 +39,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, source: str
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("_src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    count = count.withColumn("_w", weight)
-    total = count.agg(F.sum("_n").cast("double").alias("_all"), F.sum("_w").alias("_ws"))
-    return count.crossJoin(F.broadcast(total)).select("_src", "_n", (F.lit(float(epochs)) * F.col("_w") / F.col("_ws") * F.col("_all") / F.col("_n")).alias("_rate"))
+    count = durable(count.withColumn("_w", weight), "sources")
+    documents, weights_sum = count.agg(F.sum("_n").cast("double"), F.sum("_w")).first()
+    return count.select("_src", "_n", (F.lit(float(epochs)) * F.col("_w") / F.lit(weights_sum) * F.lit(documents) / F.col("_n")).alias("_rate"))
 
 
 def poisson_quantile(rate: Column, u: Column) -> Column:
@@ -86,7 +86,7 @@ def mix(
     up to ``BROADCAST_ROWS`` rows and else joined by shuffle, where adaptive execution splits a hot source.
     """
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    rate = durable(rates(docs, weights, source, epochs), "rates")
+    rate = rates(docs, weights, source, epochs)
     if rate.count() <= BROADCAST_ROWS:
         rate = F.broadcast(rate)
     joined = docs.select(*names).join(rate, F.col(source).eqNullSafe(F.col("_src")), "inner")
