@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +28,8 @@ def merge_words(a: DataFrame, b: DataFrame, least: float = 0.3, cell: float = 25
 
     ``a`` and ``b`` are (doc_id, page_no, word_id, text, conf, l, t, r, b).
     Candidates meet in the cells of a grid that both boxes touch, so a page's
-    words are not all paired; the greedy choice runs for each page over the
-    candidates alone.
+    words are not all paired; the greedy choice is a fold for each page over the
+    candidates alone, by the words of ``a`` in order, the largest overlap first.
     """
 
     def cells(d: DataFrame, name: str) -> DataFrame:
@@ -43,18 +41,12 @@ def merge_words(a: DataFrame, b: DataFrame, least: float = 0.3, cell: float = 25
     near = cells(a, "x").join(cells(b, "y"), [*KEYS, "cx", "cy"]).withColumn("iou", iou("x", "y")).where(F.col("iou") >= least)
     pairs = near.select(*KEYS, F.col("x.word_id").alias("i"), F.col("y.word_id").alias("j"), "iou", F.col("x.conf").alias("ci"), F.col("y.conf").alias("cj")).distinct()
 
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for i, g in page.sort_values(["i", "iou", "j"], ascending=[True, False, True]).groupby("i", sort=True):
-            for r in g.itertuples():
-                if r.j not in used:
-                    used.add(r.j)
-                    rows.append((r.doc_id, r.page_no, i, r.j, bool(r.cj > r.ci)))
-                    break
-        return pd.DataFrame(rows, columns=[*KEYS, "i", "j", "second"])
-
-    types = {c: a.schema[c].dataType.simpleString() for c in [*KEYS, "word_id"]}
-    taken = pairs.groupBy(*KEYS).applyInPandas(greedy, f"doc_id {types['doc_id']}, page_no {types['page_no']}, i {types['word_id']}, j {types['word_id']}, second boolean")
+    best = F.struct("i", (-F.col("iou")).alias("d"), "j", (F.col("cj") > F.col("ci")).alias("second"))
+    page = pairs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(best)).alias("cs"))
+    none = F.filter("cs", lambda c: F.lit(False))
+    free = lambda s, c: ~F.exists(s, lambda o: (o["i"] == c["i"]) | (o["j"] == c["j"]))
+    greedy = F.aggregate("cs", none, lambda s, c: F.when(free(s, c), F.concat(s, F.array(c))).otherwise(s))
+    taken = page.select(*KEYS, F.explode(greedy).alias("p")).select(*KEYS, "p.*")
     lose_a = taken.where("second").select(*KEYS, F.col("i").alias("word_id"))
     lose_b = taken.where("NOT second").select(*KEYS, F.col("j").alias("word_id"))
     return a.join(lose_a, [*KEYS, "word_id"], "left_anti").unionByName(b.join(lose_b, [*KEYS, "word_id"], "left_anti"))

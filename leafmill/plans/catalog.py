@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import chunking, confidence, layout, postprocess, rules, validation
-from leafmill.plans import builders
+from leafmill.plans import builders, structure
 from leafmill.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,16 +153,35 @@ def code_blocks(spark, d):
     return postprocess.code_blocks(pages).select("doc_id", F.regexp_count("text", F.lit("(?m)^```")).alias("fences"), F.md5("text").alias("md5"))
 
 
-@query("SELECT doc_id, md5(text || e'\\n$$x = α + β$$\\nthe angle $θ$ is small') AS md5 FROM documents WHERE NOT contains(text, '=') AND NOT contains(text, '\\')  AND NOT contains(text, '+') AND NOT contains(text, '<') AND NOT contains(text, '>') AND NOT contains(text, '*') AND NOT contains(text, '/') AND NOT contains(text, '-') AND NOT contains(text, '^')")
+GREEK_SQL = f"[{postprocess.GREEK}]"
+EXPR_SQL = rf"({GREEK_SQL}(?:\s*[=<>+\-*/^_]\s*[a-zA-Z0-9{postprocess.GREEK}]*)*)"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text || e'\nx = α + β\nthe angle θ is small', e'\n') AS ls FROM documents)),
+t AS (SELECT *, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM l),
+f AS (SELECT *, replace(t, ' ', '') AS dense, starts_with(t, '```') OR sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS code FROM t),
+m AS (SELECT *, length(t) >= 3 AND regexp_matches(t, '[=<>≠≈≤≥+\-*/^]') AND length(dense) BETWEEN 1 AND 119 AND (regexp_matches(t, '{GREEK_SQL}') OR regexp_matches(t, '\\[a-zA-Z]+')
+  OR length(regexp_replace(t, '[^{postprocess.MATH}{postprocess.GREEK}]', '', 'g'))::DOUBLE / length(dense) > 0.1
+  OR (regexp_matches(t, '^[A-Za-z_][\p{{L}}\p{{N}}_]*\s*=\s*.*[+\-*/^]') AND NOT regexp_matches(t, '[a-z]{{4,}}\('))) AS math FROM f)
+SELECT doc_id, md5(string_agg(CASE WHEN code OR contains(line, '$') THEN line WHEN math THEN '$$' || t || '$$'
+  WHEN len(list_filter(regexp_extract_all(line, '{EXPR_SQL}'), lambda x: length(x) > 40)) > 0 THEN line ELSE regexp_replace(line, '{EXPR_SQL}', '$\1$', 'g') END, e'\n' ORDER BY pos)) AS md5 FROM m GROUP BY doc_id"""
+)
 def equations(spark, d):
-    docs = _t(spark, d, "documents").where(~F.col("text").rlike("[=\\\\+<>*/\\-^]"))
-    return docs.select("doc_id", F.md5(postprocess.equations(F.concat("text", F.lit("\nx = α + β\nthe angle θ is small")))).alias("md5"))
+    text = F.concat("text", F.lit("\nx = α + β\nthe angle θ is small"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(postprocess.equations(text)).alias("md5"))
+
 
+MARK_SQL = r"""([a-zA-Z.,;:!?"'')])0{0,2}([12])([\s.,;:!?)]|$)"""
 
-@query("SELECT doc_id, md5(rtrim(text, e'\\n\\t ') || e' see note[^1] and note[^2].\\n\\n[^1]: First.\\n[^2]: Second.') AS md5 FROM documents WHERE NOT regexp_matches(text, '[12]')")
+
+@query(
+    rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[\n\t ]+$', '') || ' see note1 and note2.', '{MARK_SQL}', '\1[^\2]\3', 'g'), '{MARK_SQL}', '\1[^\2]\3', 'g')
+  || e'\n\n[^1]: First.\n[^2]: Second.') AS md5 FROM documents"""
+)
 def footnotes(spark, d):
     text = F.concat(F.regexp_replace("text", "[\\n\\t ]+\\z", ""), F.lit(" see note1 and note2.\n\n## Notes\n1. First.\n2. Second.\n"))
-    return _t(spark, d, "documents").where(~F.col("text").rlike("[12]")).select("doc_id", F.md5(postprocess.footnotes(text)).alias("md5"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(postprocess.footnotes(text)).alias("md5"))
 
 
 @query()
@@ -219,7 +238,15 @@ def chunk_records(spark, d):
     return builders.chunk_records(_sections(spark, d), F.col("doc_id"), F.concat("doc_id", F.lit(".pdf")))
 
 
-@query()
+SECTIONS_SQL = r"""s AS (SELECT source AS doc_id, doc_id AS sec_no, regexp_replace(replace(text, e'\n', e'\n\n'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body, doc_id // 50 AS page, lag(doc_id // 50) OVER (PARTITION BY source ORDER BY doc_id) AS last FROM documents)"""
+
+
+@query(
+    "WITH "
+    + SECTIONS_SQL
+    + r""", p AS (SELECT doc_id, sec_no, concat_ws(e'\n', CASE WHEN last IS DISTINCT FROM page THEN '<a id="page-' || page || e'"></a>\n\n---\n*Page ' || page || '*' END, '## Part ' || sec_no, nullif(body, ''), '') AS x FROM s)
+SELECT doc_id, regexp_replace(string_agg(x, e'\n' ORDER BY sec_no), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') || e'\n' AS markdown FROM p GROUP BY doc_id"""
+)
 def markdown_documents(spark, d):
     return builders.markdown(_sections(spark, d))
 
@@ -235,25 +262,20 @@ def html_documents(spark, d):
     return builders.html_documents(_sections(spark, d), F.col("doc_id"))
 
 
-@query()
-def plaintext_documents(spark, d):
-    return builders.plain_text(_sections(spark, d))
-
-
 PROFILE = rules.Profile("clean", [rules.Rule("spaces", " {2,}", " "), rules.Rule("swap", r"\b(the) (\w+)", r"\2 \1"), rules.Rule("literal", "er.", "ER.", use_regex=False), rules.Rule("off", "a", "b", enabled=False), rules.Rule("bad", "(", "x")])
 
 
-@query(r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)', '\2 \1', 'g'), 'er.', 'ER.')) AS md5 FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)', '\2 \1', 'g'), 'er.', 'ER.')) AS md5 FROM documents")
 def rules_apply(spark, d):
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(PROFILE.apply(F.col("text"))).alias("md5"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(PROFILE.apply(F.col("text"))).alias("md5"))
 
 
 @query(
-    r"""SELECT doc_id, len(regexp_extract_all(text, ' {2,}'))::INTEGER AS spaces, len(regexp_extract_all(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)'))::INTEGER AS swap FROM documents WHERE lang = 'en'"""
+    r"""SELECT doc_id, len(regexp_extract_all(text, ' {2,}'))::INTEGER AS spaces, len(regexp_extract_all(regexp_replace(text, ' {2,}', ' ', 'g'), '\b(the) (\w+)'))::INTEGER AS swap FROM documents"""
 )
 def rules_change_counts(spark, d):
     a, b, *_ = PROFILE.counts(F.col("text"))
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", a.alias("spaces"), b.alias("swap"))
+    return _t(spark, d, "documents").select("doc_id", a.alias("spaces"), b.alias("swap"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::INTEGER AS hits FROM documents")
@@ -266,10 +288,9 @@ def html_markdown(spark, d):
     return html.read_html(_t(spark, d, "pages")).select("page_id", "title", F.size("toc").alias("n_toc"), "n_tables", "n_images", "markdown")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+@query(r"SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages")
 def html_titles(spark, d):
-    pages = _t(spark, d, "pages").where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&"))
-    return html.read_html(pages).select("page_id", "title")
+    return html.read_html(_t(spark, d, "pages")).select("page_id", "title")
 
 
 @query(
@@ -345,11 +366,37 @@ def toc_dedup(spark, d):
     return layout.first_of(rows, ["title"], [F.col("page_id")]).select("title", "page_id")
 
 
-@query("SELECT doc_id, md5(text) AS md5 FROM documents WHERE NOT regexp_matches(text, '[*_`|<>#!\\[\\]]')")
+def _unmarked_sql(text: str) -> str:
+    for pattern, new in (
+        (r"!\[[^\]]*\]\([^)]+\)", "[image]"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), ("__(.+?)__", r"\1"),
+        ("_(.+?)_", r"\1"), ("`(.+?)`", r"\1"), (r"(?m)^#{1,6}[\s\p{Z}]+", ""), ("<[^>]+>", ""), (r"(?m)^-{3,}[\s\p{Z}]*$", "---"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+STRIP_SQL = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split({_unmarked_sql("'**x** ' || text")}, e'\\n') AS ls FROM documents)),
+c AS (SELECT *, starts_with({STRIP_SQL.format("line")}, '|') AS bar, list_transform(string_split(regexp_replace({STRIP_SQL.format("line")}, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {STRIP_SQL.format("x")}) AS cells FROM l)
+SELECT doc_id, md5(string_agg(CASE WHEN bar THEN array_to_string(cells, '  |  ') ELSE line END, e'\\n' ORDER BY pos)) AS md5 FROM c
+WHERE NOT bar OR len(list_filter(cells, lambda x: trim(translate(x, '-:', '')) <> '')) > 0 GROUP BY doc_id"""
+)
 def plaintext_strip_markdown(spark, d):
-    text = F.concat(F.lit("**"), F.lit("x"), F.lit("** "), "text")
-    rows = _t(spark, d, "documents").where(~F.col("text").rlike("[*_`|<>#!\\[\\]]"))
-    return rows.select("doc_id", F.md5(F.regexp_replace(T.strip_markdown(text), "^x ", "")).alias("md5"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.strip_markdown(F.concat(F.lit("**x** "), "text"))).alias("md5"))
+
+
+@query(
+    f"""WITH {SECTIONS_SQL}, l AS (SELECT doc_id, sec_no, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, sec_no, string_split({_unmarked_sql("body")}, e'\\n') AS ls FROM s)),
+c AS (SELECT *, starts_with({STRIP_SQL.format("line")}, '|') AS bar, list_transform(string_split(regexp_replace({STRIP_SQL.format("line")}, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {STRIP_SQL.format("x")}) AS cells FROM l),
+t AS (SELECT doc_id, sec_no, 'PART ' || sec_no AS title, coalesce(string_agg(CASE WHEN bar THEN array_to_string(cells, '  |  ') ELSE line END, e'\\n' ORDER BY pos)
+  FILTER (NOT bar OR len(list_filter(cells, lambda x: trim(translate(x, '-:', '')) <> '')) > 0), '') AS body FROM c GROUP BY doc_id, sec_no)
+SELECT doc_id, string_agg(title || e'\\n' || repeat('-', length(title)) || e'\\n' || body || e'\\n', e'\\n' ORDER BY sec_no) AS text FROM t GROUP BY doc_id"""
+)
+def plaintext_documents(spark, d):
+    return builders.plain_text(_sections(spark, d))
 
 
 @query(
@@ -400,11 +447,11 @@ def page_plan(spark, d):
 
 
 def _words(spark, d, shift: float) -> DataFrame:
-    """Words on pages from numbers of lineitem: boxes on a grid, moved by ``shift``."""
+    """Words on pages from all rows of lineitem, numbered within their order: boxes on a grid, moved by ``shift``."""
     x, y = (F.col("l_partkey") % 20) * 30.0 + shift, F.col("l_linenumber") * 20.0 + shift
-    rows = _t(spark, d, "lineitem").where("l_orderkey % 20 = 0").dropDuplicates(["l_orderkey", "l_linenumber"])
-    return rows.select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("l_linenumber").cast("long").alias("word_id"), F.col("l_returnflag").alias("text"),
+    number = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)")
+    return _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), number.cast("long").alias("word_id"), F.col("l_returnflag").alias("text"),
         (F.col("l_discount") * (10 - shift)).alias("conf"), x.alias("l"), y.alias("t"), (x + 25).alias("r"), (y + 12).alias("b"),
     )
 
@@ -419,7 +466,15 @@ def ocr_lines(spark, d):
     return layout.line_confidence(layout.lines_of_words(_words(spark, d, 0.0)))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS block_no, l_partkey % 20 * 30.0 AS x0, l_linenumber * 20.0 AS y0, l_returnflag AS text FROM lineitem),
+w AS (SELECT *, x0 + 12.5 AS cx, max(x0) OVER p + 25 - min(x0) OVER p AS w FROM b WINDOW p AS (PARTITION BY doc_id)),
+g AS (SELECT *, lead(cx) OVER (PARTITION BY doc_id ORDER BY cx, block_no) - cx AS gap FROM w),
+cuts AS (SELECT doc_id, list(cx + gap / 2) AS edges FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap DESC, cx) AS r FROM g WHERE gap > 0.05 * w) WHERE r <= 2 GROUP BY doc_id),
+c AS (SELECT g.*, coalesce(len(list_filter(edges, lambda x: x < cx)), 0)::INTEGER AS c FROM g LEFT JOIN cuts USING (doc_id)),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, c) AS k FROM c), m AS (SELECT *, min(k) OVER (PARTITION BY doc_id) AS least FROM k)
+SELECT doc_id, 1 AS page_no, block_no, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + 25)::DOUBLE AS x1, (y0 + 12)::DOUBLE AS y1, text, CASE WHEN least >= 2 THEN c ELSE 0 END AS col_no FROM m"""
+)
 def block_columns(spark, d):
     w = _words(spark, d, 0.0)
     return layout.columns_of_blocks(w.select("doc_id", "page_no", F.col("word_id").alias("block_no"), F.col("l").alias("x0"), F.col("t").alias("y0"), F.col("r").alias("x1"), F.col("b").alias("y1"), "text"))
@@ -438,8 +493,8 @@ def html_escape(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | structure.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | structure.SQL

@@ -1,5 +1,6 @@
 """Golden inputs for the text operators, readers, builders and the stream, derived by hand from their definitions."""
 
+import random
 import io
 import zipfile
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import chunking, confidence, layout, postprocess, rules, validation
+from leafmill.operators import chunking, confidence, layout, markup, postprocess, rules, tables, validation
 from leafmill.plans import builders
 from leafmill.sources import files, html, office
 from leafmill.streaming import watch
@@ -191,3 +192,84 @@ def test_watch_reads_each_file_once(spark, tmp_path):
     assert got == {".xlsx": (2, 0), ".pdf": (0, 1)}
     with pytest.raises(ValueError):
         watch.guard("/a", "/a/b")
+
+
+def lines_of(spark, text):
+    return spark.createDataFrame([(1, text)], "doc_id int, text string")
+
+
+def test_line_classes_and_runs(spark):
+    text = "\n---\na: b\n```\n---\n# A\n```\n# x\n```\n|a|\n> q\n>\n![i](p)\n***\n<a id=\"page-2\"></a>\n#### B\nend"
+    found = markup.line_classes(lines_of(spark, text))
+    kinds = [r.kind for r in found.orderBy("pos").collect()]
+    assert kinds == ["text", *["frontmatter"] * 4, "heading", *["code_block"] * 3, "table", "blockquote", "blockquote", "image_ref", "hr", "page_marker", "heading3", "text"]
+    runs = [(r.kind, r["first"], r["last"]) for r in markup.runs(found).orderBy("run_no").collect()]
+    assert runs[:4] == [("text", 0, 0), ("frontmatter", 1, 4), ("heading", 5, 5), ("code_block", 6, 8)] and len(runs) == 11
+    assert markup.line_classes(lines_of(spark, None)).count() == 0
+
+
+def test_sections_pages_and_contents(spark):
+    text = "before\n\nTHE O'NEIL WORK\n\nbody\n\nNOT ONE\nmore\n1.2.3 Deep part\n\n1. small\n\n7. Last"
+    got = [(r.heading, r.body) for r in markup.plain_sections(lines_of(spark, text)).orderBy("sec_no").collect()]
+    assert got == [("", "before"), ("## The O'Neil Work", "body\n\nNOT ONE\nmore"), ("#### 1.2.3 Deep part", "1. small"), ("## 7. Last", "")]
+    assert [(r.page_no, r.text) for r in markup.pages_by_rules(lines_of(spark, "a\nb\n---\n-----  \n--\nc")).orderBy("page_no").collect()] == [(1, "a\nb"), (2, ""), (3, "--\nc")]
+    assert [(r.level, r.title) for r in markup.toc_entries(lines_of(spark, "# A \n```\n## B\n```\n#C")).orderBy("ord").collect()] == [(1, "A"), (2, "B")]
+
+
+def test_small_markup(spark):
+    rows = spark.createDataFrame([(1, 1, "a", True, True), (1, 2, "", True, False), (1, 3, "b", False, False), (1, 4, "c", True, False)], "k int, run_no int, text string, bold boolean, italic boolean")
+    assert markup.type_runs(rows, ["k"]).first().text == "***a***b**c**"
+    assert one(spark, markup.quote(F.col("t")), t="a\nb") == "> a\n> b"
+    for label, level in (("heading_level_4", 4), ("heading_level_9", 2), ("subtitle", 2), ("title", 1), ("section_header", 2), ("text", 3)):
+        assert one(spark, markup.element_level(F.col("l")), l=label) == level
+    assert one(spark, markup.clean_glyphs(F.col("t")), t="­b<!--image-->") == "Ab\n\n---\n\n*[image]*"
+
+
+def test_tables(spark):
+    cells = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, "a")], "row int, col int, value string")
+    assert [r.value for r in tables.blank_repeats(cells, ["row"]).orderBy("col").collect()] == ["a", "", None, "a"]
+    assert one(spark, tables.is_blank_row(F.array("a", "b")), a=" ", b=" ") and not one(spark, tables.is_blank_row(F.array("a", "b")), a=" ", b="x")
+    images = spark.createDataFrame([("d", 1, "x"), ("d", 2, "x"), ("d", 3, "y")], "doc string, n int, content string")
+    assert sorted((r.n, r.image_no) for r in tables.numbered_images(images, "doc", ["n"], "content").collect()) == [(1, 1), (3, 3)]
+    tags = spark.createDataFrame([("DWG", "Drawing"), ("NO", "Drawing")], "tag string, label string")
+    rows = spark.createDataFrame([(1, 1, "dwg ", " "), (1, 2, "no", "n7"), (1, 3, "DWG", "d"), (1, 4, "?", "z")], "doc int, n int, tag string, value string")
+    assert [tuple(r) for r in tables.title_block(rows, tags, "doc", ["n"]).collect()] == [(1, "Drawing", "n7")]
+    codes = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, -1), (3, None), (4, 1)], "doc int, code int")
+    assert {r.doc: r.overall for r in tables.chunk_outcome(codes, "doc").collect()} == {1: "High", 2: "Medium", 3: "Failed", 4: "Medium"}
+    for s, want in ((0, "0:00"), (59, "0:59"), (3599, "59:59"), (3661, "1:01:01")):
+        assert one(spark, tables.elapsed(F.col("s")), s=s) == want
+    assert one(spark, tables.remaining(F.col("s"), F.lit(0.25)), s=60) == "3:00" and one(spark, tables.remaining(F.col("s"), F.lit(0.01)), s=60) is None
+    for name, media, want in (("a/b.jpeg", "", "jpg"), ("b.PNG", "", "PNG"), (".gif", "image/webp", "webp"), ("x", "?", "png")):
+        assert one(spark, tables.media_extension(F.col("n"), F.col("m")), n=name, m=media) == want
+    words = spark.createDataFrame([("a", 2.0), ("b", float("nan")), ("c", -1.0), (" ", 0.5), ("d", 0.5)], "text string, conf double")
+    assert [(r.text, r.conf) for r in tables.usable_words(words).orderBy("text").collect()] == [("a", 0.5), ("b", 0.5), ("d", 0.5)]
+
+
+def test_merge_words_equals_a_greedy_choice(spark):
+    rng = random.Random(4)
+
+    def some(base):
+        out = []
+        for i in range(150):
+            x, y = rng.randrange(0, 300), rng.randrange(0, 300)
+            out.append((rng.randrange(2), 1, base + i, f"w{base + i}", rng.randrange(10) / 10, float(x), float(y), float(x + rng.randrange(20, 60)), float(y + rng.randrange(20, 60))))
+        return out
+
+    a, b = some(0), some(1000)
+    gone, used = set(), set()
+    for p in sorted(a):
+        best = None
+        for q in b:
+            w, h = min(p[7], q[7]) - max(p[5], q[5]), min(p[8], q[8]) - max(p[6], q[6])
+            if p[0] != q[0] or w <= 0 or h <= 0 or (q[0], q[2]) in used:
+                continue
+            share = w * h / ((p[7] - p[5]) * (p[8] - p[6]) + (q[7] - q[5]) * (q[8] - q[6]) - w * h)
+            if share >= 0.3 and (best is None or (-share, q[2]) < best[0]):
+                best = ((-share, q[2]), q)
+        if best:
+            q = best[1]
+            used.add((q[0], q[2]))
+            gone.add(p[2] if q[4] > p[4] else q[2])
+    assert used
+    got = {r.word_id for r in layout.merge_words(spark.createDataFrame(a, WORDS), spark.createDataFrame(b, WORDS), cell=64.0).collect()}
+    assert got == {r[2] for r in a + b} - gone
