@@ -1,7 +1,8 @@
 """Golden inputs for the text operators, readers, builders and the stream, derived by hand from their definitions."""
 
-import random
 import io
+import json
+import random
 import zipfile
 
 import pytest
@@ -273,3 +274,25 @@ def test_merge_words_equals_a_greedy_choice(spark):
     assert used
     got = {r.word_id for r in layout.merge_words(spark.createDataFrame(a, WORDS), spark.createDataFrame(b, WORDS), cell=64.0).collect()}
     assert got == {r[2] for r in a + b} - gone
+
+
+def test_chunk_and_json_records(spark):
+    s = spark.createDataFrame([("d", 0, "## A", " ".join(f"w{i}" for i in range(600)), 3), ("d", 1, "", "last words", None), ("d", 2, "## C", " ", 4)], "doc_id string, sec_no int, heading string, body string, page_number int")
+    rows = [json.loads(r.json) for r in builders.chunk_records(s, F.col("doc_id"), F.lit("d.pdf")).orderBy("chunk_index").collect()]
+    assert [(r["id"], len(r["text"].split()), r["metadata"]) for r in rows] == [
+        ("d_chunk_0000", 512, {"source": "d.pdf", "chunk_index": 0, "total_chunks": 4, "page": 3, "heading": "A"}),
+        ("d_chunk_0001", 138, {"source": "d.pdf", "chunk_index": 1, "total_chunks": 4, "page": 3, "heading": "A"}),
+        # After a long last paragraph the words carried on are a chunk of their own.
+        ("d_chunk_0002", 50, {"source": "d.pdf", "chunk_index": 2, "total_chunks": 4, "page": 3, "heading": "A"}),
+        ("d_chunk_0003", 2, {"source": "d.pdf", "chunk_index": 3, "total_chunks": 4}),
+    ]
+    docs = spark.createDataFrame([("d", "d.pdf", None), ("e", "e.pdf", "x")], "doc_id string, source_file string, engine string")
+    got = {r.doc_id: json.loads(r.json) for r in builders.json_documents(s.where("sec_no > 0"), docs, "now").collect()}
+    assert got["d"]["document"] == {"source_file": "d.pdf", "converted_at": "now", "engine": "unknown", "format_version": "1.0"}
+    assert got["d"]["sections"][0] == {"body": "last words"} and got["d"]["sections"][1]["page"] == 4
+    assert got["e"]["sections"] == []
+
+
+def test_whole_clean_up(spark):
+    got = text_of(postprocess.run_pipeline(pages(spark, *[f"Head\nthe body of page {c} has α here\nFoot" for c in "abc"], "Head\n \nFoot")))
+    assert got == [f"the body of page {c} has $α$ here" for c in "abc"]
