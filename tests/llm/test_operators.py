@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -357,6 +358,21 @@ def test_toxicity_restores_and_scores(spark):
     assert toxicity.fit(table, spark.createDataFrame([], "doc_id long, toxic int")).coef[0] == -8
 
 
+def restorer():
+    """A decoder whose characters come from a few words, without evidence."""
+    text = ("you are an idiot and a moron , scum or loser , it is what they said in the end of it all . " * 50).split()
+    random.Random(13).shuffle(text)
+    return toxicity.Restorer(toxicity.Model(toxicity.char_model(toxicity.char_counts(pa.array([" ".join(text)])))))
+
+
+def test_toxicity_decodes_tokens_of_any_length_and_signs():
+    r = restorer()
+    for written, word in (("l" + "o" * 60 + "ser", "loser"), ("s...c...u...m", "scum"), ("i***d***i***o***t", "idiot"), ("1d107", "idiot"), ("$(um", "scum")):
+        assert r.restore(written) == word
+    for number in ("2019", "$100", "3.5%", "10,000", "12:30", "---", "|", "!!!"):
+        assert r.restore(number) == toxicity.EDGE.sub("", number)
+
+
 def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
 
