@@ -359,10 +359,11 @@ def test_toxicity_restores_and_scores(spark):
 
 
 def restorer():
-    """A decoder whose characters come from a few words, without evidence."""
+    """A decoder whose characters and words come from a few words."""
     text = ("you are an idiot and a moron , scum or loser , it is what they said in the end of it all . " * 50).split()
     random.Random(13).shuffle(text)
-    return toxicity.Restorer(toxicity.Model(toxicity.char_model(toxicity.char_counts(pa.array([" ".join(text)])))))
+    logp = toxicity.char_model(toxicity.char_counts(pa.array([" ".join(text)])))
+    return toxicity.Restorer(toxicity.Model(logp, {"=idiot": 9.0, "mor": 8.0}, gain=toxicity.gains(Counter(text), logp)))
 
 
 def test_toxicity_decodes_tokens_of_any_length_and_signs():
@@ -373,6 +374,22 @@ def test_toxicity_decodes_tokens_of_any_length_and_signs():
         assert r.restore(number) == toxicity.EDGE.sub("", number)
 
 
+def test_toxicity_segments_runs_of_short_tokens():
+    r = restorer()
+    for written, words in (
+        ("you are a i d i o t", "you are a idiot"),
+        ("y o u i d i o t", "you idiot"),
+        ("an id io t, and a mo ron", "an idiot and a moron"),
+        ("i d 1 0 t s c u m", "idiot scum"),
+        ("iidiot", "idiot"),
+        ("it is all in the end of it", "it is all in the end of it"),
+    ):
+        assert r.restored(written) == words
+        hits = {w for w in words.split() if r.weight(w)}
+        assert (r.features(written)[0] > 0) == bool(hits)
+    assert len(r.restored("a b " * 20_000)) > 20_000
+
+
 def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
 
