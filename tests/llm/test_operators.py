@@ -278,6 +278,14 @@ def test_url_rules_and_propagation(spark):
     ]
 
 
+def test_url_distrust_has_no_fixed_bound(spark):
+    rows = [(i, f"http://h{i}.net/fr/", "") for i in range(1000)]
+    rows += [(1000 + i, f"http://fan{i}.org/", '<a href="http://h0.net/">x</a>' * (200_000 if not i else 1)) for i in range(3)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("rule IS NULL").collect()}
+    assert 0 < got[1001].distrust < 1e-9
+    assert [got[1000 + i].verdict for i in range(3)] == ["block"] * 3
+
+
 def test_page_rank_matches_power_iteration(spark):
     rng = random.Random(9)
     edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): 1.0 + rng.randrange(3) for _ in range(40)}
