@@ -10,6 +10,8 @@ ordered by a hash of their own: a global shuffle with one exchange.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from leafmill.llm.common import durable
 TAIL = (12.0, 24.0)
 #: Sources up to which their rates are broadcast.
 BROADCAST_ROWS = 50_000
+#: Rate from which the distribution is summed from its lower tail on, as exp(-rate) loses digits from 708 on.
+LARGE = 700
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -48,21 +52,22 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     """The smallest k with P(X <= k) > u for X of that mean: the inverted distribution.
 
     The sum runs over an array of terms, each the one before it times rate / k.
-    Rates over 500 would lose the first term to underflow; they are split into
-    a whole part of exact copies and a remainder of at most 500.
+    It starts at 0, or for rates over ``LARGE`` at the lower end of ``TAIL``, whose
+    term comes from Stirling's series.
     """
-    whole = F.greatest(F.floor(rate) - 500, F.lit(0))
-    lam = rate - whole
-    last = F.ceil(lam + F.lit(TAIL[0]) * F.sqrt(lam) + F.lit(TAIL[1])).cast("int")
-    start = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("k"))
+    reach = F.lit(TAIL[0]) * F.sqrt(rate) + F.lit(TAIL[1])
+    low = F.when(rate > LARGE, F.floor(rate - reach)).otherwise(F.lit(0)).cast("long")
+    k = F.greatest(low, F.lit(1)).cast("double")
+    stirling = F.exp(k - rate + k * F.log(rate / k) - F.log(F.lit(2 * math.pi) * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k))
+    term = F.when(rate > LARGE, stirling).otherwise(F.exp(-rate))
     found = F.aggregate(
-        F.sequence(F.lit(1), last),
-        start,
+        F.sequence(low + 1, F.ceil(rate + reach).cast("long")),
+        F.struct(term.alias("p"), term.alias("c"), low.alias("k")),
         lambda s, k: F.when(s["c"] > u, s).otherwise(
-            F.struct((s["p"] * lam / k).alias("p"), (s["c"] + s["p"] * lam / k).alias("c"), k.alias("k"))
+            F.struct((s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"), k.alias("k"))
         ),
     )
-    return (found["k"] + whole).cast("int")
+    return found["k"].cast("int")
 
 
 def mix(

@@ -322,6 +322,16 @@ def test_mixing_rates_and_draws(spark):
         assert spark.range(1).select(mixing.poisson_quantile(F.lit(lam), F.lit(u)).alias("k")).first().k == k
 
 
+def test_mixing_draws_large_rates_from_the_whole_distribution(spark):
+    def quantile(lam, u):
+        terms = [math.exp(k * math.log(lam) - lam - math.lgamma(k + 1)) for k in range(int(lam * 2) + 100)]
+        return next(k for k, c in enumerate(itertools.accumulate(terms)) if c > u)
+
+    cases = [(lam, u) for lam in (400.0, 501.0, 699.5, 700.5, 800.0, 10_000.0) for u in (1e-9, 0.01, 0.5, 0.99, 1 - 1e-6)]
+    got = spark.createDataFrame(cases, "lam double, u double").select("lam", "u", mixing.poisson_quantile(F.col("lam"), F.col("u")).alias("k")).collect()
+    assert {(r.lam, r.u): r.k for r in got} == {c: quantile(*c) for c in cases}
+
+
 def test_importance_prefers_the_target(spark):
     rng = random.Random(10)
     good = [prose(rng, 80) for _ in range(120)]
