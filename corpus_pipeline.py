@@ -9,8 +9,8 @@ from leafmill.llm import bpe, minhash, mixing, repeats, toxicity
 from leafmill.llm.common import durable, table
 
 #: Score from which a document is rejected, similarity of near-duplicates, and bytes of a repeated passage
-#: (about 40 words, so that any passage of over 50 words holds one).
-TOXIC, SIMILAR, PASSAGE = 0.3, 0.8, 240
+#: (about 40 words); passages of over 50 words are cut too where their words are so short that they have fewer bytes.
+TOXIC, SIMILAR, PASSAGE, WORDS = 0.3, 0.8, 240, 51
 
 #: SQL can express neither the classifier nor the classes; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that start anywhere else too."""
-    out = repeats.remove(docs, PASSAGE)
+    out = repeats.remove(docs, PASSAGE, words=WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import durable, row_key, tidy
-from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash
+from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash, tokens
 
 #: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and distinct
 #: units up to which a bucket is sorted in one task; a larger one is split by whole windows.
 GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 256
 
+#: Bytes in another order, for a second hash.
+OTHER = np.random.default_rng(7).permutation(256).astype(np.uint8)
+
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest of x[i], ..., x[i + width - 1] for every i at which they exist."""
@@ -76,6 +79,33 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tupl
     return rows, s - offsets[rows], n, key.view("i8"), whole.view("i8")
 
 
+def plain_spaces(buf: np.ndarray) -> np.ndarray:
+    """The bytes, white space of more than one byte and separators as spaces."""
+    out = buf.copy()
+    out[(buf >= 0x1C) & (buf <= 0x1F)] = 32
+    at = np.flatnonzero((buf[:-1] == 0xC2) & ((buf[1:] == 0x85) | (buf[1:] == 0xA0)))
+    out[at] = out[at + 1] = 32
+    at = np.flatnonzero((buf[:-2] >= 0xE1) & (buf[:-2] <= 0xE3))
+    code = (buf[at].astype("i4") << 16) | (buf[at + 1].astype("i4") << 8) | buf[at + 2]
+    wide = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+    at = at[np.isin(code, wide)]
+    out[at] = out[at + 1] = out[at + 2] = 32
+    return out
+
+
+def short_windows(buf: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, hash, another) of every run of ``words`` words that has under ``length`` bytes."""
+    starts, ends, counts = tokens(plain_spaces(buf), offsets)
+    i = np.arange(max(0, len(starts) - words + 1))
+    rows = np.repeat(np.arange(len(counts)), counts)
+    i = i[(rows[i] == rows[i + words - 1]) & (ends[i + words - 1] - starts[i] < length)]
+    a, b, rows = starts[i], ends[i + words - 1], rows[i]
+    if not len(i):
+        return rows, a, b, a, a
+    one, two = (span_hash(prefix_hash(x), a, b).view("i8") for x in (buf, OTHER[buf]))
+    return rows, a - offsets[rows], b - offsets[rows], one, two
+
+
 def blind_trie(keys: list[bytes]) -> list[int]:
     """For each key the index of the first key equal to it.
 
@@ -155,12 +185,14 @@ def repeated_windows(buf: np.ndarray, bucket: np.ndarray, at: np.ndarray, length
 
 
 def spans(
-    docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (rid, id, t), spans (rid, spans) with the byte ranges [a, b) to remove.
 
     ``rid`` is a hash of key and text, so equal rows share their spans (each is
-    the other's repeat).  Rows of text shorter than ``length`` have none.
+    the other's repeat).  Rows of text shorter than ``length`` have none.  With
+    ``words``, strings of that many words that are shorter than ``length`` are
+    repeats too; each is one window, and two hashes of 64 bits tell them apart.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -278,6 +310,19 @@ def spans(
     single = durable(texts.where(F.exists("us", lambda u: u["hot"])).mapInArrow(tidy(windows), "k long, w long, rid long, a long, open boolean"), "windows")
     twice = durable(single.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "twice")
     hot = single.where("open").join(twice, ["k", "w"]).select("rid", "a", (F.col("a") + length).alias("b"))
+    if words:
+
+        def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                buf, offsets = buffers(b.column("t"))
+                rid = b.column("rid").to_numpy()
+                for i, j in slices(offsets, PART):
+                    rows, a, z, k, w = short_windows(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(rid[i:j][rows]), pa.array(a), pa.array(z)], names=["k", "w", "rid", "a", "b"])
+
+        lines = durable(given.where(F.octet_length("t") >= 2 * words - 1).select("rid", "t").mapInArrow(tidy(brief), "k long, w long, rid long, a long, b long"), "lines")
+        more = durable(lines.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "more")
+        hot = hot.unionByName(lines.join(more, ["k", "w"]).select("rid", "a", "b"))
     every = settled.unionByName(again).unionByName(edges).unionByName(hot)
     return given, every.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -334,12 +379,12 @@ def digests(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: st
     )
 
 
-def remove(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeats cut out of ``text``; a character that loses some of its bytes goes.
 
-    Null texts stay null, and all columns and rows stay.
+    Strings of ``words`` words (0: none) are cut too where they are shorter.  Null texts stay null, and all columns and rows stay.
     """
-    _, found = spans(docs, length, key=key, text=text)
+    _, found = spans(docs, length, words=words, key=key, text=text)
     names = docs.columns
     joined = docs.withColumn("_rid", row_key(F.col(key), F.col(text))).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left")
     inner = joined.select(*names, F.col(text).alias("t"), "spans")

@@ -79,6 +79,20 @@ def test_repeats_of_repeated_rows_and_empty_tables(spark):
     assert [r.text for r in repeats.remove(documents(spark, [long, long, "x"], [1, 2, 3]), 400).orderBy("doc_id").collect()] == ["", "", "x"]
 
 
+def test_pipeline_cuts_long_passages_of_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    passage = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    wide = "\u3000".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51))
+    short = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50))
+    own = [prose(rng, 60) for _ in range(6)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]} {passage}", f"{wide} {own[3]}", f"{own[4]} {wide}", f"Q {short} {own[5]}", f"{short} X", None, ""]
+    got = [r.text for r in corpus_pipeline.cut_repeats(spark, documents(spark, texts), "").orderBy("doc_id").collect()]
+    assert len(passage) < corpus_pipeline.PASSAGE
+    assert got == [f"{own[0]}  {own[1]}", f"{own[2]} ", f" {own[3]}", f"{own[4]} ", *texts[4:]]
+
+
 def test_blind_trie():
     rng = random.Random(2)
     for _ in range(200):
