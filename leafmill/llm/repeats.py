@@ -5,13 +5,16 @@ else.  Starts of such strings (windows) are dealt to buckets by content: the
 smallest hash of a short gram in the first part of the window is its anchor, and
 the bytes from the anchor on that all windows of the anchor share are the
 bucket's key.  Equal windows have equal anchors and keys, so each bucket can be
-sorted on its own: a multikey quicksort on eight bytes at a time down to a
-shallow depth, then a blind trie for each group that is still tied.  Windows
-that end next to an equal one are repeats.
-
-Consecutive windows of one anchor travel together as a unit.  A unit that occurs
-twice as a whole is settled by its hash before anything is sorted; a bucket of
-one unit is dropped.  What is left are the units at the edges of repeats.
+sorted on its own; keys only deal, and sorting alone tells what is equal.
+
+Consecutive windows of one anchor travel together as a unit, and a unit that has
+its bucket to itself isn't sent at all.  A bucket is sorted by its units first (a
+multikey quicksort on eight bytes at a time down to a shallow depth, then a blind
+trie for each group that is still tied), then by the windows of the units that
+are left.  The same sort runs inside the tasks that cut the units out of the
+texts, so that copies which meet there are sent on once.  A bucket that is too
+large for a task is dealt again by a longer key, at last by whole windows; one
+whose windows are all equal is sorted in parts, and one unit of each part again.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable, row_key, tidy
+from leafmill.llm.common import durable, forget, tidy
 from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash, tokens
 
-#: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and distinct
-#: units up to which a bucket is sorted in one task; a larger one is split by whole windows.
-GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 256
+#: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and units up to which a bucket is sorted in one task.
+GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 20_000
+#: Bits of a place in a text beside the hash of its gram.
+PLACE = np.uint64(32)
 
-#: Bytes in another order, for a second hash.
-OTHER = np.random.default_rng(7).permutation(256).astype(np.uint8)
+UNIT = "k long, rid binary, a long, b long"
+PIECE = "k long, salt int, rid binary, a long, b long, x binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -47,36 +51,38 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
-    """(row, start, number of windows, bucket key, hash of the whole unit) of the units of texts.
+def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, start, end, bucket key) of the units of texts.
 
-    ``reach`` is the number of places an anchor may have in a window.
+    ``reach`` is the number of places an anchor may have in a window, ``only``
+    tells of each byte whether a window may start there.
     """
     none = np.zeros(0, "i8")
     if len(buf) < length:
-        return none, none, none, none, none
+        return none, none, none, none
     prefix = prefix_hash(buf)
     at = np.arange(len(buf) - GRAM + 1)
-    bits = np.uint64(max(24, int(len(buf)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = (np.uint64(1) << PLACE) - np.uint64(1)
     packed = (span_hash(prefix, at, at + GRAM) & ~low) | at.astype("u8")
     anchor = (sliding_min(packed, reach) & low).astype("i8")
     sizes = np.diff(offsets)
     counts = np.maximum(sizes - length + 1, 0)
     rows = np.repeat(np.arange(len(sizes)), counts)
     starts = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
+    if only is not None:
+        rows, starts = rows[only[starts]], starts[only[starts]]
     if not len(rows):
-        return none, none, none, none, none
+        return none, none, none, none
     a = anchor[starts]
     new = np.ones(len(rows), bool)
-    new[1:] = (a[1:] != a[:-1]) | (rows[1:] != rows[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(rows)))
     a, s, rows = a[first], starts[first], rows[first]
-    key = span_hash(prefix, a, a + length - reach + 1)
     with np.errstate(over="ignore"):
-        whole = mix(span_hash(prefix, s, s + n - 1 + length) + (a - s).astype("u8"))
-    return rows, s - offsets[rows], n, key.view("i8"), whole.view("i8")
+        key = mix(span_hash(prefix, a, a + length - reach + 1) + np.uint64(reach))
+    s = s - offsets[rows]
+    return rows, s, s + n - 1 + length, key.view("i8")
 
 
 def plain_spaces(buf: np.ndarray) -> np.ndarray:
@@ -94,16 +100,15 @@ def plain_spaces(buf: np.ndarray) -> np.ndarray:
 
 
 def short_windows(buf: np.ndarray, offsets: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, hash, another) of every run of ``words`` words that has under ``length`` bytes."""
+    """(row, start, end, bucket key) of every run of ``words`` words that has under ``length`` bytes: a unit of its own."""
     starts, ends, counts = tokens(plain_spaces(buf), offsets)
     i = np.arange(max(0, len(starts) - words + 1))
     rows = np.repeat(np.arange(len(counts)), counts)
     i = i[(rows[i] == rows[i + words - 1]) & (ends[i + words - 1] - starts[i] < length)]
     a, b, rows = starts[i], ends[i + words - 1], rows[i]
     if not len(i):
-        return rows, a, b, a, a
-    one, two = (span_hash(prefix_hash(x), a, b).view("i8") for x in (buf, OTHER[buf]))
-    return rows, a - offsets[rows], b - offsets[rows], one, two
+        return rows, a, b, a
+    return rows, a - offsets[rows], b - offsets[rows], span_hash(prefix_hash(buf), a, b).view("i8")
 
 
 def blind_trie(keys: list[bytes]) -> list[int]:
@@ -146,185 +151,225 @@ def blind_trie(keys: list[bytes]) -> list[int]:
     return first
 
 
-def repeated_windows(buf: np.ndarray, bucket: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Whether each window buf[at : at + length] has an equal one in its bucket, by deep-shallow sorting."""
-    found = np.zeros(len(at), bool)
+def first_equal(buf: np.ndarray, group: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string buf[at : at + size] the first of its group that equals it, by deep-shallow sorting.
+
+    Strings of one group have one size, of ``8 * SHALLOW`` bytes at least or less than that for all of them.
+    """
+    found = np.arange(len(at))
     if not len(at):
         return found
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
-    index, group = np.arange(len(at)), bucket
-    depth = 0
-    for depth in range(0, min(SHALLOW, length // 8)):
+    eight = np.lib.stride_tricks.sliding_window_view(buf, 8) if len(buf) >= 8 else np.zeros((0, 8), np.uint8)
+    index, done = np.arange(len(at)), 0
+    for depth in range(0, min(SHALLOW, int(size.min()) // 8)):
         word = np.ascontiguousarray(eight[at[index] + 8 * depth]).view(">u8")[:, 0].astype("u8")
         order = np.lexsort((word, group))
         index, group, word = index[order], group[order], word[order]
         new = np.ones(len(index), bool)
         new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
         group = np.cumsum(new)
-        size = np.bincount(group)
-        tied = size[group] > 1
+        tied = np.bincount(group)[group] > 1
         index, group = index[tied], group[tied]
+        done = 8 * (depth + 1)
         if not len(index):
             return found
-    done = 8 * (depth + 1)
+    if not done:
+        order = np.argsort(group, kind="stable")
+        index, group = index[order], group[order]
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     raw = buf.tobytes()
-    places = at[index].tolist()
+    places, sizes = at[index].tolist(), size[index].tolist()
     ends = [*edges[1:].tolist(), len(index)]
+    same: list[int] = []
     for a, b in zip(edges.tolist(), ends, strict=True):
+        length = sizes[a]
         if b - a == 2:
             p, q = places[a], places[a + 1]
-            if raw[p + done : p + length] == raw[q + done : q + length]:
-                found[index[a]] = found[index[a + 1]] = True
-            continue
-        first = blind_trie([raw[p + done : p + length] for p in places[a:b]])
-        for k, f in enumerate(first):
-            if f != k:
-                found[index[a + k]] = found[index[a + f]] = True
+            same += (a, a if raw[p + done : p + length] == raw[q + done : q + length] else a + 1)
+        elif b - a == 1:
+            same.append(a)
+        else:
+            same += [a + f for f in blind_trie([raw[p + done : p + length] for p in places[a:b]])]
+    found[index] = index[np.array(same)]
     return found
 
 
+def settle(t: pa.Table, length: int, keep: int | None) -> Iterator[pa.RecordBatch]:
+    """Sorts the buckets of units (``PIECE``): spans found (x null), and units of a salt from ``keep`` on that later ones may still equal.
+
+    Of equal units one is kept, and none all of whose windows other units have.
+    Units of under ``length`` bytes are one window each.
+    """
+    buf, offsets = buffers(t.column("x"))
+    at, size = offsets[:-1], np.diff(offsets)
+    k, a, b = (t.column(c).to_numpy() for c in ("k", "a", "b"))
+    bucket = np.unique(k, return_inverse=True)[1]
+    first = np.arange(len(at))
+    for part in (np.flatnonzero(size >= 8 * SHALLOW), np.flatnonzero(size < 8 * SHALLOW)):
+        if len(part):
+            group = np.unique(bucket[part] * (int(size.max()) + 1) + size[part], return_inverse=True)[1]
+            first[part] = part[first_equal(buf, group, at[part], size[part])]
+    again = first != np.arange(len(first))
+    whole = again.copy()
+    whole[first[again]] = True
+    alone = np.flatnonzero(~again & (size >= length))
+    n = size[alone] - length + 1
+    piece = np.repeat(alone, n)
+    local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    lone = np.bincount(bucket[alone], minlength=len(bucket))[bucket[piece]] < 2
+    piece, local = piece[~lone], local[~lone]
+    other = first_equal(buf, bucket[piece], at[piece] + local, np.full(len(piece), length))
+    seen = other != np.arange(len(other))
+    dup = seen.copy()
+    dup[other[seen]] = True
+    dup &= ~whole[piece]
+    w = np.flatnonzero(dup)
+    new = np.ones(len(w), bool)
+    new[1:] = (np.diff(w) != 1) | (np.diff(piece[w]) != 0)
+    head = w[new]
+    tail = w[np.append(new[1:], True)] if len(w) else w
+    of = np.concatenate([np.flatnonzero(whole), piece[head]])
+    starts = np.concatenate([a[whole], a[piece[head]] + local[head]])
+    ends = np.concatenate([b[whole], a[piece[tail]] + local[tail] + length])
+    rid = t.column("rid").combine_chunks() if isinstance(t.column("rid"), pa.ChunkedArray) else t.column("rid")
+    spread = pa.array(mix(np.arange(len(of), dtype="u8") + k[:1].view("u8")).view("i8") if len(of) else np.zeros(0, "i8"))
+    if len(of):
+        yield pa.RecordBatch.from_arrays(
+            [spread, pa.array(np.full(len(of), -1, "i4")), rid.take(pa.array(of)), pa.array(starts), pa.array(ends), pa.nulls(len(of), pa.binary())],
+            names=["k", "salt", "rid", "a", "b", "x"],
+        )
+    if keep is not None:
+        left = ~again & (t.column("salt").to_numpy() >= keep)
+        fresh = np.zeros(len(at), bool)
+        fresh[piece[~seen]] = True
+        left[np.setdiff1d(piece, np.flatnonzero(fresh))] = False
+        yield from t.filter(pa.array(left)).combine_chunks().to_batches()
+
+
+def row_id(key: Column, text: Column) -> Column:
+    """128 bits of a row's key and text; equal rows have equal ones."""
+    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
 def spans(
-    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (rid, id, t), spans (rid, spans) with the byte ranges [a, b) to remove.
 
     ``rid`` is a hash of key and text, so equal rows share their spans (each is
     the other's repeat).  Rows of text shorter than ``length`` have none.  With
     ``words``, strings of that many words that are shorter than ``length`` are
-    repeats too; each is one window, and two hashes of 64 bits tell them apart.
+    repeats too.  Buckets of over ``bucket`` units are dealt again by longer keys.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    reach = min(max(1, length * 2 // 5), length - GRAM)
-    given = docs.select(row_key(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offsets = buffers(b.column("t"))
-            rid = b.column("rid").to_numpy()
-            for i, j in slices(offsets, PART):
-                rows, s, n, k, h = units(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, reach)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(h), pa.array(rid[i:j][rows]), pa.array(s), pa.array(n.astype("i4"))], names=["k", "h", "rid", "s", "n"]
-                )
-
-    all_units = durable(given.where(F.octet_length("t") >= length).select("rid", "t").mapInArrow(tidy(deal), "k long, h long, rid long, s long, n int"), "units")
-    shared = all_units.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("low"), F.max("h").alias("high")).where("c > 1")
-    # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
-    shared = durable(shared.select("k", (F.col("low") != F.col("high")).alias("mixed")), "shared")
-    in_bucket = durable(all_units.join(shared, "k"), "buckets")
-    settled = in_bucket.where("NOT mixed").select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
-    mixed = in_bucket.where("mixed").select("k", "h", "rid", "s", "n")
-    copies = durable(mixed.groupBy("k", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "s", "n")).alias("one")), "copies")
-    more = durable(copies.where("c > 1").select("k", "h"), "again")
-    again = mixed.join(more, ["k", "h"]).select("rid", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
-    wide = durable(copies.groupBy("k").agg(F.count(F.lit(1)).alias("units")), "wide")
-    todo = copies.join(wide, "k").select("one.rid", F.struct("k", "one.s", "one.n", (F.col("c") == 1).alias("open"), (F.col("units") > BUCKET).alias("hot")).alias("u"))
-    # Collected lists are of one document each, at most as many as it has units.
-    asked = durable(todo.groupBy("rid").agg(F.collect_list("u").alias("us")), "asked")
-    texts = given.join(asked, "rid").select("rid", "id", "t", "us")
-
-    def lists(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:
-        buf, offsets = buffers(b.column("t"))
-        us = b.column("us")
-        edge, inner = us.offsets.to_numpy(), us.values
-        f = {c: inner.field(c).to_numpy(zero_copy_only=False) for c in ("k", "s", "n", "open", "hot")}
-        rid = b.column("rid").to_numpy()
-        seen: set[int] = set()
-        for r in range(b.num_rows):
-            if int(rid[r]) in seen:  # an equal row
-                continue
-            seen.add(int(rid[r]))
-            yield int(rid[r]), buf[offsets[r] : offsets[r + 1]], {c: v[edge[r] : edge[r + 1]] for c, v in f.items()}
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for rid, t, f in lists(b):
-                out += [
-                    (k, rid, s, n, o, t[s : s + n - 1 + length].tobytes())
-                    for k, s, n, o, h in zip(f["k"].tolist(), f["s"].tolist(), f["n"].tolist(), f["open"].tolist(), f["hot"].tolist(), strict=True)
-                    if not h
-                ]
-            if out:
-                k, rid, s, n, o, x = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int64()), pa.array(rid, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.bool_()), pa.array(x, pa.binary())],
-                    names=["k", "rid", "s", "n", "open", "x"],
-                )
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rid, t, f in lists(b):
-                hot = f["hot"]
-                if not hot.any():
-                    continue
-                s, n = f["s"][hot], f["n"][hot].astype("i8")
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
-                # Two hashes, one of the bucket: 128 bits tell windows apart.
-                h = span_hash(prefix_hash(t), at, at + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(f["k"][hot], n)), pa.array(h.view("i8")), pa.array(np.full(len(at), rid)), pa.array(at), pa.array(np.repeat(f["open"][hot], n))],
-                    names=["k", "w", "rid", "a", "open"],
-                )
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            buf, offsets = buffers(t.column("x"))
-            if not len(buf):
-                return
-            k, n = t.column("k").to_numpy(), t.column("n").to_numpy().astype("i8")
-            piece = np.repeat(np.arange(len(n)), n)
-            local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            dup = repeated_windows(buf, np.unique(k, return_inverse=True)[1][piece], offsets[:-1][piece] + local, length)
-            dup &= t.column("open").to_numpy()[piece]
-            at = np.flatnonzero(dup)
-            if len(at):
-                new = np.append(True, (np.diff(at) != 1) | (np.diff(piece[at]) != 0))
-                start = at[new]
-                end = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1])
-                rid, s = t.column("rid").to_numpy(), t.column("s").to_numpy()
+    reach = min(max(1, length * 3 // 4), length - GRAM)
+    given = docs.select(row_id(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def deal(reach: int, brief: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buf, offsets = buffers(batch.column("t"))
+                only = None
+                if "hot" in batch.schema.names:
+                    edge, inner = batch.column("hot").offsets.to_numpy(), batch.column("hot").values
+                    doc = np.repeat(offsets[:-1], np.diff(edge))
+                    a, b = (inner.field(c).to_numpy()[edge[0] : edge[-1]] + doc for c in ("a", "b"))
+                    only = np.zeros(len(buf) + 1, "i4")
+                    np.add.at(only, a, 1)
+                    np.add.at(only, b - length + 1, -1)
+                    only = np.cumsum(only)[:-1] > 0
+                for i, j in slices(offsets, PART):
+                    lo, hi = offsets[i], offsets[j]
+                    found = [units(buf[lo:hi], offsets[i : j + 1] - lo, length, reach, None if only is None else only[lo:hi])]
+                    if brief:
+                        found.append(short_windows(buf[lo:hi], offsets[i : j + 1] - lo, words, length))
+                    for rows, a, b, k in found:
+                        if len(rows):
+                            rid = batch.column("rid").take(pa.array(rows + i))
+                            yield pa.RecordBatch.from_arrays([pa.array(k), rid, pa.array(a), pa.array(b)], names=["k", "rid", "a", "b"])
+
+        return tidy(run)
+
+    least = min(length, 2 * words - 1) if words else length
+    todo, salted, used = None, False, []
+    source = given.where(F.octet_length("t") >= least).select("rid", "t")
+    for step in (reach, max(1, reach // 10), 1):
+        dealt = durable(source.mapInArrow(deal(step, bool(words) and step == reach), UNIT), "units")
+        # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
+        shared = durable(dealt.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+        mine = durable(dealt.join(shared, "k"), "buckets")
+        forget(dealt)
+        is_hot = F.col("c") > bucket
+        again = is_hot & (F.col("b") - F.col("a") >= length) if step > 1 else F.lit(False)
+        salt = F.when(is_hot, F.pmod(F.xxhash64("rid", "a"), F.ceil(F.col("c") / bucket)).cast("int")).otherwise(F.lit(-1))
+        new = mine.where(~again).select("rid", "k", salt.alias("salt"), "a", "b")
+        todo = new if todo is None else todo.unionByName(new)
+        used += [shared, mine]
+        if shared.where(is_hot).isEmpty():
+            break
+        salted = salted or not mine.where(~again & is_hot).isEmpty()
+        if mine.where(again).isEmpty():
+            break
+        # Lists are of one document each, at most as many as it has units.
+        ranges = durable(mine.where(again).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("hot")), "ranges")
+        used.append(ranges)
+        source = given.join(ranges, "rid").select("rid", "t", "hot")
+    asked = durable(todo.groupBy("rid").agg(F.collect_set(F.struct("k", "salt", "a", "b")).alias("us")), "asked")
+    texts = given.join(asked, "rid").select("rid", "t", "us")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = buffers(batch.column("t"))
+            edge, inner = batch.column("us").offsets.to_numpy(), batch.column("us").values
+            count = np.diff(edge)
+            row = np.repeat(np.arange(batch.num_rows), count)
+            k, salt, a, b = (inner.field(c).to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] for c in ("k", "salt", "a", "b"))
+            ends = np.cumsum(b - a)
+            for i, j in slices(np.append(0, ends), PART):
+                n = (b - a)[i:j]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((a + offsets[row])[i:j], n)
+                x = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype("i4")), pa.py_buffer(np.ascontiguousarray(buf[place]))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[piece[start]]), pa.array(s[piece[start]] + local[start]), pa.array(s[piece[start]] + local[end] + length)], names=["rid", "a", "b"]
+                    [pa.array(k[i:j]), pa.array(salt[i:j].astype("i4")), batch.column("rid").take(pa.array(row[i:j])), pa.array(a[i:j]), pa.array(b[i:j]), x],
+                    names=["k", "salt", "rid", "a", "b", "x"],
                 )
 
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > 4 * PART:
-                t = pa.Table.from_batches(held)
-                k = t.column("k").to_numpy()
-                full = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
-                if full:
-                    yield from run(t.slice(0, full))
-                    held, size = t.slice(full).to_batches(), 0
-        if held:
-            yield from run(pa.Table.from_batches(held))
-
-    sorted_ = texts.mapInArrow(tidy(pieces), "k long, rid long, s long, n int, open boolean, x binary").repartition("k").sortWithinPartitions("k")
-    edges = sorted_.mapInArrow(tidy(solve), "rid long, a long, b long")
-    single = durable(texts.where(F.exists("us", lambda u: u["hot"])).mapInArrow(tidy(windows), "k long, w long, rid long, a long, open boolean"), "windows")
-    twice = durable(single.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "twice")
-    hot = single.where("open").join(twice, ["k", "w"]).select("rid", "a", (F.col("a") + length).alias("b"))
-    if words:
-
-        def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                buf, offsets = buffers(b.column("t"))
-                rid = b.column("rid").to_numpy()
-                for i, j in slices(offsets, PART):
-                    rows, a, z, k, w = short_windows(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(rid[i:j][rows]), pa.array(a), pa.array(z)], names=["k", "w", "rid", "a", "b"])
-
-        lines = durable(given.where(F.octet_length("t") >= 2 * words - 1).select("rid", "t").mapInArrow(tidy(brief), "k long, w long, rid long, a long, b long"), "lines")
-        more = durable(lines.groupBy("k", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "w"), "more")
-        hot = hot.unionByName(lines.join(more, ["k", "w"]).select("rid", "a", "b"))
-    every = settled.unionByName(again).unionByName(edges).unionByName(hot)
-    return given, every.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    def sort_parts(of, keep: int | None, by: list[str]):
+        """Sorts what ``of`` yields in parts; rows come in order of the columns ``by``, if any, and a part ends with a bucket of these."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            size = 0
+            for batch in of(batches):
+                spare = batch.column("x").is_null()
+                if batch.column("x").null_count:
+                    yield batch.filter(spare)
+                    batch = batch.filter(batch.column("x").is_valid())
+                held.append(batch)
+                size += batch.nbytes
+                if size > 8 * PART:
+                    t = pa.Table.from_batches(held)
+                    full = t.num_rows
+                    if by:  # the last bucket may go on in the next batch
+                        same = np.logical_and.reduce([(v := t.column(c).to_numpy()) == v[-1] for c in by])
+                        full -= int(same.sum())
+                    if full:
+                        yield from settle(t.slice(0, full).combine_chunks(), length, keep)
+                        held = t.slice(full).to_batches()
+                        size = sum(h.nbytes for h in held)
+            if held:
+                yield from settle(pa.Table.from_batches(held).combine_chunks(), length, keep)
+
+        return tidy(run)
+
+    pieces = texts.mapInArrow(sort_parts(cut, -1, []), PIECE)
+    for by, keep in ((["k", "salt"], 0), (["k"], None)) if salted else ((["k"], None),):
+        pieces = pieces.repartition(*by).sortWithinPartitions(*by).mapInArrow(sort_parts(iter, keep, by), PIECE)
+    found = durable(pieces.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    for table in (*used, asked):
+        forget(table)
+    return given, found
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -356,13 +401,13 @@ def _ranges(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[tuple[int, int
         yield t, cut, b"".join(left)
 
 
-def digests(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
     Texts are UTF-8 bytes, null counts as empty.  Repeated rows are rows of their
     own, and repeats of each other.  An empty table gives an empty result.
     """
-    given, found = spans(docs, length, key=key, text=text)
+    given, found = spans(docs, length, key=key, text=text, bucket=bucket)
     kind = given.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +431,7 @@ def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "do
     """
     _, found = spans(docs, length, words=words, key=key, text=text)
     names = docs.columns
-    joined = docs.withColumn("_rid", row_key(F.col(key), F.col(text))).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left")
+    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left")
     inner = joined.select(*names, F.col(text).alias("t"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,10 +63,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bucket", [256, 1])
-def test_repeats(spark, texts, bucket, monkeypatch):
-    monkeypatch.setattr(repeats, "BUCKET", bucket)
-    got = {r[0]: tuple(r[1:]) for r in repeats.digests(documents(spark, texts), 400).collect()}
+@pytest.mark.parametrize("bucket", [20_000, 3, 1])
+def test_repeats(spark, texts, bucket):
+    got = {r[0]: tuple(r[1:]) for r in repeats.digests(documents(spark, texts), 400, bucket=bucket).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
 
 
