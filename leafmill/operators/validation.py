@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.text import explode_lines, in_fence, strip, words
+from leafmill.functions.text import explode_lines, in_fence, strip
 
 # What counts as a heading, a table, an image, a page mark and a link.
 HEADING = "(?m)^(#{1,6})\\s+\\S"
@@ -16,38 +16,37 @@ PAGE = '(?i)<a\\s+id="page-(\\d+)"'
 LINK = "(?<!!)\\[([^\\]]+)\\]\\(([^)]+)\\)"
 
 
+#: Signs that may stand at the edges of a word.
+EDGE_SIGNS = ".,;:!?\"'()\\-"
+
+
 def _plain(md: Column) -> Column:
-    """Text whose words count: no fenced code, no front matter, marks as spaces, no tags."""
+    """Text whose words count: no fenced code, no front matter, marks as spaces (so that nothing is a tag any more)."""
     c = F.regexp_replace(md, "(?s)```.*?```", "")
     c = F.regexp_replace(c, "(?s)\\A---\\n.*?\\n---", "")
-    c = F.regexp_replace(c, "[#*|`\\[\\]()>_~]", " ")
-    return F.regexp_replace(c, "<[^>]+>", "")
+    return F.translate(c, "#*|`[]()>_~", " " * 11)
 
 
-def count_words(md: Column) -> Column:
-    return F.size(words(_plain(md)))
+def with_plain(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _plain, the text whose words count, which all counts share; null counts as empty."""
+    return docs.withColumn("_plain", _plain(F.coalesce(F.col(text), F.lit(""))))
 
 
-def syllables(word: Column) -> Column:
-    """Vowel groups, less one for a final e (not le) and one for ed; three letters or fewer have one, and all at least one."""
-    w = F.regexp_replace(F.lower(word), "^[.,;:!?\"'()\\-]+|[.,;:!?\"'()\\-]+$", "")
-    n = (
-        F.regexp_count(w, F.lit("[aeiouy]+"))
-        - (F.endswith(w, F.lit("e")) & ~F.endswith(w, F.lit("le"))).cast("int")
-        - F.endswith(w, F.lit("ed")).cast("int")
-    )
-    return F.when(F.length(w) <= 3, F.lit(1)).otherwise(F.greatest(n, F.lit(1)))
-
+def syllables(words: Column) -> Column:
+    """Sum over the words, parted by single spaces, of a text in lower case.
 
-def readability(md: Column) -> tuple[Column, Column, Column, Column]:
-    """(grade, words, sentences, syllables) by the Flesch-Kincaid grade, from 0 to 30."""
-    plain = _plain(md)
-    sentences = F.size(F.filter(F.split(plain, "[.!?]+"), lambda s: strip(s) != ""))
-    all_words = F.filter(F.split(F.regexp_replace(plain, "[.!?]+", " "), "(?U)\\s+"), lambda w: w != "")
-    n, s = F.greatest(F.size(all_words), F.lit(1)), F.greatest(sentences, F.lit(1))
-    syl = F.aggregate(all_words, F.lit(0), lambda a, w: a + syllables(w))
-    grade = F.lit(0.39) * (n / s) + F.lit(11.8) * (syl / n) - F.lit(15.59)
-    return F.greatest(F.lit(0.0), F.least(F.lit(30.0), F.round(grade, 1))), n, s, syl
+    A word has its vowel groups, less one for a final e (not le) or ed, and at
+    least one; one of three letters or fewer has one.  Signs at its edges don't
+    count.  Sums over a whole text need no loop over its words: those that would
+    come to nothing, having no group or only the one that the ending takes, are
+    counted once more.
+    """
+    bare = F.regexp_replace(words, f"(?<!\\S)[{EDGE_SIGNS}]++|(?<![{EDGE_SIGNS}])[{EDGE_SIGNS}]++(?!\\S)", "")
+    long = F.regexp_replace(bare, "(?<!\\S)\\S{1,3}(?!\\S)", "")
+    n = lambda pattern: F.regexp_count(long, F.lit(pattern))
+    ending = "(?:(?<!l)e|ed)(?!\\S)"
+    short = F.regexp_count(words, F.lit("\\S+")) - n("\\S+")
+    return short + n("[aeiouy]+") - n(ending) + n("(?<!\\S)[^\\saeiouy]+(?!\\S)") + n("(?<!\\S)[^\\saeiouy]*+(?:[aeiouy]*(?<!l)e|[aeiouy]*ed)(?!\\S)")
 
 
 def grade_label(grade: Column) -> Column:
@@ -61,17 +60,39 @@ def grade_label(grade: Column) -> Column:
     )
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and six counts; no shuffle."""
+def _counts(docs: DataFrame, text: str) -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
     n = {"heading_count": HEADING, "table_count": TABLE, "image_count": IMAGE, "page_count": PAGE, "link_count": LINK}
-    return docs.withColumns({k: F.regexp_count(c, F.lit(p)) for k, p in n.items()} | {"word_count": count_words(c)})
+    return docs.withColumns({k: F.regexp_count(c, F.lit(p)) for k, p in n.items()} | {"word_count": F.regexp_count("_plain", F.lit("(?U)\\S+"))})
+
+
+def _grades(docs: DataFrame) -> DataFrame:
+    d = docs.withColumn("_words", F.lower(F.regexp_replace("_plain", "(?U)[.!?\\s]+", " ")))
+    d = d.withColumns(
+        {
+            "n_words": F.greatest(F.regexp_count("_words", F.lit("\\S+")), F.lit(1)),
+            "n_sentences": F.greatest(F.regexp_count("_plain", F.lit("(?U)(?:\\A|[.!?])\\s*+[^.!?\\s]")), F.lit(1)),
+            "n_syllables": syllables(F.col("_words")),
+        }
+    )
+    grade = F.lit(0.39) * (F.col("n_words") / F.col("n_sentences")) + F.lit(11.8) * (F.col("n_syllables") / F.col("n_words")) - F.lit(15.59)
+    d = d.withColumn("grade", F.greatest(F.lit(0.0), F.least(F.lit(30.0), F.round(grade, 1)))).drop("_words")
+    return d.withColumn("grade_label", grade_label(F.col("grade")))
+
+
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and six counts; no shuffle."""
+    return _counts(with_plain(docs, text), text).drop("_plain")
 
 
 def grades(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, grade, grade_label, and what the grade is made of."""
-    grade, n, s, syl = readability(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumns({"n_words": n, "n_sentences": s, "n_syllables": syl, "grade": grade}).withColumn("grade_label", grade_label(F.col("grade")))
+    """All columns of ``docs``, the Flesch-Kincaid grade from 0 to 30, grade_label, and what the grade is made of."""
+    return _grades(with_plain(docs, text)).drop("_plain")
+
+
+def validated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``counts`` and ``grades`` of each document, from one plain text."""
+    return _grades(_counts(with_plain(docs, text), text)).drop("_plain")
 
 
 def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

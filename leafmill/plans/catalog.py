@@ -92,7 +92,7 @@ def doc_readability(spark, d):
   FROM ({COUNTS_SQL.replace("{0}", MD_SQL)}) c JOIN ({GRADE_SQL.replace("{0}", MD_SQL)}) g USING (doc_id) GROUP BY c.lang)"""
 )
 def doc_validation_by_lang(spark, d):
-    return validation.roll_up(validation.grades(validation.counts(_md(spark, d))), "lang")
+    return validation.roll_up(validation.validated(_md(spark, d)), "lang")
 
 
 @query("SELECT doc_id, 10 AS pos, 'H1 jumps to H3 (skipped H2)' AS issue FROM documents")
@@ -111,10 +111,10 @@ def blank_page_filter(spark, d):
 
 
 EDGES_SQL = r"""
-WITH l AS (SELECT source AS doc_id, doc_id AS page_no, list_filter(list_transform(regexp_split_to_array('Report ' || source || e'\n' || text || e'\nConfidential', '\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM documents),
-e AS (SELECT DISTINCT doc_id, page_no, unnest(list_concat(ls[1:3], ls[-3:])) AS norm FROM l),
+WITH l AS (SELECT source AS doc_id, doc_id AS page_no, list_transform(regexp_split_to_array('Report ' || source || e'\n' || text || e'\nConfidential', '\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS ls FROM documents),
+e AS (SELECT DISTINCT * FROM (SELECT doc_id, page_no, 'head' AS side, unnest(ls[1:3]) AS norm FROM l UNION ALL SELECT doc_id, page_no, 'foot', unnest(CASE WHEN len(ls) > 3 THEN ls[-3:] ELSE ls[-1:] END) FROM l) WHERE norm <> ''),
 n AS (SELECT doc_id, count(*) AS pages FROM l GROUP BY doc_id)
-SELECT e.doc_id, norm, count(*) AS n FROM e JOIN n USING (doc_id) GROUP BY e.doc_id, norm, pages HAVING count(*) >= greatest(3, pages // 2)"""
+SELECT e.doc_id, side, norm, count(*) AS n FROM e JOIN n USING (doc_id) GROUP BY e.doc_id, side, norm, pages HAVING count(*) >= greatest(3, pages // 2)"""
 
 
 @query(EDGES_SQL)
@@ -189,13 +189,35 @@ def cleaned_pages(spark, d):
     return postprocess.run_pipeline(_pages(spark, d)).select("doc_id", "page_no", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+def _broken_pages(spark, d) -> DataFrame:
+    """Documents as pages of 40 words, in two lines each, so that most pages end within a sentence."""
+    ws = F.filter(F.split("text", "\\s+"), lambda x: x != "")
+    rows = _t(spark, d, "documents").select("doc_id", ws.alias("ws")).where(F.size("ws") > 0)
+    pages = rows.select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 40).cast("int"))).alias("page_no"))
+    line = lambda start: F.array_join(F.slice("ws", F.col("page_no") * 40 + start, F.lit(20)), " ")
+    return pages.select("doc_id", "page_no", F.concat_ws("\n", line(1), F.nullif(line(21), F.lit(""))).alias("text"))
+
+
+PAGES_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, (len(ws) - 1) // 40 + 1))::INTEGER AS page_no FROM w WHERE len(ws) > 0),
+l AS (SELECT doc_id, page_no, array_to_string(ws[page_no * 40 + 1:page_no * 40 + 20], ' ') AS a, nullif(array_to_string(ws[page_no * 40 + 21:page_no * 40 + 40], ' '), '') AS b FROM p),
+n AS (SELECT *, coalesce(b, a) AS tail, lead(a) OVER (PARTITION BY doc_id ORDER BY page_no) AS head FROM l),
+g AS (SELECT *, coalesce(NOT regexp_matches(tail, '[.!?:]$|^(#|[-*] |\d+[.]\s)') AND regexp_matches(head, '^\p{Ll}'), false) AS gives FROM n)"""
+
+
+@query(PAGES_SQL + "SELECT doc_id, page_no, tail, head FROM g WHERE gives")
+def cross_page_merge_candidates(spark, d):
+    return postprocess.merge_candidates(_broken_pages(spark, d))
+
+
 @query(
-    r"""WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, list_filter(list_transform(string_split(text, e'\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations),
-n AS (SELECT doc_id, page_no, ls[-1] AS tail, lead(ls[1]) OVER (PARTITION BY doc_id ORDER BY page_no) AS head FROM p)
-SELECT * FROM n WHERE NOT regexp_matches(tail, '[.!?:]$|^(#|[-*+] |\d+[.)] )') AND regexp_matches(head, '^\p{Ll}')"""
+    PAGES_SQL
+    + """, m AS (SELECT *, lag(CASE WHEN gives THEN tail END) OVER (PARTITION BY doc_id ORDER BY page_no) AS got FROM g)
+SELECT doc_id, page_no, md5(concat_ws(e'\\n', CASE WHEN b IS NULL AND gives THEN NULL ELSE concat_ws(' ', got, a) END, CASE WHEN NOT gives THEN b END)) AS md5 FROM m"""
 )
-def cross_page_merge_candidates(spark, d):
-    return postprocess.merge_candidates(_turns(spark, d))
+def cross_page_merged(spark, d):
+    return postprocess.merge_across_pages(_broken_pages(spark, d)).select("doc_id", "page_no", F.md5("text").alias("md5"))
 
 
 CHUNK_SQL = r"""
@@ -422,7 +444,7 @@ def misspelled_words(spark, d):
 
 @query("SELECT conv_id AS doc_id, turn AS page_no, md5(text) AS md5 FROM conversations WHERE turn IN (0, 2)")
 def page_range(spark, d):
-    return _turns(spark, d).where(F.col("page_no").isin(0, 2)).select("doc_id", "page_no", F.md5("text").alias("md5"))
+    return postprocess.page_range(_turns(spark, d), [0, 2]).select("doc_id", "page_no", F.md5("text").alias("md5"))
 
 
 @query(

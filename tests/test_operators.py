@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -55,9 +56,76 @@ def test_code_blocks(spark):
     assert text_of(postprocess.code_blocks(pages(spark, text))) == ["Some words\n```python\ndef f(x):\n    a = 1\n\n    return a\n```\nMore words\nimport os\nEnd"]
 
 
-def test_footnotes():
-    assert postprocess.footnotes_of("See a1 and b2.\n\n## Notes\n1. One\n2) Two\n") == "See a[^1] and b[^2].\n\n[^1]: One\n[^2]: Two"
-    assert postprocess.footnotes_of("plain text") == "plain text"
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("See a1 and b2.\n\n## Notes\n1. One\n2) Two\n", "See a[^1] and b[^2].\n\n[^1]: One\n[^2]: Two"),
+        ("See a01, b12 and c3.\n# END NOTES \n12: Twelve\nlost\n1. Old\n 1] New\n0. no\n999. no", "See a[^1], b[^12] and c3.\n\n[^1]: New\n[^12]: Twelve"),
+        ("# Notes\nnothing numbered\n", "# Notes\nnothing numbered\n"),
+        ("a1\nb2.\nc\nd\n3. x\n4. y\n", "a1\nb2.\nc\nd\n\n[^3]: x\n[^4]: y"),
+        ("a3\nb\nc\nd\n3. x\n40. y\n", "a3\nb\nc\nd\n3. x\n40. y\n"),
+        ("a3\nb\nc\nd\ne\nf\n6. x\n7. y", "a3\nb\nc\nd\ne\nf\n6. x\n7. y"),
+        ("plain text", "plain text"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_footnotes(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(postprocess.footnotes(F.col("t"))).first()[0] == want
+
+
+def test_repeated_rows_nulls_and_clashing_names(spark):
+    rows = [("d", 1, "a\nb", "x", 7), ("d", 1, "a\nb", "y", 7), ("d", 2, None, None, 7), (None, 1, "a", "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, page_no int, text string, new string, norm int")
+    for step in (postprocess.remove_repeated_edges, postprocess.strip_line_numbers, postprocess.code_blocks, postprocess.merge_across_pages):
+        assert sorted(map(str, step(df).collect())) == sorted(map(str, df.collect())), step
+        assert step(df.limit(0)).count() == 0
+    assert postprocess.run_pipeline(df).count() == 0  # all blank
+    many = spark.createDataFrame([("d", n, f"Head\nbody {n}\nFoot", "x", n) for n in (1, 2, 3)] * 2, df.schema)
+    assert sorted(r.text for r in postprocess.remove_repeated_edges(many).collect()) == sorted(["body 1", "body 2", "body 3"] * 2)
+
+
+def merged(pages: list[str]) -> list[str]:
+    """The plain loop: each page hands its last line to the next, which may be its only one."""
+    pages = list(pages)
+    for i in range(len(pages) - 1):
+        here, there = pages[i].split("\n"), pages[i + 1].split("\n")
+        full = [k for k, x in enumerate(here) if x.strip()]
+        start = [k for k, x in enumerate(there) if x.strip()]
+        if not full or not start:
+            continue
+        tail = here[full[-1]].strip()
+        if tail[-1] in ".!?:" or re.match(r"#|[-*] |\d+\.\s", tail) or not there[start[0]].strip()[0].islower():
+            continue
+        del here[full[-1]]
+        there[start[0]] = tail + " " + there[start[0]].lstrip()
+        pages[i], pages[i + 1] = "\n".join(here), "\n".join(there)
+    return pages
+
+
+def test_merge_across_pages(spark):
+    rng = random.Random(5)
+    docs = {n: ["\n".join(rng.choice(["one two", "Two", "- item", "end.", "# h", "1. x", " ", "three", "é b"]) for _ in range(rng.randint(1, 3))) for _ in range(9)] for n in range(60)}
+    df = spark.createDataFrame([(n, k, t) for n, ts in docs.items() for k, t in enumerate(ts)], "doc_id int, page_no int, text string")
+    got = {(r.doc_id, r.page_no): r.text for r in postprocess.merge_across_pages(df).collect()}
+    want = {(n, k): t for n, ts in docs.items() for k, t in enumerate(merged(ts))}
+    assert got == want and want != {(n, k): t for n, ts in docs.items() for k, t in enumerate(ts)}
+
+
+def test_syllables(spark):
+    def plain(word):
+        w = word.lower().strip(".,;:!?\"'()-")
+        n = len(re.findall("[aeiouy]+", w)) - (w.endswith("e") and not w.endswith("le")) - w.endswith("ed")
+        return 1 if len(w) <= 3 else max(1, n)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeldth'-.") for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    texts = [" ".join(words[k : k + 8]) for k in range(0, 4000, 8)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from leafmill.operators import validation
+
+    assert [r[0] for r in df.select(validation.syllables(F.lower("t"))).collect()] == [sum(map(plain, t.split())) for t in texts]
 
 
 def test_equations(spark):
@@ -101,7 +169,7 @@ def test_validation(spark):
     assert (r.heading_count, r.image_count, r.link_count) == (3, 1, 2)
     assert [x.issue for x in validation.heading_jumps(df).collect()] == ["H1 jumps to H3 (skipped H2)"]
     assert [x.anchor for x in validation.broken_links(df).collect()] == ["gone"]
-    for word, n in (("the", 1), ("table", 2), ("made", 1), ("jumped", 1), ("", 1), ("beautiful", 3)):
+    for word, n in (("the", 1), ("table", 2), ("made", 1), ("jumped", 1), ("--", 1), ("beautiful", 3)):
         assert one(spark, validation.syllables(F.col("w")), w=word) == n
 
 
