@@ -13,8 +13,9 @@ multikey quicksort on eight bytes at a time down to a shallow depth, then a blin
 trie for each group that is still tied), then by the windows of the units that
 are left.  The same sort runs inside the tasks that cut the units out of the
 texts, so that copies which meet there are sent on once.  A bucket that is too
-large for a task is dealt again by a longer key, at last by whole windows; one
-whose windows are all equal is sorted in parts, and one unit of each part again.
+large for a task is sorted in parts first, which leaves one of each string and
+part.  If that is still too much, what is left is dealt again by a longer key, at
+last by whole windows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 20_000
 #: Bits of a place in a text beside the hash of its gram.
 PLACE = np.uint64(32)
 
-UNIT = "k long, rid binary, a long, b long"
 PIECE = "k long, salt int, rid binary, a long, b long, x binary"
 
 
@@ -51,11 +51,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
     """(row, start, end, bucket key) of the units of texts.
 
-    ``reach`` is the number of places an anchor may have in a window, ``only``
-    tells of each byte whether a window may start there.
+    ``reach`` is the number of places an anchor may have in a window.
     """
     none = np.zeros(0, "i8")
     if len(buf) < length:
@@ -69,13 +68,11 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int, only: n
     counts = np.maximum(sizes - length + 1, 0)
     rows = np.repeat(np.arange(len(sizes)), counts)
     starts = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
-    if only is not None:
-        rows, starts = rows[only[starts]], starts[only[starts]]
     if not len(rows):
         return none, none, none, none
     a = anchor[starts]
     new = np.ones(len(rows), bool)
-    new[1:] = (a[1:] != a[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (a[1:] != a[:-1]) | (rows[1:] != rows[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(rows)))
     a, s, rows = a[first], starts[first], rows[first]
@@ -186,10 +183,14 @@ def first_equal(buf: np.ndarray, group: np.ndarray, at: np.ndarray, size: np.nda
         if b - a == 2:
             p, q = places[a], places[a + 1]
             same += (a, a if raw[p + done : p + length] == raw[q + done : q + length] else a + 1)
-        elif b - a == 1:
-            same.append(a)
         else:
-            same += [a + f for f in blind_trie([raw[p + done : p + length] for p in places[a:b]])]
+            keys = [raw[p + done : p + length] for p in places[a:b]]
+            other = [k for k, key in enumerate(keys) if key != keys[0]]
+            firsts = [a] * (b - a)
+            if other:
+                for k, f in zip(other, blind_trie([keys[k] for k in other]), strict=True):
+                    firsts[k] = a + other[f]
+            same += firsts
     found[index] = index[np.array(same)]
     return found
 
@@ -239,11 +240,28 @@ def settle(t: pa.Table, length: int, keep: int | None) -> Iterator[pa.RecordBatc
             names=["k", "salt", "rid", "a", "b", "x"],
         )
     if keep is not None:
+        # Of a unit, what lies between its first and last window that no earlier one equals.
         left = ~again & (t.column("salt").to_numpy() >= keep)
-        fresh = np.zeros(len(at), bool)
-        fresh[piece[~seen]] = True
-        left[np.setdiff1d(piece, np.flatnonzero(fresh))] = False
-        yield from t.filter(pa.array(left)).combine_chunks().to_batches()
+        low, high = np.zeros(len(at), "i8"), size.copy()
+        left[piece] = False
+        fresh = np.flatnonzero(~seen)
+        left[piece[fresh]] = (t.column("salt").to_numpy() >= keep)[piece[fresh]]
+        low[piece[fresh][::-1]] = local[fresh][::-1]
+        high[piece[fresh]] = local[fresh] + length
+        of = np.flatnonzero(left)
+        if len(of):
+            x = gather(buf, at[of] + low[of], (high - low)[of])
+            yield pa.RecordBatch.from_arrays(
+                [t.column("k").combine_chunks().take(pa.array(of)), t.column("salt").combine_chunks().take(pa.array(of)), rid.take(pa.array(of)), pa.array(a[of] + low[of]), pa.array(a[of] + high[of]), x],
+                names=["k", "salt", "rid", "a", "b", "x"],
+            )
+
+
+def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings buf[start : start + size] as a binary column."""
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype("i4")), pa.py_buffer(np.ascontiguousarray(buf[place]))])
 
 
 def row_id(key: Column, text: Column) -> Column:
@@ -251,89 +269,56 @@ def row_id(key: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))
 
 
-def spans(
-    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (rid, id, t), spans (rid, spans) with the byte ranges [a, b) to remove.
+def search(given: DataFrame, length: int, words: int, reach: int, bucket: int, used: list[DataFrame]) -> DataFrame:
+    """(rid, a, b) of repeated strings in ``given`` (rid, base, t), with places counted from ``base``, each row a text of its own.
 
-    ``rid`` is a hash of key and text, so equal rows share their spans (each is
-    the other's repeat).  Rows of text shorter than ``length`` have none.  With
-    ``words``, strings of that many words that are shorter than ``length`` are
-    repeats too.  Buckets of over ``bucket`` units are dealt again by longer keys.
+    Buckets of over ``bucket`` units are sorted in parts; what is left of one
+    is sorted as a whole, or searched again by a longer key if it is still too large.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
-    reach = min(max(1, length * 3 // 4), length - GRAM)
-    given = docs.select(row_id(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-
-    def deal(reach: int, brief: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, offsets = buffers(batch.column("t"))
-                only = None
-                if "hot" in batch.schema.names:
-                    edge, inner = batch.column("hot").offsets.to_numpy(), batch.column("hot").values
-                    doc = np.repeat(offsets[:-1], np.diff(edge))
-                    a, b = (inner.field(c).to_numpy()[edge[0] : edge[-1]] + doc for c in ("a", "b"))
-                    only = np.zeros(len(buf) + 1, "i4")
-                    np.add.at(only, a, 1)
-                    np.add.at(only, b - length + 1, -1)
-                    only = np.cumsum(only)[:-1] > 0
-                for i, j in slices(offsets, PART):
-                    lo, hi = offsets[i], offsets[j]
-                    found = [units(buf[lo:hi], offsets[i : j + 1] - lo, length, reach, None if only is None else only[lo:hi])]
-                    if brief:
-                        found.append(short_windows(buf[lo:hi], offsets[i : j + 1] - lo, words, length))
-                    for rows, a, b, k in found:
-                        if len(rows):
-                            rid = batch.column("rid").take(pa.array(rows + i))
-                            yield pa.RecordBatch.from_arrays([pa.array(k), rid, pa.array(a), pa.array(b)], names=["k", "rid", "a", "b"])
-
-        return tidy(run)
-
     least = min(length, 2 * words - 1) if words else length
-    todo, salted, used = None, False, []
-    source = given.where(F.octet_length("t") >= least).select("rid", "t")
-    for step in (reach, max(1, reach // 10), 1):
-        dealt = durable(source.mapInArrow(deal(step, bool(words) and step == reach), UNIT), "units")
-        # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
-        shared = durable(dealt.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-        mine = durable(dealt.join(shared, "k"), "buckets")
-        forget(dealt)
-        is_hot = F.col("c") > bucket
-        again = is_hot & (F.col("b") - F.col("a") >= length) if step > 1 else F.lit(False)
-        salt = F.when(is_hot, F.pmod(F.xxhash64("rid", "a"), F.ceil(F.col("c") / bucket)).cast("int")).otherwise(F.lit(-1))
-        new = mine.where(~again).select("rid", "k", salt.alias("salt"), "a", "b")
-        todo = new if todo is None else todo.unionByName(new)
-        used += [shared, mine]
-        if shared.where(is_hot).isEmpty():
-            break
-        salted = salted or not mine.where(~again & is_hot).isEmpty()
-        if mine.where(again).isEmpty():
-            break
-        # Lists are of one document each, at most as many as it has units.
-        ranges = durable(mine.where(again).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("hot")), "ranges")
-        used.append(ranges)
-        source = given.join(ranges, "rid").select("rid", "t", "hot")
-    asked = durable(todo.groupBy("rid").agg(F.collect_set(F.struct("k", "salt", "a", "b")).alias("us")), "asked")
-    texts = given.join(asked, "rid").select("rid", "t", "us")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = buffers(batch.column("t"))
+            for i, j in slices(offsets, PART):
+                lo, hi = offsets[i], offsets[j]
+                found = [units(buf[lo:hi], offsets[i : j + 1] - lo, length, reach)]
+                if words:
+                    found.append(short_windows(buf[lo:hi], offsets[i : j + 1] - lo, words, length))
+                for rows, a, b, k in found:
+                    if len(rows):
+                        of = pa.array(rows + i)
+                        yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("rid").take(of), batch.column("base").take(of), pa.array(a), pa.array(b)], names=["k", "rid", "base", "a", "b"])
+
+    dealt = durable(given.where(F.octet_length("t") >= least).mapInArrow(tidy(deal), "k long, rid binary, base long, a long, b long"), "units")
+    # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
+    shared = durable(dealt.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    hot = F.col("c") > bucket
+    salt = F.when(hot, F.pmod(F.xxhash64("rid", "base", "a"), F.ceil(F.col("c") / bucket)).cast("int")).otherwise(F.lit(-1))
+    # Lists are of one text each, at most as many as it has units.
+    unit = F.struct("k", salt.alias("salt"), "a", "b")
+    asked = durable(dealt.join(shared, "k").groupBy("rid", "base").agg(F.collect_set(unit).alias("us")), "asked")
+    forget(dealt)
+    salted = not shared.where(hot).isEmpty()
+    forget(shared)
+    used.append(asked)
+    texts = given.join(asked, ["rid", "base"]).select("rid", "base", "t", "us")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = buffers(batch.column("t"))
             edge, inner = batch.column("us").offsets.to_numpy(), batch.column("us").values
-            count = np.diff(edge)
-            row = np.repeat(np.arange(batch.num_rows), count)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
             k, salt, a, b = (inner.field(c).to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] for c in ("k", "salt", "a", "b"))
-            ends = np.cumsum(b - a)
-            for i, j in slices(np.append(0, ends), PART):
-                n = (b - a)[i:j]
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((a + offsets[row])[i:j], n)
-                x = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype("i4")), pa.py_buffer(np.ascontiguousarray(buf[place]))])
+            base = batch.column("base").to_numpy()[row]
+            for i, j in slices(np.append(0, np.cumsum(b - a)), PART):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[i:j]), pa.array(salt[i:j].astype("i4")), batch.column("rid").take(pa.array(row[i:j])), pa.array(a[i:j]), pa.array(b[i:j]), x],
+                    [
+                        pa.array(k[i:j]), pa.array(salt[i:j].astype("i4")), batch.column("rid").take(pa.array(row[i:j])), pa.array((a + base)[i:j]), pa.array((b + base)[i:j]),
+                        gather(buf, (a + offsets[row])[i:j], (b - a)[i:j]),
+                    ],
                     names=["k", "salt", "rid", "a", "b", "x"],
-                )
+                )
 
     def sort_parts(of, keep: int | None, by: list[str]):
         """Sorts what ``of`` yields in parts; rows come in order of the columns ``by``, if any, and a part ends with a bucket of these."""
@@ -342,9 +327,8 @@ def spans(
             held: list[pa.RecordBatch] = []
             size = 0
             for batch in of(batches):
-                spare = batch.column("x").is_null()
                 if batch.column("x").null_count:
-                    yield batch.filter(spare)
+                    yield batch.filter(batch.column("x").is_null())
                     batch = batch.filter(batch.column("x").is_valid())
                 held.append(batch)
                 size += batch.nbytes
@@ -363,12 +347,44 @@ def spans(
 
         return tidy(run)
 
+    def sort(pieces: DataFrame, by: list[str], keep: int | None) -> DataFrame:
+        return pieces.repartition(*by).sortWithinPartitions(*by).mapInArrow(sort_parts(iter, keep, by), PIECE)
+
     pieces = texts.mapInArrow(sort_parts(cut, -1, []), PIECE)
-    for by, keep in ((["k", "salt"], 0), (["k"], None)) if salted else ((["k"], None),):
-        pieces = pieces.repartition(*by).sortWithinPartitions(*by).mapInArrow(sort_parts(iter, keep, by), PIECE)
+    if not salted:
+        return sort(pieces, ["k"], None).select("rid", "a", "b")
+    pieces = durable(sort(pieces, ["k", "salt"], 0), "sorted")
+    used.append(pieces)
+    found, left = pieces.where("x IS NULL").select("rid", "a", "b"), pieces.where("x IS NOT NULL")
+    wide = durable(left.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(hot), "wide")
+    used.append(wide)
+    again = left.join(wide, "k", "left_semi").where(F.octet_length("x") >= length) if reach > 1 else left.limit(0)
+    found = found.unionByName(sort(left.join(again.select("k").distinct(), "k", "left_anti"), ["k"], None).select("rid", "a", "b"))
+    if again.isEmpty():
+        return found
+    again = again.select("rid", F.col("a").alias("base"), F.col("x").alias("t"))
+    return found.unionByName(search(again, length, 0, max(1, reach // 10), bucket, used))
+
+
+def spans(
+    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows (rid, id, t), spans (rid, spans) with the byte ranges [a, b) to remove.
+
+    ``rid`` is a hash of key and text, so equal rows share their spans (each is
+    the other's repeat).  Rows of text shorter than ``length`` have none.  With
+    ``words``, strings of that many words that are shorter than ``length`` are
+    repeats too.
+    """
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be {2 * GRAM} at least")
+    given = docs.select(row_id(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    used: list[DataFrame] = []
+    whole = given.select("rid", F.lit(0).cast("long").alias("base"), F.col("t").cast("binary").alias("t"))
+    pieces = search(whole, length, words, min(max(1, length * 3 // 4), length - GRAM), bucket, used)
     found = durable(pieces.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    for table in (*used, asked):
-        forget(table)
+    for done in used:
+        forget(done)
     return given, found
 
 
