@@ -37,9 +37,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
     from leafmill.llm import repeats
 
-    return repeats.digests(table(spark, sf_dir, "documents"), 400)
+    return repeats.digests(table(spark, sf_dir, "documents"), 400, passage=corpus_pipeline.PASSAGE, words=corpus_pipeline.WORDS)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,47 +151,46 @@ def blind_trie(keys: list[bytes]) -> list[int]:
 def first_equal(buf: np.ndarray, group: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each string buf[at : at + size] the first of its group that equals it, by deep-shallow sorting.
 
-    Strings of one group have one size, of ``8 * SHALLOW`` bytes at least or less than that for all of them.
+    Strings of one group have one size.  Those of a bucket share their middle, so
+    the shallow sort takes its words of eight bytes from both ends in turn.  What
+    is tied then is mostly equal: a trie holds what differs from the first of its group.
     """
     found = np.arange(len(at))
     if not len(at):
         return found
-    eight = np.lib.stride_tricks.sliding_window_view(buf, 8) if len(buf) >= 8 else np.zeros((0, 8), np.uint8)
-    index, done = np.arange(len(at)), 0
-    for depth in range(0, min(SHALLOW, int(size.min()) // 8)):
-        word = np.ascontiguousarray(eight[at[index] + 8 * depth]).view(">u8")[:, 0].astype("u8")
-        order = np.lexsort((word, group))
-        index, group, word = index[order], group[order], word[order]
-        new = np.ones(len(index), bool)
-        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-        group = np.cumsum(new)
-        tied = np.bincount(group)[group] > 1
-        index, group = index[tied], group[tied]
-        done = 8 * (depth + 1)
-        if not len(index):
-            return found
-    if not done:
-        order = np.argsort(group, kind="stable")
-        index, group = index[order], group[order]
-    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    index = np.arange(len(at))
+    order = np.argsort(group, kind="stable")
+    index, group = index[order], group[order]
+    new = np.ones(len(index), bool)
+    new[1:] = group[1:] != group[:-1]
+    if len(buf) >= 8:
+        eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
+        for depth in range(min(SHALLOW, int(size.min()) // 8)):
+            group = np.cumsum(new)
+            tied = np.bincount(group)[group] > 1
+            index, group = index[tied], group[tied]
+            if not len(index):
+                return found
+            place = at[index] + (size[index] - 4 * (depth + 1) if depth % 2 else 4 * depth)
+            word = np.ascontiguousarray(eight[place]).view(">u8")[:, 0].astype("u8")
+            order = np.lexsort((word, group))
+            index, group, word = index[order], group[order], word[order]
+            new = np.ones(len(index), bool)
+            new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+    edges = np.flatnonzero(np.append(new, True))
+    long = np.diff(edges) > 1
     raw = buf.tobytes()
     places, sizes = at[index].tolist(), size[index].tolist()
-    ends = [*edges[1:].tolist(), len(index)]
-    same: list[int] = []
-    for a, b in zip(edges.tolist(), ends, strict=True):
-        length = sizes[a]
-        if b - a == 2:
-            p, q = places[a], places[a + 1]
-            same += (a, a if raw[p + done : p + length] == raw[q + done : q + length] else a + 1)
-        else:
-            keys = [raw[p + done : p + length] for p in places[a:b]]
-            other = [k for k, key in enumerate(keys) if key != keys[0]]
-            firsts = [a] * (b - a)
-            if other:
-                for k, f in zip(other, blind_trie([keys[k] for k in other]), strict=True):
-                    firsts[k] = a + other[f]
-            same += firsts
-    found[index] = index[np.array(same)]
+    same = np.arange(len(index))
+    for a, b in zip(edges[:-1][long].tolist(), edges[1:][long].tolist(), strict=True):
+        keys = [raw[p : p + sizes[a]] for p in places[a:b]]
+        one = keys[0]
+        other = [k for k, key in enumerate(keys) if key != one]
+        same[a:b] = a
+        if other:
+            for k, f in zip(other, blind_trie([keys[k] for k in other]), strict=True):
+                same[a + k] = a + other[f]
+    found[index] = index[same]
     return found
 
 
@@ -399,10 +398,10 @@ def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
-def _ranges(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], bytes]]:
+def _ranges(b: pa.RecordBatch, name: str = "spans") -> Iterator[tuple[np.ndarray, list[tuple[int, int]], bytes]]:
     """(bytes, ranges removed, bytes kept) of each row of (t, spans)."""
     buf, offsets = buffers(b.column("t"))
-    column = b.column("spans")
+    column = b.column(name)
     edge = column.offsets.to_numpy()
     a, z = (column.values.field(c).to_numpy() for c in ("a", "b"))
     null = column.is_null().to_numpy(zero_copy_only=False)
@@ -417,27 +416,34 @@ def _ranges(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[tuple[int, int
         yield t, cut, b"".join(left)
 
 
-def digests(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+DIGESTS = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_passage_bytes": pa.int64(), "text": pa.string()}
+
+
+def digests(docs: DataFrame, length: int = 400, *, passage: int = 0, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
-    Texts are UTF-8 bytes, null counts as empty.  Repeated rows are rows of their
-    own, and repeats of each other.  An empty table gives an empty result.
+    With ``passage``, also what a search for strings of ``passage`` bytes, or of
+    ``words`` words where these are shorter, finds: n_passage_bytes, and the text
+    without them.  Texts are UTF-8 bytes, null counts as empty.  Repeated rows are
+    rows of their own, and repeats of each other.  An empty table gives an empty result.
     """
     given, found = spans(docs, length, key=key, text=text, bucket=bucket)
+    if passage:
+        _, more = spans(docs, passage, words=words, key=key, text=text, bucket=bucket)
+        found = found.join(more.withColumnRenamed("spans", "passages"), "rid", "full")
+    names = list(DIGESTS)[: None if passage else 4]
     kind = given.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(len(t), sum(y - x for x, y in cut), len(cut), hashlib.sha256(kept).hexdigest()) for t, cut, kept in _ranges(b)]
-            n, m, c, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            if passage:
+                rows = [(*row, len(t) - len(kept), kept.decode("utf-8", "ignore")) for row, (t, _, kept) in zip(rows, _ranges(b, "passages"), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, DIGESTS[n]) for n, c in zip(names, columns, strict=True))], names=["id", *names])
 
-    return (
-        given.join(found, "rid", "left")
-        .select("id", "t", "spans")
-        .mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        .withColumnRenamed("id", key)
-    )
+    schema = ", ".join(f"{n} {'long' if DIGESTS[n] == pa.int64() else 'string'}" for n in names)
+    return given.join(found, "rid", "left").select("id", "t", *found.columns[1:]).mapInArrow(tidy(run), f"id {kind}, {schema}").withColumnRenamed("id", key)
 
 
 def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,13 +453,14 @@ def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "do
     """
     _, found = spans(docs, length, words=words, key=key, text=text)
     names = docs.columns
-    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    inner = joined.select(*names, F.col(text).alias("t"), "spans")
+    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
+    inner = joined.select(F.struct(*names).alias("row"), F.col(text).alias("t"), F.col("_spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            old = b.column(names.index(text))
-            new = [None if was is None else kept.decode("utf-8", "ignore") for was, (_, _, kept) in zip(old.to_pylist(), _ranges(pa.RecordBatch.from_arrays([b.column("t"), b.column("spans")], names=["t", "spans"])), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else b.column(i) for i, c in enumerate(names)], names=names)
+            row = b.column("row")
+            old = row.field(names.index(text))
+            new = [None if was is None else kept.decode("utf-8", "ignore") for was, (_, _, kept) in zip(old.to_pylist(), _ranges(b), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else row.field(i) for i, c in enumerate(names)], names=names)
 
     return inner.mapInArrow(tidy(run), docs.schema)

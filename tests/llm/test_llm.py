@@ -69,6 +69,17 @@ def test_repeats(spark, texts, bucket):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
 
 
+def test_repeats_with_passages(spark, texts):
+    got = repeats.digests(documents(spark, texts), 400, passage=240)
+    rows = {r[0]: r for r in got.collect()}
+    want, more = brute_repeats(texts, 400), brute_repeats(texts, 240)
+    assert [tuple(rows[i][1:5]) for i in range(len(texts))] == want
+    assert [rows[i].n_passage_bytes for i in range(len(texts))] == [m[1] for m in more]
+    assert all(len(rows[i].text.encode()) <= m[0] - m[1] for i, m in enumerate(more))
+    clash = documents(spark, texts).selectExpr("doc_id", "text", "1 AS t", "2 AS spans", "3 AS rid")
+    assert repeats.remove(clash, 400).columns == clash.columns and repeats.remove(clash, 400).count() == len(texts)
+
+
 def test_repeats_of_repeated_rows_and_empty_tables(spark):
     rng = random.Random(1)
     long = prose(rng, 200)
