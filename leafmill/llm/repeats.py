@@ -36,7 +36,7 @@ GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 20_000
 #: Bits of a place in a text beside the hash of its gram.
 PLACE = np.uint64(32)
 
-PIECE = "k long, salt int, rid binary, a long, b long, x binary"
+PIECE = "k long, salt int, w int, rid binary, a long, b long, x binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,25 +51,26 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
-    """(row, start, end, bucket key) of the units of texts.
+def grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running hash of the bytes, and the hash of the gram at every place with the place in its low bits."""
+    prefix = prefix_hash(buf)
+    at = np.arange(max(0, len(buf) - GRAM + 1))
+    return prefix, (span_hash(prefix, at, at + GRAM) & ~((np.uint64(1) << PLACE) - np.uint64(1))) | at.astype("u8")
+
+
+def units(prefix: np.ndarray, packed: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, bucket key) of the units of texts with these ``grams``.
 
     ``reach`` is the number of places an anchor may have in a window.
     """
     none = np.zeros(0, "i8")
-    if len(buf) < length:
-        return none, none, none, none
-    prefix = prefix_hash(buf)
-    at = np.arange(len(buf) - GRAM + 1)
-    low = (np.uint64(1) << PLACE) - np.uint64(1)
-    packed = (span_hash(prefix, at, at + GRAM) & ~low) | at.astype("u8")
-    anchor = (sliding_min(packed, reach) & low).astype("i8")
     sizes = np.diff(offsets)
     counts = np.maximum(sizes - length + 1, 0)
     rows = np.repeat(np.arange(len(sizes)), counts)
-    starts = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
     if not len(rows):
         return none, none, none, none
+    anchor = (sliding_min(packed, reach) & ((np.uint64(1) << PLACE) - np.uint64(1))).astype("i8")
+    starts = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
     a = anchor[starts]
     new = np.ones(len(rows), bool)
     new[1:] = (a[1:] != a[:-1]) | (rows[1:] != rows[:-1])
@@ -77,7 +78,7 @@ def units(buf: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tupl
     n = np.diff(np.append(first, len(rows)))
     a, s, rows = a[first], starts[first], rows[first]
     with np.errstate(over="ignore"):
-        key = mix(span_hash(prefix, a, a + length - reach + 1) + np.uint64(reach))
+        key = mix(span_hash(prefix, a, a + length - reach + 1) + np.uint64(length * 65537 + reach))
     s = s - offsets[rows]
     return rows, s, s + n - 1 + length, key.view("i8")
 
@@ -194,11 +195,12 @@ def first_equal(buf: np.ndarray, group: np.ndarray, at: np.ndarray, size: np.nda
     return found
 
 
-def settle(t: pa.Table, length: int, keep: int | None) -> Iterator[pa.RecordBatch]:
+def settle(t: pa.Table, keep: int | None, deep: bool = True) -> Iterator[pa.RecordBatch]:
     """Sorts the buckets of units (``PIECE``): spans found (x null), and units of a salt from ``keep`` on that later ones may still equal.
 
-    Of equal units one is kept, and none all of whose windows other units have.
-    Units of under ``length`` bytes are one window each.
+    Of equal units one is kept, and where it goes ``deep`` into the windows (of
+    ``w`` bytes) of those that are left, none all of whose windows other units
+    have.  Units of under ``w`` bytes are one window each.
     """
     buf, offsets = buffers(t.column("x"))
     at, size = offsets[:-1], np.diff(offsets)
@@ -212,31 +214,32 @@ def settle(t: pa.Table, length: int, keep: int | None) -> Iterator[pa.RecordBatc
     again = first != np.arange(len(first))
     whole = again.copy()
     whole[first[again]] = True
-    alone = np.flatnonzero(~again & (size >= length))
-    n = size[alone] - length + 1
+    w = t.column("w").to_numpy().astype("i8")
+    alone = np.flatnonzero(~again & (size >= w) & deep)
+    n = (size - w)[alone] + 1
     piece = np.repeat(alone, n)
     local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     lone = np.bincount(bucket[alone], minlength=len(bucket))[bucket[piece]] < 2
     piece, local = piece[~lone], local[~lone]
-    other = first_equal(buf, bucket[piece], at[piece] + local, np.full(len(piece), length))
+    other = first_equal(buf, bucket[piece], at[piece] + local, w[piece])
     seen = other != np.arange(len(other))
     dup = seen.copy()
     dup[other[seen]] = True
     dup &= ~whole[piece]
-    w = np.flatnonzero(dup)
-    new = np.ones(len(w), bool)
-    new[1:] = (np.diff(w) != 1) | (np.diff(piece[w]) != 0)
-    head = w[new]
-    tail = w[np.append(new[1:], True)] if len(w) else w
+    hit = np.flatnonzero(dup)
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)
+    head = hit[new]
+    tail = hit[np.append(new[1:], True)] if len(hit) else hit
     of = np.concatenate([np.flatnonzero(whole), piece[head]])
     starts = np.concatenate([a[whole], a[piece[head]] + local[head]])
-    ends = np.concatenate([b[whole], a[piece[tail]] + local[tail] + length])
+    ends = np.concatenate([b[whole], a[piece[tail]] + local[tail] + w[piece[tail]]])
     rid = t.column("rid").combine_chunks() if isinstance(t.column("rid"), pa.ChunkedArray) else t.column("rid")
     spread = pa.array(mix(np.arange(len(of), dtype="u8") + k[:1].view("u8")).view("i8") if len(of) else np.zeros(0, "i8"))
     if len(of):
         yield pa.RecordBatch.from_arrays(
-            [spread, pa.array(np.full(len(of), -1, "i4")), rid.take(pa.array(of)), pa.array(starts), pa.array(ends), pa.nulls(len(of), pa.binary())],
-            names=["k", "salt", "rid", "a", "b", "x"],
+            [spread, pa.array(np.full(len(of), -1, "i4")), pa.array(w[of].astype("i4")), rid.take(pa.array(of)), pa.array(starts), pa.array(ends), pa.nulls(len(of), pa.binary())],
+            names=["k", "salt", "w", "rid", "a", "b", "x"],
         )
     if keep is not None:
         # Of a unit, what lies between its first and last window that no earlier one equals.
@@ -246,13 +249,13 @@ def settle(t: pa.Table, length: int, keep: int | None) -> Iterator[pa.RecordBatc
         fresh = np.flatnonzero(~seen)
         left[piece[fresh]] = (t.column("salt").to_numpy() >= keep)[piece[fresh]]
         low[piece[fresh][::-1]] = local[fresh][::-1]
-        high[piece[fresh]] = local[fresh] + length
+        high[piece[fresh]] = local[fresh] + w[piece[fresh]]
         of = np.flatnonzero(left)
         if len(of):
             x = gather(buf, at[of] + low[of], (high - low)[of])
             yield pa.RecordBatch.from_arrays(
-                [t.column("k").combine_chunks().take(pa.array(of)), t.column("salt").combine_chunks().take(pa.array(of)), rid.take(pa.array(of)), pa.array(a[of] + low[of]), pa.array(a[of] + high[of]), x],
-                names=["k", "salt", "rid", "a", "b", "x"],
+                [*(t.column(c).combine_chunks().take(pa.array(of)) for c in ("k", "salt", "w")), rid.take(pa.array(of)), pa.array(a[of] + low[of]), pa.array(a[of] + high[of]), x],
+                names=["k", "salt", "w", "rid", "a", "b", "x"],
             )
 
 
@@ -268,34 +271,40 @@ def row_id(key: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))
 
 
-def search(given: DataFrame, length: int, words: int, reach: int, bucket: int, used: list[DataFrame]) -> DataFrame:
-    """(rid, a, b) of repeated strings in ``given`` (rid, base, t), with places counted from ``base``, each row a text of its own.
+def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, used: list[DataFrame]) -> DataFrame:
+    """(rid, w, a, b) of repeated strings of w bytes in ``given`` (rid, base, t), each row a text of its own, places counted from ``base``.
 
-    Buckets of over ``bucket`` units are sorted in parts; what is left of one
-    is sorted as a whole, or searched again by a longer key if it is still too large.
+    ``reaches`` gives the reach of anchors for each w; runs of ``words`` words
+    that are shorter than the least w count as strings of that w.  Buckets of over
+    ``bucket`` units are sorted in parts; what is left of one is sorted as a
+    whole, or searched again by a longer key if it is still too large.
     """
-    least = min(length, 2 * words - 1) if words else length
+    short = min(reaches)
+    least = min(short, 2 * words - 1) if words else short
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = buffers(batch.column("t"))
             for i, j in slices(offsets, PART):
-                lo, hi = offsets[i], offsets[j]
-                found = [units(buf[lo:hi], offsets[i : j + 1] - lo, length, reach)]
+                part, places = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                prefix, packed = grams(part)
+                found = [(w, units(prefix, packed, places, w, reach)) for w, reach in reaches.items()]
                 if words:
-                    found.append(short_windows(buf[lo:hi], offsets[i : j + 1] - lo, words, length))
-                for rows, a, b, k in found:
+                    found.append((short, short_windows(part, places, words, short)))
+                for w, (rows, a, b, k) in found:
                     if len(rows):
                         of = pa.array(rows + i)
-                        yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("rid").take(of), batch.column("base").take(of), pa.array(a), pa.array(b)], names=["k", "rid", "base", "a", "b"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(k), pa.array(np.full(len(k), w, "i4")), batch.column("rid").take(of), batch.column("base").take(of), pa.array(a), pa.array(b)], names=["k", "w", "rid", "base", "a", "b"]
+                        )
 
-    dealt = durable(given.where(F.octet_length("t") >= least).mapInArrow(tidy(deal), "k long, rid binary, base long, a long, b long"), "units")
+    dealt = durable(given.where(F.octet_length("t") >= least).mapInArrow(tidy(deal), "k long, w int, rid binary, base long, a long, b long"), "units")
     # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
     shared = durable(dealt.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     hot = F.col("c") > bucket
     salt = F.when(hot, F.pmod(F.xxhash64("rid", "base", "a"), F.ceil(F.col("c") / bucket)).cast("int")).otherwise(F.lit(-1))
     # Lists are of one text each, at most as many as it has units.
-    unit = F.struct("k", salt.alias("salt"), "a", "b")
+    unit = F.struct("k", salt.alias("salt"), "w", "a", "b")
     asked = durable(dealt.join(shared, "k").groupBy("rid", "base").agg(F.collect_set(unit).alias("us")), "asked")
     forget(dealt)
     salted = not shared.where(hot).isEmpty()
@@ -308,16 +317,12 @@ def search(given: DataFrame, length: int, words: int, reach: int, bucket: int, u
             buf, offsets = buffers(batch.column("t"))
             edge, inner = batch.column("us").offsets.to_numpy(), batch.column("us").values
             row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
-            k, salt, a, b = (inner.field(c).to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] for c in ("k", "salt", "a", "b"))
+            k, salt, w, a, b = (inner.field(c).to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] for c in ("k", "salt", "w", "a", "b"))
             base = batch.column("base").to_numpy()[row]
             for i, j in slices(np.append(0, np.cumsum(b - a)), PART):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(k[i:j]), pa.array(salt[i:j].astype("i4")), batch.column("rid").take(pa.array(row[i:j])), pa.array((a + base)[i:j]), pa.array((b + base)[i:j]),
-                        gather(buf, (a + offsets[row])[i:j], (b - a)[i:j]),
-                    ],
-                    names=["k", "salt", "rid", "a", "b", "x"],
-                )
+                x = gather(buf, (a + offsets[row])[i:j], (b - a)[i:j])
+                rid = batch.column("rid").take(pa.array(row[i:j]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (k[i:j], salt[i:j], w[i:j])), rid, pa.array((a + base)[i:j]), pa.array((b + base)[i:j]), x], names=["k", "salt", "w", "rid", "a", "b", "x"])
 
     def sort_parts(of, keep: int | None, by: list[str]):
         """Sorts what ``of`` yields in parts; rows come in order of the columns ``by``, if any, and a part ends with a bucket of these."""
@@ -338,50 +343,51 @@ def search(given: DataFrame, length: int, words: int, reach: int, bucket: int, u
                         same = np.logical_and.reduce([(v := t.column(c).to_numpy()) == v[-1] for c in by])
                         full -= int(same.sum())
                     if full:
-                        yield from settle(t.slice(0, full).combine_chunks(), length, keep)
+                        yield from settle(t.slice(0, full).combine_chunks(), keep, bool(by))
                         held = t.slice(full).to_batches()
                         size = sum(h.nbytes for h in held)
             if held:
-                yield from settle(pa.Table.from_batches(held).combine_chunks(), length, keep)
+                yield from settle(pa.Table.from_batches(held).combine_chunks(), keep, bool(by))
 
         return tidy(run)
 
     def sort(pieces: DataFrame, by: list[str], keep: int | None) -> DataFrame:
         return pieces.repartition(*by).sortWithinPartitions(*by).mapInArrow(sort_parts(iter, keep, by), PIECE)
 
+    spans_of = lambda pieces: pieces.select("rid", "w", "a", "b")
     pieces = texts.mapInArrow(sort_parts(cut, -1, []), PIECE)
     if not salted:
-        return sort(pieces, ["k"], None).select("rid", "a", "b")
+        return spans_of(sort(pieces, ["k"], None))
     pieces = durable(sort(pieces, ["k", "salt"], 0), "sorted")
     used.append(pieces)
-    found, left = pieces.where("x IS NULL").select("rid", "a", "b"), pieces.where("x IS NOT NULL")
+    found, left = spans_of(pieces.where("x IS NULL")), pieces.where("x IS NOT NULL")
     wide = durable(left.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(hot), "wide")
     used.append(wide)
-    again = left.join(wide, "k", "left_semi").where(F.octet_length("x") >= length) if reach > 1 else left.limit(0)
-    found = found.unionByName(sort(left.join(again.select("k").distinct(), "k", "left_anti"), ["k"], None).select("rid", "a", "b"))
-    if again.isEmpty():
-        return found
-    again = again.select("rid", F.col("a").alias("base"), F.col("x").alias("t"))
-    return found.unionByName(search(again, length, 0, max(1, reach // 10), bucket, used))
+    again = left.join(wide, "k", "left_semi").where(F.octet_length("x") >= F.col("w")) if max(reaches.values()) > 1 else left.limit(0)
+    found = found.unionByName(spans_of(sort(left.join(again.select("k").distinct(), "k", "left_anti"), ["k"], None)))
+    for w, reach in reaches.items():
+        mine = again.where(F.col("w") == w)
+        if reach > 1 and not mine.isEmpty():
+            found = found.unionByName(search(mine.select("rid", F.col("a").alias("base"), F.col("x").alias("t")), {w: max(1, reach // 10)}, 0, bucket, used))
+    return found
 
 
-def spans(
-    docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (rid, id, t), spans (rid, spans) with the byte ranges [a, b) to remove.
+def spans(docs: DataFrame, *lengths: int, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows (rid, id, t), spans (rid, spans_w for each length w) with the byte ranges [a, b) to remove.
 
     ``rid`` is a hash of key and text, so equal rows share their spans (each is
-    the other's repeat).  Rows of text shorter than ``length`` have none.  With
-    ``words``, strings of that many words that are shorter than ``length`` are
-    repeats too.
+    the other's repeat).  Rows of text shorter than a length have none.  With
+    ``words``, strings of that many words that are shorter than the least length
+    are repeats of that length too.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
+    if min(lengths) < 2 * GRAM:
+        raise ValueError(f"lengths must be {2 * GRAM} at least")
     given = docs.select(row_id(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     used: list[DataFrame] = []
     whole = given.select("rid", F.lit(0).cast("long").alias("base"), F.col("t").cast("binary").alias("t"))
-    pieces = search(whole, length, words, min(max(1, length * 3 // 4), length - GRAM), bucket, used)
-    found = durable(pieces.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    pieces = search(whole, {w: min(max(1, w * 3 // 4), w - GRAM) for w in lengths}, words, bucket, used)
+    held = [F.collect_set(F.when(F.col("w") == w, F.struct("a", "b"))).alias(f"spans_{w}") for w in lengths]
+    found = durable(pieces.groupBy("rid").agg(*held), "spans")
     for done in used:
         forget(done)
     return given, found
@@ -398,7 +404,7 @@ def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
-def _ranges(b: pa.RecordBatch, name: str = "spans") -> Iterator[tuple[np.ndarray, list[tuple[int, int]], bytes]]:
+def _ranges(b: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, list[tuple[int, int]], bytes]]:
     """(bytes, ranges removed, bytes kept) of each row of (t, spans)."""
     buf, offsets = buffers(b.column("t"))
     column = b.column(name)
@@ -422,23 +428,21 @@ DIGESTS = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()
 def digests(docs: DataFrame, length: int = 400, *, passage: int = 0, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
-    With ``passage``, also what a search for strings of ``passage`` bytes, or of
-    ``words`` words where these are shorter, finds: n_passage_bytes, and the text
-    without them.  Texts are UTF-8 bytes, null counts as empty.  Repeated rows are
-    rows of their own, and repeats of each other.  An empty table gives an empty result.
+    With ``passage``, also what strings of ``passage`` bytes, or of ``words``
+    words where these are shorter, cover that also start elsewhere: n_passage_bytes,
+    and the text without them.  Texts are UTF-8 bytes, null counts as empty.
+    Repeated rows are rows of their own, and repeats of each other.  An empty table
+    gives an empty result.
     """
-    given, found = spans(docs, length, key=key, text=text, bucket=bucket)
-    if passage:
-        _, more = spans(docs, passage, words=words, key=key, text=text, bucket=bucket)
-        found = found.join(more.withColumnRenamed("spans", "passages"), "rid", "full")
+    given, found = spans(docs, length, *([passage] if passage else []), words=words, key=key, text=text, bucket=bucket)
     names = list(DIGESTS)[: None if passage else 4]
     kind = given.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(t), sum(y - x for x, y in cut), len(cut), hashlib.sha256(kept).hexdigest()) for t, cut, kept in _ranges(b)]
+            rows = [(len(t), sum(y - x for x, y in cut), len(cut), hashlib.sha256(kept).hexdigest()) for t, cut, kept in _ranges(b, f"spans_{length}")]
             if passage:
-                rows = [(*row, len(t) - len(kept), kept.decode("utf-8", "ignore")) for row, (t, _, kept) in zip(rows, _ranges(b, "passages"), strict=True)]
+                rows = [(*row, len(t) - len(kept), kept.decode("utf-8", "ignore")) for row, (t, _, kept) in zip(rows, _ranges(b, f"spans_{passage}"), strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, DIGESTS[n]) for n, c in zip(names, columns, strict=True))], names=["id", *names])
 
@@ -453,14 +457,14 @@ def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "do
     """
     _, found = spans(docs, length, words=words, key=key, text=text)
     names = docs.columns
-    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
+    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.select(F.col("rid").alias("_rid"), F.col(f"spans_{length}").alias("_spans")), "_rid", "left")
     inner = joined.select(F.struct(*names).alias("row"), F.col(text).alias("t"), F.col("_spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column("row")
             old = row.field(names.index(text))
-            new = [None if was is None else kept.decode("utf-8", "ignore") for was, (_, _, kept) in zip(old.to_pylist(), _ranges(b), strict=True)]
+            new = [None if was is None else kept.decode("utf-8", "ignore") for was, (_, _, kept) in zip(old.to_pylist(), _ranges(b, "spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else row.field(i) for i, c in enumerate(names)], names=names)
 
     return inner.mapInArrow(tidy(run), docs.schema)
