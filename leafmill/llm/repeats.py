@@ -20,6 +20,7 @@ last by whole windows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -271,13 +272,13 @@ def row_id(key: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("\0null")), F.lit("\0"), F.coalesce(text, F.lit(""))).cast("binary")))
 
 
-def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, used: list[DataFrame]) -> DataFrame:
+def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int) -> DataFrame:
     """(rid, w, a, b) of repeated strings of w bytes in ``given`` (rid, base, t), each row a text of its own, places counted from ``base``.
 
     ``reaches`` gives the reach of anchors for each w; runs of ``words`` words
-    that are shorter than the least w count as strings of that w.  Buckets of over
-    ``bucket`` units are sorted in parts; what is left of one is sorted as a
-    whole, or searched again by a longer key if it is still too large.
+    that are shorter than the least w count as strings of that w.  Units of all
+    lengths are dealt in one pass over the texts, and sorted one length after the
+    other, which keeps what lies on disk at once small.
     """
     short = min(reaches)
     least = min(short, 2 * words - 1) if words else short
@@ -299,6 +300,22 @@ def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, u
                         )
 
     dealt = durable(given.where(F.octet_length("t") >= least).mapInArrow(tidy(deal), "k long, w int, rid binary, base long, a long, b long"), "units")
+    found = []
+    for w, reach in reaches.items():
+        used: list[DataFrame] = []
+        found.append(durable(solve(given, dealt.where(F.col("w") == w), w, reach, bucket, used), "found"))
+        for table in used:
+            forget(table)
+    forget(dealt)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def solve(given: DataFrame, dealt: DataFrame, w: int, reach: int, bucket: int, used: list[DataFrame]) -> DataFrame:
+    """(rid, w, a, b) of repeated strings of w bytes, from the units that ``search`` has ``dealt``.
+
+    Buckets of over ``bucket`` units are sorted in parts; what is left of one is
+    sorted as a whole, or searched again by a longer key if it is still too large.
+    """
     # Sums are written before they are joined: a join right above its own sum can't be split where a key is hot.
     shared = durable(dealt.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     hot = F.col("c") > bucket
@@ -306,7 +323,6 @@ def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, u
     # Lists are of one text each, at most as many as it has units.
     unit = F.struct("k", salt.alias("salt"), "w", "a", "b")
     asked = durable(dealt.join(shared, "k").groupBy("rid", "base").agg(F.collect_set(unit).alias("us")), "asked")
-    forget(dealt)
     salted = not shared.where(hot).isEmpty()
     forget(shared)
     used.append(asked)
@@ -336,7 +352,7 @@ def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, u
                     batch = batch.filter(batch.column("x").is_valid())
                 held.append(batch)
                 size += batch.nbytes
-                if size > 8 * PART:
+                if size > 4 * PART:
                     t = pa.Table.from_batches(held)
                     full = t.num_rows
                     if by:  # the last bucket may go on in the next batch
@@ -363,13 +379,13 @@ def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int, u
     found, left = spans_of(pieces.where("x IS NULL")), pieces.where("x IS NOT NULL")
     wide = durable(left.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(hot), "wide")
     used.append(wide)
-    again = left.join(wide, "k", "left_semi").where(F.octet_length("x") >= F.col("w")) if max(reaches.values()) > 1 else left.limit(0)
+    again = left.join(wide, "k", "left_semi").where(F.octet_length("x") >= w) if reach > 1 else left.limit(0)
     found = found.unionByName(spans_of(sort(left.join(again.select("k").distinct(), "k", "left_anti"), ["k"], None)))
-    for w, reach in reaches.items():
-        mine = again.where(F.col("w") == w)
-        if reach > 1 and not mine.isEmpty():
-            found = found.unionByName(search(mine.select("rid", F.col("a").alias("base"), F.col("x").alias("t")), {w: max(1, reach // 10)}, 0, bucket, used))
-    return found
+    if again.isEmpty():
+        return found
+    more = search(again.select("rid", F.col("a").alias("base"), F.col("x").alias("t")), {w: max(1, reach // 10)}, 0, bucket)
+    used.append(more)
+    return found.unionByName(more)
 
 
 def spans(docs: DataFrame, *lengths: int, words: int = 0, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -383,13 +399,11 @@ def spans(docs: DataFrame, *lengths: int, words: int = 0, key: str = "doc_id", t
     if min(lengths) < 2 * GRAM:
         raise ValueError(f"lengths must be {2 * GRAM} at least")
     given = docs.select(row_id(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    used: list[DataFrame] = []
     whole = given.select("rid", F.lit(0).cast("long").alias("base"), F.col("t").cast("binary").alias("t"))
-    pieces = search(whole, {w: min(max(1, w * 3 // 4), w - GRAM) for w in lengths}, words, bucket, used)
+    pieces = search(whole, {w: min(max(1, w * 3 // 4), w - GRAM) for w in lengths}, words, bucket)
     held = [F.collect_set(F.when(F.col("w") == w, F.struct("a", "b"))).alias(f"spans_{w}") for w in lengths]
     found = durable(pieces.groupBy("rid").agg(*held), "spans")
-    for done in used:
-        forget(done)
+    forget(pieces)
     return given, found
 
 
