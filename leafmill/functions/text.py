@@ -60,10 +60,15 @@ def in_fence(keys: list[str], line: str = "line") -> Column:
     return fence | (F.sum(fence.cast("int")).over(window) % 2 == 1)
 
 
+def base_name(path: Column) -> Column:
+    """File name without its folder."""
+    return F.regexp_extract(path, "([^/\\\\]*)$", 1)
+
+
 def safe_stem(path: Column) -> Column:
-    """File name without folder and extension, signs that file systems refuse as underscores."""
-    base = F.regexp_extract(path, "([^/\\\\]*)$", 1)
-    return F.regexp_replace(F.regexp_replace(base, "(?<=.)\\.[^.]*$", ""), '[<>:"/\\\\|?*]', "_")
+    """File name without folder and extension, signs that file systems refuse as underscores; "output" if nothing is left."""
+    stem = strip(F.regexp_replace(F.regexp_replace(base_name(path), "(?<=.)\\.[^.]*$", ""), '[<>:"/\\\\|?*]', "_"))
+    return F.coalesce(F.nullif(stem, F.lit("")), F.lit("output"))
 
 
 def extension(path: Column) -> Column:
@@ -101,19 +106,29 @@ def strip_markdown(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), row), lambda x: x.isNotNull()), "\n")
 
 
+# What stands for what in RTF source, in this order; \\u is followed by a UTF-16 unit as a signed number.
+RTF = (
+    ("(?s)\\{\\\\(?:fonttbl|colortbl|stylesheet|info|pict|\\*)[^{}]*(?:\\{[^{}]*\\}[^{}]*)*\\}", ""),
+    ("\\\\(?:par|line|sect)(?![a-z])", "\n"),
+    ("\\\\page(?![a-z])", "\n\n"),
+    ("\\\\tab(?![a-z])", "\t"),
+    ("\\\\'[0-9a-fA-F]{2}", ""),
+    ("\\\\[a-zA-Z]+-?\\d* ?", ""),
+    ("[{}]", ""),
+    ("\\\\(.)", "$1"),
+    ("\n{3,}", "\n\n"),
+)
+RTF_UNIT = "\\\\u(-?\\d{1,5})\\s?\\??"
+
+
 def strip_rtf(c: Column) -> Column:
-    """Text of RTF source by patterns: groups without text go, paragraph marks become line ends, control words go."""
-    for pattern, new in (
-        ("(?s)\\{\\\\(?:fonttbl|colortbl|stylesheet|info|pict|\\*)[^{}]*(?:\\{[^{}]*\\}[^{}]*)*\\}", ""),
-        ("\\\\(?:par|line|sect)(?![a-z])", "\n"),
-        ("\\\\page(?![a-z])", "\n\n"),
-        ("\\\\tab(?![a-z])", "\t"),
-        ("\\\\u(-?\\d+)\\s?\\??", ""),
-        ("\\\\'[0-9a-fA-F]{2}", ""),
-        ("\\\\[a-zA-Z]+-?\\d* ?", ""),
-        ("[{}]", ""),
-        ("\\\\(.)", "$1"),
-        ("\n{3,}", "\n\n"),
-    ):
+    """Text of RTF source by patterns: groups without text go, paragraph marks become line ends, control words go.
+
+    Numbered characters are decoded one by one, so one of two UTF-16 units becomes two replacement signs.
+    """
+    unit = lambda n: F.lpad(F.hex(F.pmod(n.cast("long"), F.lit(65536))), 4, "0")
+    signs = F.transform(F.regexp_extract_all(c, F.lit(RTF_UNIT), F.lit(1)), lambda n: F.decode(F.unhex(unit(n)), "UTF-16BE"))
+    c = F.array_join(F.zip_with(F.split(c, RTF_UNIT, -1), signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    for pattern, new in RTF:
         c = F.regexp_replace(c, pattern, new)
     return strip(c)

@@ -54,10 +54,10 @@ def section_parts(body: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
     return F.when(F.size(words(body)) <= size, F.array(body)).otherwise(folded)
 
 
-def section_chunks(sections: DataFrame, doc: str = "doc_id", order: str = "sec_no", body: str = "body", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc, order, k, chunk) of sections that aren't blank."""
+def section_chunks(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, *, doc: str = "doc_id", order: str = "sec_no", body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """(doc, order, ``keep``, k, chunk) of sections that aren't blank; null bodies are blank."""
     text = strip(F.col(body))
-    return sections.where(text != "").select(doc, order, F.posexplode(section_parts(text, size, overlap)).alias("k", "chunk"))
+    return sections.where(text != "").select(doc, order, *(keep or []), F.posexplode(section_parts(text, size, overlap)).alias("k", "chunk"))
 
 
 def numbered(chunks: DataFrame, doc: str, order: list[str], stem: Column) -> DataFrame:
@@ -73,3 +73,9 @@ def page_plan(docs: DataFrame, doc: str, pages: str, size: int = 30) -> DataFram
     return docs.select(doc, F.posexplode(starts).alias("chunk_no", "first"), F.col(pages).alias("_n")).select(
         doc, "chunk_no", "first", F.least(F.col("first") + size, F.col("_n")).alias("last")
     )
+
+
+def sidecar_text(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_no", text: str = "text") -> DataFrame:
+    """(doc, text): texts of the chunks of a document in order, parted by form feeds; null counts as empty."""
+    parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("t"))))
+    return chunks.groupBy(doc).agg(F.array_join(F.transform(parts, lambda c: c["t"]), "\f").alias("text"))

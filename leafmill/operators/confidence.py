@@ -53,6 +53,42 @@ def ragged_label(ragged: Column, rows: Column) -> Column:
     return F.when(ratio > 0.2, "Low").when(ratio > 0, "Medium").otherwise("High")
 
 
+def accuracy_label(accuracy: Column) -> Column:
+    """Label of a table from the accuracy in percent that its reader gives; without one it is Medium."""
+    return F.when(accuracy >= 85, "High").when(accuracy >= 60, "Medium").when(accuracy.isNull(), "Medium").otherwise("Low")
+
+
+def workbook_label(ragged: Column, rows: Column) -> Column:
+    """Label of a sheet by its share of ragged rows."""
+    return F.when(ragged == 0, "High").when(ragged / F.greatest(rows, F.lit(1)) < 0.1, "Medium").otherwise("Low")
+
+
+def worst_page(label: Column) -> Column:
+    """Aggregate over pages: the worst label, where an unknown one ranks as a failure and N/A as the best."""
+    order = F.when(label == "N/A", 4).otherwise(F.coalesce(F.nullif(rank(label), F.lit(4)), F.lit(0)))
+    return F.min_by(label, order)
+
+
+# Exit codes of the tool that adds a text layer, and what they say of text, OCR and the whole.
+EXITS = {
+    "ok": ("High", "High", "High", False, None), "pdfa_conversion_failed": ("High", "High", "Medium", False, "PDF/A conversion failed but OCR text layer was added."),
+    "already_done_ocr": ("High", "N/A", "High", False, None), "some_pages_had_errors": ("Medium", "Medium", "Medium", True, "Some pages could not be OCR'd. Review the output."),
+}
+
+
+def exit_confidence(code: Column) -> Column:
+    """struct(text_extraction, ocr_confidence, overall, manual_review_recommended, warning) of an exit code; the other dimensions are N/A."""
+    def row(text: str, ocr: str, overall: str, review: bool, warning: Column) -> Column:
+        return F.struct(
+            F.lit(text).alias("text_extraction"), F.lit(ocr).alias("ocr_confidence"), F.lit(overall).alias("overall"), F.lit(review).alias("manual_review_recommended"), warning.cast("string").alias("warning")
+        )
+
+    out = row("Low", "Low", "Low", True, F.concat(F.lit("ocrmypdf returned exit code: "), F.coalesce(code, F.lit("none"))))
+    for name, (text, ocr, overall, review, warning) in EXITS.items():
+        out = F.when(code == name, row(text, ocr, overall, review, F.lit(warning))).otherwise(out)
+    return out
+
+
 def aggregate(results: DataFrame, *by: str) -> DataFrame:
     """Worst label of each dimension, whether any asks for review, and all warnings in order of the key ``file``."""
     return results.groupBy(*by).agg(

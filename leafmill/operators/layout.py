@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.functions.text import escape_html
+
 KEYS = ["doc_id", "page_no"]
 
 
@@ -78,6 +80,39 @@ def line_confidence(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*KEYS, "line_no").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"))
 
 
+def text_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks (kind, text) that are text (kind 0) and aren't blank."""
+    return blocks.where((F.col("kind") == 0) & (F.trim("text") != ""))
+
+
+def numbered_lines(words: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_num, text, conf): words by the line number that their reader gives, in order, with their mean confidence.
+
+    Numbers of different blocks that are equal are one line.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("word_id", "text")))
+    return words.groupBy(*KEYS, "line_num").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.avg("conf").alias("conf"))
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text): text of blocks with col_no, column by column from left to right and each from top to bottom."""
+    ordered = F.array_sort(F.collect_list(F.struct("col_no", "y0", "block_no", "text")))
+    return blocks.groupBy(*KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def mark_headings(pages: DataFrame, headings: DataFrame) -> DataFrame:
+    """Pages with the lines that ``heading_levels`` found marked as headings; of equal texts the last level counts."""
+    last = headings.groupBy(*KEYS, "text").agg(F.max_by("level", "line_id").alias("level"))
+    held = last.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("text", "level"))).alias("_levels"))
+
+    def marked(line: Column) -> Column:
+        level = F.try_element_at("_levels", F.trim(line))
+        return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.trim(line))).otherwise(line)
+
+    text = F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n")
+    return pages.join(held, KEYS, "left").withColumn("text", F.when(F.col("_levels").isNotNull(), text).otherwise(F.col("text"))).select(*pages.columns)
+
+
 def captions(images: DataFrame, blocks: DataFrame, gap: float = 46.0, overlap: float = 0.25, limit: int = 200) -> DataFrame:
     """(doc_id, page_no, image_id, caption): the nearest caption block above or below each image.
 
@@ -151,8 +186,6 @@ def hocr(words: DataFrame, width: int, height: int) -> DataFrame:
     """(doc_id, page_no, hocr): words as hOCR spans, boxes within the page, empty boxes left out."""
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top), F.col(c).cast("int")))
     w = words.select(*KEYS, "word_id", "text", "conf", clamp("l", width).alias("l"), clamp("t", height).alias("t"), clamp("r", width).alias("r"), clamp("b", height).alias("b")).where("r > l AND b > t")
-    from leafmill.functions.text import escape_html
-
     span = F.format_string("<span class='ocrx_word' title='bbox %d %d %d %d; x_wconf %d'>%s</span>", "l", "t", "r", "b", (F.col("conf") * 100).cast("int"), escape_html(F.col("text")))
     return w.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", span.alias("s")))), lambda x: x["s"]), "\n").alias("hocr"))
 

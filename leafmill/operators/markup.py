@@ -135,3 +135,30 @@ def clean_glyphs(text: Column) -> Column:
     out = F.translate(text, "".join(source), "".join(shown))
     out = F.regexp_replace(out, f"[{BREAKS}]", "\n\n---\n\n")
     return F.regexp_replace(out, "(?i)<!--\\s*image\\s*-->", "*[image]*")
+
+
+# Marks within a line.
+INLINE = {"list_bullet": "^(\\s*)([-*]|\\d+\\.)\\s", "inline_code": "`([^`]+)`", "bold": "\\*\\*([^*]+)\\*\\*", "link": "\\[([^\\]]+)\\]\\([^)]+\\)"}
+
+
+def spans(line: Column, kind: str) -> Column:
+    """array of struct(start, end): where marks of a kind stand in a line, in signs from 0."""
+    pattern = INLINE[kind]
+    before = F.transform(F.split(line, pattern, -1), F.length)
+    inside = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.length)
+    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, p: Column) -> Column:
+        end = s["at"] + p["a"] + p["b"]
+        return F.struct(F.concat(s["out"], F.array(F.struct((s["at"] + p["a"]).alias("start"), end.alias("end")))).alias("out"), end.alias("at"))
+
+    pairs = F.zip_with(F.slice(before, F.lit(1), F.size(inside)), inside, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
+def page_anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Docs with rules made into page marks: each line of dashes begins the next page, and page 1 is marked at the start."""
+    mark = lambda n: F.format_string('<a id="page-%d"></a>', n)
+    parts = F.split(F.col(text), "(?m)^-{3,}\\s*$", -1)
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(mark(i + 1), F.when(i > 0, F.concat(F.lit("\n\n---\n"), F.format_string("*Page %d*", i + 1))).otherwise("\n"), p)), "")
+    return docs.withColumn(text, joined)

@@ -41,6 +41,30 @@ def text_by_layer(texts: DataFrame, layer: str = "layer") -> DataFrame:
     return texts.groupBy(layer).agg(F.transform(rows, lambda r: r["text"]).alias("texts"))
 
 
+def layer_counts(layers: DataFrame, entities: DataFrame) -> DataFrame:
+    """Layers (layer, ...) with the number of their entities (layer, ...), 0 for none; those with most first, then by name."""
+    counts = entities.groupBy(F.trim("layer").alias("layer")).agg(F.count(F.lit(1)).alias("entities"))
+    out = layers.join(counts, "layer", "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
+    return out.orderBy(F.desc("entities"), F.lower("layer"))
+
+
+def line_confidence_class(line: Column, table: Column, image: Column, text: Column, overall: Column) -> Column:
+    """Class of a preview line: the label of tables, pictures or text by how it begins, the whole document's where that is N/A; null for a blank line."""
+    level = lambda c: F.when(F.lower(c) == "high", "conf_high").when(F.lower(c).isin("medium", "moderate"), "conf_medium")
+    s = F.trim(line)
+    own = F.when(F.startswith(s, F.lit("|")), table).when(F.startswith(s, F.lit("![")) | F.startswith(s, F.lit("\U0001f5bc")), image).otherwise(text)
+    own = F.when(F.coalesce(own, F.lit("")).isin("N/A", "n/a", ""), overall).otherwise(own)
+    known = F.coalesce(level(own), F.when(F.lower(own).isin("low", "failed"), "conf_low"), level(overall), F.lit("conf_low"))
+    return F.when(s != "", known)
+
+
+def misspelled(docs: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, word, n): words of three letters or more, in lower case, that aren't in the dictionary (word); counted before they are compared."""
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.col(text), F.lit("[a-zA-Z']{3,}"), F.lit(0))).alias("w"))
+    counts = found.groupBy("doc_id", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(dictionary.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").select("doc_id", "word", "n")
+
+
 def chunk_outcome(codes: DataFrame, by: str, code: str = "code", ok: int = 0, partial: int = 1) -> DataFrame:
     """(by, total, done, part, failed, overall): outcome of a document from the codes of its chunks, null or -1 for a failed one."""
     c = F.col(code)
@@ -51,10 +75,10 @@ def chunk_outcome(codes: DataFrame, by: str, code: str = "code", ok: int = 0, pa
     return counts.withColumn("overall", overall)
 
 
-def batch_totals(results: DataFrame, status: str = "status") -> DataFrame:
-    """One row: total, completed, skipped and failed files."""
+def batch_totals(results: DataFrame, status: str = "status", by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group: total, completed, skipped and failed files."""
     s = F.col(status)
-    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "ok").alias("completed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s.startswith("failed")).alias("failed"))
+    return results.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "ok").alias("completed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s.startswith("failed")).alias("failed"))
 
 
 def elapsed(seconds: Column) -> Column:

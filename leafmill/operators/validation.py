@@ -135,6 +135,19 @@ def broken_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return links.join(there, [key, "anchor"], "left_anti").select(key, "label", "anchor")
 
 
+def issues(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, issues): what is wrong with the headings of a document in their order, then its broken links by text."""
+    jumps = heading_jumps(docs, key, text).select(key, F.struct(F.lit(0).alias("part"), F.col("pos").alias("pos"), F.col("issue").alias("issue")).alias("i"))
+    broken = F.format_string("Broken anchor: [%s](#%s)", "label", "anchor")
+    links = broken_links(docs, key, text).select(key, F.struct(F.lit(1).alias("part"), F.lit(0).alias("pos"), broken.alias("issue")).alias("i"))
+    return jumps.unionByName(links).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["issue"]).alias("issues"))
+
+
+def all_issues(found: DataFrame, key: str = "doc_id", *by: str) -> DataFrame:
+    """(by, issues): issues of all documents of a group in order of their keys; the groups of a report are small."""
+    return found.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, "issues"))), lambda x: x["issues"])).alias("issues"))
+
+
 def roll_up(validated: DataFrame, *by: str) -> DataFrame:
     """Sums of counts and the mean of grades over zero, with its label, for each group."""
     names = ["heading_count", "table_count", "image_count", "page_count", "link_count", "word_count"]

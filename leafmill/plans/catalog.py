@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import chunking, confidence, layout, postprocess, rules, validation
-from leafmill.plans import builders, structure
+from leafmill.operators import chunking, confidence, layout, postprocess, rules, tables, validation
+from leafmill.plans import builders, extras, structure
 from leafmill.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,14 +95,40 @@ def doc_validation_by_lang(spark, d):
     return validation.roll_up(validation.validated(_md(spark, d)), "lang")
 
 
-@query("SELECT doc_id, 10 AS pos, 'H1 jumps to H3 (skipped H2)' AS issue FROM documents")
+JUMPS_SQL = r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, e'\n') AS ls FROM documents)),
+h AS (SELECT doc_id, pos, length(line) % 5 + 1 AS level FROM l WHERE regexp_matches(line, '^[a-zA-Z]') AND length(line) % 7 < 3),
+j AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM h)
+SELECT doc_id, pos::INTEGER AS pos, 'H' || last || ' jumps to H' || level || ' (skipped H' || (last + 1) || ')' AS issue FROM j WHERE level > last + 1"""
+
+
+def _headed(spark, d) -> DataFrame:
+    """Documents in which lines of some lengths are headings, of a level by their length."""
+    line = lambda x: F.when(x.rlike("^[a-zA-Z]") & (F.length(x) % 7 < 3), F.concat(F.repeat(F.lit("#"), F.length(x) % 5 + 1), F.lit(" "), x)).otherwise(F.regexp_replace(x, "^[#`-]+", ""))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+
+
+@query(JUMPS_SQL)
 def heading_jumps(spark, d):
-    return validation.heading_jumps(_md(spark, d))
+    return validation.heading_jumps(_headed(spark, d))
 
 
-@query("SELECT doc_id, 'gone' AS label, 'page-9' AS anchor FROM documents")
+@query(
+    "WITH i AS (" + JUMPS_SQL + """), g AS (SELECT doc_id, list(issue ORDER BY pos) AS issues FROM i GROUP BY doc_id)
+SELECT source, sum(len(issues))::BIGINT AS n, md5(string_agg(array_to_string(issues, ';'), ';' ORDER BY doc_id)) AS md5 FROM g JOIN documents USING (doc_id) GROUP BY source"""
+)
+def issues_by_source(spark, d):
+    found = validation.issues(_headed(spark, d)).join(_t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return validation.all_issues(found, "doc_id", "source").select("source", F.size("issues").cast("long").alias("n"), F.md5(F.array_join("issues", ";")).alias("md5"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest(['page-' || (doc_id % 4), 'top', 'part-' || (doc_id % 3), 'one-two']) AS anchor, unnest(['a', 'b', 'c', 'd']) AS label FROM documents)
+SELECT doc_id, label, anchor FROM t WHERE anchor NOT IN ('page-1', 'page-2', 'part-1', 'one-two')"""
+)
 def broken_links(spark, d):
-    return validation.broken_links(_md(spark, d))
+    links = F.format_string("[a](#page-%d) [b](#top) [c](#part-%d) [d](#one-two)\n", F.col("doc_id") % 4, F.col("doc_id") % 3)
+    marks = F.lit('<a id="page-1"></a> <A ID="page-2"></a>\n\n# Part 1\n\n## One, two!\n\n```\n# Top\n```\n')
+    return validation.broken_links(_t(spark, d, "documents").select("doc_id", F.concat(links, marks, F.regexp_replace("text", "[\\[#`]", "")).alias("text")))
 
 
 @query(r"SELECT conv_id AS doc_id, turn AS page_no FROM conversations WHERE length(regexp_replace(text, '\s', '', 'g')) >= 60")
@@ -146,7 +172,23 @@ def code_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(postprocess.is_code_line(F.col("line"))).alias("code_lines"), F.count(F.lit(1)).alias("lines"))
 
 
-@query()
+_CODE_SQL = r"(?m)(?:import\s+[\w.]+|from\s+[\w.]+\s+import|def\s+\w+\s*\(|class\s+\w+[\s:(]|function\s+\w+\s*\(|const\s+\w+\s*=|var\s+\w+\s*=|let\s+\w+\s*=|#include\s*[<\"]|public\s+(?:static|class|void|int|String)|if\s*\(.+\)\s*\{|for\s*\(.+\)\s*\{|while\s*\(.+\)\s*\{|return\s+.+;|^\s*[{}];?\s*$)"
+_LANGUAGE_SQL = " ".join(f"WHEN regexp_matches(x, '{pattern}') THEN '{name}'" for name, pattern in postprocess.LANGUAGES)
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text || e'\n\ndef f(x):\n    y = x + 1\n    return y;\n\nEnd.', e'\n') AS ls FROM documents)),
+t AS (SELECT *, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM l),
+f AS (SELECT *, starts_with(t, '```') AS fence, sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS open FROM t),
+k AS (SELECT *, CASE WHEN fence OR open THEN 't' WHEN t = '' THEN 'b' WHEN starts_with(line, '    ') OR starts_with(line, e'\t') OR regexp_matches(t, '@code') OR (length(t) > 5 AND length(regexp_replace(t, '[^{}();\[\]<>=!&|^~@#$]', '', 'g'))::DOUBLE / length(t) > 0.15) THEN 'c' ELSE 't' END AS k FROM f),
+i AS (SELECT *, k = 'c' OR (k = 'b' AND coalesce(last_value(CASE WHEN k <> 'b' THEN k = 'c' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), false)) AS inside FROM k),
+e AS (SELECT *, coalesce(inside <> lag(inside) OVER (PARTITION BY doc_id ORDER BY pos), true) AS edge FROM i),
+r AS (SELECT *, sum(edge::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM e),
+g AS (SELECT *, max(pos) FILTER (k = 'c') OVER (PARTITION BY doc_id, run) AS last FROM r),
+p AS (SELECT doc_id, run, count(*) FILTER (k = 'c' AND inside) >= 3 AS fenced, string_agg(line, e'\n' ORDER BY pos) AS x FROM g WHERE NOT inside OR pos <= last GROUP BY doc_id, run),
+d AS (SELECT doc_id, string_agg(CASE WHEN fenced THEN '```' || CASE @languages ELSE '' END || e'\n' || x || e'\n```' ELSE x END, e'\n' ORDER BY run) AS text FROM p GROUP BY doc_id)
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^```'))::INTEGER AS fences, md5(text) AS md5 FROM d""".replace("@code", _CODE_SQL).replace("@languages", _LANGUAGE_SQL)
+)
 def code_blocks(spark, d):
     text = F.concat("text", F.lit("\n\ndef f(x):\n    y = x + 1\n    return y;\n\nEnd."))
     pages = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), text.alias("text"))
@@ -243,45 +285,138 @@ def chunk_stats(spark, d):
     return parts.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.size(F.split("chunk", " "))).alias("longest"))
 
 
-def _sections(spark, d):
+def _whole(spark, d) -> DataFrame:
+    """Documents as one section each, their lines as paragraphs."""
     body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return _t(spark, d, "documents").select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("sec_no"), F.concat(F.lit("## Part "), "doc_id").alias("heading"), body.alias("body"), F.floor(F.col("doc_id") / 50).cast("int").alias("page_number")
+    return _t(spark, d, "documents").select("doc_id", F.lit(0).alias("sec_no"), F.lit("## Whole").alias("heading"), body.alias("body"), F.lit(1).alias("page_number"))
+
+
+def _sections(spark, d) -> DataFrame:
+    """Lines of documents as sections, every third with a heading, two to a page."""
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("sec_no", "body"))
+    heading = F.when(F.col("sec_no") % 3 == 0, F.concat(F.lit("## Part "), "sec_no")).otherwise("")
+    return lines.select("doc_id", "sec_no", heading.alias("heading"), "body", (F.floor(F.col("sec_no") / 2) + 1).cast("int").alias("page_number"))
+
+
+def _outputs(spark, d, sections: DataFrame) -> DataFrame:
+    """Documents with their sections, a confidence for two of three, contents, pictures and a warning."""
+    n = F.col("doc_id") % 3
+    label = F.when(n == 0, "High").otherwise("Medium")
+    confidence_ = F.when(
+        n < 2, F.struct(label.alias("overall"), *[label.alias(x) for x in confidence.DIMENSIONS], (n == 1).alias("manual_review_recommended"), F.array().cast("array<string>").alias("notes"), F.array(F.lit("w")).alias("warnings"))
     )
+    toc = F.array(F.struct(F.lit(1).alias("level"), F.lit("Part 0").alias("title"), F.lit(1).alias("page")), F.struct(F.lit(2).alias("level"), F.lit("More").alias("title"), F.lit(None).cast("int").alias("page")))
+    docs = _t(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("in/"), "source", F.lit("/doc"), "doc_id", F.lit(".pdf")).alias("source_file"), F.lit("spark").alias("engine"), confidence_.alias("confidence"), toc.alias("toc"),
+        F.array(F.lit("assets/a.png")).alias("assets"), F.array(F.lit("slow")).alias("warnings"),
+    )
+    return builders.assemble(sections, docs)
+
+
+PACK_SQL = r"""
+WITH RECURSIVE s AS (SELECT doc_id, regexp_replace(replace(text, e'\n', e'\n\n'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body FROM documents),
+w AS (SELECT doc_id, body, list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '') AS ws,
+  list_filter(list_transform(regexp_split_to_array(body, '\n\n+'), lambda p: list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')), lambda p: len(p) > 0) AS ps FROM s),
+f(doc_id, i, done, now) AS (
+  SELECT doc_id, 0, []::VARCHAR[], []::VARCHAR[] FROM w WHERE len(ws) > 512
+  UNION ALL
+  SELECT doc_id, i + 1,
+    list_concat(CASE WHEN len(now) > 0 AND len(now) + len(p) > 512 THEN list_append(done, array_to_string(now, ' ')) ELSE done END,
+      CASE WHEN len(p) > 512 THEN [array_to_string(list_concat(CASE WHEN k = 0 THEN now[-50:] ELSE p[k - 49:k] END, p[k + 1:k + 512]), ' ') for k in range(0, len(p), 512)] ELSE []::VARCHAR[] END),
+    CASE WHEN len(p) > 512 THEN p[-50:] WHEN len(now) > 0 AND len(now) + len(p) > 512 THEN list_concat(now[-50:], p) ELSE list_concat(now, p) END
+  FROM (SELECT f.*, ps[i + 1] AS p FROM f JOIN w USING (doc_id) WHERE i < len(ps))),
+parts AS (SELECT doc_id, CASE WHEN len(now) > 0 THEN list_append(done, array_to_string(now, ' ')) ELSE done END AS cs FROM f JOIN w USING (doc_id) WHERE i = len(ps)
+  UNION ALL SELECT doc_id, [body] FROM w WHERE len(ws) BETWEEN 1 AND 512),
+c AS (SELECT doc_id, unnest(cs) AS chunk, unnest(range(len(cs)))::INTEGER AS k, len(cs) AS total FROM parts)
+"""
 
 
-@query()
+@query(PACK_SQL + r"SELECT doc_id, 0 AS sec_no, k, len(list_filter(regexp_split_to_array(chunk, '\s+'), lambda x: x <> ''))::INTEGER AS n_words, md5(chunk) AS md5 FROM c")
 def section_chunks(spark, d):
-    return chunking.section_chunks(_sections(spark, d)).select("doc_id", "sec_no", "k", F.size(F.split("chunk", "\\s+")).alias("n_words"), F.md5("chunk").alias("md5"))
+    return chunking.section_chunks(_whole(spark, d)).select("doc_id", "sec_no", "k", F.size(F.split("chunk", "\\s+")).alias("n_words"), F.md5("chunk").alias("md5"))
 
 
-@query()
+@query(
+    PACK_SQL
+    + """SELECT doc_id, k AS chunk_index, 'doc' || doc_id || '_chunk_' || lpad(k::VARCHAR, 4, '0') AS id, md5(chunk) AS md5, 'doc' || doc_id || '.pdf' AS source, total::INTEGER AS total, 1 AS page,
+  'Whole' AS heading, CASE doc_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' END AS confidence FROM c"""
+)
 def chunk_records(spark, d):
-    return builders.chunk_records(_sections(spark, d), F.col("doc_id"), F.concat("doc_id", F.lit(".pdf")))
+    """Records as JSON lines, read back."""
+    schema = "id string, text string, metadata struct<source:string, chunk_index:int, total_chunks:int, page:int, heading:string, confidence:string>"
+    r = builders.chunk_records(_outputs(spark, d, _whole(spark, d))).select("doc_id", "chunk_index", F.from_json("json", schema).alias("r"))
+    return r.select("doc_id", "chunk_index", "r.id", F.md5("r.text").alias("md5"), "r.metadata.source", F.col("r.metadata.total_chunks").alias("total"), "r.metadata.page", "r.metadata.heading", "r.metadata.confidence")
 
 
-SECTIONS_SQL = r"""s AS (SELECT source AS doc_id, doc_id AS sec_no, regexp_replace(replace(text, e'\n', e'\n\n'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body, doc_id // 50 AS page, lag(doc_id // 50) OVER (PARTITION BY source ORDER BY doc_id) AS last FROM documents)"""
+LINES_SQL = r"""l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM (SELECT doc_id, string_split(text, e'\n') AS ls FROM documents)),
+s AS (SELECT *, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body, CASE WHEN n % 3 = 0 THEN 'Part ' || n END AS title, CASE WHEN n % 2 = 0 THEN n // 2 + 1 END AS page FROM l),
+d AS (SELECT doc_id, 'doc' || doc_id AS name, CASE doc_id % 3 WHEN 0 THEN 'Conversion confidence: High.' WHEN 1 THEN 'Conversion confidence: Medium. Manual review recommended.' END AS note FROM documents)"""
+TRIM_SQL = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
 @query(
     "WITH "
-    + SECTIONS_SQL
-    + r""", p AS (SELECT doc_id, sec_no, concat_ws(e'\n', CASE WHEN last IS DISTINCT FROM page THEN '<a id="page-' || page || e'"></a>\n\n---\n*Page ' || page || '*' END, '## Part ' || sec_no, nullif(body, ''), '') AS x FROM s)
-SELECT doc_id, regexp_replace(string_agg(x, e'\n' ORDER BY sec_no), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') || e'\n' AS markdown FROM p GROUP BY doc_id"""
+    + LINES_SQL
+    + r""", p AS (SELECT doc_id, n, concat_ws(e'\n', '<a id="page-' || page || e'"></a>\n\n---\n*Page ' || page || '*', '## ' || title, CASE WHEN line <> '' THEN body END, '') AS x FROM s)
+SELECT doc_id, md5("""
+    + TRIM_SQL.format(r"concat_ws(e'\n', '> ' || any_value(note) || e'\n', e'## Table of Contents\n\n- [Part 0](#page-1)\n  - [More](#)\n\n---\n', string_agg(x, e'\n' ORDER BY n))")
+    + r" || e'\n') AS md5 FROM p JOIN d USING (doc_id) GROUP BY doc_id"
 )
 def markdown_documents(spark, d):
-    return builders.markdown(_sections(spark, d))
+    return builders.render(_outputs(spark, d, _sections(spark, d)), "Markdown").select("doc_id", F.md5("text").alias("md5"))
 
 
-@query()
+@query(
+    "WITH "
+    + LINES_SQL
+    + """SELECT doc_id, any_value(name) || '.pdf' AS source_file, 'spark' AS engine, CASE doc_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' END AS overall, CASE doc_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS review,
+  2 AS entries, count(*)::INTEGER AS n, md5(string_agg(concat_ws('|', n // 2 + 1, title, CASE WHEN line <> '' THEN body END), e'\\n' ORDER BY n)) AS md5, 'a.png' AS asset, 'slow' AS warning
+FROM s JOIN d USING (doc_id) GROUP BY doc_id"""
+)
 def json_documents(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("source").alias("doc_id")).distinct()
-    return builders.json_documents(_sections(spark, d), docs.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source_file"), F.lit("spark").alias("engine")), "2026-01-01T00:00:00")
+    """Documents as JSON, read back."""
+    section = "struct<heading:string, body:string, page:int>"
+    schema = f"document struct<source_file:string, engine:string>, confidence struct<overall:string, manual_review_recommended:boolean>, table_of_contents array<struct<title:string>>, sections array<{section}>, assets array<string>, warnings array<string>"
+    j = builders.render(_outputs(spark, d, _sections(spark, d)), "JSON").select("doc_id", F.from_json("text", schema).alias("j"))
+    row = F.transform("j.sections", lambda x: F.concat_ws("|", x["page"].cast("string"), x["heading"], x["body"]))
+    return j.select(
+        "doc_id", "j.document.source_file", "j.document.engine", "j.confidence.overall", F.col("j.confidence.manual_review_recommended").alias("review"), F.size("j.table_of_contents").alias("entries"),
+        F.size("j.sections").alias("n"), F.md5(F.array_join(row, "\n")).alias("md5"), F.col("j.assets")[0].alias("asset"), F.col("j.warnings")[0].alias("warning"),
+    )
 
 
-@query()
+def _escaped_sql(x: str) -> str:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{sign}', '{entity}')"
+    return x
+
+
+def _spans_sql(x: str) -> str:
+    for pattern, new in (
+        (r"!\[([^\]]*)\]\(([^)]+)\)", r'<img src="\2" alt="\1">'), (r"\[([^\]]+)\]\(([^)]+)\)", r'<a href="\2">\1</a>'), (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"\*(.+?)\*", r"<em>\1</em>"), ("`(.+?)`", r"<code>\1</code>"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return x
+
+
+CELLS_SQL = r"list_transform(string_split(regexp_replace(body, '^\||\|$', '', 'g'), '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
+
+
+@query(
+    "WITH "
+    + LINES_SQL
+    + rf""", b AS (SELECT *, CASE WHEN body = '' THEN '' WHEN starts_with(body, '```') THEN '<pre><code>'
+  WHEN starts_with(body, '|') THEN CASE WHEN len(list_filter({CELLS_SQL}, lambda x: NOT regexp_full_match(x, '[-: ]*'))) = 0 THEN '</table>' ELSE e'<table>\n<tr>' || array_to_string(list_transform({CELLS_SQL}, lambda x: '<th>' || {_spans_sql(_escaped_sql("x"))} || '</th>'), '') || e'</tr>\n</table>' END
+  WHEN regexp_matches(body, '^#{{1,6}}\s') THEN '<h' || length(regexp_extract(body, '^(#{{1,6}})\s', 1)) || '>' || {_spans_sql(_escaped_sql("regexp_replace(body, '^#+[[:space:]]+', '')"))} || '</h' || length(regexp_extract(body, '^(#{{1,6}})\s', 1)) || '>'
+  WHEN regexp_matches(body, '^-{{3,}}$') THEN '<hr>' WHEN regexp_matches(body, '^<a id="[^"]*"></a>$') THEN body ELSE '<p>' || {_spans_sql(_escaped_sql("body"))} || '</p>' END AS html FROM s),
+p AS (SELECT doc_id, string_agg(concat_ws(e'\n', '<div class="page-marker" id="page-' || page || '">Page ' || page || '</div>', '<h2>' || title || '</h2>', CASE WHEN line <> '' THEN html END), e'\n' ORDER BY n)
+  FILTER (page IS NOT NULL OR title IS NOT NULL OR line <> '') AS x FROM b GROUP BY doc_id)
+SELECT doc_id, md5(concat_ws(e'\n', '<!DOCTYPE html>', '<html lang="en">', '<head>', '<meta charset="utf-8">', '<meta name="viewport" content="width=device-width, initial-scale=1">', '<title>' || name || '</title>',
+  '<style>{builders.STYLE}</style>', '</head>', '<body>', '<h1>' || name || '</h1>', '<blockquote class="confidence">' || note || '</blockquote>', '<nav class="toc">', '<h2>Table of Contents</h2>', '<ul>',
+  '  <li><a href="#page-1">Part 0</a></li>', '    <li><a href="#">More</a></li>', '</ul>', '</nav>', '<hr>', x, '</body>', '</html>', '')) AS md5 FROM p JOIN d USING (doc_id)"""
+)
 def html_documents(spark, d):
-    return builders.html_documents(_sections(spark, d), F.col("doc_id"))
+    return builders.render(_outputs(spark, d, _sections(spark, d)), "HTML").select("doc_id", F.md5("text").alias("md5"))
 
 
 PROFILE = rules.Profile("clean", [rules.Rule("spaces", " {2,}", " "), rules.Rule("swap", r"\b(the) (\w+)", r"\2 \1"), rules.Rule("literal", "er.", "ER.", use_regex=False), rules.Rule("off", "a", "b", enabled=False), rules.Rule("bad", "(", "x")])
@@ -312,7 +447,7 @@ def html_markdown(spark, d):
 
 @query(r"SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages")
 def html_titles(spark, d):
-    return html.read_html(_t(spark, d, "pages")).select("page_id", "title")
+    return _t(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
 @query(
@@ -320,13 +455,13 @@ def html_titles(spark, d):
   len(regexp_extract_all(html, '(?i)<footer'))::INTEGER AS footers FROM pages"""
 )
 def html_stripped_tags(spark, d):
-    n = lambda t: F.regexp_count("html", F.lit(f"(?i)<{t}"))
-    return _t(spark, d, "pages").select("page_id", n("script").alias("scripts"), n("nav").alias("navs"), n("footer").alias("footers"))
+    n = html.dropped_counts(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", n["script"].alias("scripts"), n["nav"].alias("navs"), n["footer"].alias("footers"))
 
 
-@query(r'''SELECT page_id, u AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS u FROM pages)''')
+@query(r'''SELECT page_id, u AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS u FROM pages)''')
 def html_links(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return _t(spark, d, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("href"))
 
 
 @query("SELECT n_nationkey, '| ' || concat_ws(' | ', n_nationkey, replace(n_name, '|', '\\|'), n_regionkey) || ' |' AS line FROM nation")
@@ -351,8 +486,9 @@ def table_blank_ratio(spark, d):
 
 @query("SELECT n_name, coalesce(c, 0) AS entities FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
 def layer_counts(spark, d):
-    counts = _t(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("c"))
-    return _t(spark, d, "nation").join(counts, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", F.coalesce("c", F.lit(0)).alias("entities"))
+    layers = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("layer"), "n_name")
+    entities = _t(spark, d, "supplier").select(F.concat(F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("layer"))
+    return tables.layer_counts(layers, entities).select("n_name", "entities")
 
 
 @query(
@@ -365,12 +501,18 @@ def confidence_overall(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT lang, CASE quality WHEN 1 THEN 3 ELSE 1 END AS r FROM labels JOIN documents USING (doc_id))
-SELECT lang, CASE min(r) WHEN 1 THEN 'Low' ELSE 'High' END AS text_extraction FROM l GROUP BY lang"""
+    """WITH l AS (SELECT lang, doc_id, quality, toxic FROM labels JOIN documents USING (doc_id))
+SELECT lang, CASE min(quality) WHEN 0 THEN 'Low' ELSE 'High' END AS text_extraction, CASE max(toxic) WHEN 1 THEN 'Medium' ELSE 'N/A' END AS ocr_confidence, bool_or(toxic = 1) AS review,
+  md5(array_to_string(list('w' || doc_id ORDER BY doc_id) FILTER (toxic = 1), ';')) AS warnings FROM l GROUP BY lang"""
 )
 def confidence_rollup(spark, d):
-    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("label", F.when(F.col("quality") == 1, "High").otherwise("Low"))
-    return rows.groupBy("lang").agg(confidence.worst_of(F.col("label")).alias("text_extraction"))
+    toxic = F.col("toxic") == 1
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(
+        "lang", F.col("doc_id").alias("file"), F.when(F.col("quality") == 1, "High").otherwise("Low").alias("text_extraction"), F.when(toxic, "Medium").otherwise("N/A").alias("ocr_confidence"),
+        toxic.alias("manual_review_recommended"), F.when(toxic, F.array(F.concat(F.lit("w"), "doc_id"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+    out = confidence.aggregate(rows, "lang")
+    return out.select("lang", "text_extraction", "ocr_confidence", F.col("manual_review_recommended").alias("review"), F.md5(F.array_join("warnings", ";")).alias("warnings"))
 
 
 @query(
@@ -382,10 +524,10 @@ def ocr_label_bands(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(m.alias("mean")).withColumn("label", confidence.ocr_label(F.col("mean"), F.lit(True)))
 
 
-@query("SELECT title, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages) GROUP BY title")
+@query("SELECT level, title, min(page_id) AS page_id FROM (SELECT page_id, page_id % 2 AS level, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages) GROUP BY level, title")
 def toc_dedup(spark, d):
-    rows = _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
-    return layout.first_of(rows, ["title"], [F.col("page_id")]).select("title", "page_id")
+    rows = _t(spark, d, "pages").select("page_id", (F.col("page_id") % 2).alias("level"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+    return layout.first_of(rows, ["level", "title"], [F.col("page_id")]).select("level", "title", "page_id")
 
 
 def _unmarked_sql(text: str) -> str:
@@ -411,35 +553,36 @@ def plaintext_strip_markdown(spark, d):
 
 
 @query(
-    f"""WITH {SECTIONS_SQL}, l AS (SELECT doc_id, sec_no, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, sec_no, string_split({_unmarked_sql("body")}, e'\\n') AS ls FROM s)),
-c AS (SELECT *, starts_with({STRIP_SQL.format("line")}, '|') AS bar, list_transform(string_split(regexp_replace({STRIP_SQL.format("line")}, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {STRIP_SQL.format("x")}) AS cells FROM l),
-t AS (SELECT doc_id, sec_no, 'PART ' || sec_no AS title, coalesce(string_agg(CASE WHEN bar THEN array_to_string(cells, '  |  ') ELSE line END, e'\\n' ORDER BY pos)
-  FILTER (NOT bar OR len(list_filter(cells, lambda x: trim(translate(x, '-:', '')) <> '')) > 0), '') AS body FROM c GROUP BY doc_id, sec_no)
-SELECT doc_id, string_agg(title || e'\\n' || repeat('-', length(title)) || e'\\n' || body || e'\\n', e'\\n' ORDER BY sec_no) AS text FROM t GROUP BY doc_id"""
+    f"""WITH {LINES_SQL}, u AS (SELECT *, {_unmarked_sql("body")} AS t FROM s), c AS (SELECT *, starts_with({STRIP_SQL.format("t")}, '|') AS bar,
+  list_transform(string_split(regexp_replace({STRIP_SQL.format("t")}, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {STRIP_SQL.format("x")}) AS cells FROM u),
+p AS (SELECT *, CASE WHEN NOT bar THEN t WHEN len(list_filter(cells, lambda x: trim(translate(x, '-:', '')) <> '')) > 0 THEN array_to_string(cells, '  |  ') ELSE '' END AS plain FROM c),
+q AS (SELECT doc_id, string_agg(concat_ws(e'\\n', '--- Page ' || page || e' ---\\n', upper(title) || e'\\n' || repeat('-', length(title)) || e'\\n', CASE WHEN line <> '' THEN plain || e'\\n' END), e'\\n' ORDER BY n)
+  FILTER (page IS NOT NULL OR title IS NOT NULL OR line <> '') AS x FROM p GROUP BY doc_id)
+SELECT doc_id, md5({TRIM_SQL.format("concat_ws(e'&n', upper(name), repeat('=', length(name)) || e'&n', '[' || note || ']' || e'&n', 'TABLE OF CONTENTS', repeat('-', 17), 'Part 0  (p. 1)', '  More', '', '---', '', x)").replace("&n", chr(92) + "n")} || e'\\n') AS md5 FROM q JOIN d USING (doc_id)"""
 )
 def plaintext_documents(spark, d):
-    return builders.plain_text(_sections(spark, d))
+    return builders.render(_outputs(spark, d, _sections(spark, d)), "Plain Text").select("doc_id", F.md5("text").alias("md5"))
 
 
 @query(
-    r"""SELECT doc_id, count(*) FILTER (c = 'table') AS tables, count(*) FILTER (c = 'image') AS images, count(*) FILTER (c = 'text') AS texts FROM (
-  SELECT doc_id, CASE WHEN starts_with(s, '|') THEN 'table' WHEN starts_with(s, '![') THEN 'image' ELSE 'text' END AS c FROM (SELECT doc_id, trim(unnest(string_split(text, e'\n'))) AS s FROM documents)) GROUP BY doc_id"""
+    r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text || e'\n| a |\n![x](y)\n', e'\n')), e' \t') AS s FROM documents),
+c AS (SELECT doc_id, CASE WHEN starts_with(s, '|') THEN CASE doc_id % 2 WHEN 0 THEN 'conf_low' ELSE 'conf_high' END WHEN starts_with(s, '![') THEN 'conf_medium' ELSE 'conf_high' END AS c FROM l WHERE s <> '')
+SELECT doc_id, c AS class, count(*) AS n FROM c GROUP BY doc_id, c"""
 )
 def heatmap_classes(spark, d):
-    lines = T.explode_lines(_t(spark, d, "documents").select("doc_id", "text"), ["doc_id"], newline_only=True).withColumn("s", F.trim("line"))
-    kind = F.when(F.startswith("s", F.lit("|")), "table").when(F.startswith("s", F.lit("![")), "image").otherwise("text")
-    return lines.groupBy("doc_id").agg(*[F.count_if(kind == k).alias(k + "s") for k in ("table", "image", "text")])
+    lines = T.explode_lines(_t(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n| a |\n![x](y)\n")).alias("text")), ["doc_id"], newline_only=True)
+    table = F.when(F.col("doc_id") % 2 == 0, "Failed").otherwise("N/A")
+    kind = tables.line_confidence_class(F.translate("line", "\t", " "), table, F.lit("Moderate"), F.lit("High"), F.lit("High"))
+    return lines.withColumn("class", kind).where("class IS NOT NULL").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     r"""WITH v AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z'']{3,}')) AS w FROM benchmark))
-SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z'']{3,}'))) AS w FROM documents WHERE lang = 'en') WHERE w NOT IN (SELECT w FROM v) GROUP BY doc_id, w"""
+SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z'']{3,}'))) AS w FROM documents) WHERE w NOT IN (SELECT w FROM v) GROUP BY doc_id, w"""
 )
 def misspelled_words(spark, d):
-    found = lambda: F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z']{3,}"), F.lit(0)))
-    known = _t(spark, d, "benchmark").select(found().alias("w")).select(F.lower("w").alias("word")).distinct()
-    words = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", found().alias("w")).groupBy("doc_id", F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return words.join(known, "word", "left_anti").select("doc_id", "word", "n")
+    known = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z']{3,}"), F.lit(0))).alias("word"))
+    return tables.misspelled(_t(spark, d, "documents").select("doc_id", "text"), known)
 
 
 @query("SELECT conv_id AS doc_id, turn AS page_no, md5(text) AS md5 FROM conversations WHERE turn IN (0, 2)")
@@ -447,19 +590,17 @@ def page_range(spark, d):
     return postprocess.page_range(_turns(spark, d), [0, 2]).select("doc_id", "page_no", F.md5("text").alias("md5"))
 
 
-@query(
-    """SELECT doc_id, sec_no, page_number FROM (SELECT source AS doc_id, doc_id AS sec_no, (doc_id // 50)::INTEGER AS page_number,
-  lag(doc_id // 50) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) WHERE p IS NULL OR p <> page_number"""
-)
+@query("SELECT doc_id, n::INTEGER AS sec_no, page::INTEGER AS page_number FROM (WITH " + LINES_SQL + "SELECT * FROM s) WHERE page IS NOT NULL")
 def page_anchors(spark, d):
-    s = _sections(spark, d).select("doc_id", "sec_no", "page_number")
-    return s.withColumn("new", builders._new_page()).where("new").drop("new")
+    return builders.page_anchors(_sections(spark, d).select("doc_id", "sec_no", "page_number"))
 
 
-@query("SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'ok' ELSE 'skipped' END AS status, count(*) AS files FROM orders GROUP BY 1, 2")
+@query(
+    """SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS completed, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders GROUP BY 1"""
+)
 def status_rollup(spark, d):
-    s = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "ok").otherwise("skipped")
-    return _t(spark, d, "orders").groupBy("o_orderstatus", s.alias("status")).agg(F.count(F.lit(1)).alias("files"))
+    s = F.when(F.col("o_orderstatus") == "F", "failed: x").when(F.col("o_orderstatus") == "O", "ok").otherwise("skipped")
+    return tables.batch_totals(_t(spark, d, "orders").withColumn("status", s), by=["o_orderpriority"])
 
 
 @query("SELECT doc_id, len(range(0, greatest(n_chars // 100, 1), 30))::BIGINT AS chunks FROM documents")
@@ -478,14 +619,17 @@ def _words(spark, d, shift: float) -> DataFrame:
     )
 
 
-@query()
+@query("SELECT l_orderkey AS doc_id, 1 AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS word_id, l_partkey % 20 * 30.0::DOUBLE AS l, l_discount * 10 AS conf FROM lineitem")
 def iou_merge(spark, d):
     return layout.merge_words(_words(spark, d, 0.0), _words(spark, d, 2.0)).select("doc_id", "page_no", "word_id", "l", "conf")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey % 20 * 30.0 AS l, l_returnflag AS text, l_discount * 10 AS conf FROM lineitem)
+SELECT doc_id, 1 AS page_no, dense_rank() OVER (PARTITION BY doc_id ORDER BY n)::INTEGER AS line_no, string_agg(text, ' ' ORDER BY l, text) AS text, round(avg(conf), 6) AS conf FROM w GROUP BY doc_id, n"""
+)
 def ocr_lines(spark, d):
-    return layout.line_confidence(layout.lines_of_words(_words(spark, d, 0.0)))
+    return layout.line_confidence(layout.lines_of_words(_words(spark, d, 0.0))).withColumn("conf", F.round("conf", 6))
 
 
 @query(
@@ -515,8 +659,8 @@ def html_escape(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | structure.QUERIES
+    return QUERIES | structure.QUERIES | extras.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | structure.SQL
+    return SQL | structure.SQL | extras.SQL

@@ -247,7 +247,7 @@ def elapsed_labels(spark, d):
 
 
 @query(
-    r"""SELECT page_id, regexp_replace(regexp_replace(b, '(.)\.[^.]*$', '\1'), '[<>:"/\\|?*]', '_', 'g') AS stem, lower(regexp_extract(url, '(\.[^./]+)$', 1)) AS extension,
+    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(b, '(.)\.[^.]*$', '\1'), '[<>:"/\\|?*]', '_', 'g')), ''), 'output') AS stem, lower(regexp_extract(url, '(\.[^./]+)$', 1)) AS extension,
   CASE WHEN e = 'jpeg' THEN 'jpg' WHEN e <> '' THEN e ELSE 'gif' END AS media FROM (SELECT page_id, url, regexp_extract(url, '([^/\\]*)$', 1) AS b, regexp_extract(url, '[^/.][^/]*\.([^./]+)$', 1) AS e FROM pages)"""
 )
 def file_names(spark, d):

@@ -11,9 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from leafmill.functions.text import normalise
+
+# Tags whose contents go, tags without contents, and tags that are blocks.
 DROPPED = {"script", "style", "nav", "header", "footer", "noscript", "iframe", "svg", "form"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "main", "figure", "figcaption", "address", "details", "summary", "body", "html", "aside", "center"}
+#: Open tags up to which nesting is kept, a bound on recursion; what is nested deeper counts as a child of the last one, its text in place.
+DEPTH = 400
 ENTRY = ArrayType(StructType().add("level", IntegerType()).add("title", StringType()))
 SCHEMA = (
     StructType().add("title", StringType()).add("toc", ENTRY).add("markdown", StringType()).add("n_tables", IntegerType()).add("n_images", IntegerType())
@@ -50,7 +55,7 @@ class Tree(HTMLParser):
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -189,8 +194,32 @@ def read_html(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.withColumn("_p", parse(F.col(column))).select(*[c for c in pages.columns if c != column], "_p.*")
 
 
-def decode_bytes(content: Column) -> Column:
-    """UTF-8 (without its mark), or Latin-1 where that isn't valid."""
-    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")), "^\ufeff", "")
+def title(source: Column) -> Column:
+    """Title of a page by a pattern, without building its tree: tags go, entities of the basic set are decoded."""
+    c = F.regexp_extract(source, "(?is)<title\\b[^>]*>(.*?)</title\\s*>", 1)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return normalise(c)
+
+
+def links(source: Column) -> Column:
+    """Targets of all anchors of a page, in order."""
+    return F.regexp_extract_all(source, F.lit("(?is)<a\\b[^>]*?\\bhref=\\s*[\"']([^\"']*)[\"']"), F.lit(1))
+
 
+def dropped_counts(source: Column) -> Column:
+    """Number of start tags of each kind whose contents go."""
+    return F.create_map(*[x for t in sorted(DROPPED) for x in (F.lit(t), F.regexp_count(source, F.lit(f"(?i)<{t}\\b")))])
 
+
+def decode(data: bytes) -> str:
+    """UTF-8 without its mark, or Latin-1 where that isn't valid."""
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def decode_bytes(content: Column) -> Column:
+    """``decode`` of a column."""
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")), "^\ufeff", "")

@@ -1,18 +1,32 @@
-"""Zip-and-XML formats (workbooks, documents, slides, books) as rows of sections, with the standard library."""
+"""Files as rows of sections, by extension, with the standard library.
+
+Zip-and-XML formats (workbooks, documents, slides, books), pages, delimited text,
+rich text and drawings have readers here; each extension has a chain of them, and
+the first that gives sections wins.  ``register`` puts a reader of an engine that
+isn't installed here at the head of a chain.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import io
+import mimetypes
 import posixpath
 import re
+import signal
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from leafmill.sources.html import convert, table
+from leafmill.functions.text import RTF, RTF_UNIT
+from leafmill.plans.builders import ROWS
+from leafmill.sources import dxf as drawings
+from leafmill.sources.files import csv_rows
+from leafmill.sources.html import convert, decode, table
 
 SECTIONS = "path string, status string, error string, sec_no int, heading string, body string, page_number int"
 CELLS = "path string, sheet string, row int, col int, value string"
@@ -61,9 +75,51 @@ def cell_at(ref: str) -> tuple[int, int]:
     return int(digits), col
 
 
-def xlsx(data: bytes) -> Iterator[Section]:
+def _sheet(name: str, rows: list[list[str]]) -> Section:
+    return f"## {name}", f"*Sheet: **{name}**  Rows: {len(rows) - 1}  Columns: {max(map(len, rows))}*\n\n{table(rows)}", None
+
+
+def xlsx(data: bytes, path: str = "") -> Iterator[Section]:
+    """A section for each sheet that isn't empty: its size, and its rows as a table."""
     for name, rows in sheets(data):
-        yield f"## {name}", table(rows) if rows else "", None
+        if rows:
+            yield _sheet(name, rows)
+
+
+def excel(data: bytes, path: str = "") -> Iterator[Section]:
+    """The same by whatever engine pandas finds for the file, all cells as strings."""
+    for name, sheet in pd.read_excel(io.BytesIO(data), sheet_name=None, dtype=str, header=None).items():
+        rows = [r for r in sheet.fillna("").values.tolist() if any(x.strip() for x in r)]
+        if rows:
+            yield _sheet(name, rows)
+
+
+def page(data: bytes, path: str = "") -> Iterator[Section]:
+    """A page of HTML as one section; its heading is the title, unless the body begins with one."""
+    title, _, md, _, _ = convert(decode(data))
+    yield "" if md.startswith("#") or not title else f"# {title}", md, None
+
+
+def delimited(data: bytes, path: str = "") -> Iterator[Section]:
+    """Delimited text as a table of the first rows, below a line of its size and a note on the rows that aren't shown."""
+    rows = csv_rows(data)
+    head, more = rows[:1] or [[]], max(0, len(rows) - 1 - ROWS)
+    name = posixpath.basename(path)
+    parts = [f"*Source: `{name}`  Rows: {max(0, len(rows) - 1):,}  Columns: {len(head[0])}*"]
+    if more:
+        parts.append(f"> **Note:** This file contains {len(rows) - 1:,} rows. Only the first {ROWS:,} rows are shown below. ({more:,} rows omitted.)")
+    yield f"## {posixpath.splitext(name)[0]}", "\n\n".join([*parts, table(rows[: ROWS + 1])]), None
+
+
+_RTF = [(re.compile(p), new.replace("$", "\\")) for p, new in RTF]
+
+
+def rich(data: bytes, path: str = "") -> Iterator[Section]:
+    """Rich text as one section, by the patterns of ``strip_rtf``; pairs of UTF-16 units are decoded together."""
+    text = re.sub(f"(?:{RTF_UNIT})+", lambda m: b"".join((int(n) % 65536).to_bytes(2, "little") for n in re.findall(RTF_UNIT, m[0])).decode("utf-16-le", "replace"), data.decode("latin-1"))
+    for pattern, new in _RTF:
+        text = pattern.sub(new, text)
+    yield "", text.strip(), None
 
 
 def _runs(p: ET.Element) -> str:
@@ -77,7 +133,7 @@ def _runs(p: ET.Element) -> str:
     return "".join(out)
 
 
-def docx(data: bytes) -> Iterator[Section]:
+def docx(data: bytes, path: str = "") -> Iterator[Section]:
     """Paragraphs, headings and tables in the order of the body; a heading opens a section."""
     body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(DOCX_NS + "body")
     heading, parts = "", []
@@ -99,7 +155,7 @@ def docx(data: bytes) -> Iterator[Section]:
         yield heading, "\n\n".join(parts), None
 
 
-def pptx(data: bytes) -> Iterator[Section]:
+def pptx(data: bytes, path: str = "") -> Iterator[Section]:
     """A section for each slide: its first text as the heading, bullets indented by level, tables, and notes as a quote."""
     z = zipfile.ZipFile(io.BytesIO(data))
     for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number):
@@ -130,7 +186,7 @@ def pptx(data: bytes) -> Iterator[Section]:
         yield f"## {heading or f'Slide {number}'}", "\n".join(parts), number
 
 
-def epub(data: bytes) -> Iterator[Section]:
+def epub(data: bytes, path: str = "") -> Iterator[Section]:
     """Chapters in reading order; those of under ten signs go. All documents if the order names none."""
     z = zipfile.ZipFile(io.BytesIO(data))
     opf = next(e.get("full-path") for e in ET.fromstring(z.read("META-INF/container.xml")).iter() if e.tag.endswith("}rootfile"))
@@ -146,28 +202,90 @@ def epub(data: bytes) -> Iterator[Section]:
         yield f"## {toc[0][1] if toc else title or f'Chapter {n}'}", md, n
 
 
-READERS = {".xlsx": xlsx, ".docx": docx, ".pptx": pptx, ".epub": epub}
+def plain_document(data: bytes, path: str = "") -> Iterator[Section]:
+    """A document's text alone, in one section, where its body can't be walked."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+    text = "\n\n".join(t for p in root.iter(DOCX_NS + "p") if (t := "".join(x.text or "" for x in p.iter(DOCX_NS + "t")).strip()))
+    if text:
+        yield "", text, None
+
+
+READERS: dict[str, list] = {
+    ".xlsx": [xlsx, excel], ".xls": [excel], ".docx": [docx, plain_document], ".pptx": [pptx], ".epub": [epub], ".html": [page], ".htm": [page], ".csv": [delimited],
+    ".rtf": [rich], ".dxf": [drawings.sections],
+}
 #: Formats that need an engine of their own: register a reader here, bytes to sections.
-ENGINES = (".pdf", ".xls", ".dxf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".webp", ".doc", ".ppt")
+ENGINES = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".doc", ".ppt")
 
 
 def register(extension: str, reader) -> None:
-    """Use ``reader`` (bytes -> iterator of (heading, body, page)) for files of that extension."""
-    READERS[extension] = reader
+    """Try ``reader`` ((bytes, path) -> iterator of (heading, body, page)) first for files of that extension."""
+    READERS[extension.lower()] = [reader, *READERS.get(extension.lower(), [])]
+
+
+def encrypted(data: bytes) -> bool:
+    """Whether a file is locked: a PDF with an encryption entry, or an office file in an encrypted container."""
+    return (data[:5] == b"%PDF-" and b"/Encrypt" in data) or (data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" and "EncryptedPackage".encode("utf-16-le") in data)
+
+
+def sections_of(path: str, data: bytes, readers: dict[str, list]) -> list[Section]:
+    """Sections of one file by the first of its readers that gives any; the last error if all fail."""
+    ext = posixpath.splitext(path)[1].lower()
+    if encrypted(data):
+        raise ValueError("file is encrypted")
+    if ext not in readers:
+        raise ValueError(f"engine for {ext} not installed" if ext in ENGINES else f"unsupported file type: {ext}")
+    error = None
+    for reader in readers[ext]:
+        try:
+            if rows := list(reader(data, path)):
+                return rows
+        except TimeoutError:
+            raise
+        except Exception as e:  # the next reader may do
+            error = e
+    if error:
+        raise error
+    return [("", "", None)]
+
+
+#: Seconds that a file may take: the least, and for each page of a PDF.
+BASE_SECONDS, PAGE_SECONDS, OTHER_SECONDS = 300, 30, 3600
 
 
-def read_sections(files: DataFrame) -> DataFrame:
-    """Sections of ``files`` (path, content); a file that can't be read gives one row with its status and error."""
-    readers = dict(READERS)
+def time_limit(path: str, data: bytes) -> int:
+    """Seconds that a file may take, a PDF by its pages as far as they can be counted."""
+    pages = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data)) if path.lower().endswith(".pdf") else 0
+    return max(BASE_SECONDS, pages * PAGE_SECONDS) if pages else OTHER_SECONDS
+
+
+@contextlib.contextmanager
+def limited(seconds: float) -> Iterator[None]:
+    """Ends what runs inside after that many seconds with an error; a worker runs readers in its main thread."""
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"took more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def read_sections(files: DataFrame, seconds: float | None = None) -> DataFrame:
+    """Sections of ``files`` (path, content); a file that can't be read, or not in time, gives one row with its status and error."""
+    readers = {ext: list(chain) for ext, chain in READERS.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                ext = posixpath.splitext(path)[1].lower()
                 try:
-                    if ext not in readers:
-                        raise ValueError(f"engine for {ext} not installed" if ext in ENGINES else f"unsupported file type: {ext}")
-                    rows = [(path, "ok", None, k, h, t, p) for k, (h, t, p) in enumerate(readers[ext](bytes(content)))] or [(path, "ok", None, 0, "", "", None)]
+                    data = bytes(content)
+                    with limited(seconds or time_limit(path, data)):
+                        rows = [(path, "ok", None, k, h, t, p) for k, (h, t, p) in enumerate(sections_of(path, data, readers))]
                 except Exception as e:  # each file stands alone: its error is its result
                     rows = [(path, "failed", str(e)[:500], None, None, None, None)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")]).astype({"sec_no": "Int32", "page_number": "Int32"})
@@ -175,6 +293,43 @@ def read_sections(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SECTIONS)
 
 
+IMAGES = "path string, image_no int, name string, media_type string, content binary"
+
+
+def images_of(path: str, data: bytes) -> Iterator[tuple[str, str, bytes]]:
+    """(name, media type, bytes) of the pictures in a zip-and-XML file, in order of their names."""
+    if posixpath.splitext(path)[1].lower() not in (".docx", ".pptx", ".xlsx", ".epub"):
+        return
+    z = zipfile.ZipFile(io.BytesIO(data))
+    for name in sorted(z.namelist()):
+        kind = mimetypes.guess_type(name)[0] or ""
+        if kind.startswith("image/"):
+            yield name, kind, z.read(name)
+
+
+def read_images(files: DataFrame, least: int = 512) -> DataFrame:
+    """(path, image_no, name, media_type, content) of pictures of ``least`` bytes or more; numbers count all of a file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows = [(path, k, *image) for k, image in enumerate(images_of(path, bytes(content)), 1)]
+                except zipfile.BadZipFile:  # read_sections reports it
+                    rows = []
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMAGES.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, IMAGES).where(F.octet_length("content") >= least)
+
+
+def pdf_info(files: DataFrame) -> DataFrame:
+    """(path, pages, encrypted) of PDF files from their plain objects; pages is null where the page objects are packed into streams."""
+    # Bytes as Latin-1, one sign each.
+    text = F.decode("content", "ISO-8859-1")
+    pages = F.regexp_count(text, F.lit("/Type\\s*/Page(?![a-zA-Z])"))
+    return files.where(F.lower("path").endswith(".pdf")).select("path", F.nullif(pages, F.lit(0)).alias("pages"), F.contains(text, F.lit("/Encrypt")).alias("encrypted"))
+
+
 def read_cells(files: DataFrame) -> DataFrame:
     """(path, sheet, row, col, value) of workbooks."""
 

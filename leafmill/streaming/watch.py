@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,19 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.functions.text import extension
+from leafmill.operators.assets import normal_path
 from leafmill.sources.files import supported
-from leafmill.sources.office import read_sections
-
-
-def arrivals(spark: SparkSession, folder: str, since: str | None = None, per_batch: int = 500) -> DataFrame:
-    """(path, modificationTime, length, content) of supported, non-empty files as they arrive; older ones than ``since`` are left out."""
-    stream = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("maxFilesPerTrigger", per_batch)
-        .load(folder)
-        .where(supported(F.col("path")) & (F.col("length") > 0))
-    )
+from leafmill.sources.office import SECTIONS, read_sections
+
+# Files of a batch, seconds between looks at a file that is being written and how many there are.
+PER_BATCH, SETTLE, LOOKS = 500, 1.5, 20
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arrivals(spark: SparkSession, folder: str, since: str | None = None, per_batch: int = PER_BATCH, output: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of supported, non-empty files as they arrive.
+
+    Files older than ``since`` are left out, and those under ``output``, which
+    would feed themselves.  A batch holds ``per_batch`` files; more wait for the next.
+    """
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).load(folder)
+    stream = stream.where(supported(F.col("path")) & (F.col("length") > 0))
+    if output:
+        plain = lambda c: normal_path(F.regexp_replace(c, "^file:", ""))
+        stream = stream.where(~F.startswith(plain(F.col("path")), F.concat(plain(F.lit(output)), F.lit("/"))))
     return stream.where(F.col("modificationTime") >= F.lit(since).cast("timestamp")) if since else stream
 
 
@@ -32,23 +40,63 @@ def guard(watched: str, output: str) -> None:
         raise ValueError("the output folder must not be inside the watched folder")
 
 
+def settled(spark: SparkSession, sizes: dict[str, int], every: float = SETTLE, looks: int = LOOKS) -> tuple[list[str], list[str]]:
+    """(whole, unfinished) of files by path: whole ones keep their size from one look to the next.
+
+    ``sizes`` are those of a batch, which is bounded; only names and sizes come to the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    last, whole = dict(sizes), []
+    for _ in range(looks):
+        if not last:
+            break
+        time.sleep(every)
+        for name in list(last):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            fs = path.getFileSystem(conf)
+            if not fs.exists(path):
+                del last[name]
+            elif (size := fs.getFileStatus(path).getLen()) == last[name] and size > 0:
+                whole.append(name)
+                del last[name]
+            else:
+                last[name] = size
+    return whole, list(last)
+
+
 def watch(
-    spark: SparkSession, folder: str, output: str, checkpoint: str, *, convert: Callable[[DataFrame], DataFrame] = read_sections, once: bool = False, every: str = "2 seconds", **options
-) -> StreamingQuery:
+    spark: SparkSession, folder: str, output: str, checkpoint: str, *, convert: Callable[[DataFrame], DataFrame] = read_sections, once: bool = False, every: str = "2 seconds",
+    settle: float = 0.0, **options,
+) -> StreamingQuery:
     """Convert arriving files to sections under ``output``; the checkpoint keeps each file from being read twice.
 
     Batches are written under their number, so a batch that runs again replaces
-    what it wrote before.
+    what it wrote before; a path that a batch has twice is converted once.  With
+    ``settle``, files whose size still changes between looks that many seconds
+    apart are waited for, and reported as failed if they never stop growing.
     """
     guard(folder, output)
 
     def batch(files: DataFrame, number: int) -> None:
-        convert(files).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        target = f"{output}/batch={number}"
+        if not settle:
+            convert(files.dropDuplicates(["path"])).write.mode("overwrite").parquet(target)
+            return
+        sizes = {r["path"]: r["length"] for r in files.select("path", "length").distinct().collect()}
+        whole, open_ = settled(files.sparkSession, sizes, settle)
+        out = convert(files.sparkSession.read.format("binaryFile").load(whole).select("path", "content")) if whole else files.sparkSession.createDataFrame([], SECTIONS)
+        failed = files.sparkSession.createDataFrame([(p, "failed", "file never stopped growing", None, None, None, None) for p in open_], SECTIONS)
+        out.unionByName(failed, allowMissingColumns=True).write.mode("overwrite").parquet(target)
 
-    writer = arrivals(spark, folder, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = arrivals(spark, folder, output=output, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def progress(query: StreamingQuery) -> list[tuple[int, str, int, float]]:
+    """(batch, started, files, files a second) of the last batches of a stream."""
+    return [(p["batchId"], p["timestamp"], p["numInputRows"], p.get("processedRowsPerSecond") or 0.0) for p in query.recentProgress]
+
+
 def totals(sections: DataFrame) -> DataFrame:
     """(extension, completed, failed): files by status."""
     files = sections.groupBy("path").agg(F.max((F.col("status") == "failed").cast("int")).alias("bad"))

@@ -229,26 +229,174 @@ def workbook():
 def test_office_readers_isolate_failures(spark):
     df = spark.createDataFrame([("a/x.xlsx", bytearray(workbook())), ("a/y.pdf", bytearray(b"x")), ("a/z.docx", bytearray(b"broken"))], "path string, content binary")
     rows = {r.path: r for r in office.read_sections(df).collect()}
-    assert rows["a/x.xlsx"].body == "| h | h |\n| --- | --- |\n| 1.5 | 2 |"
+    assert rows["a/x.xlsx"].body == "*Sheet: **S**  Rows: 1  Columns: 2*\n\n| h | h |\n| --- | --- |\n| 1.5 | 2 |"
     assert rows["a/y.pdf"].status == rows["a/z.docx"].status == "failed" and "not installed" in rows["a/y.pdf"].error
     assert office.read_cells(df.where("path LIKE '%xlsx'")).count() == 4
 
 
+def outputs(spark):
+    s = spark.createDataFrame([("d", 0, "## A", "x *y*", 1), ("d", 1, "", "[l](#a)", 1), ("d", 2, "#### B", "", 2), ("z", 0, None, None, None)], "doc_id string, sec_no int, heading string, body string, page_number int")
+    docs = spark.createDataFrame([("d", "in/f.pdf", "e1"), ("z", "g.docx", None), ("n", None, None)], "doc_id string, source_file string, engine string")
+    found = F.when(F.col("doc_id") == "d", F.struct(F.lit("Low").alias("overall"), *[F.lit("N/A").alias(x) for x in confidence.DIMENSIONS], F.lit(True).alias("manual_review_recommended"), F.array().alias("notes"), F.array().alias("warnings")))
+    toc = F.when(F.col("doc_id") == "d", F.array(F.struct(F.lit(1).alias("level"), F.lit("A").alias("title"), F.lit(1).alias("page")), F.struct(F.lit(2).alias("level"), F.lit("B").alias("title"), F.lit(None).cast("int").alias("page"))))
+    return builders.assemble(s, docs.withColumns({"confidence": found, "toc": toc}))
+
+
+def rendered(spark, fmt, **options):
+    return {r.doc_id: r for r in builders.render(outputs(spark), fmt, "out", builders.Options(**options)).collect()}
+
+
 def test_builders(spark):
-    s = spark.createDataFrame([("d", 0, "## A", "x *y*", 1), ("d", 1, "", "[l](#a)", 1), ("d", 2, "## B", "", 2)], "doc_id string, sec_no int, heading string, body string, page_number int")
-    md = builders.markdown(s, flavor="Obsidian").first().markdown
-    assert md.count("<a id=") == 2 and "[[#a|l]]" in md and md.endswith("\n")
-    assert builders.plain_text(s).first().text.startswith("A\n-\nx y\n")
-    assert "<h2>A</h2>\n<p>x <em>y</em></p>" in builders.html_documents(s, F.col("doc_id")).first().html
+    md = rendered(spark, "Markdown", flavor="Obsidian", front_matter=True, converted_at="now")
+    assert md["d"].path == "out/f/f.md" and md["n"].text == '---\ntitle: "unknown"\nsource: "unknown"\nconverted: now\nmarkdown_flavor: "Obsidian"\ntags: [unknown]\n---\n'
+    assert md["d"].text == (
+        '---\ntitle: "f"\nsource: "f.pdf"\nconverted: now\nengine: "e1"\nmarkdown_flavor: "Obsidian"\nconfidence: "Low"\nreview_recommended: true\ntags: [f, converted/pdf]\n---\n\n'
+        "> Conversion confidence: Low. Manual review recommended.\n\n## Table of Contents\n\n- [[#page-1|A]]\n  - [B](#)\n\n---\n\n"
+        '<a id="page-1"></a>\n\n---\n*Page 1*\n## A\nx *y*\n\n[[#a|l]]\n\n<a id="page-2"></a>\n\n---\n*Page 2*\n#### B\n'
+    )
+    assert rendered(spark, "Markdown", pages=False, toc=False, confidence=False)["d"].text == "## A\nx *y*\n\n[l](#a)\n\n#### B\n"
+    text = rendered(spark, "Plain Text")["d"].text
+    assert text == "F\n=\n\n[Conversion confidence: Low. Manual review recommended.]\n\nTABLE OF CONTENTS\n-----------------\nA  (p. 1)\n  B\n\n---\n\n--- Page 1 ---\n\nA\n-\n\nx y\n\nl\n\n--- Page 2 ---\n\nB\n-\n"
+    page = rendered(spark, "HTML")["d"].text
+    assert '<h2>A</h2>\n<p>x <em>y</em></p>' in page and "<h4>B</h4>" in page and page.count('class="page-marker"') == 2 and '<li><a href="#">B</a></li>' in page
+    with pytest.raises(ValueError, match="unknown format"):
+        builders.render(outputs(spark), "Word")
     assert one(spark, T.strip_markdown(F.col("t")), t="# H\n**b** `c` [t](u) ![i](j)\n| a | b |\n|---|---|\n| 1 | 2 |") == "H\nb c t [image]\na  |  b\n1  |  2"
 
 
+def test_written_outputs(spark, tmp_path):
+    target = str(tmp_path / "out")
+    rule = rules.Profile("p", [rules.Rule("r", "x", "Q")])
+    builders.write(outputs(spark), "Markdown", target, rules=rule, root="r")
+    assert "Q *y*" in {r.doc_id: r.text for r in spark.read.parquet(target).collect()}["d"]
+    with pytest.raises(Exception, match="exist"):
+        builders.write(outputs(spark), "Markdown", target)
+    builders.write(outputs(spark), "AI-Ready Chunks", target, overwrite=True)
+    lines = {r.doc_id: r.text for r in spark.read.parquet(target).collect()}
+    assert lines["z"] == "" and json.loads(lines["d"].splitlines()[0])["metadata"] == {"source": "f.pdf", "chunk_index": 0, "total_chunks": 2, "page": 1, "heading": "A", "confidence": "Low"}
+
+
 def test_csv_and_paths(spark, tmp_path):
     (tmp_path / "a.csv").write_text("h1;h2\n1;x\n;y\n")
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", "x"), ("", "y")]
     assert one(spark, files.dropped_paths(F.col("t")), t="{a b.pdf} c.txt") == ["a b.pdf", "c.txt"]
 
 
+DRAWING = "0\nSECTION\n2\nTABLES\n0\nLAYER\n2\nB\n62\n-1\n70\n5\n0\nLAYER\n2\nA\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n0\nTEXT\n8\nA\n10\n1\n20\n5\n1\nlow\n0\nMTEXT\n8\nA\n10\n1\n20\n9\n3\nto\n1\np\n0\nLINE\n8\nB\n0\nENDSEC\n0\nEOF"
+
+
+def test_router_by_extension(spark):
+    contents = {
+        "a.HTML": b"<title>T</title><p>x</p>", "b.htm": "<h1>é</h1>".encode("latin-1"), "c.csv": "a;b\n1;é\n2;x\n".encode("latin-1"), "d.rtf": b"{\\rtf1 a\\u233?b\\par\\u-10179?\\u-8694? {\\*\\x y}z}",
+        "e.dxf": DRAWING.encode(), "f.txt": b"x", "g.pdf": b"%PDF-1.4 /Encrypt", "h.csv": b"", "i.xls": b"no",
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "path string, content binary")
+    got: dict[str, list] = {}
+    for r in office.read_sections(df).orderBy("path", "sec_no").collect():
+        got.setdefault(r.path, []).append((r.heading, r.body) if r.status == "ok" else r.error)
+    assert got["a.HTML"] == [("# T", "x")] and got["b.htm"] == [("", "# é")]
+    assert got["c.csv"] == [("## c", "*Source: `c.csv`  Rows: 2  Columns: 2*\n\n| a | b |\n| --- | --- |\n| 1 | é |\n| 2 | x |")]
+    assert got["d.rtf"] == [("", "aéb\n\U0001f60a z")]
+    assert got["e.dxf"][0][1].splitlines()[2:] == ["| A | White/Black | 2 | Active |", "| B | Red | 1 | Off, Frozen, Locked |"] and got["e.dxf"][1] == ("## Text: A", "- top\n- low")
+    assert "unsupported" in got["f.txt"][0] and "encrypted" in got["g.pdf"][0] and got["h.csv"] == [("## h", "*Source: `h.csv`  Rows: 0  Columns: 0*\n\n")] and isinstance(got["i.xls"][0], str)
+
+
+def test_readers_in_turn_and_in_time(spark):
+    import time
+
+    def slow(data, path):
+        time.sleep(30)
+
+    def bad(data, path):
+        raise ValueError("bad")
+
+    readers = {".x": [bad, lambda data, path: [("", path, None)]], ".y": [lambda data, path: []], ".z": [bad], ".s": [slow]}
+    assert office.sections_of("p.x", b"", readers) == [("", "p.x", None)] and office.sections_of("p.Y", b"", readers) == [("", "", None)]
+    with pytest.raises(ValueError, match="bad"):
+        office.sections_of("p.z", b"", readers)
+    with pytest.raises(TimeoutError), office.limited(0.2):
+        office.sections_of("p.s", b"", readers)
+    assert office.time_limit("a.pdf", b"/Type /Page " * 20 + b"/Type /Pages") == 600 and office.time_limit("a.csv", b"") == 3600
+
+
+def test_long_tables_and_pictures(spark):
+    rows = b"h\n" + b"1\n" * 10_002
+    body = office.sections_of("x/t.csv", rows, office.READERS)[0][1]
+    assert "Only the first 10,000 rows are shown below. (2 rows omitted.)" in body and body.count("\n| 1 |") == 10_000
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in (("ppt/media/b.png", b"x" * 600), ("ppt/media/a.png", b"small"), ("ppt/media/c.jpg", b"x" * 600), ("ppt/x.xml", b"<x/>")):
+            z.writestr(name, data)
+    df = spark.createDataFrame([("s.pptx", bytearray(out.getvalue())), ("t.docx", bytearray(b"broken"))], "path string, content binary")
+    assert [(r.image_no, r.name) for r in office.read_images(df).orderBy("image_no").collect()] == [(2, "ppt/media/b.png"), (3, "ppt/media/c.jpg")]
+    assert [r.name for r in tables.numbered_images(office.read_images(df), "path", ["name"], "content").collect()] == ["ppt/media/b.png"]
+
+
+def test_lists_of_files(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for name in ("a.PDF", "deep/b.csv", "c.txt"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    (tmp_path / "one file.Csv").write_bytes(b"x")
+    names = lambda df: [r.path.rsplit("/", 1)[1].replace("%20", " ") for r in files.listed(df).collect()]
+    assert names(files.scan(spark, str(tmp_path / "in"), contents=False)) == ["a.PDF", "b.csv"]
+    assert sorted(names(files.dropped(spark, f"{{{tmp_path}/one file.Csv}} {tmp_path}/in", contents=False))) == ["a.PDF", "b.csv", "one file.Csv"]
+    chosen = spark.createDataFrame([("x", 0), ("y", 1)], "path string, ord int")
+    new = spark.createDataFrame([("y", 0), ("z", 1), ("z", 2)], "path string, ord int")
+    assert [r.path for r in files.add_files(chosen, new).orderBy("part", "ord").collect()] == ["x", "y", "z"]
+    assert {r.path for r in files.not_listed(new, chosen).collect()} == {"z"}
+    (tmp_path / "in/o.md").write_text("# é\nx")
+    assert [(r.name, r.text) for r in files.texts(spark, str(tmp_path / "in")).collect() if r.name == "o.md"] == [("o.md", "# é\nx")]
+    (tmp_path / "l.csv").write_bytes("n;é\nö;1\n".encode("latin-1"))
+    assert files.read_csv(spark, str(tmp_path / "l.csv")).collect()[0]["é"] == "1"
+
+
+def test_settings(tmp_path):
+    from leafmill import settings
+
+    path = str(tmp_path / "s/settings.json")
+    assert settings.load(path) == settings.DEFAULTS
+    settings.save(path, {"overwrite": True, "odd": 1, "output_format": "RAG"})
+    assert settings.load(path) == settings.DEFAULTS | {"overwrite": True, "output_format": "AI-Ready Chunks"}
+    (tmp_path / "s/settings.json").write_text("[")
+    assert settings.load(path) == settings.DEFAULTS
+
+
+def test_logs_are_appended(spark, tmp_path):
+    from leafmill.plans import reports
+
+    row = spark.createDataFrame([("f", False, [], "2026-01-02")], "file string, manual_review_recommended boolean, warnings array<string>, at string").withColumn("at", F.to_timestamp("at"))
+    row = row.withColumns({x: F.lit("High") for x in confidence.DIMENSIONS})
+    target = str(tmp_path / "log")
+    for _ in range(2):
+        reports.append_confidence(row, target)
+    assert spark.read.parquet(target).where("day = '2026-01-02'").count() == 2 and reports.artifacts(row, row, "o", subfolder=False).count() == 0
+
+
+def test_languages(spark):
+    from leafmill.operators import language
+
+    for text, want in (
+        ("The cat sat on the mat and it was happy with that", "en"), ("Der Hund ist nicht auf dem Sofa und die Katze auch nicht", "de"), ("Le chat est sur la table et il ne veut pas descendre", "fr"),
+        ("El perro y la gata están en la casa pero no quieren salir", "es"), ("Это очень простой пример текста", "ru"), ("これは日本語の文章です。漢字もあります。とても良い", "ja"), ("short", "xx"), (None, "xx"), ("zzzz " * 10, "xx"),
+    ):
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(language.detect(F.col("t"), "xx")["lang"]).first()[0] == want
+    df = spark.createDataFrame([(1, "a\nb", "fr"), (2, "c", "en"), (3, None, "fr")], "doc_id int, text string, lang string")
+    out = language.translate(df, lambda t, a, b: t.upper() + f"\n{a}{b}" if t else None)
+    assert {r.doc_id: r.translated for r in out.collect()} == {1: "A\nB\nfren", 2: None, 3: None}
+    assert [(r.pos, r.translation) for r in language.paired_lines(out).where("doc_id = 1").orderBy("pos").collect()] == [(0, "A\nB\nfren"), (1, None)]
+
+
+def test_watch_waits_and_leaves_its_output_out(spark, tmp_path):
+    (tmp_path / "in/out").mkdir(parents=True)
+    (tmp_path / "in/a.csv").write_text("h\n1\n")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    query = watch.watch(spark, src, out, str(tmp_path / "check"), once=True, settle=0.05)
+    query.awaitTermination(60)
+    assert [r.status for r in spark.read.parquet(out).collect()] == ["ok"] and watch.progress(query)[0][2] == 1
+    assert watch.settled(spark, {str(tmp_path / "gone.csv"): 3, str(tmp_path / "in/a.csv"): 2}, 0.01, 1) == ([], [str(tmp_path / "in/a.csv")])
+
+
 def test_watch_reads_each_file_once(spark, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     (tmp_path / "in").mkdir()
@@ -345,20 +493,13 @@ def test_merge_words_equals_a_greedy_choice(spark):
 
 
 def test_chunk_and_json_records(spark):
-    s = spark.createDataFrame([("d", 0, "## A", " ".join(f"w{i}" for i in range(600)), 3), ("d", 1, "", "last words", None), ("d", 2, "## C", " ", 4)], "doc_id string, sec_no int, heading string, body string, page_number int")
-    rows = [json.loads(r.json) for r in builders.chunk_records(s, F.col("doc_id"), F.lit("d.pdf")).orderBy("chunk_index").collect()]
-    assert [(r["id"], len(r["text"].split()), r["metadata"]) for r in rows] == [
-        ("d_chunk_0000", 512, {"source": "d.pdf", "chunk_index": 0, "total_chunks": 4, "page": 3, "heading": "A"}),
-        ("d_chunk_0001", 138, {"source": "d.pdf", "chunk_index": 1, "total_chunks": 4, "page": 3, "heading": "A"}),
-        # After a long last paragraph the words carried on are a chunk of their own.
-        ("d_chunk_0002", 50, {"source": "d.pdf", "chunk_index": 2, "total_chunks": 4, "page": 3, "heading": "A"}),
-        ("d_chunk_0003", 2, {"source": "d.pdf", "chunk_index": 3, "total_chunks": 4}),
-    ]
-    docs = spark.createDataFrame([("d", "d.pdf", None), ("e", "e.pdf", "x")], "doc_id string, source_file string, engine string")
-    got = {r.doc_id: json.loads(r.json) for r in builders.json_documents(s.where("sec_no > 0"), docs, "now").collect()}
-    assert got["d"]["document"] == {"source_file": "d.pdf", "converted_at": "now", "engine": "unknown", "format_version": "1.0"}
-    assert got["d"]["sections"][0] == {"body": "last words"} and got["d"]["sections"][1]["page"] == 4
-    assert got["e"]["sections"] == []
+    ids = [json.loads(r.json)["id"] for r in builders.chunk_records(outputs(spark)).orderBy("doc_id", "chunk_index").collect()]
+    assert ids == ["f_chunk_0000", "f_chunk_0001"]
+    got = {k: json.loads(r.text) for k, r in rendered(spark, "JSON", converted_at="now").items()}
+    assert got["d"]["document"] == {"source_file": "f.pdf", "converted_at": "now", "engine": "e1", "format_version": "1.0"}
+    assert got["d"]["sections"] == [{"heading": "A", "body": "x *y*", "page": 1}, {"body": "[l](#a)", "page": 1}, {"heading": "B", "page": 2}]
+    assert got["d"]["confidence"]["overall"] == "Low" and got["d"]["table_of_contents"][0] == {"level": 1, "title": "A", "page": 1}
+    assert got["z"]["sections"] == got["z"]["assets"] == got["n"]["warnings"] == [] and "confidence" not in got["z"]
 
 
 def test_whole_clean_up(spark):
