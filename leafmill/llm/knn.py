@@ -68,6 +68,7 @@ def top_k(
     scale: float = 64.0,
     pivots: int = 64,
     group_rows: int = 2048,
+    groups: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of the highest inner product, all if fewer.
 
@@ -76,7 +77,8 @@ def top_k(
     hold null or non-finite components, and rows without a key, take no part;
     shorter vectors count as padded with zeros; equal rows count once.  Without
     queries or candidates the result is empty.  At most ``pivots`` rows are
-    sampled as pivots (by hash); all rows are searched.
+    sampled as pivots (by hash), and of queries at most ``groups`` as heads of
+    groups of about ``group_rows``, a larger one in parts; all rows are searched.
     """
     rows = durable(
         data.where(F.col(key).isNotNull() & is_valid(F.col(vector)))
@@ -98,12 +100,12 @@ def top_k(
         return _lifted(matrix(some.column("x").combine_chunks(), width), r2, query)
 
     cells = pick(rows, pivots, False)
-    groups = pick(rows.where("q"), int(min(256, max(1, -(-n_queries // group_rows)))), True)
+    heads = pick(rows.where("q"), int(min(groups, max(1, -(-n_queries // group_rows)))), True)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, np.ndarray] = {}
         count, low, high = np.zeros(len(cells), "i8"), np.full(len(cells), np.inf), np.zeros(len(cells))
-        reach, asked = np.zeros(len(groups)), np.zeros(len(groups), "i8")
+        reach, asked = np.zeros(len(heads)), np.zeros(len(heads), "i8")
         for b in batches:
             x, q = matrix(b.column("x"), width), b.column("q").to_numpy(zero_copy_only=False)
             d = _distances(_lifted(x, r2, False), cells)
@@ -115,7 +117,7 @@ def top_k(
             for c in np.unique(at):
                 near[c] = np.sort(np.concatenate([near.get(c, np.zeros(0)), d[at == c]]))[: k + 1]
             if q.any():
-                d = _distances(_lifted(x[q], r2, True), groups)
+                d = _distances(_lifted(x[q], r2, True), heads)
                 at = d.argmin(1)
                 np.maximum.at(reach, at, d[np.arange(len(at)), at])
                 np.add.at(asked, at, 1)
@@ -139,16 +141,16 @@ def top_k(
         .collect()
     )
     low, high, near = np.full(len(cells), np.inf), np.full(len(cells), -np.inf), [np.zeros(0)] * len(cells)
-    reach, asked = np.zeros(len(groups)), np.zeros(len(groups), "i8")
+    reach, asked = np.zeros(len(heads)), np.zeros(len(heads), "i8")
     for r in told:
         if r["kind"] == "c":
             low[r["cell"]], high[r["cell"]], near[r["cell"]] = r["low"], r["high"], np.array(r["near"])
         else:
             reach[r["cell"]], asked[r["cell"]] = r["high"], r["n"]
-    apart = _distances(groups, cells)
+    apart = _distances(heads, cells)
     # Each of a group's queries has k + 1 rows (itself, maybe, among them) within this distance.
-    within = np.full(len(groups), np.inf)
-    for g in range(len(groups)):
+    within = np.full(len(heads), np.inf)
+    for g in range(len(heads)):
         bound = np.sort(np.concatenate([reach[g] + apart[g, c] + near[c] for c in range(len(cells))]))
         if len(bound) > k:
             within[g] = bound[k]
@@ -157,7 +159,7 @@ def top_k(
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column("x"), width)
-            at = _distances(_lifted(x, r2, True), groups).argmin(1)
+            at = _distances(_lifted(x, r2, True), heads).argmin(1)
             salt = ((b.column("id").to_numpy().astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype("i8") % salts[at]
             yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(salt.astype("i4")), b.column("id"), b.column("x")], names=["g", "salt", "id", "x"])
 
@@ -182,7 +184,7 @@ def top_k(
                 at = d.argmin(1)
                 d = d[np.arange(len(at)), at]
                 out = []
-                for g in range(len(groups)):
+                for g in range(len(heads)):
                     if not asked[g]:
                         continue
                     far = apart[g, at]
