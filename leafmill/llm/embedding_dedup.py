@@ -9,6 +9,7 @@ multiplies what is left.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from leafmill.llm.common import durable
 from leafmill.llm.graph import components, root_of, unite
 from leafmill.llm.vectors import is_valid, matrix
 
-#: Rows of a block, rows of an interval that is no longer halved, and leading dimensions of the grid.
-BLOCK, LEAF, AXES = 1024, 128, 8
+#: Rows of a block, rows of an interval that is no longer halved, leading dimensions of the grid, and those in whose cells blocks meet.
+BLOCK, LEAF, AXES, MET = 1024, 128, 8, 3
 #: Added to epsilon against rounding.
 SLACK = 1e-7
 
@@ -78,10 +79,11 @@ def near_duplicates(
         F.col(key).alias("id"),
         F.when(fine, F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))).alias("x"),
         F.when(fine, F.xxhash64(group.cast("string"), F.size(vector))).alias("g"),
-    ).withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("g", "x")))
-    one = durable(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.first("g").alias("g"), F.first("x").alias("x"), F.count(F.lit(1)).alias("m"), F.min("id").alias("id")), "vectors"
-    )
+    ).withColumn("h", F.when(F.col("x").isNotNull(), F.struct(F.xxhash64("g", "x").alias("a"), F.xxhash64(F.lit(7), "x", "g").alias("b"))))
+    # Vectors are told apart by 128 bits; nodes are numbers, in the order of hashes.
+    distinct = rows.where("h IS NOT NULL").groupBy("h").agg(F.first("g").alias("g"), F.first("x").alias("x"), F.count(F.lit(1)).alias("m"), F.min("id").alias("id"))
+    named = durable(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    one = named.select("node", "g", "x", "m", "id")
     width = one.agg(F.max(F.size("x"))).first()[0]
     if width is None:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -149,9 +151,19 @@ def near_duplicates(
 
     # A block is named by its first vector, so a task that runs again names it the same.
     blocks = durable(sorted_.mapInArrow(cut, "block long, g long, low array<double>, high array<double>, nodes binary, ms binary, data binary"), "blocks")
-    side = blocks.select("block", "g", "low", "high", F.explode(F.sequence(F.floor(F.col("low")[0] / eps).cast("long"), F.floor(F.col("high")[0] / eps).cast("long"))).alias("cell"))
-    near = side.select("block", "g", "low", "high", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    # Boxes meet in a cell of the grid over the first axes that one of them touches and the other touches or neighbours: in one
+    # cell only, the first that they share on each axis. Unit vectors have two over epsilon cells on an axis at most.
+    met = range(min(MET, n_axes))
+    edge = lambda c, k: F.floor(F.col(c)[k] / eps).cast("long")
+    side = near = blocks.select("block", "g", "low", "high")
+    for k in met:
+        side = side.withColumn(f"f{k}", edge("low", k)).withColumn(f"k{k}", F.explode(F.sequence(edge("low", k), edge("high", k))))
+        near = near.withColumn(f"f{k}", edge("low", k) - 1).withColumn(f"k{k}", F.explode(F.sequence(edge("low", k) - 1, edge("high", k) + 1)))
     a, b = side.alias("a"), near.alias("b")
+    same = F.col("a.g") == F.col("b.g")
+    for k in met:
+        same &= F.col(f"a.k{k}") == F.col(f"b.k{k}")
+    first = functools.reduce(lambda x, y: x & y, [F.col(f"a.k{k}") == F.greatest(F.col(f"a.f{k}"), F.col(f"b.f{k}")) for k in met])
     gap2 = F.aggregate(
         F.zip_with(
             F.zip_with("a.low", "b.high", lambda x, y: x - y), F.zip_with("b.low", "a.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
@@ -160,10 +172,9 @@ def near_duplicates(
         lambda t, x: t + x * x,
     )
     pairs = (
-        a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") <= F.col("b.block")))
+        a.join(b, same & first & (F.col("a.block") <= F.col("b.block")))
         .where(gap2 <= eps * eps)
         .select(F.col("a.block").alias("one"), F.col("b.block").alias("two"))
-        .distinct()
     )
     left = blocks.select(F.col("block").alias("one"), F.col("nodes").alias("na"), F.col("ms").alias("ma"), F.col("data").alias("da"))
     right = blocks.select(F.col("block").alias("two"), F.col("nodes").alias("nb"), F.col("ms").alias("mb"), F.col("data").alias("db"))
@@ -205,10 +216,10 @@ def near_duplicates(
         "members",
     )
     smallest = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    told = member.join(smallest, "root").select("node", "n_links", "component_id")
+    told = member.join(smallest, "root").select("node", "n_links", "component_id").join(named.select("node", "h"), "node").drop("node")
     return (
-        rows.select("id", "node")
-        .join(told, "node", "left")
+        rows.select("id", "h")
+        .join(told, "h", "left")
         .select(
             F.col("id").alias(key),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
