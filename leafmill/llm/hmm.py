@@ -301,10 +301,13 @@ def score(
         )
 
     kind = table.schema["id"].dataType.simpleString()
+    # As many partitions as blocks, so that a task holds about one of them whatever the size of the input.
+    blocks = max(1, words.select("block").distinct().count())
     return (
         texts.select("block", "id", "held", "n", "words")
+        .repartition(blocks, "block")
         .groupBy("block")
-        .cogroup(known.groupBy("of"))
+        .cogroup(known.repartition(blocks, "of").groupBy("of"))
         .applyInArrow(
             solve,
             f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
