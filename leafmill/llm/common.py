@@ -27,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (in
-    tests on one machine) a local folder is made and set for the session.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset and all
+    runs on one machine (in tests) a local folder is made and set for the
+    session; on a cluster, whose machines don't share one, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
