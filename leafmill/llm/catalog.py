@@ -37,10 +37,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
     from leafmill.llm import repeats
 
-    return repeats.digests(table(spark, sf_dir, "documents"), 400, passage=corpus_pipeline.PASSAGE, words=corpus_pipeline.WORDS)
+    return repeats.digests(table(spark, sf_dir, "documents"), 400, passage=repeats.PASSAGE, words=repeats.WORDS)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +77,45 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+def link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of op2 on links of its own: every supplier is a page of its nation's host and links to the host of the next order of its key.
+
+    Scores alone judge the hosts that no rule fits.
+    """
+    from leafmill.llm import urls
 
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("n"))
+    host = lambda n: F.concat(F.lit("n"), n, F.when(n % 5 == 0, ".com").when(n % 7 == 1, ".net").otherwise(".org"))
+    path = F.when(F.col("n") % 7 == 1, "/es/x").otherwise("/x")
+    html = F.concat(F.lit("<a href='https://u@"), F.upper(host((F.col("n") * 3 + F.col("s_suppkey")) % 25)), F.lit(":8080/'>x</a>"))
+    pages = s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("http://"), host(F.col("n")), F.lit(":80"), path).alias("url"), html.alias("html"))
+    rules = (("allow", "com:80/"), ("block", "net:80/es/"))
+    out = urls.judge(pages, rules, rounds=6)
+    return out.select("page_id", "host", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def _link_trust_sql(rounds: int = 6, damping: float = 0.85) -> str:
+    """``link_trust`` with the rounds of both walks written out."""
+    host = "'n' || {0} || CASE WHEN {0} % 5 = 0 THEN '.com' WHEN {0} % 7 = 1 THEN '.net' ELSE '.org' END"
+    sql = f"""WITH p AS (SELECT s_suppkey AS page_id, s_nationkey::INTEGER AS n, ((s_nationkey * 3 + s_suppkey) % 25)::INTEGER AS m FROM supplier),
+g AS (SELECT page_id, {host.format("n")} AS a, {host.format("m")} AS b, CASE WHEN n % 5 = 0 THEN 'allow' WHEN n % 7 = 1 THEN 'block' END AS v FROM p),
+l AS (SELECT a, b, count(*)::DOUBLE AS w FROM g WHERE a <> b GROUP BY a, b),
+ft AS MATERIALIZED (SELECT a AS s, b AS t, w / sum(w) OVER (PARTITION BY a) AS q FROM l), fd AS MATERIALIZED (SELECT b AS s, a AS t, w / sum(w) OVER (PARTITION BY b) AS q FROM l)"""
+    for name, verdict in (("t", "allow"), ("d", "block")):
+        sql += f",\nh{name} AS MATERIALIZED (SELECT a AS h, 1.0 / count(*) OVER () AS s FROM (SELECT DISTINCT a FROM g WHERE v = '{verdict}')), {name}0 AS MATERIALIZED (SELECT h, s AS r FROM h{name})"
+        for k in range(rounds):
+            sql += f",\n{name}{k + 1} AS MATERIALIZED (SELECT h, sum(r) AS r FROM (SELECT t AS h, {damping} * q * r AS r FROM f{name} JOIN {name}{k} ON s = h UNION ALL SELECT h, {1 - damping} * s FROM h{name}) GROUP BY h)"
+    return sql + f"""
+SELECT page_id, a || ':80' AS host, CASE v WHEN 'allow' THEN 'com:80/' WHEN 'block' THEN 'net:80/es/' END AS rule, coalesce(v, CASE WHEN coalesce(d.r, 0) > coalesce(t.r, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(t.r, 0), 9) AS trust, round(coalesce(d.r, 0), 9) AS distrust FROM g LEFT JOIN t{rounds} t ON t.h = a LEFT JOIN d{rounds} d ON d.h = a"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
-    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))} | {"link_trust": link_trust}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
     from leafmill.llm import embedding_dedup, knn, mixing
 
-    return {"op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql(), "link_trust": _link_trust_sql()}

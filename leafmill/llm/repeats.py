@@ -34,6 +34,8 @@ from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash, to
 
 #: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and units up to which a bucket is sorted in one task.
 GRAM, PART, SHALLOW, BUCKET = 24, 2 << 20, 4, 20_000
+#: A passage: bytes of one (about 40 words), and words of a shorter one.
+PASSAGE, WORDS = 240, 51
 #: Bits of a place in a text beside the hash of its gram.
 PLACE = np.uint64(32)
 
