@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators, each over all that the one before it kept."""
+"""A corpus pipeline of five operators, each over all that the one before it kept.
+
+Every stage takes a null text for an empty one, keeps repeated rows unless it is
+there to drop them, keeps extra columns whatever their names but for the last
+stage, and makes an empty table of an empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,38 +13,37 @@ from pyspark.sql import functions as F
 from leafmill.llm import bpe, minhash, mixing, repeats, toxicity
 from leafmill.llm.common import durable, table
 
-#: Score from which a document is rejected, similarity of near-duplicates, and bytes of a repeated passage
-#: (about 40 words); passages of over 50 words are cut too where their words are so short that they have fewer bytes.
-TOXIC, SIMILAR, PASSAGE, WORDS = 0.3, 0.8, 240, 51
+#: Score from which a document is rejected, similarity of near-duplicates, and bytes and words of a repeated passage.
+TOXIC, SIMILAR, PASSAGE, WORDS = 0.3, 0.8, repeats.PASSAGE, repeats.WORDS
 
 #: SQL can express neither the classifier nor the classes; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC``."""
+    """Documents that score below ``TOXIC``; rows are judged one by one, an empty text by what texts without evidence score."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="_toxic").where(F.col("_toxic") < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest id."""
+    """One document of each class of near-duplicates, that of the smallest id; of equal rows, of all empty texts and of null ids in a class one stays."""
     return minhash.keep_one(docs, SIMILAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that start anywhere else too."""
+    """All documents, without the passages that start anywhere else too, their other copies in equal rows included; null texts stay null."""
     out = repeats.remove(docs, PASSAGE, words=WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal expected shares, in random order."""
+    """Sources in equal expected shares, in random order; null is a source of its own, and rows of one id are drawn alike."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, text): ids of the whole text, and what they decode to."""
+    """(doc_id, source, n_tokens, ids, text): ids of the whole text, and what they decode to; none and an empty text for a null one."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
