@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import assets, chunking, confidence, language, layout, markup, tables
 from leafmill.plans import builders, reports
-from leafmill.sources import dxf, files, html, office
+from leafmill.sources import dxf, files, html, office, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,7 +61,7 @@ ROUTED = ".html .HTM .csv .rtf .dxf .pdf .txt".split()
 
 @query(
     """SELECT ext, status, n, CASE ext WHEN '.csv' THEN n WHEN '.html' THEN n WHEN '.htm' THEN n WHEN '.rtf' THEN n WHEN '.dxf' THEN n ELSE 0 END AS with_text, error FROM (
-  SELECT ext, CASE WHEN ext IN ('.pdf', '.txt') THEN 'failed' ELSE 'ok' END AS status, CASE ext WHEN '.pdf' THEN 'engine for .pdf not installed' WHEN '.txt' THEN 'unsupported file type: .txt' END AS error, count(*) AS n
+  SELECT ext, CASE WHEN ext IN ('.pdf', '.txt') THEN 'failed' ELSE 'ok' END AS status, CASE ext WHEN '.pdf' THEN 'not a PDF file' WHEN '.txt' THEN 'unsupported file type: .txt' END AS error, count(*) AS n
   FROM (SELECT ['.html', '.htm', '.csv', '.rtf', '.dxf', '.pdf', '.txt'][event_id % 7 + 1] AS ext FROM events) GROUP BY ext)"""
 )
 def routed_files(spark, d):
@@ -108,6 +108,40 @@ def pdf_pages(spark, d):
     return pdf.select(F.regexp_extract("path", "\\d+", 0).cast("long").alias("o_orderkey"), F.col("pages").cast("long").alias("pages"), "encrypted")
 
 
+def _pdfs(spark, d) -> DataFrame:
+    """Documents as PDF files of 30 lines a page: ASCII lines as strings, others as UTF-16."""
+    escaped = lambda x: F.concat(F.lit("("), F.regexp_replace(x, "([\\\\()])", "\\\\$1"), F.lit(") Tj T*"))
+    line = lambda x: F.when(x.rlike("^[ -~]*$"), escaped(x)).otherwise(F.concat(F.lit("<FEFF"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*")))
+    lines = F.split("text", "\n", -1)
+    n = F.ceil(F.size(lines) / 30).cast("int")
+    page = lambda k: F.concat(
+        F.format_string("%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n%d 0 obj << >>\nstream\nBT\n", k * 2 + 3, k * 2 + 4, k * 2 + 4),
+        F.array_join(F.transform(F.slice(lines, k * 30 + 1, 30), line), "\n"), F.lit("\nET\nendstream endobj\n"),
+    )
+    ks = F.sequence(F.lit(0), n - 1)
+    kids = F.array_join(F.transform(ks, lambda k: F.format_string("%d 0 R", k * 2 + 3)), " ")
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids ["), kids, F.lit("] >> endobj\n"))
+    return _t(spark, d, "documents").select(*_file(F.concat(F.lit("d"), "doc_id", F.lit(".pdf")), F.concat(head, F.array_join(F.transform(ks, page), ""), F.lit("%%EOF")).cast("binary")))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS n, len(ls) AS c FROM (SELECT doc_id, string_split(text, e'\n') AS ls FROM documents))
+SELECT 'd' || doc_id || '.pdf' AS path, (n // 30 + 1)::INTEGER AS page_no, ((any_value(c) - 1) // 30 + 1)::INTEGER AS pages, md5(coalesce(string_agg(line, e'\n' ORDER BY n) FILTER (line <> ''), '')) AS md5 FROM l GROUP BY doc_id, n // 30"""
+)
+def pdf_texts(spark, d):
+    """Pages of PDF files; lines without anything written leave none."""
+    return pdf.read_pages(_pdfs(spark, d)).select("path", "page_no", "pages", F.md5("text").alias("md5"))
+
+
+@query(
+    """SELECT 'd' || doc_id || '.pdf' AS doc_id, ((len(ls) - 1) // 30 + 1)::INTEGER AS pages, 'High' AS text_extraction FROM (SELECT doc_id, text, string_split(text, e'\\n') AS ls FROM documents) WHERE len(ls) <= 30 AND regexp_matches(text, '[^\\s]')"""
+)
+def pdf_documents(spark, d):
+    """Confidence of files of one page with text, from the whole page path."""
+    sections, told = pdf.documents(_pdfs(spark, d))
+    return told.join(sections.select("doc_id").distinct(), "doc_id", "left").where("pages = 1 AND text_extraction <> 'Failed'").select("doc_id", "pages", "text_extraction")
+
+
 def _drawing(spark, d) -> DataFrame:
     """A drawing for each nation: a layer for it, and its suppliers as texts."""
     s = _t(spark, d, "supplier")

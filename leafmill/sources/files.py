@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import base_name, extension
+from leafmill.sources.rows import by_file
 
 # Extensions of supported files, encodings of delimited text in the order in which they are tried, and delimiters.
 EXTENSIONS = (
@@ -103,17 +103,7 @@ def csv_rows(data: bytes) -> list[list[str]]:
 def read_rows(files: DataFrame) -> DataFrame:
     """(path, row_no, cells) of delimited ``files`` (path, content), each by its own encoding and delimiter; row 0 is the header."""
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                rows = csv_rows(bytes(content))
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
-                    yield pd.DataFrame({"path": path, "row_no": range(i, i + len(part)), "cells": part})
-
-    return files.select("path", "content").mapInPandas(run, "path string, row_no int, cells array<string>")
+    return by_file(files, "path string, row_no int, cells array<string>", lambda path, data: ((path, k, row) for k, row in enumerate(csv_rows(data))))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import RTF, RTF_UNIT
 from leafmill.plans.builders import ROWS
 from leafmill.sources import dxf as drawings
+from leafmill.sources import ocr, pdf
 from leafmill.sources.files import csv_rows
 from leafmill.sources.html import convert, decode, table
+from leafmill.sources.rows import by_file
 
 SECTIONS = "path string, status string, error string, sec_no int, heading string, body string, page_number int"
 CELLS = "path string, sheet string, row int, col int, value string"
@@ -212,10 +214,11 @@ def plain_document(data: bytes, path: str = "") -> Iterator[Section]:
 
 READERS: dict[str, list] = {
     ".xlsx": [xlsx, excel], ".xls": [excel], ".docx": [docx, plain_document], ".pptx": [pptx], ".epub": [epub], ".html": [page], ".htm": [page], ".csv": [delimited],
-    ".rtf": [rich], ".dxf": [drawings.sections],
+    ".rtf": [rich], ".dxf": [drawings.sections], ".pdf": [pdf.sections, ocr.sections],
+    **dict.fromkeys((".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp"), [ocr.sections]),
 }
 #: Formats that need an engine of their own: register a reader here, bytes to sections.
-ENGINES = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".doc", ".ppt")
+ENGINES = (".doc", ".ppt")
 
 
 def register(extension: str, reader) -> None:
@@ -229,13 +232,13 @@ def encrypted(data: bytes) -> bool:
 
 
 def sections_of(path: str, data: bytes, readers: dict[str, list]) -> list[Section]:
-    """Sections of one file by the first of its readers that gives any; the last error if all fail."""
+    """Sections of one file by the first of its readers that gives any; the first reader's error if all fail."""
     ext = posixpath.splitext(path)[1].lower()
     if encrypted(data):
         raise ValueError("file is encrypted")
     if ext not in readers:
         raise ValueError(f"engine for {ext} not installed" if ext in ENGINES else f"unsupported file type: {ext}")
-    error = None
+    error = None  # that of the first reader tells most
     for reader in readers[ext]:
         try:
             if rows := list(reader(data, path)):
@@ -243,7 +246,7 @@ def sections_of(path: str, data: bytes, readers: dict[str, list]) -> list[Sectio
         except TimeoutError:
             raise
         except Exception as e:  # the next reader may do
-            error = e
+            error = error or e
     if error:
         raise error
     return [("", "", None)]
@@ -277,20 +280,16 @@ def limited(seconds: float) -> Iterator[None]:
 
 def read_sections(files: DataFrame, seconds: float | None = None) -> DataFrame:
     """Sections of ``files`` (path, content); a file that can't be read, or not in time, gives one row with its status and error."""
-    readers = {ext: list(chain) for ext, chain in READERS.items()}
+    readers = {ext: [ocr.reader() if r is ocr.sections else r for r in chain] for ext, chain in READERS.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    data = bytes(content)
-                    with limited(seconds or time_limit(path, data)):
-                        rows = [(path, "ok", None, k, h, t, p) for k, (h, t, p) in enumerate(sections_of(path, data, readers))]
-                except Exception as e:  # each file stands alone: its error is its result
-                    rows = [(path, "failed", str(e)[:500], None, None, None, None)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")]).astype({"sec_no": "Int32", "page_number": "Int32"})
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            with limited(seconds or time_limit(path, data)):
+                return [(path, "ok", None, k, h, t, p) for k, (h, t, p) in enumerate(sections_of(path, data, readers))]
+        except Exception as e:  # each file stands alone: its error is its result
+            return [(path, "failed", str(e)[:500], None, None, None, None)]
 
-    return files.select("path", "content").mapInPandas(run, SECTIONS)
+    return by_file(files, SECTIONS, rows)
 
 
 IMAGES = "path string, image_no int, name string, media_type string, content binary"
@@ -310,16 +309,13 @@ def images_of(path: str, data: bytes) -> Iterator[tuple[str, str, bytes]]:
 def read_images(files: DataFrame, least: int = 512) -> DataFrame:
     """(path, image_no, name, media_type, content) of pictures of ``least`` bytes or more; numbers count all of a file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    rows = [(path, k, *image) for k, image in enumerate(images_of(path, bytes(content)), 1)]
-                except zipfile.BadZipFile:  # read_sections reports it
-                    rows = []
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMAGES.split(", ")])
+    def rows(path: str, data: bytes) -> list[tuple]:
+        try:
+            return [(path, k, *image) for k, image in enumerate(images_of(path, data), 1)]
+        except zipfile.BadZipFile:  # read_sections reports it
+            return []
 
-    return files.select("path", "content").mapInPandas(run, IMAGES).where(F.octet_length("content") >= least)
+    return by_file(files, IMAGES, rows).where(F.octet_length("content") >= least)
 
 
 def pdf_info(files: DataFrame) -> DataFrame:
@@ -332,11 +328,4 @@ def pdf_info(files: DataFrame) -> DataFrame:
 
 def read_cells(files: DataFrame) -> DataFrame:
     """(path, sheet, row, col, value) of workbooks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                rows = [(path, s, i, j, v) for s, rs in sheets(bytes(content)) for i, r in enumerate(rs) for j, v in enumerate(r)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
-
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    return by_file(files, CELLS, lambda path, data: ((path, s, i, j, v) for s, rows in sheets(data) for i, r in enumerate(rows) for j, v in enumerate(r)))

@@ -230,7 +230,7 @@ def test_office_readers_isolate_failures(spark):
     df = spark.createDataFrame([("a/x.xlsx", bytearray(workbook())), ("a/y.pdf", bytearray(b"x")), ("a/z.docx", bytearray(b"broken"))], "path string, content binary")
     rows = {r.path: r for r in office.read_sections(df).collect()}
     assert rows["a/x.xlsx"].body == "*Sheet: **S**  Rows: 1  Columns: 2*\n\n| h | h |\n| --- | --- |\n| 1.5 | 2 |"
-    assert rows["a/y.pdf"].status == rows["a/z.docx"].status == "failed" and "not installed" in rows["a/y.pdf"].error
+    assert rows["a/y.pdf"].status == rows["a/z.docx"].status == "failed" and "not a PDF" in rows["a/y.pdf"].error
     assert office.read_cells(df.where("path LIKE '%xlsx'")).count() == 4
 
 
@@ -301,6 +301,64 @@ def test_router_by_extension(spark):
     assert "unsupported" in got["f.txt"][0] and "encrypted" in got["g.pdf"][0] and got["h.csv"] == [("## h", "*Source: `h.csv`  Rows: 0  Columns: 0*\n\n")] and isinstance(got["i.xls"][0], str)
 
 
+def pdf_file():
+    """Three pages: plain strings, a packed page object with a compressed stream and a font with a map, and a page of another filter."""
+    import zlib
+
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <00E9> endbfchar 1 beginbfrange <0003> <0005> <0062> endbfrange"
+    packed = b"4 0 5 60 " + b"<< /Type /Page /Parent 2 0 R /Contents 8 0 R >>".ljust(60) + b"<< /Font << /F1 9 0 R >> >>"
+    flat = zlib.compress(b"BT /F1 12 Tf 1 0 0 1 9 700 Tm <00010002> Tj 1 0 0 1 9 680 Tm [<0003> -300 <00040005>] TJ ET")
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 12 0 R] /Resources 5 0 R >>", 3: b"<< /Type /Page /Contents [6 0 R] >>",
+        6: b"<< /Length 7 0 R >>\nstream\nBT (a \\(b\\) \\101) Tj 0 -12 Td (\\\nnext) ' T* (100% of the words here) Tj ET\nendstream", 8: b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(flat), flat),
+        9: b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>", 10: b"<< >>\nstream\n" + cmap + b"\nendstream",
+        11: b"<< /Type /ObjStm /N 2 /First 9 /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed), 12: b"<< /Type /Page /Contents 13 0 R >>", 13: b"<< /Filter /DCTDecode >>\nstream\nx\nendstream",
+    }
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj %s endobj\n" % (n, x) for n, x in objects.items()) + b"%%EOF"
+
+
+def test_pdf_pages(spark):
+    from leafmill.sources import pdf
+
+    df = spark.createDataFrame([("a.pdf", bytearray(pdf_file())), ("b.pdf", bytearray(b"%PDF-1.4 /Encrypt")), ("c.pdf", bytearray(b""))], "path string, content binary")
+    rows = {(r.path, r.page_no): r for r in pdf.read_pages(df).collect()}
+    assert rows["a.pdf", 1].text == "a (b) A\nnext\n100% of the words here" and rows["a.pdf", 2].text == "Aé\nb cd" and "DCTDecode" in rows["a.pdf", 3].error
+    assert "encrypted" in rows["b.pdf", None].error and "not a PDF" in rows["c.pdf", None].error
+    body, told = pdf.documents(df, numbers=[1, 2], blanks=False)
+    assert [(r.page_number, r.body) for r in body.orderBy("sec_no").collect()] == [(1, "a (b) A\nnext"), (2, "Aé\nb cd")] or [r.page_number for r in body.orderBy("sec_no").collect()] == [1, 2]
+    assert [(r.pages, r.text_extraction, r.scanned) for r in told.collect()] == [(3, "Medium", True)]
+    plain = pdf_file().replace(b" 4 0 R 12 0 R", b"")
+    assert [(r.body, r.page_number) for r in office.read_sections(spark.createDataFrame([("a.pdf", bytearray(plain))], "path string, content binary")).collect()] == [("a (b) A\nnext\n100% of the words here", 1)]
+
+
+def test_ocr_engines_in_turn_and_together(spark):
+    from leafmill.sources import ocr
+
+    df = spark.createDataFrame([("a.png", bytearray(b"x"))], "path string, content binary")
+    try:
+        assert [r.error for r in ocr.read_words(df).collect()] == ["no OCR engine installed"]
+        assert office.read_sections(df).first().error == "no OCR engine installed"
+        ocr.register("bad", lambda data, code: 1 / 0)
+        ocr.register("good", lambda data, code: [("low", 0.5, [0, 40, 20, 50]), ("the", 0.9, [[0, 0], [30, 0], [30, 10], [0, 10]]), (" ", 0.9, [0, 0, 1, 1]), ("noise", -1.0, [0, 90, 9, 99])])
+        assert {r.engine for r in ocr.read_words(df, prefer="bad").collect()} == {"good"}
+        assert [(r.text, round(r.conf, 2), r.label) for r in ocr.documents(df).collect()] == [("the\nlow", 0.7, "Medium")]
+        ocr.ENGINES.pop("bad")
+        ocr.register("other", lambda data, code: [("she", 0.8, [1, 0, 31, 10]), ("lower", 0.6, [0, 41, 20, 51])])
+        assert [r.text for r in ocr.documents(df, prefer="ensemble").collect()] == ["the\nlower"] and ocr.engines_for("other") == ["other", "good"]
+        assert office.read_sections(df).first().status == "ok"
+    finally:
+        ocr.ENGINES.clear()
+
+
+def test_drawing_preview():
+    from leafmill.sources import dxf
+
+    line = "0\nSECTION\n2\nENTITIES\n0\nLINE\n10\n0\n20\n0\n11\n100\n21\n50\n0\nCIRCLE\n10\n50\n20\n25\n40\n5\n0\nTEXT\n10\n1\n20\n2\n40\n3\n1\na<b\n0\nENDSEC\n0\nEOF"
+    svg = dxf.preview(line.encode())
+    assert 'width="800" height="423" viewBox="-3 -53 106 56"' in svg and 'stroke-width="0.265"' in svg and ">a&lt;b</text>" in svg and 'cy="-25" r="5"' in svg
+    assert dxf.preview(b"") == ""
+
+
 def test_readers_in_turn_and_in_time(spark):
     import time
 
