@@ -87,23 +87,25 @@ def mix(
     is one) share their draw: both or neither have the same number of copies.
     An empty table gives an empty mixture.  Columns named copy_no or shuffle_key
     are replaced.  Rates go to the documents through a table of one row for each
-    source; it is broadcast
-    up to ``BROADCAST_ROWS`` rows and else joined by shuffle, where adaptive execution splits a hot source.
+    source; it is broadcast up to ``BROADCAST_ROWS`` rows and else joined by
+    shuffle, where adaptive execution splits a hot source.
     """
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     rate = rates(docs, weights, source, epochs)
     if rate.count() <= BROADCAST_ROWS:
         rate = F.broadcast(rate)
-    joined = docs.select(*names).join(rate, F.col(source).eqNullSafe(F.col("_src")), "inner")
-    copies = poisson_quantile(F.col("_rate"), uniform(seed, F.lit("copies"), F.col(key)))
+    # Rows travel as one value, so no name of theirs can clash.
+    rows = docs.select(F.struct(*names).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
+    joined = rows.join(rate, F.col("source").eqNullSafe(F.col("_src")), "inner")
+    copies = poisson_quantile(F.col("_rate"), uniform(seed, F.lit("copies"), F.col("key")))
     out = (
-        joined.withColumn("_copies", copies)
-        .where(F.col("_copies") > 0)
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
-        .withColumn("shuffle_key", uniform(seed, F.lit("order"), F.col(key), F.col("copy_no")))
+        joined.withColumn("copies", copies)
+        .where(F.col("copies") > 0)
+        .select("row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+        .withColumn("shuffle_key", uniform(seed, F.lit("order"), F.col("key"), F.col("copy_no")))
     )
     dealt = out.repartition(partitions, "shuffle_key") if partitions else out.repartition("shuffle_key")
-    return dealt.sortWithinPartitions("shuffle_key", key, "copy_no")
+    return dealt.sortWithinPartitions("shuffle_key", "key", "copy_no").select("row.*", "copy_no", "shuffle_key")
 
 
 def mix_sql(docs: str = "documents", seed: int = 17, epochs: float = 1.0, columns: str = "doc_id, source, text") -> str:
