@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leafmill.functions.text import base_name, safe_stem
 from leafmill.operators.layout import first_of
+from leafmill.operators.tables import media_extension, numbered_images
 from leafmill.operators.validation import IMAGE
 
 # What stands where a picture was, and what a picture that can't be read leaves.
@@ -105,3 +106,10 @@ def embed_images(docs: DataFrame, pictures: DataFrame, text: str = "text") -> Da
     parts = F.split(F.col(text), f"(?i){PLACEHOLDER}", -1)
     spliced = F.array_join(F.zip_with(parts, filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return docs.join(held, "doc_id", "left").withColumn(text, F.when(F.size("_pics") > 0, spliced).otherwise(F.col(text))).select(*docs.columns)
+
+
+def named_images(images: DataFrame, doc: str = "path") -> DataFrame:
+    """Images (path, image_no, name, media_type, content) with file, link and the first of equal ones per document: image_001.png and so on."""
+    kept = numbered_images(images.drop("image_no"), doc, ["name"], "content")
+    file = F.concat(F.format_string("image_%03d.", "image_no"), F.lower(media_extension(base_name(F.col("name")), F.col("media_type"))))
+    return kept.withColumn("file", file).withColumn("link", F.concat(F.lit("![Image "), "image_no", F.lit("](assets/"), "file", F.lit(")")))

@@ -248,6 +248,19 @@ def embedded_images(spark, d):
     return assets.embed_images(docs, pictures).select("doc_id", F.md5("text").alias("md5"))
 
 
+@query(
+    """SELECT source AS path, doc_id, 'image_' || lpad(n::VARCHAR, 3, '0') || '.' || e AS file, '![Image ' || n || '](assets/image_' || lpad(n::VARCHAR, 3, '0') || '.' || e || ')' AS link FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY n) AS r FROM (SELECT source, doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'gif' ELSE 'png' END AS e,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)) WHERE r = 1"""
+)
+def named_images(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "x.jpeg").when(F.col("doc_id") % 3 == 1, "/.none").otherwise("y.png")
+    images = _t(spark, d, "documents").select(
+        F.col("source").alias("path"), "doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), kind).alias("name"), F.lit("image/gif").alias("media_type"), F.col("text").cast("binary").alias("content"), F.lit(0).alias("image_no")
+    )
+    return assets.named_images(images).select("path", "doc_id", "file", "link")
+
+
 @query(
     """WITH a AS (SELECT o_custkey AS c, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS c, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O')
 SELECT a.c AS doc_id, o_orderkey, o_orderpriority FROM a LEFT JOIN b ON a.c = b.c AND a.n = b.n"""

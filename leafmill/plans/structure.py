@@ -285,14 +285,25 @@ def ragged_labels(spark, d):
 
 
 @query(
-    """SELECT doc_id, page_no, string_agg('<span class=''ocrx_word'' title=''bbox ' || x || ' ' || no * 20 || ' ' || x + 25 || ' ' || no * 20 + 12 || '; x_wconf 50''>' || f || '</span>', e'\\n' ORDER BY no) AS hocr FROM (
-  SELECT l_orderkey AS doc_id, 1 AS page_no, l_partkey % 4 * 30 AS x, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS no FROM lineitem) GROUP BY doc_id, page_no"""
+    """SELECT doc_id, page_no, string_agg('<span class=''ocrx_word'' title=''bbox ' || x || ' ' || no * 20 || ' ' || x + 25 || ' ' || no * 20 + 12 || '; x_wconf ' || CASE WHEN k < 3 AND k > 0 THEN 50 ELSE 25 END || '''>' || f || '</span>', e'\\n' ORDER BY no) AS hocr FROM (
+  SELECT l_orderkey AS doc_id, 1 AS page_no, l_partkey % 4 * 30 AS x, l_returnflag AS f, l_partkey % 5 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS no FROM lineitem)
+WHERE k NOT IN (3, 4) GROUP BY doc_id, page_no"""
 )
 def hocr_pages(spark, d):
-    words = _boxes(spark, d).select("doc_id", "page_no", F.col("no").alias("word_id"), F.col("l_returnflag").alias("text"), F.lit(7.0).alias("conf"), F.col("x0").alias("l"), F.col("y0").alias("t"), F.col("x1").alias("r"), F.col("y1").alias("b"))
+    """Words whose confidence is fine, over one, not a number, or below zero, and blank ones."""
+    b, k = _boxes(spark, d), F.col("l_partkey") % 5
+    conf = F.when(k == 1, 7.0).when(k == 2, F.lit(float("nan"))).when(k == 3, -1.0).otherwise(0.25)
+    words = b.select("doc_id", "page_no", F.col("no").alias("word_id"), F.when(k == 4, " ").otherwise(F.col("l_returnflag")).alias("text"), conf.alias("conf"), F.col("x0").alias("l"), F.col("y0").alias("t"), F.col("x1").alias("r"), F.col("y1").alias("b"))
     return layout.hocr(tables.usable_words(words), 10_000, 100_000)
 
 
+@query("SELECT event_id, least(event_id % 7, 3, event_id % 5)::DOUBLE AS l, 2.0::DOUBLE AS t, greatest(event_id % 7, 3, event_id % 5)::DOUBLE AS r, (2 + event_id % 3)::DOUBLE AS b FROM events")
+def polygon_boxes(spark, d):
+    e = F.col("event_id")
+    points = F.array(*[F.array(x.cast("double"), y.cast("double")) for x, y in ((e % 7, F.lit(2)), (F.lit(3), e % 3 + 2), (e % 5, F.lit(2)))])
+    return _t(spark, d, "events").select("event_id", layout.bbox(points).alias("x")).select("event_id", "x.*")
+
+
 @query("SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS page_no, md5(text) AS md5 FROM conversations WHERE NOT contains(text, chr(12))")
 def sidecar_pages(spark, d):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
