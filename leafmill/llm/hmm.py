@@ -30,6 +30,8 @@ from leafmill.llm.textnp import buffers, slices, word_hashes
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Tokens of a block (whose distinct words are looked up together) and of a batch of the recursions.
 BLOCK_TOKENS, BATCH_TOKENS = 4_000_000, 400_000
+#: Partitions of blocks at most.
+PARTITIONS = 20_000
 
 
 @dataclass
@@ -301,8 +303,8 @@ def score(
         )
 
     kind = table.schema["id"].dataType.simpleString()
-    # As many partitions as blocks, so that a task holds about one of them whatever the size of the input.
-    blocks = max(1, words.select("block").distinct().count())
+    # As many partitions as blocks, so that a task has a few of them whatever the size of the input, and as many as a scheduler takes.
+    blocks = min(PARTITIONS, max(1, words.select("block").distinct().count()))
     return (
         texts.select("block", "id", "held", "n", "words")
         .repartition(blocks, "block")
