@@ -1,6 +1,7 @@
 """Golden inputs for the text operators, readers, builders and the stream, derived by hand from their definitions."""
 
 import io
+import itertools
 import json
 import random
 import re
@@ -87,21 +88,18 @@ def test_repeated_rows_nulls_and_clashing_names(spark):
 
 
 def merged(pages: list[str]) -> list[str]:
-    """The plain loop: each page hands its last line to the next, which may be its only one."""
-    pages = list(pages)
-    for i in range(len(pages) - 1):
-        here, there = pages[i].split("\n"), pages[i + 1].split("\n")
-        full = [k for k, x in enumerate(here) if x.strip()]
-        start = [k for k, x in enumerate(there) if x.strip()]
-        if not full or not start:
-            continue
-        tail = here[full[-1]].strip()
-        if tail[-1] in ".!?:" or re.match(r"#|[-*] |\d+\.\s", tail) or not there[start[0]].strip()[0].islower():
-            continue
-        del here[full[-1]]
-        there[start[0]] = tail + " " + there[start[0]].lstrip()
-        pages[i], pages[i + 1] = "\n".join(here), "\n".join(there)
-    return pages
+    """One pass that carries what the page before has handed on."""
+    out, carried = [], ""
+    for text, after in itertools.zip_longest(pages, pages[1:], fillvalue=""):
+        lines = text.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        if carried:
+            lines[full[0]] = f"{carried} {lines[full[0]].lstrip()}"
+        tail = lines[full[-1]].strip() if full else "."
+        goes = tail[-1] not in ".!?:" and not re.match(r"#|[-*] |\d+\.\s", tail) and after.strip()[:1].islower()
+        carried = tail if goes else ""
+        out.append("\n".join(x for k, x in enumerate(lines) if not (goes and k == full[-1])))
+    return out
 
 
 def test_merge_across_pages(spark):
