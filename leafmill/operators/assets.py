@@ -113,3 +113,13 @@ def named_images(images: DataFrame, doc: str = "path") -> DataFrame:
     kept = numbered_images(images.drop("image_no"), doc, ["name"], "content")
     file = F.concat(F.format_string("image_%03d.", "image_no"), F.lower(media_extension(base_name(F.col("name")), F.col("media_type"))))
     return kept.withColumn("file", file).withColumn("link", F.concat(F.lit("![Image "), "image_no", F.lit("](assets/"), "file", F.lit(")")))
+
+
+def spine_order(spine: DataFrame, items: DataFrame) -> DataFrame:
+    """Items (doc_id, item_id, ord, ...) that a book's spine (doc_id, pos, item_id) names, with their place ``pos`` in it.
+
+    A book whose spine names none of its items has all of them, in their own order.
+    """
+    named = items.join(spine.select("doc_id", "item_id", "pos"), ["doc_id", "item_id"])
+    rest = items.join(named.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("pos", F.col("ord"))
+    return named.unionByName(rest)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import assets, chunking, confidence, language, layout, markup, tables
+from leafmill.operators import assets, chunking, confidence, language, layout, markup, postprocess, tables
 from leafmill.plans import builders, reports
 from leafmill.sources import dxf, files, html, office, pdf
 
@@ -248,6 +248,22 @@ def embedded_images(spark, d):
     return assets.embed_images(docs, pictures).select("doc_id", F.md5("text").alias("md5"))
 
 
+@query(
+    """WITH i AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS item_id FROM lineitem), n AS (SELECT doc_id, item_id, 10 - item_id AS pos FROM i WHERE doc_id % 3 <> 0 AND item_id % 2 = 1)
+SELECT * FROM n UNION ALL SELECT doc_id, item_id, item_id AS pos FROM i WHERE doc_id NOT IN (SELECT doc_id FROM n)"""
+)
+def spine_items(spark, d):
+    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("item_id")).distinct().withColumn("ord", F.col("item_id"))
+    spine = items.where("doc_id % 3 <> 0 AND item_id % 2 = 1").select("doc_id", (10 - F.col("item_id")).alias("pos"), "item_id")
+    return assets.spine_order(spine, items).select("doc_id", "item_id", "pos")
+
+
+@query("SELECT conv_id AS doc_id, turn AS page_no FROM conversations WHERE turn <= 1")
+def preview_pages(spark, d):
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"))
+    return postprocess.first_pages(pages, 1)
+
+
 @query(
     """SELECT source AS path, doc_id, 'image_' || lpad(n::VARCHAR, 3, '0') || '.' || e AS file, '![Image ' || n || '](assets/image_' || lpad(n::VARCHAR, 3, '0') || '.' || e || ')' AS link FROM (
   SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY n) AS r FROM (SELECT source, doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'gif' ELSE 'png' END AS e,
