@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable, tidy
+from leafmill.llm.common import durable, forget, tidy
 from leafmill.llm.graph import components, root_of, unite
 from leafmill.llm.textnp import buffers, mix, shingle_hashes, slices, word_hashes
 
@@ -230,6 +230,12 @@ def classes(
     components leave anything to compare, in the first band that a pair shares.
     """
     k = bands * rows
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        used.append(durable(df, what))
+        return used[-1]
+
     given = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", text_id(F.col("t")))
     id_kind = given.schema["id"].dataType.simpleString()
 
@@ -252,11 +258,11 @@ def classes(
     signed = given.select("id", "h", "t").mapInArrow(tidy(sign), f"id {id_kind}, h binary, keys array<long>, sig binary")
     # Nodes are numbers, in the order of hashes.
     distinct = signed.groupBy("h").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    nodes = durable(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = durable(member.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    banded = durable(member.join(shared, "key").select("key", "band", "node", "pivot"), "bands")
-    first = durable(banded.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
+    shared = keep(member.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    banded = keep(member.join(shared, "key").select("key", "band", "node", "pivot"), "bands")
+    first = keep(banded.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
     wanted = banded.select("node").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +279,7 @@ def classes(
                 )
 
     one_text = given.join(nodes.join(wanted, "node").select("node", "h", F.col("id").alias("least")), "h").where(F.col("id").eqNullSafe(F.col("least"))).select("node", "t")
-    held = durable(one_text.mapInArrow(tidy(sets), "node long, set binary, n binary").groupBy("node").agg(F.first("set").alias("set"), F.first("n").alias("n")), "sets")
+    held = keep(one_text.mapInArrow(tidy(sets), "node long, set binary, n binary").groupBy("node").agg(F.first("set").alias("set"), F.first("n").alias("n")), "sets")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,21 +295,21 @@ def classes(
         y = held.select(F.col("node").alias("v"), F.col("set").alias("y"), F.col("n").alias("yn"))
         return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "xn", "y", "yn").mapInArrow(tidy(similar), "u long, v long")
 
-    links = durable(check(first), "links")
+    links = keep(check(first), "links")
     roots = components(links)
     # Bands whose members are not yet in one component: blocks of what isn't in the band's largest
     # component are compared with all blocks of the band; a task returns spanning trees, not pairs.
     placed = banded.select("key", "band", "node").join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    share = durable(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "shares")
+    share = keep(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "shares")
     top = F.max(F.struct("n", "root"))
-    main = durable(
+    main = keep(
         share.groupBy("key").agg(top["root"].alias("main"), top["n"].alias("n_main"), (F.sum("n") - top["n"]).alias("n_odd")).where("n_odd > 0"), "open"
     )
     odd = F.col("root") != F.col("main")
     salt = F.pmod(F.xxhash64(F.lit(9), "node"), F.ceil(F.when(odd, F.col("n_odd")).otherwise(F.col("n_main")) / F.lit(BLOCK)))
     open_ = placed.join(main, "key").select("key", "band", "node", "root", odd.alias("odd"), salt.alias("block"))
     full = open_.join(nodes.select("node", "sig"), "node").join(held, "node")
-    packed = durable(full.groupBy("key", "band", "odd", "block").agg(F.collect_list(F.struct("node", "root", "sig", "set", "n")).alias("x")), "blocks")
+    packed = keep(full.groupBy("key", "band", "odd", "block").agg(F.collect_list(F.struct("node", "root", "sig", "set", "n")).alias("x")), "blocks")
     left = packed.where("odd").select("key", "band", F.col("block").alias("p"), F.col("x").alias("xs"))
     right = packed.select("key", F.col("odd").alias("o"), F.col("block").alias("q"), F.col("x").alias("ys"))
     met = left.join(right, "key").where("NOT o OR p <= q").select("band", (F.col("o") & (F.col("p") == F.col("q"))).alias("same"), "xs", "ys")
@@ -317,15 +323,19 @@ def classes(
                 for u, v in _trees(x, y, band, same, rows, threshold, weighted):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    more = durable(met.mapInArrow(tidy(solve), "u long, v long"), "links")
+    more = keep(met.mapInArrow(tidy(solve), "u long, v long"), "links")
     if not more.isEmpty():
+        forget(roots)
         roots = components(links.unionByName(more))
-    classed = durable(nodes.select("node", "h", "id").join(roots, "node", "left").select("node", "h", "id", F.coalesce("root", "node").alias("root")), "classes")
+    classed = keep(nodes.select("node", "h", "id").join(roots, "node", "left").select("node", "h", "id", F.coalesce("root", "node").alias("root")), "classes")
     # The smallest key names the class; the text that has it stands for the class (of several, that of the smallest hash).
-    least = durable(
+    least = keep(
         classed.groupBy("root").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("best")), "least"
     )
-    return given, durable(classed.join(least, "root").select("node", "h", "id", "class_id", (F.col("node") == F.col("best")).alias("best")), "told")
+    told = durable(classed.join(least, "root").select("node", "h", "id", "class_id", (F.col("node") == F.col("best")).alias("best")), "told")
+    for table in (*used, roots):
+        forget(table)
+    return given, told
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, key: str = "doc_id", **options) -> DataFrame:
