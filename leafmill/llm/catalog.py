@@ -19,7 +19,7 @@ def op1_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import urls
 
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 12) for c in ("trust", "distrust")})
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,23 +91,12 @@ def link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = s.select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("http://"), host(F.col("n")), F.lit(":80"), path).alias("url"), html.alias("html"))
     rules = (("allow", "com:80/"), ("block", "net:80/es/"))
     out = urls.judge(pages, rules, rounds=6)
-    return out.select("page_id", "host", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
-def _link_trust_sql(rounds: int = 6, damping: float = 0.85) -> str:
-    """``link_trust`` with the rounds of both walks written out."""
-    host = "'n' || {0} || CASE WHEN {0} % 5 = 0 THEN '.com' WHEN {0} % 7 = 1 THEN '.net' ELSE '.org' END"
-    sql = f"""WITH p AS (SELECT s_suppkey AS page_id, s_nationkey::INTEGER AS n, ((s_nationkey * 3 + s_suppkey) % 25)::INTEGER AS m FROM supplier),
-g AS (SELECT page_id, {host.format("n")} AS a, {host.format("m")} AS b, CASE WHEN n % 5 = 0 THEN 'allow' WHEN n % 7 = 1 THEN 'block' END AS v FROM p),
-l AS (SELECT a, b, count(*)::DOUBLE AS w FROM g WHERE a <> b GROUP BY a, b),
-ft AS MATERIALIZED (SELECT a AS s, b AS t, w / sum(w) OVER (PARTITION BY a) AS q FROM l), fd AS MATERIALIZED (SELECT b AS s, a AS t, w / sum(w) OVER (PARTITION BY b) AS q FROM l)"""
-    for name, verdict in (("t", "allow"), ("d", "block")):
-        sql += f",\nh{name} AS MATERIALIZED (SELECT a AS h, 1.0 / count(*) OVER () AS s FROM (SELECT DISTINCT a FROM g WHERE v = '{verdict}')), {name}0 AS MATERIALIZED (SELECT h, s AS r FROM h{name})"
-        for k in range(rounds):
-            sql += f",\n{name}{k + 1} AS MATERIALIZED (SELECT h, sum(r) AS r FROM (SELECT t AS h, {damping} * q * r AS r FROM f{name} JOIN {name}{k} ON s = h UNION ALL SELECT h, {1 - damping} * s FROM h{name}) GROUP BY h)"
-    return sql + f"""
-SELECT page_id, a || ':80' AS host, CASE v WHEN 'allow' THEN 'com:80/' WHEN 'block' THEN 'net:80/es/' END AS rule, coalesce(v, CASE WHEN coalesce(d.r, 0) > coalesce(t.r, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(t.r, 0), 9) AS trust, round(coalesce(d.r, 0), 9) AS distrust FROM g LEFT JOIN t{rounds} t ON t.h = a LEFT JOIN d{rounds} d ON d.h = a"""
+HOST_SQL = "'n' || {0} || CASE WHEN {0} % 5 = 0 THEN '.com' WHEN {0} % 7 = 1 THEN '.net' ELSE '.org' END"
+LINKS_SQL = f"""(SELECT s_suppkey AS page_id, 'http://' || {HOST_SQL.format("n")} || ':80' || CASE WHEN n % 7 = 1 THEN '/es/x' ELSE '/x' END AS url, '<a href=''https://u@' || upper({HOST_SQL.format("m")}) || ':8080/''>x</a>' AS html
+  FROM (SELECT s_suppkey, s_nationkey::INTEGER AS n, ((s_nationkey * 3 + s_suppkey) % 25)::INTEGER AS m FROM supplier))"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -116,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from leafmill.llm import embedding_dedup, knn, mixing
+    from leafmill.llm import embedding_dedup, knn, mixing, urls
 
-    return {"op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql(), "link_trust": _link_trust_sql()}
+    links = urls.judge_sql(LINKS_SQL, (("allow", "com:80/"), ("block", "net:80/es/")), rounds=6, digits=9)
+    return {"op2_url_filter": urls.judge_sql(), "op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql(), "link_trust": links}
