@@ -47,12 +47,6 @@ def explode_lines(pages: DataFrame, keys: list[str], text: str = "text", newline
     return pages.select(*keys, F.posexplode(parts).alias("pos", "line"))
 
 
-def join_lines(lines: DataFrame, keys: list[str], out: str = "text") -> DataFrame:
-    """Lines put together again, in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(out))
-
-
 def in_fence(keys: list[str], line: str = "line") -> Column:
     """Whether a line is a code fence or inside one, by the parity of fences so far."""
     window = Window.partitionBy(*keys).orderBy("pos")

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.text import strip, words
+from leafmill.functions.text import let, strip, words
 
 SIZE, OVERLAP = 512, 50
 
 
 def stride_chunks(pages: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(keys, k, chunk): windows of ``size`` words every ``size - overlap``; a text of ``size`` words or fewer as it is."""
-    w = words(F.col(text))
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    parts = F.when(F.size(w) <= size, F.array(F.col(text))).otherwise(many)
-    return pages.where(strip(F.col(text)) != "").select(*keys, F.posexplode(parts).alias("k", "chunk"))
+
+    def parts(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(F.col(text))).otherwise(many)
+
+    return pages.select(*keys, F.posexplode(let(words(F.col(text)), parts)).alias("k", "chunk"))
 
 
 def section_parts(body: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -44,6 +46,7 @@ def section_parts(body: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
             F.when(F.size(p) > size, cut["now"]).otherwise(F.concat(now, p)).alias("now"),
         )
 
+    n_words = lambda x: F.regexp_count(x, F.lit("(?U)\\S+"))
     paragraphs = F.filter(F.transform(F.split(body, "\n\n+"), words), lambda p: F.size(p) > 0)
     folded = F.aggregate(
         paragraphs,
@@ -51,13 +54,13 @@ def section_parts(body: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
         step,
         lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(text(s["now"])))).otherwise(s["done"]),
     )
-    return F.when(F.size(words(body)) <= size, F.array(body)).otherwise(folded)
+    return F.when(n_words(body) <= size, F.array(body)).otherwise(folded)
 
 
 def section_chunks(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, *, doc: str = "doc_id", order: str = "sec_no", body: str = "body", keep: list[str] | None = None) -> DataFrame:
     """(doc, order, ``keep``, k, chunk) of sections that aren't blank; null bodies are blank."""
-    text = strip(F.col(body))
-    return sections.where(text != "").select(doc, order, *(keep or []), F.posexplode(section_parts(text, size, overlap)).alias("k", "chunk"))
+    parts = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(section_parts(t, size, overlap))
+    return sections.select(doc, order, *(keep or []), F.posexplode(let(strip(F.col(body)), parts)).alias("k", "chunk"))
 
 
 def numbered(chunks: DataFrame, doc: str, order: list[str], stem: Column) -> DataFrame:

@@ -205,8 +205,8 @@ def body_html(body: Column) -> Column:
             c = F.regexp_replace(c, pattern, new)
         return c
 
-    def step(s: Column, line: Column) -> Column:
-        t = strip(line)
+    def step(s: Column, both: Column) -> Column:
+        line, t = both["line"], both["t"]
         fence, row = F.startswith(t, F.lit("```")), F.startswith(t, F.lit("|"))
         cells = F.transform(F.split(F.regexp_replace(t, "^\\||\\|$", ""), "\\|", -1), strip)
         ruler = F.forall(cells, lambda x: x.rlike("^[-: ]*$"))
@@ -230,7 +230,8 @@ def body_html(body: Column) -> Column:
         return F.struct(F.concat(s["out"], F.array(new)).alias("out"), (s["code"] != fence).alias("code"), (row & ~s["code"]).alias("table"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"), F.lit(False).alias("table"))
-    return F.aggregate(F.split(body, "\n", -1), start, step, lambda s: F.array_join(F.filter(F.concat(s["out"], F.array(F.when(s["table"], F.lit("</table>")).otherwise(F.lit("")))), lambda x: x != ""), "\n"))
+    lines = F.transform(F.split(body, "\n", -1), lambda x: F.struct(x.alias("line"), strip(x).alias("t")))
+    return F.aggregate(lines, start, step, lambda s: F.array_join(F.filter(F.concat(s["out"], F.array(F.when(s["table"], F.lit("</table>")).otherwise(F.lit("")))), lambda x: x != ""), "\n"))
 
 
 def html(o: Options = Options()) -> Column:  # noqa: B008

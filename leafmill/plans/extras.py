@@ -397,10 +397,10 @@ def merged_sidecars(spark, d):
 
 @query(
     """SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE upper(lang) END AS name,
-  CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE 'eng' END AS ocr FROM documents"""
+  CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE 'eng' END AS ocr, CASE WHEN lang IN ('de', 'fr', 'es') THEN lang ELSE 'en' END AS code FROM documents"""
 )
 def language_names(spark, d):
-    return _t(spark, d, "documents").select("doc_id", language.language_name(F.col("lang")).alias("name"), language.ocr_code(F.col("lang")).alias("ocr"))
+    return _t(spark, d, "documents").select("doc_id", language.language_name(F.col("lang")).alias("name"), language.ocr_code(F.col("lang")).alias("ocr"), language.chosen_code(language.language_name(F.col("lang"))).alias("code"))
 
 
 COUNTS_SQL = ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in words.split())}))) AS {lang}_" for lang, words in language.FREQUENT.items())

@@ -425,6 +425,10 @@ def test_logs_are_appended(spark, tmp_path):
     target = str(tmp_path / "log")
     for _ in range(2):
         reports.append_confidence(row, target)
+    lines = row.select("file", "at", F.lit("INFO").alias("level"), F.lit("m").alias("message"))
+    reports.append_log(lines, target + "s")
+    reports.append_log(lines.withColumn("at", F.col("at") + F.expr("INTERVAL 1 DAY")), target + "s")
+    assert sorted(str(r.day) for r in spark.read.parquet(target + "s").collect()) == ["2026-01-02", "2026-01-03"]
     assert spark.read.parquet(target).where("day = '2026-01-02'").count() == 2 and reports.artifacts(row, row, "o", subfolder=False).count() == 0
 
 
