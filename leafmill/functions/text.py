@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TERMINATOR = "(\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\u0085\\u2028\\u2029])"
 
@@ -47,16 +46,30 @@ def explode_lines(pages: DataFrame, keys: list[str], text: str = "text", newline
     return pages.select(*keys, F.posexplode(parts).alias("pos", "line"))
 
 
-def in_fence(keys: list[str], line: str = "line") -> Column:
-    """Whether a line is a code fence or inside one, by the parity of fences so far."""
-    window = Window.partitionBy(*keys).orderBy("pos")
-    fence = F.startswith(strip(F.col(line)), F.lit("```"))
-    return fence | (F.sum(fence.cast("int")).over(window) % 2 == 1)
+def line_states(text: Column) -> Column:
+    """array of struct(line, state): m for front matter, c for fenced code and its fences, else b, r or t (blank, a rule, text).
 
+    Front matter opens with a rule before any other content and closes with the
+    next one; fences within it don't count.  The kinds of the lines are a string
+    of their own, in which patterns find both, so a text is worked on in its row
+    and in time that grows with its lines.
+    """
+    kind = lambda t: F.when(t == "---", "r").when(t == "", "b").when(F.startswith(t, F.lit("```")), "f").otherwise("t")
+
+    def with_matter(k: Column) -> Column:
+        before, matter = (F.regexp_extract(k, "\\A(b*)(r[^r]*r?)", n) for n in (1, 2))
+        return F.concat(before, F.repeat(F.lit("m"), F.length(matter)), F.substring(k, F.length(before) + F.length(matter) + 1, F.length(k)))
+
+    def with_code(k: Column) -> Column:
+        parts = F.regexp_extract_all(k, F.lit("f[^f]*f?|[^f]+"), F.lit(0))
+        return F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit("f")), F.repeat(F.lit("c"), F.length(x))).otherwise(x)), "")
+
+    def states(lines: Column) -> Column:
+        kinds = F.array_join(F.transform(lines, lambda x: let(strip(x), kind)), "")
+        found = let(let(kinds, with_matter), with_code)
+        return F.zip_with(lines, F.regexp_extract_all(found, F.lit("."), F.lit(0)), lambda x, s: F.struct(x.alias("line"), s.alias("state")))
 
-def base_name(path: Column) -> Column:
-    """File name without its folder."""
-    return F.regexp_extract(path, "([^/\\\\]*)$", 1)
+    return let(F.split(text, "\n", -1), states)
 
 
 def safe_stem(path: Column) -> Column:

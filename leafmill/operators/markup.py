@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.text import explode_lines, in_fence, strip
+from leafmill.functions.text import explode_lines, line_states, strip
 
 # Heading lines, captions of images, rules, and the private-use block that holds shifted ASCII.
 HEADING_LINE = "^(#{1,6})\\s+(.+)$"
@@ -28,21 +28,13 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, pos, line, kind): what a preview shows each line as, ``text`` where nothing else fits.
 
     Front matter opens with a rule before any other content and closes with the
-    next one.  A null text has no lines.
+    next one; fences in it don't count.  A null text has no lines.  No shuffle.
     """
-    lines = explode_lines(docs.select(key, F.col(text).alias("text")), [key], newline_only=True).withColumn("t", strip(F.col("line")))
-    order = Window.partitionBy(key).orderBy("pos")
-    rule = F.col("t") == "---"
-    lines = lines.withColumn("fill", F.sum((F.col("t") != "").cast("int")).over(order)).withColumn("rules", F.sum(rule.cast("int")).over(order))
-    opens = F.max((rule & (F.col("fill") == 1)).cast("int")).over(Window.partitionBy(key)) == 1
-    matter = opens & ((F.col("rules") == 1) | ((F.col("rules") == 2) & rule))
-    lines = lines.withColumn("matter", matter)
-    # Fences within front matter don't count.
-    lines = lines.withColumn("seen", F.when(F.col("matter"), F.lit("")).otherwise(F.col("t"))).withColumn("code", in_fence([key], "seen"))
+    lines = docs.select(key, F.posexplode(line_states(F.col(text))).alias("pos", "l")).select(key, "pos", "l.line", "l.state").withColumn("t", strip(F.col("line")))
     t, line = F.col("t"), F.col("line")
     kind = (
-        F.when(F.col("matter"), "frontmatter")
-        .when(F.col("code"), "code_block")
+        F.when(F.col("state") == "m", "frontmatter")
+        .when(F.col("state") == "c", "code_block")
         .when(t.rlike("^(-{3,}|\\*{3,}|_{3,})$"), "hr")
         .when(line.startswith("# "), "heading")
         .when(line.startswith("## "), "heading2")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leafmill.functions.text import explode_lines, in_fence, strip
+from leafmill.functions.text import let, line_states, strip
 
 # What counts as a heading, a table, an image, a page mark and a link.
 HEADING = "(?m)^(#{1,6})\\s+\\S"
@@ -95,28 +94,29 @@ def validated(docs: DataFrame, text: str = "text") -> DataFrame:
     return _grades(_counts(with_plain(docs, text), text)).drop("_plain")
 
 
-def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, level, title) of headings outside fences and front matter."""
-    lines = explode_lines(docs.select(key, F.col(text).alias("text")), [key], newline_only=True)
-    window = Window.partitionBy(key).orderBy("pos")
-    rule = strip(F.col("line")) == "---"
-    seen = F.sum((strip(F.col("line")) != "").cast("int")).over(window)
-    lines = lines.withColumn("fence", in_fence([key])).withColumn("opens", rule & (seen == 1)).withColumn("rules", F.sum(rule.cast("int")).over(window))
-    lines = lines.withColumn("matter", F.max(F.col("opens").cast("int")).over(Window.partitionBy(key)) == 1)
-    body = lines.where(~F.col("fence") & ~(F.col("matter") & ((F.col("rules") == 1) | ((F.col("rules") == 2) & rule))))
+def headings_of(text: Column) -> Column:
+    """array of struct(pos, level, title) of headings outside fences and front matter."""
     hit = "^(#{1,6})\\s+(\\S.*)$"
-    return body.where(F.col("line").rlike(hit)).select(
-        key, "pos", F.length(F.regexp_extract("line", hit, 1)).alias("level"), strip(F.regexp_extract("line", hit, 2)).alias("title")
-    )
+    lines = F.transform(line_states(text), lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["state"].alias("state")))
+    found = F.filter(lines, lambda x: ~x["state"].isin("m", "c") & x["line"].rlike(hit))
+    level, title = lambda x: F.length(F.regexp_extract(x["line"], hit, 1)), lambda x: strip(F.regexp_extract(x["line"], hit, 2))
+    return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), level(x).alias("level"), title(x).alias("title")))
+
+
+def headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, level, title) of headings outside fences and front matter; no shuffle, and repeated rows stay apart."""
+    return docs.select(key, F.explode(headings_of(F.col(text))).alias("h")).select(key, "h.*")
 
 
 def heading_jumps(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, issue) where a heading is more than one level below the one before it."""
-    window = Window.partitionBy(key).orderBy("pos")
-    found = headings(docs, key, text).withColumn("last", F.lag("level").over(window))
-    return found.where(F.col("level") > F.col("last") + 1).select(
-        key, "pos", F.format_string("H%d jumps to H%d (skipped H%d)", F.col("last"), F.col("level"), F.col("last") + 1).alias("issue")
-    )
+
+    def jumps(hs: Column) -> Column:
+        pairs = F.transform(hs, lambda h, i: F.struct(h["pos"].alias("pos"), F.when(i > 0, F.get(hs, i - 1)["level"]).alias("last"), h["level"].alias("level")))
+        return F.filter(pairs, lambda p: p["level"] > p["last"] + 1)
+
+    found = docs.select(key, F.explode(let(headings_of(F.col(text)), jumps)).alias("j")).select(key, "j.*")
+    return found.select(key, "pos", F.format_string("H%d jumps to H%d (skipped H%d)", F.col("last"), F.col("level"), F.col("last") + 1).alias("issue"))
 
 
 def slug(title: Column) -> Column:

@@ -76,6 +76,15 @@ def test_footnotes(spark, text, want):
     assert df.select(postprocess.footnotes(F.col("t"))).first()[0] == want
 
 
+def test_headings_of_each_row(spark):
+    from leafmill.operators import validation
+
+    text = "\n---\n```\n# no\n---\n# A\n```\n# x\n```\n### B \n#\n## C"
+    df = spark.createDataFrame([(1, text), (1, text), (1, None), (2, ""), (3, "# a\n---\n### b\n```\n# open")], "doc_id int, text string")
+    assert sorted((r.doc_id, r.pos, r.level, r.title) for r in validation.headings(df).collect()) == [(1, 5, 1, "A")] * 2 + [(1, 9, 3, "B")] * 2 + [(1, 11, 2, "C")] * 2 + [(3, 0, 1, "a"), (3, 2, 3, "b")]
+    assert sorted((r.doc_id, r.pos) for r in validation.heading_jumps(df).collect()) == [(1, 9), (1, 9), (3, 2)]
+
+
 def test_repeated_rows_nulls_and_clashing_names(spark):
     rows = [("d", 1, "a\nb", "x", 7), ("d", 1, "a\nb", "y", 7), ("d", 2, None, None, 7), (None, 1, "a", "z", 7)]
     df = spark.createDataFrame(rows, "doc_id string, page_no int, text string, new string, norm int")
