@@ -71,7 +71,7 @@ def watch(
     """Convert arriving files to sections under ``output``; the checkpoint keeps each file from being read twice.
 
     Batches are written under their number, so a batch that runs again replaces
-    what it wrote before; a path that a batch has twice is converted once.  With
+    what it wrote before; the source gives a path once, whatever it sees of it.  With
     ``settle``, files whose size still changes between looks that many seconds
     apart are waited for, and reported as failed if they never stop growing.
     """
@@ -80,7 +80,7 @@ def watch(
     def batch(files: DataFrame, number: int) -> None:
         target = f"{output}/batch={number}"
         if not settle:
-            convert(files.dropDuplicates(["path"])).write.mode("overwrite").parquet(target)
+            convert(files).write.mode("overwrite").parquet(target)
             return
         sizes = {r["path"]: r["length"] for r in files.select("path", "length").distinct().collect()}
         whole, open_ = settled(files.sparkSession, sizes, settle)
