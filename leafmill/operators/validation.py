@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.kernels import text_counts
 from leafmill.functions.text import let, line_states, strip
 
 # What counts as a heading, a table, an image, a page mark and a link.
@@ -15,37 +16,21 @@ PAGE = '(?i)<a\\s+id="page-(\\d+)"'
 LINK = "(?<!!)\\[([^\\]]+)\\]\\(([^)]+)\\)"
 
 
-#: Signs that may stand at the edges of a word.
-EDGE_SIGNS = ".,;:!?\"'()\\-"
-
-
 def _plain(md: Column) -> Column:
-    """Text whose words count: no fenced code, no front matter, marks as spaces (so that nothing is a tag any more)."""
-    c = F.regexp_replace(md, "(?s)```.*?```", "")
-    c = F.regexp_replace(c, "(?s)\\A---\\n.*?\\n---", "")
-    return F.translate(c, "#*|`[]()>_~", " " * 11)
-
-
-def with_plain(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _plain, the text whose words count, which all counts share; null counts as empty."""
-    return docs.withColumn("_plain", _plain(F.coalesce(F.col(text), F.lit(""))))
+    """Text whose words count: no fenced code, no front matter, marks as spaces (so that nothing is a tag any more).
 
+    Each step runs only on texts that have what it takes away.
+    """
+    c = F.when(F.contains(md, F.lit("```")), F.regexp_replace(md, "(?s)```.*?```", "")).otherwise(md)
+    return let(
+        let(c, lambda c: F.when(F.startswith(c, F.lit("---\n")), F.regexp_replace(c, "(?s)\\A---\\n.*?\\n---", "")).otherwise(c)),
+        lambda c: F.when(c.rlike("[#*|`\\[\\]()>_~]"), F.translate(c, "#*|`[]()>_~", " " * 11)).otherwise(c),
+    )
 
-def syllables(words: Column) -> Column:
-    """Sum over the words, parted by single spaces, of a text in lower case.
 
-    A word has its vowel groups, less one for a final e (not le) or ed, and at
-    least one; one of three letters or fewer has one.  Signs at its edges don't
-    count.  Sums over a whole text need no loop over its words: those that would
-    come to nothing, having no group or only the one that the ending takes, are
-    counted once more.
-    """
-    bare = F.regexp_replace(words, f"(?<!\\S)[{EDGE_SIGNS}]++|(?<![{EDGE_SIGNS}])[{EDGE_SIGNS}]++(?!\\S)", "")
-    long = F.regexp_replace(bare, "(?<!\\S)\\S{1,3}(?!\\S)", "")
-    n = lambda pattern: F.regexp_count(long, F.lit(pattern))
-    ending = "(?:(?<!l)e|ed)(?!\\S)"
-    short = F.regexp_count(words, F.lit("\\S+")) - n("\\S+")
-    return short + n("[aeiouy]+") - n(ending) + n("(?<!\\S)[^\\saeiouy]+(?!\\S)") + n("(?<!\\S)[^\\saeiouy]*+(?:[aeiouy]*(?<!l)e|[aeiouy]*ed)(?!\\S)")
+def _counted(docs: DataFrame, text: str) -> DataFrame:
+    """Adds _n, the counts of the text whose words count, which all reports share; null counts as empty."""
+    return docs.withColumn("_n", text_counts(_plain(F.coalesce(F.col(text), F.lit("")))))
 
 
 def grade_label(grade: Column) -> Column:
@@ -62,36 +47,29 @@ def grade_label(grade: Column) -> Column:
 def _counts(docs: DataFrame, text: str) -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
     n = {"heading_count": HEADING, "table_count": TABLE, "image_count": IMAGE, "page_count": PAGE, "link_count": LINK}
-    return docs.withColumns({k: F.regexp_count(c, F.lit(p)) for k, p in n.items()} | {"word_count": F.regexp_count("_plain", F.lit("(?U)\\S+"))})
+    return docs.withColumns({k: F.regexp_count(c, F.lit(p)) for k, p in n.items()} | {"word_count": F.col("_n.tokens")})
 
 
 def _grades(docs: DataFrame) -> DataFrame:
-    d = docs.withColumn("_words", F.lower(F.regexp_replace("_plain", "(?U)[.!?\\s]+", " ")))
-    d = d.withColumns(
-        {
-            "n_words": F.greatest(F.regexp_count("_words", F.lit("\\S+")), F.lit(1)),
-            "n_sentences": F.greatest(F.regexp_count("_plain", F.lit("(?U)(?:\\A|[.!?])\\s*+[^.!?\\s]")), F.lit(1)),
-            "n_syllables": syllables(F.col("_words")),
-        }
-    )
+    d = docs.withColumns({"n_words": F.greatest("_n.words", F.lit(1)), "n_sentences": F.greatest("_n.sentences", F.lit(1)), "n_syllables": F.col("_n.syllables")})
     grade = F.lit(0.39) * (F.col("n_words") / F.col("n_sentences")) + F.lit(11.8) * (F.col("n_syllables") / F.col("n_words")) - F.lit(15.59)
-    d = d.withColumn("grade", F.greatest(F.lit(0.0), F.least(F.lit(30.0), F.round(grade, 1)))).drop("_words")
+    d = d.withColumn("grade", F.greatest(F.lit(0.0), F.least(F.lit(30.0), F.round(grade, 1))))
     return d.withColumn("grade_label", grade_label(F.col("grade")))
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and six counts; no shuffle."""
-    return _counts(with_plain(docs, text), text).drop("_plain")
+    return _counts(_counted(docs, text), text).drop("_n")
 
 
 def grades(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, the Flesch-Kincaid grade from 0 to 30, grade_label, and what the grade is made of."""
-    return _grades(with_plain(docs, text)).drop("_plain")
+    return _grades(_counted(docs, text)).drop("_n")
 
 
 def validated(docs: DataFrame, text: str = "text") -> DataFrame:
     """``counts`` and ``grades`` of each document, from one plain text."""
-    return _grades(_counts(with_plain(docs, text), text)).drop("_plain")
+    return _grades(_counts(_counted(docs, text), text)).drop("_n")
 
 
 def headings_of(text: Column) -> Column:
