@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable, forget, tidy
+from leafmill.llm.common import durable, forget, sweep, tidy
 from leafmill.llm.graph import components, root_of, unite
 from leafmill.llm.textnp import buffers, mix, shingle_hashes, slices, word_hashes
 
@@ -295,7 +295,9 @@ def classes(
         y = held.select(F.col("node").alias("v"), F.col("set").alias("y"), F.col("n").alias("yn"))
         return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "xn", "y", "yn").mapInArrow(tidy(similar), "u long, v long")
 
+    sweep(docs.sparkSession)
     links = keep(check(first), "links")
+    sweep(docs.sparkSession)
     roots = components(links)
     # Bands whose members are not yet in one component: blocks of what isn't in the band's largest
     # component are compared with all blocks of the band; a task returns spanning trees, not pairs.
@@ -310,6 +312,7 @@ def classes(
     open_ = placed.join(main, "key").select("key", "band", "node", "root", odd.alias("odd"), salt.alias("block"))
     full = open_.join(nodes.select("node", "sig"), "node").join(held, "node")
     packed = keep(full.groupBy("key", "band", "odd", "block").agg(F.collect_list(F.struct("node", "root", "sig", "set", "n")).alias("x")), "blocks")
+    sweep(docs.sparkSession)
     left = packed.where("odd").select("key", "band", F.col("block").alias("p"), F.col("x").alias("xs"))
     right = packed.select("key", F.col("odd").alias("o"), F.col("block").alias("q"), F.col("x").alias("ys"))
     met = left.join(right, "key").where("NOT o OR p <= q").select("band", (F.col("o") & (F.col("p") == F.col("q"))).alias("same"), "xs", "ys")

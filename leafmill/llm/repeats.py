@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import durable, forget, tidy
+from leafmill.llm.common import durable, forget, sweep, tidy
 from leafmill.llm.textnp import buffers, mix, prefix_hash, slices, span_hash, tokens
 
 #: Bytes of a gram, bytes worked on at once, words of eight bytes sorted before tries, and units up to which a bucket is sorted in one task.
@@ -308,6 +308,7 @@ def search(given: DataFrame, reaches: dict[int, int], words: int, bucket: int) -
         found.append(durable(solve(given, dealt.where(F.col("w") == w), w, reach, bucket, used), "found"))
         for table in used:
             forget(table)
+        sweep(given.sparkSession)
     forget(dealt)
     return functools.reduce(DataFrame.unionByName, found)
 
