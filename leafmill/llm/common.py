@@ -65,12 +65,6 @@ def forget(df: DataFrame) -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now, and not only when the driver's memory runs full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def row_key(*columns: Column) -> Column:
     """A 64-bit key of a row's own content; equal rows have equal keys."""
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0null")) for c in columns])
