@@ -77,6 +77,25 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1)
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import exponion
+
+    return exponion.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import langid
+    from leafmill.llm.common import crc_mod
+
+    return langid.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
+
+
 def link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The method of op2 on links of its own: every supplier is a page of its nation's host and links to the host of the next order of its key.
 
@@ -105,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from leafmill.llm import embedding_dedup, knn, mixing, urls
+    from leafmill.llm import embedding_dedup, exponion, knn, mixing, urls
 
     links = urls.judge_sql(LINKS_SQL, (("allow", "com:80/"), ("block", "net:80/es/")), rounds=6, digits=9)
-    return {"op2_url_filter": urls.judge_sql(), "op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql(), "link_trust": links}
+    return {"op2_url_filter": urls.judge_sql(), "op3_topk": knn.TOP_20_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_mixing": mixing.mix_sql(), "op11_kmeans": exponion.report_sql(), "link_trust": links}
