@@ -199,7 +199,9 @@ def train(texts: DataFrame, langs: list[str], bits: int) -> Model:
             keys = slot(b.column("g").to_numpy(), lang, k, bits).astype("i8")
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("kind"), pa.array(keys), pa.array(np.where(kind == 0, c - d, c)), pa.array(d * types)], names=["k", "kind", "slot", "c", "back"])
 
-    table = everything.mapInArrow(hashed, "k int, kind int, slot long, c double, back double").groupBy("k", "kind", "slot").agg(F.sum("c").alias("c"), F.sum("back").alias("back")).toArrow()
+    table = everything.mapInArrow(hashed, "k int, kind int, slot long, c double, back double").groupBy("k", "kind", "slot").agg(F.sum("c").alias("c"), F.sum("back").alias("back"))
+    # At most 2^bits hashes for each length and kind come to the driver, in 14 bytes each.
+    table = table.select(F.col("k").cast("byte"), F.col("kind").cast("byte"), F.col("slot").cast("int"), F.col("c").cast("float"), F.col("back").cast("float")).toArrow()
     for level in levels.values():
         forget(level)
     k, kind, keys, c, back = (table.column(x).to_numpy() for x in ("k", "kind", "slot", "c", "back"))
@@ -208,8 +210,8 @@ def train(texts: DataFrame, langs: list[str], bits: int) -> Model:
         for which in (0, 1):
             at = np.flatnonzero((k == n) & (kind == which))
             at = at[np.argsort(keys[at])]
-            entry = keys[at].astype("u4"), c[at].astype("f4")
-            (model.grams if which == 0 else model.contexts).append(entry if which == 0 else (*entry, back[at].astype("f4")))
+            entry = keys[at].astype("u4"), c[at]
+            (model.grams if which == 0 else model.contexts).append(entry if which == 0 else (*entry, back[at]))
     return model
 
 

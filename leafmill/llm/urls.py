@@ -82,8 +82,9 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int, damping: float) -
     shared folder so that the plan doesn't grow and a lost executor costs one
     round at most.
     """
-    out = links.groupBy("src").agg(F.sum("w").alias("total"))
+    out = durable(links.groupBy("src").agg(F.sum("w").alias("total")), "totals")
     step = durable(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "links")
+    forget(out)
     start = durable(seeds.select("host", F.lit(1.0 / max(1, seeds.count())).alias("s")), "seeds")
     rank = start = start.withColumn("score", F.col("s"))
     for _ in range(rounds):
@@ -113,7 +114,7 @@ def judge(
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
     and has no scores: it is allowed.  So is a host that no seed reaches.  A
-    host can be a seed of both kinds.  In the graph hosts go without user and port.  Null html has no links.  Repeated rows
+    host can be a seed of both kinds; without links seeds keep their own scores.  In the graph hosts go without user and port.  Null html has no links.  Repeated rows
     stay repeated, an empty table gives an empty result, other columns aren't
     read.
     """
@@ -126,23 +127,21 @@ def judge(
     )
     links = durable(edges(judged), "edges")
     page = judged.select("_key", "_host", "_node", "_path", "_fit")
-    if links.isEmpty():
-        scores = None
-    else:
-        seed = durable(page.where(F.col("_fit").isNotNull()).select(F.col("_node").alias("host"), F.col("_fit.verdict").alias("v")).distinct(), "seeds")
-        trust = propagate(links, seed.where("v = 'allow'").select("host"), rounds, damping)
-        back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-        distrust = propagate(back, seed.where("v = 'block'").select("host"), rounds, damping)
-        scores = (
-            trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d"))
-            .unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
-            .groupBy("host")
-            .agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        )
-    if scores is None:
-        page = page.withColumn("t", F.lit(0.0)).withColumn("d", F.lit(0.0))
-    else:
-        page = page.join(scores, F.col("_node") == F.col("host"), "left")
+    seed = durable(page.where(F.col("_fit").isNotNull()).select(F.col("_node").alias("host"), F.col("_fit.verdict").alias("v")).distinct(), "seeds")
+    trust = propagate(links, seed.where("v = 'allow'").select("host"), rounds, damping)
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    distrust = propagate(back, seed.where("v = 'block'").select("host"), rounds, damping)
+    # Written before the join, whose sides adaptive execution can split then: one host may have a third of all pages.
+    scores = durable(
+        trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d"))
+        .unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
+        .groupBy("host")
+        .agg(F.sum("t").alias("t"), F.sum("d").alias("d")),
+        "scores",
+    )
+    for done in (links, seed, trust, distrust):
+        forget(done)
+    page = page.join(scores, F.col("_node") == F.col("host"), "left")
     t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
     own = F.when((d > 0) & (d > F.lit(threshold) * t), F.lit("block")).otherwise(F.lit("allow"))
     return page.select(
@@ -172,7 +171,7 @@ x AS (SELECT a, {node("b")} AS b FROM (SELECT a, unnest(regexp_extract_all(coale
 l AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS w FROM x WHERE b <> '' AND a <> b GROUP BY a, b),
 ft AS MATERIALIZED (SELECT a AS s, b AS t, w / sum(w) OVER (PARTITION BY a) AS q FROM l), fd AS MATERIALIZED (SELECT b AS s, a AS t, w / sum(w) OVER (PARTITION BY b) AS q FROM l)"""
     for name, verdict in (("t", "allow"), ("d", "block")):
-        sql += f",\nh{name} AS MATERIALIZED (SELECT a AS h, 1.0 / count(*) OVER () AS s FROM (SELECT DISTINCT a FROM g WHERE v = '{verdict}') WHERE (SELECT count(*) FROM l) > 0), {name}0 AS MATERIALIZED (SELECT h, s AS r FROM h{name})"
+        sql += f",\nh{name} AS MATERIALIZED (SELECT a AS h, 1.0 / count(*) OVER () AS s FROM (SELECT DISTINCT a FROM g WHERE v = '{verdict}')), {name}0 AS MATERIALIZED (SELECT h, s AS r FROM h{name})"
         for k in range(rounds):
             sql += f",\n{name}{k + 1} AS MATERIALIZED (SELECT h, sum(r) AS r FROM (SELECT t AS h, {damping} * q * r AS r FROM f{name} JOIN {name}{k} ON s = h UNION ALL SELECT h, {1 - damping} * s FROM h{name}) GROUP BY h)"
     return sql + f"""

@@ -162,6 +162,43 @@ def test_links_of_odd_tables(spark):
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
 
 
+def walk(links, seeds, rounds=12, damping=0.85):
+    """Personalised PageRank over a list of (src, dst), by dictionaries."""
+    out, start = Counter(a for a, _ in links), {h: 1 / len(seeds) for h in seeds}
+    rank = dict(start)
+    for _ in range(rounds):
+        new = Counter({h: (1 - damping) * s for h, s in start.items()})
+        for a, b in links:
+            new[b] += damping * rank.get(a, 0) / out[a]
+        rank = new
+    return rank
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_verdicts_equal_the_walk_with_and_without_links(spark, linked):
+    rng = random.Random(8)
+    hosts = ["a.com", "b.net", "c.org", "d.net", "e.com", "f.net"]
+    links = [(i, rng.choice(hosts)) for i in range(60)] if linked else []
+    rows = [(i, f"http://{hosts[i % 6]}{rng.choice(['/es/x', '/fr/y', '/en/z', ''])}", "".join(f"<a href=//{h}>x</a>" for k, h in links if k == i)) for i in range(60)]
+    schema = "page_id long, url string, html string"
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, schema)).collect()}
+    host = {i: hosts[i % 6] for i in got}
+    edges = [(host[i], h) for i, h in links if host[i] != h]
+    trust = walk(edges, {host[i] for i, r in got.items() if r.rule and r.verdict == "allow"})
+    distrust = walk([(b, a) for a, b in edges], {host[i] for i, r in got.items() if r.rule and r.verdict == "block"})
+    judged = 0
+    for i, r in got.items():
+        t, d = trust.get(host[i], 0), distrust.get(host[i], 0)
+        assert math.isclose(r.trust, t, abs_tol=1e-12) and math.isclose(r.distrust, d, abs_tol=1e-12)
+        if r.rule is None:
+            judged += r.verdict == "block"
+            assert r.verdict == ("block" if d > t else "allow")
+    assert judged
+    if not linked:
+        more = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame([*rows, (99, "http://g.org/", "<a href=//h.org>x</a>")], schema)).collect()}
+        assert more.pop(99) == "allow" and more == {i: r.verdict for i, r in got.items()}
+
+
 def test_search_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, q boolean, x string, g int"
     rows = [(1, [1.0, 0.0], None, "x", 1)] * 2 + [(2, [1.0, 0.0], None, "x", 1), (None, [9.0, 9.0], None, "x", 1), (3, [0.5, 0.5], None, "x", 1), (4, [1.0], None, "x", 1)]
