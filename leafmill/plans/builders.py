@@ -18,6 +18,7 @@ from leafmill.functions.text import base_name, escape_html, extension, safe_stem
 from leafmill.operators.chunking import numbered, section_chunks
 from leafmill.operators.confidence import DIMENSIONS
 from leafmill.operators.rules import Profile
+from leafmill.sinks.files import write_files
 
 #: Types of what a document may have beside its sections; what it has not is null.
 PARTS = {
@@ -313,6 +314,15 @@ def write(docs: DataFrame, fmt: str, target: str, o: Options = Options(), *, ove
     render(docs, fmt, o=o, **options).write.mode("overwrite" if overwrite else "errorifexists").parquet(target)
 
 
+def save(docs: DataFrame, fmt: str, root: str, o: Options = Options(), *, overwrite: bool = False, **options) -> DataFrame:  # noqa: B008
+    """Every document as a file at its path below ``root``; (path, status, bytes, reason), a row for each.
+
+    A document whose file is there already keeps it and has status ``exists``,
+    unless ``overwrite``; see ``sinks.files.write_files``.
+    """
+    return write_files(render(docs, fmt, "", o, **options).select("path", "text"), root, overwrite)
+
+
 def chunk_records(docs: DataFrame, o: Options = Options(), size: int = 512, overlap: int = 50) -> DataFrame:  # noqa: B008
     """(doc_id, chunk_index, json): a JSON line for each section-aware chunk of assembled ``docs``."""
     rows = docs.select("doc_id", stem().alias("stem"), base_name(F.col("source_file")).alias("source"), F.col("confidence.overall").alias("overall"), F.inline("sections"))

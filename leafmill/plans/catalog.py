@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import chunking, confidence, layout, postprocess, rules, tables, validation
-from leafmill.plans import builders, extras, structure
+from leafmill.plans import builders, extras, flows, structure
 from leafmill.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,8 +659,8 @@ def html_escape(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | structure.QUERIES | extras.QUERIES
+    return QUERIES | structure.QUERIES | extras.QUERIES | flows.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | structure.SQL | extras.SQL
+    return SQL | structure.SQL | extras.SQL | flows.sql(SQL, extras.SQL)

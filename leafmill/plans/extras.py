@@ -270,11 +270,15 @@ def preview_pages(spark, d):
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)) WHERE r = 1"""
 )
 def named_images(spark, d):
+    return picture_rows(spark, d).select("path", "doc_id", "file", "link")
+
+
+def picture_rows(spark, d) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "x.jpeg").when(F.col("doc_id") % 3 == 1, "/.none").otherwise("y.png")
     images = _t(spark, d, "documents").select(
         F.col("source").alias("path"), "doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), kind).alias("name"), F.lit("image/gif").alias("media_type"), F.col("text").cast("binary").alias("content"), F.lit(0).alias("image_no")
     )
-    return assets.named_images(images).select("path", "doc_id", "file", "link")
+    return assets.named_images(images)
 
 
 @query(
@@ -461,9 +465,13 @@ UNION ALL SELECT 'in/d' || doc_id || '.pdf', 'out/d' || doc_id || '/confidence_r
 FROM (SELECT *, CASE quality WHEN 1 THEN 'High' ELSE 'Low' END AS l FROM labels)"""
 )
 def file_artifacts(spark, d):
+    return artifact_rows(spark, d).select("file", "path", F.md5("text").alias("md5"))
+
+
+def artifact_rows(spark, d) -> DataFrame:
     logs = _t(spark, d, "labels").select(F.concat(F.lit("in/d"), "doc_id", F.lit(".pdf")).alias("file"), F.inline(F.array(
         F.struct(F.lit(2).alias("at"), F.lit("WARN").alias("level"), F.concat(F.lit("q"), "quality").alias("message")), F.struct(F.lit(1).alias("at"), F.lit("INFO").alias("level"), F.lit("start").alias("message")))))
-    return reports.artifacts(_results(spark, d), logs, "out/").select("file", "path", F.md5("text").alias("md5"))
+    return reports.artifacts(_results(spark, d), logs, "out/")
 
 
 @query("SELECT '.' || lower(event_type) AS extension, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS files, sum(event_id)::BIGINT AS bytes, max(value) AS slowest FROM events GROUP BY 1, 2")
