@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import escape_html
+from leafmill.sinks.shared import durable
 
 KEYS = ["doc_id", "page_no"]
 
@@ -166,12 +167,49 @@ def scanned(pages: DataFrame, least: float = 20.0) -> DataFrame:
     return pages.where("page_no <= 3").groupBy("doc_id").agg((F.avg(F.length(F.trim("text"))) < least).alias("scanned"))
 
 
-def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
+def rectangles_at(points: DataFrame, rects: DataFrame, row: str = "row", col: str = "col", sheet: str = "sheet") -> DataFrame:
+    """(every column of ``points``, rect): each point with the rectangle of its sheet that it is in, null if none.
+
+    ``rects`` has sheet, min_row, min_col, max_row, max_col and other columns;
+    rect is the whole row.  Rectangles of a sheet don't overlap; if some do, a
+    point comes once for each.  Each rectangle lies on a grid of tiles at least as
+    high and wide as itself, so it is in four tiles at most whatever its size,
+    and a point probes its own tile of each grid there is; of disjoint rectangles
+    nine at most meet a tile.  Nulls and empty rectangles meet nothing.
+    """
+    level = lambda n: F.ceil(F.log2(F.col(n).cast("double"))).cast("int")
+    r = rects.select(F.struct(*[F.col(f"`{c}`") for c in rects.columns]).alias("rect")).where("rect.min_row <= rect.max_row AND rect.min_col <= rect.max_col")
+    r = r.withColumn("h", F.col("rect.max_row").cast("long") - F.col("rect.min_row") + 1).withColumn("w", F.col("rect.max_col").cast("long") - F.col("rect.min_col") + 1)
+    r = r.withColumn("lh", level("h")).withColumn("lw", level("w"))
+    # As many grids as there are pairs of powers of two, whatever the number of rectangles.
+    grids = sorted((g["lh"], g["lw"]) for g in r.select("lh", "lw").distinct().collect())
+    tile = lambda c, n: F.floor(c.cast("long") / F.pow(F.lit(2.0), n)).cast("long")
+    tiled = r.withColumn("tr", F.explode(F.sequence(tile(F.col("rect.min_row"), F.col("lh")), tile(F.col("rect.max_row"), F.col("lh")))))
+    tiled = tiled.withColumn("tc", F.explode(F.sequence(tile(F.col("rect.min_col"), F.col("lw")), tile(F.col("rect.max_col"), F.col("lw"))))).select(F.col("rect.sheet").alias("s"), "lh", "lw", "tr", "tc", "rect")
+    p = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("p"), F.monotonically_increasing_id().alias("own"))
+    at = lambda n: F.col("p").getField(n)
+    if not grids:
+        return points.withColumn("rect", F.lit(None).cast(tiled.schema["rect"].dataType))
+    where = F.explode(F.array(*[F.struct(F.lit(h).alias("lh"), F.lit(w).alias("lw"), tile(at(row), F.lit(h)).alias("tr"), tile(at(col), F.lit(w)).alias("tc")) for h, w in grids]))
+    probes = durable(p, "points")
+    hit = (
+        probes.select(at(sheet).alias("s"), at(row).alias("pr"), at(col).alias("pc"), "own", where.alias("g")).select("s", "pr", "pc", "own", "g.*").join(tiled, ["s", "lh", "lw", "tr", "tc"])
+        .where("pr BETWEEN rect.min_row AND rect.max_row AND pc BETWEEN rect.min_col AND rect.max_col").select("own", "rect")
+    )
+    return probes.join(hit, "own", "left").select("p.*", "rect")
+
+
+def fill_merged(cells: DataFrame, merges: DataFrame, missing: bool = True) -> DataFrame:
     """Cells with the value of the top left cell of the merged range that they are in.
 
-    A range is exploded to its cells, so the join is on equal keys; ranges of a
-    sheet are disjoint, so there are no more rows than cells.
+    With ``missing``, cells of a range that the table has no row for come too:
+    ranges are exploded to their cells, no more than a sheet has.  Without,
+    ranges of any size are looked up by tiles and no row is added.
     """
+    if not missing:
+        top = cells.select(F.col("sheet").alias("s"), F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("top"))
+        found = rectangles_at(cells.select("sheet", "row", "col", "value"), merges)
+        return found.join(top, (F.col("sheet") == F.col("s")) & (F.col("rect.min_row") == F.col("r")) & (F.col("rect.min_col") == F.col("c")), "left").select("sheet", "row", "col", F.coalesce("top", "value").alias("value"))
     m = merges.select("sheet", "min_row", "min_col", F.explode(F.sequence("min_row", "max_row")).alias("row"), "max_col").select("sheet", "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
     top = cells.select("sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"), F.col("value").alias("top"))
     return cells.join(m.join(top, ["sheet", "min_row", "min_col"]), ["sheet", "row", "col"], "full").select("sheet", "row", "col", F.coalesce("top", "value").alias("value"))

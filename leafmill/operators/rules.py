@@ -6,10 +6,15 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(text: str) -> str:
+    """A plain text as a pattern, its own ``\\E`` included."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 @dataclass
 class Rule:
     name: str = ""
@@ -23,7 +28,7 @@ class Rule:
         if not self.enabled or not self.pattern:
             return None
         if not self.use_regex:
-            return "\\Q" + self.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E", re.sub(r"([\\$])", r"\\\1", self.replacement)
+            return quoted(self.pattern), re.sub(r"([\\$])", r"\\\1", self.replacement)
         try:
             re.compile(self.pattern)
         except re.error:
@@ -63,11 +68,60 @@ class Profile:
         return cls(data["name"], [Rule(**{k: v for k, v in r.items() if k in known}) for r in data.get("rules", ())])
 
 
+class BadPattern(ValueError):
+    """What a user typed is no pattern."""
+
+
+def search_pattern(query: str, regex: bool = False) -> str:
+    """What ``query`` finds, without case, in Java's syntax; ``BadPattern`` for what is none in both syntaxes."""
+    if not regex:
+        return "(?iu)" + quoted(query)
+    java = "(?dimu)" + re.sub(r"\(\?P<", "(?<", query)
+    try:
+        re.compile(query)
+        _java_compiles(java)
+    except (re.error, ValueError) as e:
+        raise BadPattern(f"bad regex: {e}") from e
+    return java
+
+
+def _java_compiles(pattern: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # the driver's JVM tells what the tasks would
+        raise ValueError(str(e).splitlines()[0]) from e
+
+
+def can_be_empty(pattern: str) -> bool:
+    """Whether a pattern may match nothing at all, as ``x*`` or ``\\b`` do."""
+    return re._parser.parse(pattern).getwidth()[0] == 0
+
+
 def find_count(text: Column, query: str, regex: bool = False) -> Column:
-    """Matches of a plain text or a pattern, without case."""
-    return F.regexp_count(text, F.lit("(?im)" + (query if regex else "\\Q" + query + "\\E")))
+    """Matches of a plain text or a pattern, without case; empty matches don't count, an empty query has none.
+
+    A query that is no pattern is a ``BadPattern`` before any job starts.
+    """
+    if not query:
+        return F.when(text.isNotNull(), F.lit(0))
+    java = search_pattern(query, regex)
+    if regex and can_be_empty(query):
+        found = re.compile(query, re.IGNORECASE | re.MULTILINE)
+        count = F.pandas_udf(lambda s: s.map(lambda t: sum(1 for m in found.finditer(t) if m[0]), na_action="ignore").astype("Int32"), "int")
+        return count(text)
+    return F.regexp_count(text, F.lit(java))
 
 
 def replace_all(text: Column, query: str, new: str, regex: bool = False) -> Column:
-    """All matches replaced by a literal text."""
-    return F.regexp_replace(text, "(?im)" + (query if regex else "\\Q" + query + "\\E"), re.sub(r"([\\$])", r"\\\1", new))
+    """All matches that ``find_count`` counts replaced by a literal text; an empty query changes nothing."""
+    if not query:
+        return text
+    java = search_pattern(query, regex)
+    if regex and can_be_empty(query):  # Java's replacement would fill in the new text wherever nothing matches
+        found = re.compile(query, re.IGNORECASE | re.MULTILINE)
+        put = F.pandas_udf(lambda s: s.map(lambda t: found.sub(lambda m: new if m[0] else "", t), na_action="ignore"), "string")
+        return put(text)
+    return F.regexp_replace(text, java, re.sub(r"([\\$])", r"\\\1", new))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators import layout, ordered
 from leafmill.plans import builders, extras
-from leafmill.sinks.files import write_files, written
+from leafmill.sinks.files import write_files
 from leafmill.sinks.shared import scratch
-from leafmill.sources import files
+from leafmill.sources import files, splits
 from leafmill.streaming import counters, settle, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,55 @@ def stream_counters(spark, d):
     for _ in range(2):
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.createDataFrame([tuple(counters.Counters(out).totals()[k] for k in counters.NAMES)], ", ".join(f"{k} long" for k in counters.NAMES))
+
+
+# Scans -------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text))::BIGINT AS bytes, 3 AS cells FROM documents")
+def csv_documents(spark, d):
+    """Documents, line ends and quotes included, as delimited files that are read back in pieces of 64 kB."""
+    path = scratch(spark, "csv")
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = splits.read_rows(spark, path, delimiter=",", piece=1 << 16).where("row_no > 0")
+    c = F.col("cells")
+    return rows.select(c[0].cast("long").alias("doc_id"), F.md5(c[1]).alias("md5"), F.octet_length(c[1]).cast("long").alias("bytes"), F.size("cells").alias("cells"))
+
+
+@query("SELECT event_id, sum(round(value * 100)::BIGINT) OVER w::BIGINT AS cents, row_number() OVER w AS nth FROM events WINDOW w AS (ORDER BY user_id, ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def running_totals(spark, d):
+    """Running sums and numbers over all events in one order."""
+    return ordered.running(_t(spark, d, "events"), ["user_id", "ts"], {"cents": F.round(F.col("value") * 100).cast("long")}, "nth").select("event_id", "cents", "nth")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 10000")
+def first_lines(spark, d):
+    """The first 10,000 lines, which is what a table shows, in the order of the file."""
+    return ordered.first_rows(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], builders.ROWS)
+
+
+@query(
+    """WITH l AS (SELECT *, octet_length(encode(line))::BIGINT + 1 AS size FROM (SELECT ts, event_id, event_type || ' ' || props AS line FROM events)),
+s AS (SELECT *, sum(size) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start, 5000 - max(size) OVER () + 1 AS width FROM l),
+f AS (SELECT *, dense_rank() OVER (ORDER BY start // width) - 1 AS file_no FROM s)
+SELECT file_no, count(*) AS lines, sum(size)::BIGINT AS bytes, min(event_id) AS first FROM f GROUP BY file_no"""
+)
+def log_files(spark, d):
+    """Log lines in order of time as files of at most 5,000 bytes."""
+    lines = _t(spark, d, "events").select("ts", "event_id", F.concat("event_type", F.lit(" "), "props").alias("line"))
+    out = ordered.files_of(lines, ["ts", "event_id"], "line", 5000)
+    return out.groupBy("file_no").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"), F.min("event_id").alias("first"))
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey % 5 AS sheet, s_suppkey, s_suppkey * 100 AS r0, s_suppkey * 100 + (s_suppkey % 3) * 40 + 10 AS r1, s_suppkey % 7 AS c1 FROM supplier), p AS (SELECT event_id % 5 AS sheet, event_id, event_id AS row, event_id % 11 AS col FROM events)
+SELECT p.sheet, event_id, s_suppkey AS range FROM p LEFT JOIN r ON p.sheet = r.sheet AND row BETWEEN r0 AND r1 AND col BETWEEN 0 AND c1"""
+)
+def cells_in_ranges(spark, d):
+    """Events as cells of five sheets, each with the range of cells that it is in, if any; ranges are looked up by tiles."""
+    s = F.col("s_suppkey")
+    rects = _t(spark, d, "supplier").select((s % 5).alias("sheet"), (s * 100).alias("min_row"), (s * 100 + (s % 3) * 40 + 10).alias("max_row"), F.lit(0).alias("min_col"), (s % 7).alias("max_col"), s.alias("range"))
+    e = F.col("event_id")
+    cells = _t(spark, d, "events").select((e % 5).alias("sheet"), e, e.alias("row"), (e % 11).alias("col"))
+    return layout.rectangles_at(cells, rects).select("sheet", "event_id", F.col("rect.range").alias("range"))

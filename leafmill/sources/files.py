@@ -13,8 +13,8 @@ from leafmill.sources.rows import by_file
 
 # Extensions of supported files, encodings of delimited text in the order in which they are tried, and delimiters.
 EXTENSIONS = (
-    ".pdf", ".docx", ".doc", ".rtf", ".xlsx", ".xls", ".csv", ".pptx", ".ppt", ".epub", ".html", ".htm", ".dxf",
-    ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp",
+    ".pdf", ".docx", ".doc", ".rtf", ".xlsx", ".xls", ".csv", ".pptx", ".epub", ".dxf", ".html", ".htm",
+    ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".gif",
 )
 ENCODINGS, DELIMITERS = ("utf-8", "utf-8-sig", "latin-1", "cp1252"), (",", ";", "\t", "|")
 SAMPLE = 8192
@@ -107,15 +107,19 @@ def read_rows(files: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A large delimited file or a folder of alike ones: all cells as strings, the first row as the header.
+    """A large delimited file or a folder of alike ones: all cells as strings, the first row of each file as its header.
 
-    The delimiter and whether it is UTF-8 come from the first lines, unless given.
+    Files are cut by bytes, so one huge file is read by many tasks (see
+    ``splits``); columns are named by the first file, missing cells are empty.
     """
-    if delimiter is None or encoding is None:
-        head = "\n".join(r["value"] for r in spark.read.text(path).limit(100).collect())[:SAMPLE]
-        # What isn't UTF-8 arrives as replacement signs.
-        delimiter, encoding = delimiter or sniff(head) or ",", encoding or ("ISO-8859-1" if "\ufffd" in head else "UTF-8")
-    return spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, encoding=encoding, multiLine=True, escape='"').na.fill("")
+    from leafmill.sources import splits
+
+    rows = splits.read_rows(spark, path, delimiter=delimiter, encoding=encoding)
+    head = rows.where("row_no = 0").orderBy("path").first()
+    if head is None:
+        return spark.createDataFrame([], "value string")
+    names = [n or f"_c{i}" for i, n in enumerate(head["cells"])]
+    return rows.where("row_no > 0").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(len(names))]).toDF(*names)
 
 
 def sidecar_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
