@@ -1,4 +1,4 @@
-"""User rules: ordered find and replace, compiled on the driver into one column expression."""
+"""User rules: ordered find and replace, compiled on the driver into one column expression, or as a table of profiles joined to documents."""
 
 from __future__ import annotations
 
@@ -6,8 +6,14 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, SparkSession
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
+
+from leafmill.sinks.shared import durable
 
 
 def quoted(text: str) -> str:
@@ -68,6 +74,102 @@ class Profile:
         return cls(data["name"], [Rule(**{k: v for k, v in r.items() if k in known}) for r in data.get("rules", ())])
 
 
+#: Documents that one task gives the rules of their profile at a time.
+GROUP = 5000
+
+
+class Folder:
+    """Rules of one profile in their order, as a function of one text.
+
+    Neighbouring literal rules share one automaton: a pass over the text tells
+    which of them it holds at all, and only those replace, in order; what a
+    replacement makes is looked at again for the rules after it.  The result is
+    that of one rule after the other, for the cost of those that match.
+    """
+
+    def __init__(self, rules: list[dict]) -> None:
+        self.steps: list[tuple] = []
+        literal: list[tuple[str, str]] = []
+        for r in sorted(rules, key=lambda r: (r["ord"], r["pattern"] or "", r["replacement"] or "")):
+            pattern, new = r["pattern"], r["replacement"] or ""
+            if not r["enabled"] or not pattern:
+                continue
+            if not r["use_regex"]:
+                literal.append((pattern, new))
+                continue
+            try:
+                found = re.compile(pattern)
+            except re.error:
+                continue
+            self._close(literal)
+            self.steps.append((found, new))
+            literal = []
+        self._close(literal)
+
+    def _close(self, literal: list[tuple[str, str]]) -> None:
+        if not literal:
+            return
+        machine = ahocorasick.Automaton()
+        for k, (pattern, _) in enumerate(literal):
+            machine.add_word(pattern, [*machine.get(pattern, []), k])
+        machine.make_automaton()
+        self.steps.append((machine, literal))
+
+    def __call__(self, text: str) -> str:
+        for what, how in self.steps:
+            if isinstance(how, str):
+                try:
+                    text = what.sub(how, text)
+                except (re.error, IndexError):  # a replacement that names no group changes nothing
+                    continue
+            else:
+                text = self._literals(text, what, how)
+        return text
+
+    @staticmethod
+    def _literals(text: str, machine: ahocorasick.Automaton, literal: list[tuple[str, str]]) -> str:
+        waiting = sorted({k for _, ks in machine.iter(text) for k in ks}, reverse=True)
+        while waiting:
+            k = waiting.pop()
+            text = text.replace(*literal[k])
+            # A rule with nothing after it to wake needs no second look.
+            waiting = sorted({j for _, js in machine.iter(text) for j in js if j > k}, reverse=True) if k + 1 < len(literal) else []
+        return text
+
+
+def apply_profiles(docs: DataFrame, rules: DataFrame, profile: str = "profile", text: str = "text") -> DataFrame:
+    """``docs`` with the text that the rules of their own profile leave.
+
+    ``rules``: profile, ord, pattern, replacement, enabled, use_regex.  They apply
+    in order of ord, equal ones in order of their pattern; rules that are off,
+    have no pattern or one that is none do nothing.  Documents of no profile
+    (null), or of one without rules, and null texts stay as they are; other columns keep
+    whatever name they have.  A profile's documents are dealt to groups of about
+    ``GROUP``, so one that most documents have is no single task, and each group gets
+    the rules of its profile alone.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{profile}`").cast("string").alias("of"), F.col(f"`{text}`").alias("t"))
+    known = rules.where(F.col("profile").isNotNull()).select(F.col("profile").cast("string").alias("of"), F.struct("ord", "pattern", "replacement", "enabled", "use_regex").alias("rule"))
+    groups = durable(packed.where(F.col("of").isNotNull()).groupBy("of").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")).join(known.select("of").distinct(), "of", "left_semi"), "groups")
+    dealt = packed.join(groups, "of", "left")
+    ruled = dealt.where("groups IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("t", F.monotonically_increasing_id()), F.col("groups")).cast("int"))
+    copies = known.join(groups, "of").select("of", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "rule")
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"row": pa.array([], row_type), "t": pa.array([], pa.string())})
+        work = Folder(right.column("rule").to_pylist())
+        done = [None if t is None else work(t) for t in left.column("t").to_pylist()]
+        return pa.table({"row": left.column("row"), "t": pa.array(done, pa.string())})
+
+    row_type = to_arrow_type(packed.schema["row"].dataType)
+    schema = StructType([packed.schema["row"], StructField("t", StringType())])
+    changed = ruled.select("of", "part", "row", "t").groupBy("of", "part").cogroup(copies.groupBy("of", "part")).applyInArrow(fold, schema)
+    rest = packed.join(groups, "of", "left_anti").select("row", "t")
+    both = changed.unionByName(rest)
+    return both.select(*[F.col("t").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 class BadPattern(ValueError):
     """What a user typed is no pattern."""
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import layout, ordered
+from leafmill.operators import layout, ordered, rules
 from leafmill.plans import builders, extras
 from leafmill.sinks.files import write_files
 from leafmill.sinks.shared import scratch
-from leafmill.sources import files, splits
+from leafmill.sources import files, scan, splits
 from leafmill.streaming import counters, settle, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,37 @@ def cells_in_ranges(spark, d):
     e = F.col("event_id")
     cells = _t(spark, d, "events").select((e % 5).alias("sheet"), e, e.alias("row"), (e % 11).alias("col"))
     return layout.rectangles_at(cells, rects).select("sheet", "event_id", F.col("rect.range").alias("range"))
+
+
+# Rules and sources -------------------------------------------------------------------------------
+
+
+PAIR_SQL = "chr((97 + s_suppkey % 26)::INTEGER) || chr((97 + s_suppkey // 26 % 26)::INTEGER)"
+
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT (s_nationkey % 4)::INTEGER AS k, array_agg({PAIR_SQL} ORDER BY s_suppkey) AS p, array_agg(upper({PAIR_SQL}) || s_nationkey ORDER BY s_suppkey) AS n FROM supplier WHERE s_suppkey % 9 <> 0 GROUP BY 1),
+f AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 9 END AS k, 0 AS i, regexp_replace(text, '[0-9]+', '#', 'g') AS t FROM documents
+  UNION ALL SELECT doc_id, f.k, i + 1, replace(t, p[i + 1], n[i + 1]) FROM f JOIN u ON f.k = u.k WHERE i < len(p))
+SELECT doc_id, md5(arg_max(t, i)) AS md5 FROM f GROUP BY doc_id"""
+)
+def rules_by_profile(spark, d):
+    """Documents by the rules of their language: a pattern, then a pair of letters for each supplier, every ninth rule off and one no pattern."""
+    s, key = _t(spark, d, "supplier"), F.col("s_suppkey")
+    pair = F.concat(F.char(97 + key % 26), F.char(97 + F.floor(key / 26) % 26))
+    names = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    pairs = s.select(names.alias("profile"), key.alias("ord"), pair.alias("pattern"), F.concat(F.upper(pair), "s_nationkey").alias("replacement"), (key % 9 != 0).alias("enabled"), F.lit(False).alias("use_regex"))
+    first = _t(spark, d, "documents").select("lang").distinct().select(F.col("lang").alias("profile"), F.inline(F.array(*[F.struct(F.lit(o).cast("long").alias("ord"), F.lit(p).alias("pattern"), F.lit("#").alias("replacement"), F.lit(True).alias("enabled"), F.lit(True).alias("use_regex")) for o, p in ((-2, "("), (-1, "[0-9]+"))])))
+    return rules.apply_profiles(_t(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("profile")), pairs.unionByName(first)).select("doc_id", F.md5("text").alias("md5"))
+
+
+@query(
+    """SELECT 'd' || doc_id || '.' || e AS name, '.' || e AS extension, octet_length(encode(text))::BIGINT AS length, md5(text) AS md5 FROM (SELECT *, ['md', 'html', 'txt', 'md'][doc_id % 4 + 1] AS e FROM documents) WHERE e <> 'txt'"""
+)
+def scanned_files(spark, d):
+    """Documents as files of three kinds, of which two are scanned; files of the third are never opened."""
+    root = scratch(spark, "scan")
+    kind = F.element_at(F.array(*map(F.lit, ("md", "html", "txt", "md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    write_files(_t(spark, d, "documents").select(F.concat("source", F.lit("/d"), "doc_id", F.lit("."), kind).alias("path"), "text"), root)
+    found = scan.read(spark, root).where(F.col("extension").isin(".md", ".html"))
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension", "length", F.md5("content").alias("md5"))
