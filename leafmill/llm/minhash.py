@@ -349,6 +349,6 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, *, key: str = "doc_id", te
     _, told = classes(docs, threshold, key=key, text=text, **options)
     best = told.where("best").select(F.col("h").alias("_node"), F.col("id").alias("_least"))
     names = docs.columns
-    rows = docs.select(text_id(F.col(text)).alias("_node"), F.struct(*names).alias("_row"))
+    rows = docs.select(text_id(F.col(text)).alias("_node"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     found = rows.join(best, "_node").where(F.col("_row")[key].eqNullSafe(F.col("_least")))
     return found.groupBy("_node").agg(F.first("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in names])

@@ -473,8 +473,9 @@ def remove(docs: DataFrame, length: int = 400, *, words: int = 0, key: str = "do
     """
     _, found = spans(docs, length, words=words, key=key, text=text)
     names = docs.columns
-    joined = docs.withColumn("_rid", row_id(F.col(key), F.col(text))).join(found.select(F.col("rid").alias("_rid"), F.col(f"spans_{length}").alias("_spans")), "_rid", "left")
-    inner = joined.select(F.struct(*names).alias("row"), F.col(text).alias("t"), F.col("_spans").alias("spans"))
+    # The row travels as one value, so that its columns can't clash with those of the join.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("t"), row_id(F.col(key), F.col(text)).alias("rid"))
+    inner = packed.join(found.select("rid", F.col(f"spans_{length}").alias("spans")), "rid", "left").select("row", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -97,18 +97,40 @@ def test_hidden_markov_score_of_words(spark, monkeypatch):
 
 
 def readings(c, run):
-    """(text, cost) of the readings of a run of one sign: itself, letters it resembles, any letter for a mask, or nothing."""
+    """(text, cost) of the readings of a run of one sign: itself, letters it resembles, a letter for each mask (in upper case), or nothing."""
     t = toxicity
     if c.isalpha():
         return [(c * n, 0.0 if n == run else t.COST_TWICE if run == 2 else t.COST_RUN) for n in (1, 2)[:run]]
+    if c in t.MASKS:
+        nothing = ("", t.COST_BARE if run > 1 else t.COST_HUSH if c in t.SEPARATORS else t.COST_DROP)
+        signs = [[(x.upper(), t.COST_MASKS[k > 0]) for x in LETTERS] + [nothing] for k in range(run)]
+        return [("".join(x for x, _ in path), sum(cost for _, cost in path)) for path in itertools.product(*signs)]
     out = [(x * n, t.COST_LEET * n + t.COST_RUN * (run > n)) for x in t.LEET.get(c, "") for n in {1, min(2, run)}]
-    if c in t.MASKS and run < 3:
-        out += [(x, t.COST_MASK * run) for x in "abcdefghijklmnopqrstuvwxyz"]
     if not c.isdigit():
         out.append(("", t.COST_HUSH if c in t.SEPARATORS else t.COST_DROP * (4 if c in t.LEET else 1)))
     return out
 
 
+LETTERS = "abcdefghilmnorstuy"
+
+
+def lattice(token, begun):
+    """(word, cost) of every path over a token; a mask is a letter only where a known word goes on with it."""
+    runs, paths = [(c, len(list(g))) for c, g in itertools.groupby(token)], {"": 0.0}
+    for c, n in runs:
+        new = {}
+        for word, cost in paths.items():
+            for text, more in readings(c, n):
+                whole, fine = word, True
+                for x in text:
+                    fine &= not x.isupper() or whole + x.lower() in begun
+                    whole += x.lower()
+                if fine and cost + more < new.get(whole, math.inf):
+                    new[whole] = cost + more
+        paths = new
+    return paths
+
+
 def decoder(words):
     text = (" ".join(words) + " . ") * 40
     logp = toxicity.char_model(toxicity.char_counts(pa.array([text])))
@@ -118,21 +140,33 @@ def decoder(words):
 def test_lattice_decoding_equals_enumeration():
     r, rng = decoder(["scum", "loser", "idiot", "shit", "ass", "you"]), random.Random(22)
     logp = r.model.logp
-    for _ in range(150):
-        token = "".join(rng.choice("scumaide01$@!.*tt") for _ in range(rng.randint(2, 6)))
-        runs = [(c, len(list(g))) for c, g in itertools.groupby(token)]
-        best = None
-        for path in itertools.product(*(readings(c, n) for c, n in runs)):
-            word = "".join(x for x, _ in path)
-            s = [0, 0, *(int(toxicity.SYMBOL[b]) for b in word.encode()), 0]
-            score = sum(float(logp[a, b, z]) for a, b, z in zip(s, s[1:], s[2:], strict=False)) - sum(cost for _, cost in path) + r.gain.get(word, 0.0)
-            if best is None or score > best[0]:
-                best = (score, word)
+
+    def value(word, cost):
+        s = [0, 0, *(int(toxicity.SYMBOL[b]) for b in word.encode()), 0]
+        return sum(float(logp[a, b, z]) for a, b, z in zip(s, s[1:], s[2:], strict=False)) - cost + r.gain.get(word, 0.0)
+
+    tokens = ["".join(rng.choice("scumaide01$@!.*tt") for _ in range(rng.randint(2, 6))) for _ in range(150)] + ["s**t", "**t", "i**o*", "a***", "s#_m", "*s*"]
+    for token in tokens:
+        paths = lattice(token, r.begun)
+        best = max(value(w, cost) for w, cost in paths.items())
         found = r.viterbi(token)
-        s = [0, 0, *(int(toxicity.SYMBOL[b]) for b in found.encode()), 0]
-        costs = [sum(cost for _, cost in path) for path in itertools.product(*(readings(c, n) for c, n in runs)) if "".join(x for x, _ in path) == found]
-        score = sum(float(logp[a, b, z]) for a, b, z in zip(s, s[1:], s[2:], strict=False)) - min(costs) + r.gain.get(found, 0.0)
-        assert math.isclose(score, best[0], rel_tol=1e-5, abs_tol=1e-4), (token, found, best)
+        assert math.isclose(value(found, paths[found]), best, rel_tol=1e-5, abs_tol=1e-4), (token, found, best)
+
+
+@pytest.mark.parametrize(("written", "word"), [("s**t", "shit"), ("id**t", "idiot"), ("f**l", "fool"), ("sh**", "shit"), ("f***", "fool"), ("**iot", "idiot"), ("sh*t", "shit"), ("i****", "idiot"), ("**you**", "you"), ("you*", "you"), ("s***!", "shit")])
+def test_masks_are_letters_of_their_own(written, word):
+    assert decoder(["loser", "idiot", "shit", "fool", "you", "moron"]).restore(written) == word
+
+
+def test_words_that_were_parted():
+    """Borders between tokens of any length go where the tokens make a known word that is likelier than they are."""
+    r = decoder(["you", "are", "an", "idiot", "stupid", "moronic", "the", "there", "re"])
+    for written, words in (("you idio t", "you idiot"), ("stup id you", "stupid you"), ("an 1dio t are", "an idiot are"), ("moro nic", "moronic"), ("mo ro nic", "moronic"), ("you are an", "you are an"), ("the re", "the re"), ("idio", "idio"), ("idio t is", "idiot is")):
+        assert r.restored(written) == words, written
+    evident = toxicity.Restorer(toxicity.Model(r.model.logp, {"=idiot": 5.0, "=stupid": 4.0}, gain=r.gain))
+    for text in ("you idio t", "stup id you are", "an idio t is"):
+        assert evident.features(text)[0] >= 4.0
+    assert evident.features("you are an idi oted the re")[0] == 0.0
 
 
 def test_strong_disguises():
@@ -241,3 +275,18 @@ def test_stages_on_an_empty_table(spark, tmp_path, name):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
     assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "repeats", "mixing"])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    inner = ["_toxic", "score", "row", "rid", "_rid", "_spans", "spans", "spans_240", "t", "id", "h", "best", "_node", "_row", "_least", "least", "copy_no", "shuffle_key", "_n", "n", "a.b", "of", "x"]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, prose(rng, 60) + (" moron idiot moron" if i % 4 == 0 else ""), "en", f"s{i % 3}", None, *[f"{c}{i}" for c in inner]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in inner))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in inner)
