@@ -7,7 +7,7 @@ stage, and makes an empty table of an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, minhash, mixing, repeats, toxicity
@@ -20,10 +20,16 @@ TOXIC, SIMILAR, PASSAGE, WORDS = 0.3, 0.8, repeats.PASSAGE, repeats.WORDS
 ORACLE_SQL = None
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns as one value, so that none can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``; rows are judged one by one, an empty text by what texts without evidence score."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxic").where(F.col("_toxic") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(docs.select(_row(docs), "text"), model)
+    return scored.where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in equal expected shares, in random order; null is a source of its own, and rows of one id are drawn alike."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs.select("doc_id", "source", _row(docs))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
