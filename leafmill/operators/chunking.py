@@ -78,6 +78,29 @@ def page_plan(docs: DataFrame, doc: str, pages: str, size: int = 30) -> DataFram
     )
 
 
+# Pages of a chunk by the least memory in GB, and up to how many pages a document stays whole.
+PAGES_BY_MEMORY, WHOLE = ((16.0, 30), (8.0, 25), (0.0, 20)), 30
+
+
+def pages_for(memory_gb: Column) -> Column:
+    """Pages of a chunk for workers of so much memory; the least for unknown (null) or negative memory."""
+    size = F.lit(PAGES_BY_MEMORY[-1][1])
+    for least, pages in reversed(PAGES_BY_MEMORY[:-1]):
+        size = F.when(memory_gb >= least, pages).otherwise(size)
+    return size
+
+
+def page_plan_for(docs: DataFrame, doc: str, pages: str, memory_gb: Column) -> DataFrame:
+    """(doc, chunk_no, first, last): ranges of pages by the memory there is for each document; up to ``WHOLE`` pages stay whole.
+
+    A document without pages has one empty range, one of an unknown number (null) none.
+    """
+    n = F.greatest(F.col(f"`{pages}`"), F.lit(0))
+    rows = docs.where(F.col(f"`{pages}`").isNotNull()).select(F.col(f"`{doc}`").alias("of"), n.alias("n"), F.when(n <= WHOLE, F.greatest(n, F.lit(1))).otherwise(pages_for(memory_gb)).alias("size"))
+    cut = rows.select("of", "n", "size", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.col("size"))).alias("chunk_no", "first"))
+    return cut.select(F.col("of").alias(doc), "chunk_no", "first", F.least(F.col("first") + F.col("size"), F.col("n")).alias("last"))
+
+
 def sidecar_text(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_no", text: str = "text") -> DataFrame:
     """(doc, text): texts of the chunks of a document in order, parted by form feeds; null counts as empty."""
     parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("t"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import layout, ordered, rules
+from leafmill.operators import chunking, layout, ordered, rules
 from leafmill.plans import builders, extras
 from leafmill.sinks.files import write_files
 from leafmill.sinks.shared import scratch
@@ -222,3 +222,14 @@ def scanned_files(spark, d):
     write_files(_t(spark, d, "documents").select(F.concat("source", F.lit("/d"), "doc_id", F.lit("."), kind).alias("path"), "text"), root)
     found = scan.read(spark, root).where(F.col("extension").isin(".md", ".html"))
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension", "length", F.md5("content").alias("md5"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, (n_chars // 50)::INTEGER AS n, CASE doc_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 30 ELSE 20 END AS s FROM documents), r AS (SELECT doc_id, n, CASE WHEN n <= 30 THEN greatest(n, 1) ELSE s END AS s FROM d)
+SELECT doc_id, k::INTEGER AS chunk_no, (k * s)::INTEGER AS first, least((k + 1) * s, n)::INTEGER AS last FROM r, LATERAL (SELECT unnest(range(0, greatest(1, (n + s - 1) // s))) AS k)"""
+)
+def page_plan_by_memory(spark, d):
+    """Documents of 50 signs a page in ranges of pages, for workers of 4, 8 and 16 GB and of unknown memory."""
+    docs = _t(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 50).cast("int").alias("pages"))
+    memory = F.element_at(F.array(F.lit(4.0), F.lit(8.0), F.lit(16.0), F.lit(None).cast("double")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return chunking.page_plan_for(docs, "doc_id", "pages", memory)

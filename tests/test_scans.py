@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import layout, ordered, postprocess, rules
+from leafmill.operators import chunking, layout, ordered, postprocess, rules
 from leafmill.sources import files, splits
 
 
@@ -173,3 +173,11 @@ def test_what_is_no_pattern(spark, query):
 def test_supported_extensions(spark):
     names = spark.createDataFrame([("a.GIF",), ("b.ppt",), ("c.pptx",), ("d",)], "p string")
     assert [r[0] for r in names.select(files.supported(F.col("p"))).collect()] == [True, False, True, False]
+
+
+def test_page_ranges_by_memory(spark):
+    docs = spark.createDataFrame([(1, 30, 4.0), (2, 31, 4.0), (3, 61, 16.0), (4, 31, 8.0), (5, 0, 8.0), (6, None, 8.0), (7, 41, None), (8, 25, 4.0)], "doc_id int, pages int, gb double")
+    got = {}
+    for r in chunking.page_plan_for(docs, "doc_id", "pages", F.col("gb")).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append((r.first, r.last))
+    assert got == {1: [(0, 30)], 2: [(0, 20), (20, 31)], 3: [(0, 30), (30, 60), (60, 61)], 4: [(0, 25), (25, 31)], 5: [(0, 0)], 7: [(0, 20), (20, 40), (40, 41)], 8: [(0, 25)]}
