@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import chunking, layout, ordered, rules
+from leafmill.operators import chunking, langmodel, layout, ordered, rules
 from leafmill.plans import builders, extras
 from leafmill.sinks.files import write_files
 from leafmill.sinks.shared import scratch
@@ -233,3 +233,20 @@ def page_plan_by_memory(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 50).cast("int").alias("pages"))
     memory = F.element_at(F.array(F.lit(4.0), F.lit(8.0), F.lit(16.0), F.lit(None).cast("double")), (F.col("doc_id") % 4 + 1).cast("int"))
     return chunking.page_plan_for(docs, "doc_id", "pages", memory)
+
+
+@query(
+    """WITH t AS (SELECT doc_id, lang, doc_id % 4 = 2 AS held_out, regexp_replace(' ' || lower(text) || ' ', '[^\\p{L}]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS g FROM t),
+b AS (SELECT doc_id, lang, held_out, (ord(g) * 7919 + ord(g[2:]) * 104729 + ord(g[3:]) * 1299709) % 65536 AS b, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT b, lang, sum(n) AS c FROM b WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL), l AS (SELECT lang, sum(c) AS total FROM c GROUP BY lang),
+s AS (SELECT doc_id, l.lang, sum(n * round(ln((coalesce(c, 0) + 0.1::DOUBLE) / (total + 6553.6::DOUBLE)) * 1000))::BIGINT AS s, sum(n)::BIGINT AS n FROM b CROSS JOIN l LEFT JOIN c ON c.b = b.b AND c.lang = l.lang GROUP BY ALL),
+r AS (SELECT doc_id, lang, n, s, row_number() OVER o AS k, lead(s) OVER o AS next FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY s DESC, lang))
+SELECT d.doc_id, d.doc_id % 4 = 2 AS held_out, coalesce(n, 0) AS grams, CASE WHEN coalesce(n, 0) < 18 THEN 'en' ELSE r.lang END AS lang, CASE WHEN coalesce(n, 0) < 18 THEN 0.0 ELSE round((s - next)::DOUBLE / (n * 1000), 6) END::DOUBLE AS score
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND k = 1"""
+)
+def modelled_languages(spark, d):
+    """Language of every document by trigrams learnt from those that aren't held out."""
+    docs = _t(spark, d, "documents")
+    model = langmodel.train(docs.where("doc_id % 4 <> 2"))
+    return langmodel.rate(docs, model).select("doc_id", (F.col("doc_id") % 4 == 2).alias("held_out"), "grams", "lang", F.round("score", 6).alias("score"))
