@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.functions.rows import packed, unpacked
 from leafmill.functions.text import base_name, safe_stem
 from leafmill.operators.layout import first_of
 from leafmill.operators.tables import media_extension, numbered_images
 from leafmill.operators.validation import IMAGE
+from leafmill.sinks.shared import durable
 
 # What stands where a picture was, and what a picture that can't be read leaves.
 PLACEHOLDER, LOST = "<!--\\s*image\\s*-->", "*[image — could not be extracted]*"
@@ -40,13 +42,14 @@ def resolve_images(refs: DataFrame, images: DataFrame) -> DataFrame:
     The first that is there counts; null if none is.  A name that a document has
     twice stands for its smallest path.
     """
-    table = images.groupBy("doc_id", "name").agg(F.min("path").alias("path"))
+    # Written, so that the three joins can split a document of very many links.
+    table = durable(images.groupBy("doc_id", "name").agg(F.min("path").alias("path")), "names")
     keys = {"_a": F.col("src"), "_b": base_name(F.col("src")), "_c": F.regexp_replace("src", "^(?:\\.\\.?/)+", "")}
-    out = refs.withColumns(keys)
+    out = packed(refs, doc_id="doc_id", src="src").withColumns(keys)
     for k in keys:
         out = out.join(table.select("doc_id", F.col("name").alias(k), F.col("path").alias(k + "p")), ["doc_id", k], "left")
     found = F.coalesce(*[F.when(F.col("src") != "", F.col(k + "p")) for k in keys])
-    return out.select(*refs.columns, found.alias("path"))
+    return unpacked(out, refs.columns, path=found)
 
 
 def missing_images(docs: DataFrame, files: DataFrame, folder: str = "folder", text: str = "text") -> DataFrame:
@@ -59,8 +62,10 @@ def missing_images(docs: DataFrame, files: DataFrame, folder: str = "folder", te
 
 def by_stem(outputs: DataFrame, results: DataFrame, order: str = "ord") -> DataFrame:
     """Outputs (path, ...) with the columns of the first result (source_file, ...) whose file has the same stem, null if none has."""
-    first = first_of(results.withColumn("_stem", safe_stem(F.col("source_file"))), ["_stem"], [F.col(order)])
-    return outputs.withColumn("_stem", safe_stem(F.col("path"))).join(first.drop(order), "_stem", "left").drop("_stem")
+    found = packed(results, stem=safe_stem(F.col("source_file")), place=order)
+    first = first_of(found, ["stem"], [F.col("place")]).select("stem", F.col("row").alias("first"))
+    rows = packed(outputs, stem=safe_stem(F.col("path"))).join(first, "stem", "left")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in outputs.columns], *[F.col("first").getField(c).alias(c) for c in results.columns if c != order])
 
 
 def attach_images(segments: DataFrame, refs: DataFrame, pages: list[int] | None = None) -> DataFrame:
@@ -70,20 +75,24 @@ def attach_images(segments: DataFrame, refs: DataFrame, pages: list[int] | None
     left out; else a page beyond the last segment counts as the last.
     """
     last = segments.groupBy("doc_id").agg(F.max("seg_no").alias("_last"))
+    refs = refs.select("doc_id", "page", "ord", "ref")
     if pages is None:
         at = F.least(F.col("page") - 1, F.col("_last"))
         placed = refs.join(last, "doc_id").withColumn("seg_no", at)
     else:
         numbers = F.array(*[F.lit(p) for p in sorted(pages)])
         placed = refs.join(last, "doc_id").where(F.array_contains(numbers, F.col("page"))).withColumn("seg_no", F.least(F.array_position(numbers, F.col("page")).cast("int") - 1, F.col("_last")))
-    lines = placed.groupBy("doc_id", "seg_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ord", "ref"))), lambda r: r["ref"]), "\n").alias("_refs"))
-    return segments.join(lines, ["doc_id", "seg_no"], "left").withColumn("text", F.concat_ws("\n", "text", "_refs")).drop("_refs").select(*segments.columns)
+    lines = placed.groupBy("doc_id", "seg_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ord", "ref"))), lambda r: r["ref"]), "\n").alias("refs"))
+    rows = packed(segments, doc_id="doc_id", seg_no="seg_no", text="text").join(lines, ["doc_id", "seg_no"], "left")
+    return unpacked(rows, segments.columns, text=F.concat_ws("\n", "text", "refs"))
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, by: str, left_order: str, right_order: str) -> DataFrame:
     """Rows of ``left`` with the columns of the row of ``right`` at the same place of the same document, null beyond its end."""
-    place = lambda order: F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return left.withColumn("_n", place(left_order)).join(right.withColumn("_n", place(right_order)).drop(right_order), [by, "_n"], "left").drop("_n")
+    place = F.row_number().over(Window.partitionBy("of").orderBy("at"))
+    a, b = (packed(side, of=by, at=order).withColumn("n", place) for side, order in ((left, left_order), (right, right_order)))
+    rows = a.join(b.select("of", "n", F.col("row").alias("other")), ["of", "n"], "left")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in left.columns], *[F.col("other").getField(c).alias(c) for c in right.columns if c not in (by, right_order)])
 
 
 def image_link(number: Column, page: Column, content: Column) -> Column:

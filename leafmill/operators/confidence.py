@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import ordered
+
 # Labels from worst to best, and dimensions.
 LABELS = ("Failed", "Low", "Medium", "High")
 DIMENSIONS = ("text_extraction", "table_structure", "image_extraction", "image_placement", "document_order", "ocr_confidence")
@@ -90,7 +92,7 @@ def exit_confidence(code: Column) -> Column:
 
 
 def aggregate(results: DataFrame, *by: str) -> DataFrame:
-    """Worst label of each dimension, whether any asks for review, and all warnings in order of the key ``file``."""
+    """Worst label of each dimension, whether any asks for review, and all warnings in order of the key ``file``, in one row; ``warning_rows`` is for groups of any size."""
     return results.groupBy(*by).agg(
         *[worst_of(F.col(d)).alias(d) for d in DIMENSIONS if d in results.columns],
         F.bool_or("manual_review_recommended").alias("manual_review_recommended"),
@@ -98,6 +100,12 @@ def aggregate(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def warning_rows(results: DataFrame, *by: str) -> DataFrame:
+    """(by, n, file, warning): the warnings of a group, numbered in order of their files, one row for each; for groups of any size."""
+    rows = results.select(*by, "file", F.posexplode("warnings").alias("pos", "warning"))
+    return ordered.numbered_within(rows, by, ["file", "pos"], "n").select(*by, "n", "file", "warning")
+
+
 def badge(label: Column) -> Column:
     return F.when(label == "High", "▲").when(label == "Medium", "●").when(label.isin("Low", "Failed"), "▼").otherwise("–")
 

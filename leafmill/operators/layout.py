@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.functions.rows import packed, unpacked
 from leafmill.functions.text import escape_html
 from leafmill.sinks.shared import durable
 
@@ -104,14 +105,15 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 def mark_headings(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """Pages with the lines that ``heading_levels`` found marked as headings; of equal texts the last level counts."""
     last = headings.groupBy(*KEYS, "text").agg(F.max_by("level", "line_id").alias("level"))
-    held = last.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("text", "level"))).alias("_levels"))
+    held = durable(last.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("text", "level"))).alias("levels")), "levels")
 
     def marked(line: Column) -> Column:
-        level = F.try_element_at("_levels", F.trim(line))
+        level = F.try_element_at("levels", F.trim(line))
         return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.trim(line))).otherwise(line)
 
     text = F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n")
-    return pages.join(held, KEYS, "left").withColumn("text", F.when(F.col("_levels").isNotNull(), text).otherwise(F.col("text"))).select(*pages.columns)
+    rows = packed(pages, doc_id="doc_id", page_no="page_no", text="text").join(held, KEYS, "left")
+    return unpacked(rows, pages.columns, text=F.when(F.col("levels").isNotNull(), text).otherwise(F.col("text")))
 
 
 def captions(images: DataFrame, blocks: DataFrame, gap: float = 46.0, overlap: float = 0.25, limit: int = 200) -> DataFrame:
@@ -136,13 +138,13 @@ def captions(images: DataFrame, blocks: DataFrame, gap: float = 46.0, overlap: f
 def columns_of_blocks(blocks: DataFrame, gap: float = 0.05) -> DataFrame:
     """Adds col_no: columns part at the two widest gaps between block centres over 5 % of the page's width; each needs two blocks."""
     page = Window.partitionBy(*KEYS)
-    d = blocks.withColumn("_cx", (F.col("x0") + F.col("x1")) / 2).withColumn("_w", F.max("x1").over(page) - F.min("x0").over(page))
+    d = packed(blocks, doc_id="doc_id", page_no="page_no", block_no="block_no", x0="x0", x1="x1").withColumn("_cx", (F.col("x0") + F.col("x1")) / 2).withColumn("_w", F.max("x1").over(page) - F.min("x0").over(page))
     d = d.withColumn("_gap", F.lead("_cx").over(page.orderBy("_cx", "block_no")) - F.col("_cx"))
     cut = d.where(F.col("_gap") > gap * F.col("_w")).withColumn("_n", F.row_number().over(page.orderBy(F.desc("_gap"), "_cx"))).where("_n <= 2")
     cuts = cut.groupBy(*KEYS).agg(F.collect_list(F.col("_cx") + F.col("_gap") / 2).alias("_cuts"))
     d = d.join(cuts, KEYS, "left").withColumn("_c", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda x: x < F.col("_cx"))))
     d = d.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "_c"))).withColumn("_least", F.min("_k").over(page))
-    return d.withColumn("col_no", F.when(F.col("_least") >= 2, F.col("_c")).otherwise(F.lit(0))).drop("_cx", "_w", "_gap", "_cuts", "_c", "_k", "_least")
+    return unpacked(d, blocks.columns, col_no=F.when(F.col("_least") >= 2, F.col("_c")).otherwise(F.lit(0)))
 
 
 def heading_levels(spans: DataFrame) -> DataFrame:

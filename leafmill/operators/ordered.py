@@ -54,6 +54,23 @@ def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return numbered.where(F.col("nth") <= n).select("row.*")
 
 
+def numbered_within(rows: DataFrame, by: Sequence[str], order: Sequence[str], number: str) -> DataFrame:
+    """``rows`` with running numbers from 1 within each group of the columns ``by``, in the order of the columns ``order``.
+
+    No task sees a whole group, however large: numbers run over all rows, and the
+    number that each group begins after is taken off.  Nulls in ``by`` are a group;
+    rows that are equal in ``order`` come in any order among themselves.
+    """
+    b, k = [f"b{i}" for i in range(len(by))], [f"k{i}" for i in range(len(order))]
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in zip([*b, *k], [*by, *order], strict=True)])
+    many = durable(running(packed, [*b, *k], {}, "nth").select("row", *b, "nth"), "numbered")
+    # Written, so that the side that groups isn't summed right under the join and a large group can be split.
+    first = durable(many.groupBy(*b).agg((F.min("nth") - 1).alias("before")), "groups")
+    same = [many[x].eqNullSafe(first[x]) for x in b]
+    out = many.join(first, same) if b else many.crossJoin(F.broadcast(first))
+    return out.select("row.*", (F.col("nth") - F.col("before")).alias(number))
+
+
 def files_of(lines: DataFrame, order: Sequence[str], text: str, most: int) -> DataFrame:
     """``lines`` with ``file_no`` from 0 on, in order: no file has over ``most`` bytes of text, each line with its end counted.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.kernels import text_counts
 from leafmill.functions.text import let, line_states, strip
+from leafmill.operators import ordered
 
 # What counts as a heading, a table, an image, a page mark and a link.
 HEADING = "(?m)^(#{1,6})\\s+\\S"
@@ -115,14 +116,31 @@ def broken_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def issues(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, issues): what is wrong with the headings of a document in their order, then its broken links by text."""
-    jumps = heading_jumps(docs, key, text).select(key, F.struct(F.lit(0).alias("part"), F.col("pos").alias("pos"), F.col("issue").alias("issue")).alias("i"))
+    found = _found(docs, key, text).select(key, F.struct("part", "pos", "issue").alias("i"))
+    return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["issue"]).alias("issues"))
+
+
+def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, pos, issue): one row for each issue."""
+    jumps = heading_jumps(docs, key, text).select(key, F.lit(0).alias("part"), F.col("pos").alias("pos"), F.col("issue").alias("issue"))
     broken = F.format_string("Broken anchor: [%s](#%s)", "label", "anchor")
-    links = broken_links(docs, key, text).select(key, F.struct(F.lit(1).alias("part"), F.lit(0).alias("pos"), broken.alias("issue")).alias("i"))
-    return jumps.unionByName(links).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["issue"]).alias("issues"))
+    links = broken_links(docs, key, text).select(key, F.lit(1).alias("part"), F.lit(0).alias("pos"), broken.alias("issue"))
+    return jumps.unionByName(links)
+
+
+def issue_rows(docs: DataFrame, groups: DataFrame, *by: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by, n, issue): issues of all documents of a group, numbered in order of their keys, one row for each.
+
+    ``groups`` tells the columns ``by`` of each key; a key that it lacks is left
+    out.  Unlike ``all_issues`` this puts no group into one row, so groups may be
+    of any size.
+    """
+    rows = _found(docs, key, text).join(groups.select(key, *by), key)
+    return ordered.numbered_within(rows, by, [key, "part", "pos", "issue"], "n").select(*by, "n", "issue")
 
 
 def all_issues(found: DataFrame, key: str = "doc_id", *by: str) -> DataFrame:
-    """(by, issues): issues of all documents of a group in order of their keys; the groups of a report are small."""
+    """(by, issues): issues of all documents of a group in order of their keys, in one row; ``issue_rows`` is for groups of any size."""
     return found.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, "issues"))), lambda x: x["issues"])).alias("issues"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import chunking, langmodel, layout, ordered, rules
+from leafmill.operators import chunking, confidence, langmodel, layout, ordered, rules, validation
 from leafmill.plans import builders, extras
 from leafmill.sinks.files import write_files
 from leafmill.sinks.shared import scratch
@@ -33,6 +33,7 @@ def sql(*others: dict[str, str]) -> dict[str, str]:
     known = {k: v for other in others for k, v in other.items()}
     return SQL | {
         "written_documents": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5('old') ELSE md5 END AS md5, CASE WHEN doc_id % 3 = 0 THEN 'exists' ELSE 'written' END AS status, 1 AS files FROM ({known['markdown_documents']})",
+        "numbered_issues": f"WITH i AS ({known['heading_jumps']}) SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos, issue) AS n, issue FROM i JOIN documents USING (doc_id)",
         "written_artifacts": f"SELECT path, md5 FROM ({known['file_artifacts']})",
         "written_pictures": f"SELECT p.path || '/assets/' || p.file AS path, octet_length(encode(text))::BIGINT AS bytes, md5(text) AS md5 FROM ({known['named_images']}) p JOIN documents USING (doc_id)",
     }
@@ -250,3 +251,22 @@ def modelled_languages(spark, d):
     docs = _t(spark, d, "documents")
     model = langmodel.train(docs.where("doc_id % 4 <> 2"))
     return langmodel.rate(docs, model).select("doc_id", (F.col("doc_id") % 4 == 2).alias("held_out"), "grams", "lang", F.round("score", 6).alias("score"))
+
+
+@query()
+def numbered_issues(spark, d):
+    """Issues of the documents of a source, numbered; one source may hold most of them."""
+    from leafmill.plans import catalog
+
+    return validation.issue_rows(catalog._headed(spark, d), _t(spark, d, "documents"), "source")
+
+
+@query(
+    """SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) AS n, doc_id AS file, w AS warning FROM (
+  SELECT lang, doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT lang, doc_id, list_filter([CASE WHEN toxic = 1 THEN 't' || doc_id END, CASE WHEN quality = 0 THEN 'q' || doc_id END], lambda x: x IS NOT NULL) AS ws FROM labels JOIN documents USING (doc_id)))"""
+)
+def numbered_warnings(spark, d):
+    """Warnings of the documents of a language, numbered in the order of their files."""
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    each = F.array(F.when(F.col("toxic") == 1, F.concat(F.lit("t"), "doc_id")), F.when(F.col("quality") == 0, F.concat(F.lit("q"), "doc_id")))
+    return confidence.warning_rows(rows.select("lang", F.col("doc_id").alias("file"), F.filter(each, lambda w: w.isNotNull()).alias("warnings")), "lang")
