@@ -215,7 +215,8 @@ def near_duplicates(
         one.select("node", "m", "id").join(counts, "node", "left").join(roots, "node", "left").select("node", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "id", F.coalesce("root", "node").alias("root")),
         "members",
     )
-    smallest = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Written, so that it isn't summed right under the join and a component of very many members can be split.
+    smallest = durable(member.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     told = member.join(smallest, "root").select("node", "n_links", "component_id").join(named.select("node", "h"), "node").drop("node")
     return (
         rows.select("id", "h")
