@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
 import re
 from dataclasses import asdict, dataclass, field
@@ -78,12 +80,71 @@ class Profile:
 GROUP = 5000
 
 
+class Literals:
+    """Literal rules (pattern, replacement) in their order, as a function of one text.
+
+    One pass over the text tells which patterns it holds, and only their rules
+    replace, in order.  What a replacement makes lies over its own signs, or over
+    its place where it is empty: only there is the text looked at again, and not at all where
+    no pattern has a sign of it.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]]) -> None:
+        self.rules = rules
+        #: Places of the rules of each pattern, which many may share.
+        self.places: dict[str, list[int]] = {}
+        for k, (pattern, _) in enumerate(rules):
+            self.places.setdefault(pattern, []).append(k)
+        self.machine = ahocorasick.Automaton()
+        for pattern in self.places:
+            self.machine.add_word(pattern, pattern)
+        self.machine.make_automaton()
+        self.around = max(map(len, self.places)) - 1
+        signs = set().union(*self.places)
+        #: Whether what a rule puts in may be a piece of a pattern, or brings together what is.
+        self.wakes = [not signs.isdisjoint(new) if new else self.around > 0 for _, new in rules]
+
+    def __call__(self, text: str) -> str:
+        waiting = [self.places[p][0] for p in {p for _, p in self.machine.iter(text)}]
+        heapq.heapify(waiting)
+        due = set(waiting)
+        while waiting:
+            k = heapq.heappop(waiting)
+            pattern, new = self.rules[k]
+            if not self.wakes[k]:
+                text = text.replace(pattern, new)
+                continue
+            parts = text.split(pattern)
+            if len(parts) == 1:
+                continue  # an earlier rule took it
+            text = new.join(parts)
+            for p in {p for piece in self._seams(text, parts, new) for _, p in self.machine.iter(piece)}:
+                places = self.places[p]
+                at = bisect.bisect_right(places, k)
+                if at < len(places) and places[at] not in due:
+                    due.add(places[at])
+                    heapq.heappush(waiting, places[at])
+        return text
+
+    def _seams(self, text: str, parts: list[str], new: str) -> set[str]:
+        """The new pieces of a text with as many signs around them as a pattern may reach."""
+        out, at, begin, end = set(), 0, 0, -1
+        for part in parts[:-1]:
+            at += len(part)
+            if at - self.around > end:
+                if end >= 0:
+                    out.add(text[begin:end])
+                begin = max(0, at - self.around)
+            at += len(new)
+            end = at + self.around
+        out.add(text[begin:end])
+        return out
+
+
 class Folder:
     """Rules of one profile in their order, as a function of one text.
 
-    Neighbouring literal rules share one automaton: a pass over the text tells
-    which of them it holds at all, and only those replace, in order; what a
-    replacement makes is looked at again for the rules after it.  The result is
+    Neighbouring literal rules are ``Literals``, which share one automaton.  The result is
     that of one rule after the other, for the cost of those that match.
     """
 
@@ -109,31 +170,17 @@ class Folder:
     def _close(self, literal: list[tuple[str, str]]) -> None:
         if not literal:
             return
-        machine = ahocorasick.Automaton()
-        for k, (pattern, _) in enumerate(literal):
-            machine.add_word(pattern, [*machine.get(pattern, []), k])
-        machine.make_automaton()
-        self.steps.append((machine, literal))
+        self.steps.append((Literals(literal), None))
 
     def __call__(self, text: str) -> str:
         for what, how in self.steps:
-            if isinstance(how, str):
-                try:
-                    text = what.sub(how, text)
-                except (re.error, IndexError):  # a replacement that names no group changes nothing
-                    continue
-            else:
-                text = self._literals(text, what, how)
-        return text
-
-    @staticmethod
-    def _literals(text: str, machine: ahocorasick.Automaton, literal: list[tuple[str, str]]) -> str:
-        waiting = sorted({k for _, ks in machine.iter(text) for k in ks}, reverse=True)
-        while waiting:
-            k = waiting.pop()
-            text = text.replace(*literal[k])
-            # A rule with nothing after it to wake needs no second look.
-            waiting = sorted({j for _, js in machine.iter(text) for j in js if j > k}, reverse=True) if k + 1 < len(literal) else []
+            if isinstance(what, Literals):
+                text = what(text)
+                continue
+            try:
+                text = what.sub(how, text)
+            except (re.error, IndexError):  # a replacement that names no group changes nothing
+                continue
         return text
 
 
