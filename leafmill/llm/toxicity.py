@@ -18,17 +18,19 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import crc_mod, tidy
+from leafmill.llm.common import crc_mod, durable, forget, tidy
 from leafmill.llm.textnp import LOWER, buffers, slices
 
 # What signs are commonly written for.
@@ -48,8 +50,12 @@ COST_MASKS, COST_BARE = (1.0, 0.4), 0.8
 COST_JOIN, SHORT = (0.2, 1.5, 4.0), 3
 #: Lengths of the beginnings of words that carry evidence, and words kept in a worker's memo (a memory bound).
 PREFIXES, MEMO = (3, 4, 5, 6), 150_000
-#: Pairs of evidence and context that a task holds at once (a memory bound; the shuffle tells equal ones).
+#: Pairs of a word and the one before it that a task holds at once (a memory bound; the shuffle tells equal ones).
 PAIRS = 200_000
+#: The part of other texts (one in so many) whose contexts rule out most of what is no evidence before all of them are read.
+PARTS = 6
+#: Labelled rows, counted first, whose keys are broadcast; more are joined by a shuffle of the texts.
+KEYS = 1_000_000
 #: Frequent words that the decoder knows.
 WORDS = 20_000
 #: Standard errors taken off the log odds, and the least evidence that is kept.
@@ -58,8 +64,9 @@ ERRORS, LEAST = 1.0, 3.0
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(r"[^\W\d_]+\Z")
 TWICE = re.compile(r"(.)\1+")
-RUN = re.compile(rf"(?<!\S)\S{{1,{SHORT}}}(?:\s+\S{{1,{SHORT}}})+(?!\S)")
-RUNS = re.compile(f"({RUN.pattern})")
+SAME = re.compile(r"(.)\1*")
+#: Short tokens side by side, in a string that has a 1 for each short token.
+MANY = re.compile(b"\1{2,}")
 #: A number with the marks around it and in it: no word, whatever its signs resemble.
 NUMBER = re.compile(r"[^\w]*\d[\d.,:;/\-+x×]*[^\w]*\Z")
 LEADING, TRAILING = re.compile(r"\**\Z"), re.compile(r"[*#]*")
@@ -69,6 +76,7 @@ EDGE = re.compile(r"^[\s\"'()\[\]{}%&.,;:?*#~\-]+|[^\w]+\Z")
 SYMBOL = np.zeros(256, dtype="i4")
 SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[128:] = 27 + (np.arange(128) & 63)
+SYMBOLS = SYMBOL.tolist()
 SIZE = 91
 
 
@@ -120,7 +128,8 @@ class Restorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo: dict[str, tuple[str, float]] = {}
+        self.memo: dict[str, str] = {}
+        self.segments: dict[str, list[str]] = {}
         self.weights: dict[str, tuple[str, float]] = {}
         self.symbols: dict[str, list[int]] = {}
         self.logp = array("f", np.ascontiguousarray(model.logp, "f4").tobytes())
@@ -139,6 +148,9 @@ class Restorer:
         #: Beginnings of evidence, repeats of a letter taken as one.
         self.starts = {TWICE.sub(r"\1", f.removeprefix("=")[: max(PREFIXES)]) for f in model.evidence}
         self.sizes = sorted({len(f) for f in self.starts})
+        #: First two letters of tokens that may begin with evidence, and first ones where one letter is enough.
+        self.openings = {f[:2] for f in self.starts} | {f[:1] * 2 for f in self.starts}
+        self.initials = {f for f in self.starts if len(f) < 2}
 
     def _step(self, paths: dict, text: str, cost: float, out: dict) -> None:
         """Paths by last two symbols and the word so far (None where no frequent word begins so)."""
@@ -171,12 +183,28 @@ class Restorer:
         self._step(paths, "", COST_BARE if run > 1 else COST_HUSH if c in SEPARATORS else COST_DROP, out)
         return out
 
+    def _spelled(self, parts: tuple[tuple[str, float], ...]) -> tuple[float, str]:
+        """Log probability of a word put together from parts with their costs, and the word."""
+        logp, at, s = self.logp, 0, 0.0
+        for text, cost in parts:
+            s -= cost
+            for b in text.encode():
+                z = SYMBOLS[b]
+                s += logp[at * SIZE + z]
+                at = (at * SIZE + z) % SIZE**2
+        word = "".join(p[0] for p in parts)
+        return s + logp[at * SIZE] + self.gain.get(word, 0.0), word
+
     def viterbi(self, token: str) -> str:
         """The likeliest word behind a token."""
         return self.decode(token)[1]
 
     def decode(self, token: str) -> tuple[float, str]:
         """The likeliest word behind a token, or words behind some with spaces, and its log probability."""
+        if LETTERS.match(token):
+            parts = [((c, 0.0),) if run == 1 else ((c, COST_TWICE), (c * 2, 0.0)) if run == 2 else ((c, COST_RUN), (c * 2, COST_RUN)) for c, run in ((m[0][0], len(m[0])) for m in SAME.finditer(token))]
+            if sum(len(p) > 1 for p in parts) <= 4:  # few ways: each by itself, to the same sums
+                return max((self._spelled(p) for p in itertools.product(*parts)), key=lambda p: p[0])
         paths: dict = {(0, 0, ""): (0.0, None)}
         i = 0
         while i < len(token):
@@ -224,7 +252,7 @@ class Restorer:
 
     def restore(self, token: str) -> str:
         """A lower-case token as the word it was meant to be; words stay as they are."""
-        core = self.core(token)
+        core = token if token.isalpha() else self.core(token)
         if LETTERS.match(core):
             return self.viterbi(core) if TWICE.search(core) else core
         if any(map(str.isalpha, core)):
@@ -243,15 +271,24 @@ class Restorer:
                     best = w
         return best
 
-    def look(self, token: str) -> tuple[str, float]:
+    def look(self, token: str) -> str:
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        word = self.restore(token)
-        found = self.memo[token] = (word, self.weight(word))
+        found = self.memo[token] = self.restore(token)
         return found
 
     def segment(self, run: str) -> list[str]:
         """The words behind a run of short tokens: one lattice over all of them."""
+        found = self.segments.get(run)
+        if found is None:
+            found = self._segment(run)
+            if len(run) <= 40:  # a memory bound
+                if len(self.segments) >= MEMO:
+                    self.segments.clear()
+                self.segments[run] = found
+        return found
+
+    def _segment(self, run: str) -> list[str]:
         cores = [(self.core(p) or (p if p in LIKE else "")) for p in run.split()]
         token = " ".join(filter(None, cores))
         if not any(map(str.isalpha, token)):
@@ -267,18 +304,20 @@ class Restorer:
         """
         memo, look, begun = self.memo, self.look, self.begun
         tokens = text.lower().split()
-        words = [(memo.get(t) or look(t))[0] for t in tokens]
+        words = [look(t) if (w := memo.get(t)) is None else w for t in tokens]
         out: list[str] = []
         begin = i = 0  # the run of short tokens before place i begins at ``begin``
         while i < len(tokens):
-            n = self.joined(words, i, begun) if words[i] in begun else 1
+            n = self.joined(words, i, begun) if words[i] in begun and i + 1 < len(words) and words[i] + words[i + 1] in begun else 1
             if n > 1 and self.parted(tokens, words, begin, i, n):
                 out += [*self.run(tokens, words, begin, i), "".join(words[i : i + n])]
                 begin = i = i + n
             elif len(tokens[i]) <= SHORT:
                 i += 1
             else:
-                out += [*self.run(tokens, words, begin, i), words[i]]
+                if begin < i:
+                    out += self.run(tokens, words, begin, i)
+                out.append(words[i])
                 begin = i = i + 1
         return out + self.run(tokens, words, begin, i)
 
@@ -375,11 +414,16 @@ class Restorer:
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Strongest evidence, sum of evidence of distinct words, and distinct words with evidence for each 100 tokens."""
-        weights, weigh, runs, heard = self.weights, self.weigh, self.runs, self.heard
-        text = text.lower()
+        weights, weigh, runs, heard, parts = self.weights, self.weigh, self.runs, self.heard, self.parts
+        openings, initials = self.openings, self.initials
+        tokens = text.lower().split()
         hits: dict[str, float] = {}
-        pieces = RUNS.split(text)
-        for run in set(pieces[1::2]):
+        alone: set[str] = set()
+        last = 0
+        for m in MANY.finditer(bytes(map(SHORT.__ge__, map(len, tokens)))):
+            alone.update(tokens[last : m.start()])
+            last = m.end()
+            run = " ".join(tokens[m.start() : last])
             found = runs.get(run)
             if found is None:
                 found = self.evident(run)
@@ -387,18 +431,20 @@ class Restorer:
                     if len(runs) >= MEMO:
                         runs.clear()
                     runs[run] = found
-            hits.update(found)
-        tokens = text.split()
-        alone = set(" ".join(pieces[::2]).split())
+            if found:
+                hits.update(found)
+        alone.update(tokens[last:])
         # Tokens with which a known word with evidence may begin, or go on.
         begin, go_on = {}, {}
         for t in set(tokens):
-            word, w = weights.get(t) or weigh(t)
-            if w and t in alone:
-                hits[word] = w
+            word = t.rstrip(".,;:")
+            if word[:2] in openings or word[:1] in initials or not word.isalpha():
+                word, w = weights.get(t) or weigh(t)
+                if w and t in alone:
+                    hits[word] = w
             if word in heard:
                 begin[t] = word
-            if word in self.parts:
+            if word in parts:
                 go_on[t] = word
         if begin and go_on:
             for i, t in enumerate(tokens):
@@ -426,32 +472,49 @@ class Restorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Coefficients (intercept first) of a ridge logistic regression, by Newton steps."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    coef = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+#: The restorer of a worker by the number of its broadcast model: what it has looked up serves the worker's next tasks.
+LAST: dict[str, Restorer] = {}
+
+
+def restorer(model: Model, number: str) -> Restorer:
+    """The restorer of this worker for a model, one at a time."""
+    if number not in LAST:
+        LAST.clear()
+        LAST[number] = Restorer(model)
+    return LAST[number]
+
+
+def logistic(rows: DataFrame, x: list[str], y: str, weight: str, ridge: float = 0.05) -> np.ndarray:
+    """Coefficients (intercept first) of a ridge logistic regression, by Newton steps, each one sum over all rows."""
+    names = ["1D", *x]
+    coef = np.zeros(len(names))
+    penalty = np.full(len(names), ridge)
     penalty[0] = 1e-3
+    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        g = x.T @ (weight * (p - y)) + penalty * coef
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        z = " + ".join(f"{c!r}D * {n}" for c, n in zip(coef.tolist(), names, strict=True))
+        p = rows.withColumn("_p", F.expr(f"1 / (1 + exp(-greatest(-30D, least(30D, {z}))))"))
+        sums = p.agg(*[F.expr(f"sum({weight} * (_p - {y}) * {n})") for n in names], *[F.expr(f"sum({weight} * _p * (1 - _p) * {names[i]} * {names[j]})") for i, j in pairs]).first()
+        g = np.array(sums[: len(names)]) + penalty * coef
+        h = np.diag(penalty)
+        for (i, j), v in zip(pairs, sums[len(names) :], strict=True):
+            h[i, j] += v
+            h[j, i] += v * (i != j)
         step = np.linalg.solve(h, g)
         coef -= step
         if np.abs(step).max() < 1e-8:
             break
-    return coef
+    return coef.round(9)  # sums of parts in any order
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 10_000, support: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", support: int = 3) -> Model:
     """The model: characters counted over all documents, evidence from labelled rows.
 
-    At most ``sample`` rows of each label are fitted on, those of the smallest
-    hash whose crc32(key as text) mod 4 is not 2.  Three quarters of them give
-    the evidence: for each word and beginning of a word, the log odds of its
-    distinct contexts (the word before it) among toxic and other texts, less a few
-    standard errors; contexts keep copies of one text from counting twice.  The
-    last quarter gives the regression.  Without labels of both kinds every text
+    All labelled rows whose crc32(key as text) mod 4 is not 2 are fitted on.
+    Three quarters of them give the evidence: for each word and beginning of a
+    word, the log odds of its distinct contexts (the word before it) among toxic
+    and other texts, less a few standard errors; contexts keep copies of one text
+    from counting twice.  The last quarter gives the regression.  Without labels of both kinds every text
     scores the share of toxic labels.
     """
     spark = docs.sparkSession
@@ -474,10 +537,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     if not share.get(0) or not share.get(1):
         model.coef = np.array([8.0 if share.get(1) else -8.0, 0, 0, 0])
         return model
-    chosen = rows.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample).unionByName(rows.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample))
-    # Twice ``sample`` keys at most are broadcast, whatever the number of labels.
-    chosen = F.broadcast(chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(4)) == 0))
-    picked = kept.join(chosen, "id").select("t", "y", "fold")
+    fold = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(4)) == 0
+    part = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(PARTS)) == 0
+    # Written once: the texts of labelled rows are read more than once.
+    chosen = rows.withColumn("fold", fold).withColumn("part", part)
+    chosen = F.broadcast(chosen) if share[0] + share[1] <= KEYS else chosen.hint("shuffle_merge")
+    picked = durable(kept.where(crc_mod(F.col("id"), 4) != 2).join(chosen, "id").select("t", "y", "fold", "part"), "labelled")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -486,65 +551,80 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     counted = picked.select("t").mapInArrow(tidy(frequent), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     model.gain = gains({r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(WORDS).collect()}, model.logp)
-    sent = spark.sparkContext.broadcast(model)
-
-    def clues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(sent.value)
-        seen: set[tuple[str, int]] = set()
-
-        def emit() -> pa.RecordBatch:
-            f, c = zip(*seen, strict=True) if seen else ((), ())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(c, pa.int64())], names=["f", "c"])
-
-        for b in batches:
-            for t in b.column("t").to_pylist():
-                before = ""
-                for w in r.words(t or ""):
-                    context = hash_text(before)
-                    seen.update((f, context) for f in ("=" + w, *[w[:n] for n in PREFIXES if len(w) >= n]))
-                    before = w
+    sent, number = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def clues(sent: Broadcast, number: str, evident: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = restorer(sent.value, number)
+            seen: set[tuple[int, str, str]] = set()
+
+            def emit() -> pa.RecordBatch:
+                columns = zip(*seen, strict=True) if seen else ((), (), ())
+                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string()), strict=True)], names=["y", "before", "w"])
+                seen.clear()
+                return out
+
+            for b in batches:
+                for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    if evident and not r.features(t or "")[0]:
+                        continue
+                    words = r.words(t or "")
+                    pairs = zip(itertools.repeat(y), ["", *words], words)
+                    seen.update((p for p in pairs if r.weight(p[2])) if evident else pairs)
                     if len(seen) >= PAIRS:
                         yield emit()
-        yield emit()
-
-    def contexts(y: int, n: str) -> DataFrame:
-        pairs = picked.where(f"y = {y} AND NOT fold").select("t").mapInArrow(tidy(clues), "f string, c long").distinct()
-        return pairs.groupBy("f").agg(F.count(F.lit(1)).alias(n))
-
-    # Only what is evidence comes to the driver.
-    n1, n0 = (picked.where(f"y = {y} AND NOT fold").agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] + 1 for y in (1, 0))
-    n, m = F.col("n") + 0.5, F.coalesce("m", F.lit(0)) + 0.5
-    odds = F.log(n / m * F.lit(n0 / n1)) - F.lit(ERRORS) * F.sqrt(1 / n + 1 / m)
-    both = contexts(1, "n").where(F.col("n") >= support).join(contexts(0, "m"), "f", "left").select("f", F.round(odds, 4).alias("odds")).where(F.col("odds") > LEAST)
-    model.evidence = {r["f"]: r["odds"] for r in both.collect()}
-    sent = spark.sparkContext.broadcast(model)
+            yield emit()
+
+        return tidy(run)
+
+    def contexts(rows: DataFrame, sent: Broadcast, number: str, evident: bool = False) -> DataFrame:
+        """(f, y, c): evidence, label and context.  Distinct words after each other are far fewer than these, so they are told apart first."""
+        pairs = rows.select("t", "y").mapInArrow(clues(sent, number, evident), "y int, before string, w string").distinct()
+        evidence = F.explode(F.array(F.concat(F.lit("="), "w"), *[F.when(F.length("w") >= n, F.left("w", F.lit(n))) for n in PREFIXES]))
+        return pairs.select("y", F.xxhash64("before").alias("c"), evidence.alias("f")).where("f IS NOT NULL").distinct()
+
+    sizes = {r["y"]: r["n"] for r in picked.where("NOT fold").groupBy("y").agg(F.sum(F.length("t")).alias("n")).collect()}
+    n1, n0 = ((sizes.get(y) or 0) + 1 for y in (1, 0))
+
+    def likely(counted: DataFrame) -> dict[str, float]:
+        """What is evidence by its numbers of contexts n and m; only that comes to the driver."""
+        n, m = F.col("n") + 0.5, F.col("m") + 0.5
+        odds = F.log(n / m * F.lit(n0 / n1)) - F.lit(ERRORS) * F.sqrt(1 / n + 1 / m)
+        return {r["f"]: r["odds"] for r in counted.select("f", F.round(odds, 4).alias("odds")).where(F.col("odds") > LEAST).collect()}
+
+    # Odds fall with every context among other texts.  What is no evidence by the contexts in a part of these is none by all of them,
+    # so the rest is read only for what still may be, and all of it is counted.
+    begun = contexts(picked.where("NOT fold AND (y = 1 OR part)"), sent, number).groupBy("f").agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if(F.col("y") == 0).alias("m")).where(F.col("n") >= support)
+    begun = durable(begun, "contexts")
+    model.evidence = likely(begun)
+    if model.evidence:
+        may_be = spark.createDataFrame([(f,) for f in model.evidence], "f string")
+        others = contexts(picked.where("NOT fold AND y = 0"), spark.sparkContext.broadcast(model), uuid.uuid4().hex, evident=True).groupBy("f").agg(F.count(F.lit(1)).alias("m"))
+        model.evidence = likely(begun.join(F.broadcast(may_be), "f").select("f", "n").join(others, "f", "left").select("f", "n", F.coalesce("m", F.lit(0)).alias("m")))
+    forget(begun)
+    weighed, number_of_evidence = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(sent.value)
+        r = restorer(weighed.value, number_of_evidence)
         for b in batches:
             x = [r.features(t or "") for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), *[pa.array([v[k] for v in x], pa.float64()) for k in range(3)]], names=["y", "a", "b", "c"])
 
-    t = picked.where("fold").select("t", "y").mapInArrow(tidy(measure), "y int, a double, b double, c double").toArrow()
-    y = t.column("y").to_numpy().astype("f8")
-    if len(y) and 0 < y.sum() < len(y):
-        x = np.stack([t.column(c).to_numpy() for c in "abc"], 1)
-        prior = share[1] / (share[0] + share[1])
-        model.coef = logistic(x, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())))
+    measured = picked.where("fold").select("t", "y").mapInArrow(tidy(measure), "y int, a double, b double, c double")
+    # Most texts have no evidence, so equal rows are one with a number.
+    features = durable(measured.groupBy("y", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "features")
+    seen = {r["y"]: r["n"] for r in features.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if len(seen) == 2:
+        # Each label weighs its share of all labels.
+        weight = F.col("n") * F.when(F.col("y") == 1, share[1] / seen[1]).otherwise(share[0] / seen[0]) * (sum(seen.values()) / (share[0] + share[1]))
+        model.coef = logistic(features.withColumn("weight", weight), ["a", "b", "c"], "y", "weight")
     else:
         model.coef = np.array([-3.0, 0.8, 0.5, 0.5])
+    forget(features)
+    forget(picked)
     return model
 
 
-def hash_text(word: str) -> int:
-    """A stable 60-bit number of a word."""
-    h = 1469598103934665603
-    for b in word.encode():
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFF
-    return h
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out``, from 0 to 1, of each whole text.
 
@@ -554,10 +634,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """
     kept = docs.drop(out)
     names = kept.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, number = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(sent.value)
+        r = restorer(sent.value, number)
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import exponion, langid, whitening
+from leafmill.llm import exponion, langid, toxicity, whitening
 from leafmill.llm.common import crc_mod
 
 VECTORS = "vec_id long, embedding array<float>, id string, x string, a int, u int, n int, sums int, cluster int, c int"
@@ -248,3 +248,17 @@ def test_rows_that_repeat_and_ties(spark):
     assert {r.lang_pred for r in langid.identify(documents(spark, [(1, "aaa", "y"), (2, "aaa", "x"), (3, "aaa", None)]), F.col("doc_id") == 3).collect()} == {"x"}
     sure = langid.identify(documents(spark, [(1, "aaa", "y"), (2, "bbb", "x")]), F.lit(False), reject=True).collect()
     assert {r.doc_id: r.lang_pred for r in sure} == {1: "y", 2: "x"}
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A word that other texts have too is no evidence, however late their rows come in any order of hashes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = spark.range(16_000).where(crc_mod(F.col("id"), 4) != 2).orderBy(F.xxhash64("id"), "id").collect()
+    toxic = {r.id for r in rows[::40]}
+    other = [r.id for r in rows if r.id not in toxic]
+    assert len(other) > 11_000
+    texts = [(i, f"{word()} zebra {word()} idiot {word()}", 1) for i in toxic] + [(i, f"{word()} zebra {word()}" if k >= 10_000 else f"{word()} {word()}", 0) for k, i in enumerate(other)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "=idiot" in model.evidence and "=zebra" not in model.evidence
