@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import chunking, confidence, langmodel, layout, ordered, rules, validation
 from leafmill.plans import builders, extras
-from leafmill.sinks.files import write_files
+from leafmill.sinks.files import read_back, write_files
 from leafmill.sinks.shared import scratch
 from leafmill.sources import files, scan, splits
 from leafmill.streaming import counters, settle, watch
@@ -56,7 +56,7 @@ def written_documents(spark, d):
     write_files(docs.where("doc_id % 3 = 0").select(path.alias("path"), F.lit("old").alias("text")), root)
     told = builders.save(docs, "Markdown", root).select("path", "status")
     number = lambda c: F.regexp_extract(c, r"doc(\d+)\.md$", 1).cast("long")
-    held = files.texts(spark, root).select(number(F.col("path")).alias("doc_id"), F.md5("text").alias("md5"))
+    held = read_back(spark, root).select(number(F.col("path")).alias("doc_id"), F.md5("content").alias("md5"))
     one = told.groupBy(number(F.col("path")).alias("doc_id")).agg(F.first("status").alias("status"), F.count(F.lit(1)).cast("int").alias("files"))
     return held.join(one, "doc_id").select("doc_id", "md5", "status", "files")
 
@@ -77,9 +77,7 @@ def written_pictures(spark, d):
     root = scratch(spark, "pictures")
     named = extras.picture_rows(spark, d)
     write_files(named.select(F.concat("path", F.lit("/assets/"), "file").alias("path"), "content"), root)
-    below = F.regexp_extract("path", r"leafmill-pictures-[0-9a-f]+/(.*)$", 1)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.select(below.alias("path"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    return read_back(spark, root).select("path", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"))
 
 
 # Streams -----------------------------------------------------------------------------------------

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -28,6 +29,8 @@ ATTEMPTS, WRITTEN = "_attempts", "_written"
 REPORT = pa.schema([("path", pa.string()), ("status", pa.string()), ("bytes", pa.int64()), ("reason", pa.string()), ("staged", pa.string())])
 #: Threads of the driver that move files.
 MOVERS = 16
+#: Rows of a report that a mover holds at a time, and bytes of contents in a batch that is read back.
+ROWS, BATCH = 2000, 16 << 20
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -90,35 +93,40 @@ class FileWriter(DataSourceArrowWriter):
         return Attempt(attempt)
 
     @staticmethod
-    def _report(fs: pafs.FileSystem, path: str, rows: list[tuple]) -> None:
-        table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(REPORT), REPORT, strict=True)], schema=REPORT)
+    def _table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(REPORT), REPORT, strict=True)], schema=REPORT)
+
+    @classmethod
+    def _report(cls, fs: pafs.FileSystem, path: str, rows: list[tuple]) -> None:
+        table = cls._table(rows)
         with fs.open_output_stream(path) as out:
-            pq.write_table(table, out)
+            pq.write_table(table, out, row_group_size=ROWS)
 
     def _publish(self, attempt: str) -> None:
-        """Moves the files of one task to their paths, and keeps its report."""
+        """Moves the files of one task to their paths, and keeps its report; both a few rows at a time."""
         fs, root = file_system(self.root)
-        folder, rows = self._folder(attempt), []
-        with fs.open_input_file(f"{folder}/report.parquet") as held:
-            staged = pq.read_table(held).to_pylist()
-        for r in staged:
-            status, reason = r["status"], r["reason"]
-            if status == "written":
-                target = f"{root}/{r['path']}"
-                try:
-                    there = fs.get_file_info(target).type
-                    if there != pafs.FileType.NotFound and not (self.overwrite and there == pafs.FileType.File):
-                        status = "exists"
-                    else:
-                        fs.create_dir(posixpath.dirname(target))
-                        if there == pafs.FileType.File:
-                            fs.delete_file(target)
-                        fs.move(f"{folder}/{r['staged']}", target)
-                except OSError as e:
-                    status, reason = "failed", str(e)
-            rows.append((r["path"], status, r["bytes"], reason, None))
+        folder = self._folder(attempt)
         fs.create_dir(f"{root}/{WRITTEN}/job={self.job}")
-        self._report(fs, f"{root}/{WRITTEN}/job={self.job}/{attempt}.parquet", rows)
+        with fs.open_input_file(f"{folder}/report.parquet") as held, fs.open_output_stream(f"{root}/{WRITTEN}/job={self.job}/{attempt}.parquet") as out, pq.ParquetWriter(out, REPORT) as report:
+            for staged in pq.ParquetFile(held).iter_batches(ROWS):
+                report.write_table(self._table([self._move(fs, root, folder, r) for r in staged.to_pylist()]))
+
+    def _move(self, fs: pafs.FileSystem, root: str, folder: str, r: dict) -> tuple:
+        status, reason = r["status"], r["reason"]
+        if status == "written":
+            target = f"{root}/{r['path']}"
+            try:
+                there = fs.get_file_info(target).type
+                if there != pafs.FileType.NotFound and not (self.overwrite and there == pafs.FileType.File):
+                    status = "exists"
+                else:
+                    fs.create_dir(posixpath.dirname(target))
+                    if there == pafs.FileType.File:
+                        fs.delete_file(target)
+                    fs.move(f"{folder}/{r['staged']}", target)
+            except OSError as e:
+                status, reason = "failed", str(e)
+        return r["path"], status, r["bytes"], reason, None
 
     def commit(self, messages: list[Attempt | None]) -> None:
         with ThreadPoolExecutor(MOVERS) as pool:
@@ -173,3 +181,32 @@ def write_files(rows: DataFrame, root: str, overwrite: bool = False) -> DataFram
 def written(spark: SparkSession, root: str) -> DataFrame:
     """(job, path, status, bytes, reason) of all that was written under ``root``, and of what was not."""
     return spark.read.schema("path string, status string, bytes long, reason string, job string").parquet(f"{root.rstrip('/')}/{WRITTEN}")
+
+
+def read_back(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of every file that was written under ``root`` or was found there; path is that below ``root``.
+
+    The paths are those of the reports, and tasks open the files: the driver lists
+    none, however many there are.  A file that is gone gives no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = file_system(root)
+        paths, contents, held = [], [], 0
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                try:
+                    with fs.open_input_file(f"{top}/{path}") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                paths.append(path)
+                contents.append(content)
+                held += len(content) + 1000
+                if held >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    there = written(spark, root).where(F.col("status").isin("written", "exists")).select("path").distinct()
+    return there.mapInArrow(run, "path string, content binary")

@@ -5,6 +5,7 @@ import threading
 import time
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,18 @@ def test_files_that_come_again(spark, tmp_path):
 
     assert run([("a", "2024-01-01"), ("a", "2024-01-01"), ("b", "2024-01-01"), (None, "2024-01-01"), ("c", None)]) == [("a", 1), ("b", 1)]
     assert run([("a", "2024-01-01"), ("a", "2024-01-02")]) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_files_are_read_back_without_a_listing(spark, tmp_path, monkeypatch):
+    """What reports name is read by tasks; files of other jobs are read once, and moves hold a few rows at a time."""
+    monkeypatch.setattr(files, "ROWS", 2)
+    root = str(tmp_path / "out")
+    rows = [(f"d{i % 3}/f{i}", f"text {i}") for i in range(25)] + [("../out", "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "path string, text string").coalesce(1)
+    files.write_files(df.limit(5), root)
+    files.write_files(df, root)
+    os.remove(f"{root}/d0/f9")
+    (tmp_path / "out/other").write_text("not ours")
+    assert sorted((r.path, bytes(r.content).decode()) for r in files.read_back(spark, root).collect()) == sorted(r for r in rows[:25] if r[0] != "d0/f9")
+    assert files.written(spark, root).where("status = 'written'").count() == 25
+    assert max(pq.ParquetFile(p).num_row_groups for p in (tmp_path / "out/_written").glob("*/*.parquet")) > 1
