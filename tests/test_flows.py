@@ -4,6 +4,7 @@ import os
 import threading
 import time
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -170,4 +171,34 @@ def test_files_are_read_back_without_a_listing(spark, tmp_path, monkeypatch):
     (tmp_path / "out/other").write_text("not ours")
     assert sorted((r.path, bytes(r.content).decode()) for r in files.read_back(spark, root).collect()) == sorted(r for r in rows[:25] if r[0] != "d0/f9")
     assert files.written(spark, root).where("status = 'written'").count() == 25
-    assert max(pq.ParquetFile(p).num_row_groups for p in (tmp_path / "out/_written").glob("*/*.parquet")) > 1
+    writer = files.FileWriter(str(tmp_path / "more"), False, "job")  # in this process, with the small reports
+    writer.commit([writer.write(iter([pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array(list("12345"))], names=["path", "text"])]))])
+    assert tree(str(tmp_path / "more")) == dict(zip("abcde", "12345", strict=True))
+    assert pq.ParquetFile(next((tmp_path / "more/_written/job=job").glob("*.parquet"))).num_row_groups == 3
+
+
+def test_state_is_read_once_for_each_path_of_a_batch():
+    """Many looks at few paths cost a call of the state for each path, not for each look."""
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = {}, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return {"exists": lambda: bool(self.held), "getValue": self.held.get, "get": lambda: self.held.get(()), "updateValue": self.held.__setitem__, "update": lambda v: self.held.__setitem__((), v), "removeKey": lambda k: self.held.pop(k), "clear": self.held.clear}[name]
+
+    s = settle.Settle(20, None, None)
+    s.open, s.n = State(), State()
+    looks = pd.DataFrame([(f"f{i % 3}", i % 7, 3000 - i) for i in range(3000)], columns=["path", "size", "ord"])
+    frames = list(s.handleInputRows((0,), iter([looks[:1000], looks[1000:]]), None))
+    want, known = [], {}
+    for path, size, _ in sorted(looks.itertuples(index=False), key=lambda r: (r[2], r[0])):
+        last, n = known.pop(path, (-1, 0))
+        status = "whole" if size == last and size > 0 else "unfinished" if n + 1 >= 20 else None
+        if status:
+            want.append((path, status, size, n + 1))
+        else:
+            known[path] = (size, n + 1)
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == want and s.open.held == {(p,): v for p, v in known.items()}
+    assert s.open.calls + s.n.calls < 20
